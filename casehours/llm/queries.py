@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from casehours.llm import bpe, chat, exact_dedup, langid, sharding, token_planes, warc
+from casehours.llm import bpe, chat, chosen_path, exact_dedup, langid, sharding, token_planes, warc
 from casehours.llm.common import prepare, table
 
 
@@ -47,6 +47,11 @@ def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op7_chosen_path(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prepare(spark)
+    return chosen_path.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     prepare(spark)
     return bpe.round_trip_digests(table(spark, sf_dir, "documents"), tokenizer_file(spark, "word_bpe_49k.json"))
@@ -69,6 +74,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_token_planes": op3_token_planes,
     "op4_exact_dedup": op4_exact_dedup,
     "op5_warc": op5_warc,
+    "op7_chosen_path": op7_chosen_path,
     "op8_bpe": op8_bpe,
     "op9_chat_format": op9_chat_format,
 }
