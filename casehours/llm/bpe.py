@@ -186,9 +186,10 @@ def decoded(tokens: DataFrame, path: str) -> DataFrame:
     return tokens.select("doc_id", "ids").mapInArrow(run, "doc_id long, text string")
 
 
-def round_trip_digests(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256: encode and decode in one pass, ids stay in the task."""
-    schema = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())])
+def round_trip_digests(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
+    """doc_id, n_tokens, ids_sha256, decoded_sha256, and ids if asked for: encode and decode in one pass."""
+    kinds = {"doc_id": "long", "n_tokens": "long", "ids_sha256": "string", "decoded_sha256": "string"} | ({"ids": "binary"} if with_ids else {})
+    schema = pa.schema([(name, {"long": pa.int64(), "string": pa.string(), "binary": pa.binary()}[kind]) for name, kind in kinds.items()])
     digest = lambda x: hashlib.sha256(x).hexdigest()
 
     def run(batches):
@@ -198,6 +199,8 @@ def round_trip_digests(docs: DataFrame, path: str, id_col: str = "doc_id", text_
             for start, texts in text_slices(batch):
                 ids = tool.encode(texts)
                 columns = [pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(map(digest, ids), pa.string()), pa.array([digest(tool.decode(x)) for x in ids], pa.string())]
+                if with_ids:
+                    columns.append(pa.array(ids, pa.binary()))
                 yield pa.RecordBatch.from_arrays([names.slice(start, len(texts)), *columns], schema=schema)
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, ", ".join(f"{name} {kind}" for name, kind in kinds.items()))

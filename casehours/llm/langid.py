@@ -24,6 +24,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from casehours.llm.common import cut, without_ids
+
 UNDETERMINED = "und"
 GRAM = 4
 HASHES = 3
@@ -193,3 +195,10 @@ def identified(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     fed = texts.select("doc_id", "held_out", "text", F.coalesce(F.rlike("text", F.lit(r"\p{L}")), F.lit(False)).alias("has_letter"))
     return fed.mapInArrow(run, "doc_id long, held_out boolean, lang_pred string, score double")
+
+
+def keep_identified(docs: DataFrame, least_score: float = 0.1, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+    """``docs`` without undetermined texts and texts whose best language has less than ``least_score`` of the n-grams."""
+    found = identified(docs, id_col, text_col, lang_col)
+    rejected = found.filter((F.col("lang_pred") == UNDETERMINED) | (F.col("score") < least_score))
+    return without_ids(docs, cut(rejected.select(F.col("doc_id").alias(id_col)), "unidentified"), id_col)

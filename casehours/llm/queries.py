@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from casehours.llm import bpe, chat, chosen_path, exact_dedup, langid, sharding, token_planes, warc
+from casehours.llm import bpe, chat, chosen_path, decontaminate, exact_dedup, langid, sentence_spans, sharding, token_planes, warc
 from casehours.llm.common import prepare, table
 
 
@@ -47,6 +47,11 @@ def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op6_sentence_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prepare(spark)
+    return sentence_spans.repeated_sentences(table(spark, sf_dir, "documents"))
+
+
 def op7_chosen_path(spark: SparkSession, sf_dir: str) -> DataFrame:
     prepare(spark)
     return chosen_path.near_duplicates(table(spark, sf_dir, "documents"))
@@ -68,15 +73,21 @@ def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digests(given.unionByName(added))
 
 
+def op10_template_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminations(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_interleaved_shards": op1_interleaved_shards,
     "op2_language_id": op2_language_id,
     "op3_token_planes": op3_token_planes,
     "op4_exact_dedup": op4_exact_dedup,
     "op5_warc": op5_warc,
+    "op6_sentence_spans": op6_sentence_spans,
     "op7_chosen_path": op7_chosen_path,
     "op8_bpe": op8_bpe,
     "op9_chat_format": op9_chat_format,
+    "op10_template_decontamination": op10_template_decontamination,
 }
 
 #: CRC-32 of a text's UTF-8 bytes; DuckDB has no such function. The table comes from the polynomial.
