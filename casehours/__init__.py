@@ -1,0 +1 @@
+"""casehours: hourly power-grid study results, analysed as Spark DataFrames."""
