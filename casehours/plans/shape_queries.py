@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from casehours import sinks
 from casehours.functions import calendar as cal
 from casehours.functions import cells, fuel
-from casehours.operators import browse, filters, groups, merge, shapes, stats
+from casehours.operators import browse, filters, groups, merge, series, shapes, stats
 from casehours.plans.facts import H, MEMBERS, RATE, hourly, memberships, series_of, table
 from casehours.plans.queries import G, group_series, query, rounded
 
@@ -325,3 +325,18 @@ def all_zero(spark: SparkSession, sf: str) -> DataFrame:
 
 
 __all__ = ["Window", "filters"]
+
+
+@query(f"""WITH {H}, {MEMBERS}, s AS (SELECT 'nation' AS series_id, year, slot_hour, sum(load) AS value, count(*) AS c FROM h WHERE case_id = 'N' AND entity = 'NATION_3' GROUP BY ALL
+  UNION ALL SELECT 'group', year, slot_hour, sum(load * coef), count(*) FROM h JOIN m USING (entity) WHERE case_id = 'N' AND m.grp = 'BOUNDARY' GROUP BY ALL
+  UNION ALL SELECT 'frozen', year, slot_hour, sum(load * coef), count(*) FROM h JOIN m USING (entity) WHERE case_id = 'N' AND m.grp = 'BOUNDARY' AND entity IN ('NATION_1', 'NATION_2') GROUP BY ALL
+  UNION ALL SELECT 'case', year, slot_hour, sum(load), count(*) FROM h WHERE case_id = 'R' GROUP BY ALL)
+SELECT series_id, count(*) AS hours, round(sum(value), 4) AS total, sum(c)::BIGINT AS contributors FROM s GROUP BY 1""")
+def series_specs(spark: SparkSession, sf: str) -> DataFrame:
+    """A-01, A-02, A-08, F-09: an entity, a group, a frozen group and a whole case, resolved in one job."""
+    facts = series_of(hourly(spark, sf), "load").select("case_id", F.lit("area").alias("kind"), F.lit("Load (MWh)").alias("quantity"), "entity", "year", "slot_hour", "value")
+    q = ("area", "Load (MWh)")
+    rows = [("nation", "N", *q, "NATION_3", None, None), ("group", "N", *q, None, "BOUNDARY", None), ("frozen", "N", *q, None, "BOUNDARY", ["NATION_1", "NATION_2"]), ("case", "R", *q, None, None, None)]
+    specs = spark.createDataFrame(rows, "series_id string, case_id string, kind string, quantity string, entity string, grp string, members array<string>")
+    s = series.resolve(F.broadcast(specs), facts, memberships(spark, sf).withColumn("kind", F.lit("area")))
+    return rounded(s.groupBy("series_id").agg(F.count(F.lit(1)).alias("hours"), F.sum("value").alias("total"), F.sum("contributors").alias("contributors")))

@@ -19,7 +19,7 @@ KEYS = {"bus_list": "BusID", "generator_list": "Name"}
 
 def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
     """line_no, line of a small text file read whole."""
-    whole = spark.read.option("wholetext", "true").text(path).select(F.regexp_replace("value", "^﻿", "").alias("value"))
+    whole = spark.read.text(path, wholetext=True).select(F.regexp_replace("value", "^﻿", "").alias("value"))
     return whole.select(F.posexplode(F.split("value", r"\r?\n", -1)).alias("line_no", "line"))
 
 
