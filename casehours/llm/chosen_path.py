@@ -2,14 +2,16 @@
 
 Every document is a set of word shingles. In each of ``TREES`` independent trees a document branches to the child
 named by its minwise shingle under that level's hash; documents in one node share a path. A node of ``NODE``
-documents or fewer is compared exhaustively, by length and by one-bit minwise sketches. A larger node links each
+documents or fewer is compared exhaustively, by length and by two-bit minwise sketches. A larger node links each
 document to its centre (again by sketch) and branches to the next level. Whatever passes is confirmed on the full
 sets, so no link is wrong; the trees make misses rare (a pair at the threshold shares no node of one level with
 probability 0.25^16, of two levels with 0.44^16).
 
 Work stays in proportion to the documents: equal sets are joined first; then one best partner of each document is
-confirmed, and of the other candidates only those that would still join two components. Nodes that are large at the
-last level and hold several components are compared between components, dealt by salted keys, so nothing is capped.
+confirmed, and of the other candidates only those that would still join two components. Documents of nodes that are
+large at the last level and hold several components gather in clusters; a cluster is cut into blocks, and every pair of
+blocks is one task that compares documents of different components and confirms links at once. So nothing is capped,
+no task holds more than two blocks, and a cluster of s documents costs s * s / BLOCK rows and no pair rows.
 
 Defined results: a null text is empty; texts without words have ``n_shingles`` 0 and are linked with nothing; rows
 with a null id are linked with nothing and have a null component; rows that share an id are one document; an empty
@@ -28,35 +30,38 @@ from casehours.llm.components import components
 from casehours.llm.shingles import mix, set_slices
 
 TREES, LEVELS, NODE = 16, 4, 64
-SKETCH_BITS = 192
-#: Sketch bits that must agree: at similarity 0.75 the mean is 168 and the deviation 4.6.
-AGREE = 141
-SALTS = 8
-BITS = ["b0", "b1", "b2"]
+#: Minwise values in a sketch, two bits of each.
+SKETCH = 192
+#: Values of which both bits must agree: at similarity 0.75 the mean is 156 and the deviation 5.4.
+AGREE = 125
+BLOCK = 512
+BITS = [f"b{k}" for k in range(SKETCH * 2 // 64)]
+_LOW_BITS = 0x5555555555555555
 
-_SEEDS = mix(np.arange(1, 2 * SKETCH_BITS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-_FLIPS, _FACTORS = _SEEDS[:SKETCH_BITS], _SEEDS[SKETCH_BITS:] | np.uint64(1)
+_SEEDS = mix(np.arange(1, 2 * SKETCH + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+_FLIPS, _FACTORS = _SEEDS[:SKETCH], _SEEDS[SKETCH:] | np.uint64(1)
 
-SKETCH_SCHEMA = "doc_id long, n int, h0 long, h1 long, b0 long, b1 long, b2 long, keys array<int>"
+SKETCH_SCHEMA = "doc_id long, n int, h0 long, h1 long, " + ", ".join(f"{b} long" for b in BITS) + ", keys array<int>"
 
 
 def sketch(sets: list[np.ndarray]) -> dict[str, np.ndarray]:
-    """Sizes, set hashes, one-bit sketches and path keys of non-empty sets."""
+    """Sizes, set hashes, sketches and path keys of non-empty sets."""
     sizes = np.array([len(s) for s in sets], np.int64)
     flat = np.concatenate(sets)
     first = np.cumsum(sizes) - sizes
-    least = np.empty((len(sets), SKETCH_BITS), np.uint64)
-    for k in range(SKETCH_BITS):
+    least = np.empty((len(sets), SKETCH), np.uint64)
+    for k in range(SKETCH):
         least[:, k] = np.minimum.reduceat((flat ^ _FLIPS[k]) * _FACTORS[k], first)
     least = mix(least)
-    bits = np.packbits((least & np.uint64(1)).astype(np.uint8), axis=1).view(np.int64)
+    two = np.stack([least & np.uint64(1), (least >> np.uint64(1)) & np.uint64(1)], axis=2).reshape(len(sets), -1)
+    bits = np.packbits(two.astype(np.uint8), axis=1).view(np.int64)
     keys = (least[:, : TREES * LEVELS] >> np.uint64(32)).astype(np.uint32).view(np.int32)
     return {"n": sizes, "h0": np.add.reduceat(mix(flat), first), "h1": np.bitwise_xor.reduceat(mix(flat + np.uint64(1)), first), "bits": bits, "keys": keys}
 
 
 def sketches(docs: DataFrame) -> DataFrame:
     """doc_id, n, set hash, sketch, path keys of a table doc_id, text; empty sets have n 0 and nulls."""
-    schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int32()), ("h0", pa.int64()), ("h1", pa.int64()), ("b0", pa.int64()), ("b1", pa.int64()), ("b2", pa.int64()), ("keys", pa.list_(pa.int32()))])
+    schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int32()), ("h0", pa.int64()), ("h1", pa.int64()), *((b, pa.int64()) for b in BITS), ("keys", pa.list_(pa.int32()))])
 
     def run(batches):
         for batch in batches:
@@ -70,7 +75,7 @@ def sketches(docs: DataFrame) -> DataFrame:
                 if full:
                     s = sketch([sets[k] for k in full])
                     keys = pa.ListArray.from_arrays(pa.array(np.arange(0, s["keys"].size + 1, TREES * LEVELS, dtype=np.int32)), pa.array(s["keys"].reshape(-1)))
-                    yield pa.RecordBatch.from_arrays([own.take(pa.array(full)), pa.array(s["n"].astype(np.int32)), pa.array(s["h0"].view(np.int64)), pa.array(s["h1"].view(np.int64)), *(pa.array(np.ascontiguousarray(s["bits"][:, k])) for k in range(3)), keys], schema=schema)
+                    yield pa.RecordBatch.from_arrays([own.take(pa.array(full)), pa.array(s["n"].astype(np.int32)), pa.array(s["h0"].view(np.int64)), pa.array(s["h1"].view(np.int64)), *(pa.array(np.ascontiguousarray(s["bits"][:, k])) for k in range(len(BITS))), keys], schema=schema)
                 if empty:
                     nothing = [pa.nulls(len(empty), f.type) for f in schema][2:]
                     yield pa.RecordBatch.from_arrays([own.take(pa.array(empty)), pa.array([0] * len(empty), pa.int32()), *nothing], schema=schema)
@@ -93,16 +98,22 @@ def full_sets(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.encode(F.coalesce("text", F.lit("")), "utf-8").alias("text")).mapInArrow(run, "id long, shingles array<long>")
 
 
+def _differing(a: str, b: str):
+    """Number of sketch values that differ in either bit."""
+    def pairs(c: str):
+        x = F.col(f"{a}.{c}").bitwiseXOR(F.col(f"{b}.{c}"))
+        return F.bit_count(x.bitwiseOR(F.shiftrightunsigned(x, 1)).bitwiseAND(F.lit(_LOW_BITS)))
+
+    return sum((pairs(c) for c in BITS), F.lit(0))
+
+
 def _alike(a: str, b: str):
     """Could rows a and b be linked? Exact by length, all but certain by sketch."""
-    differ = sum((F.bit_count(F.col(f"{a}.{c}").bitwiseXOR(F.col(f"{b}.{c}"))) for c in BITS), F.lit(0))
-    n = F.least(f"{a}.n", f"{b}.n"), F.greatest(f"{a}.n", f"{b}.n")
-    return (n[0] * 100 >= n[1] * 75) & (differ <= SKETCH_BITS - AGREE)
+    return (F.least(f"{a}.n", f"{b}.n") * 100 >= F.greatest(f"{a}.n", f"{b}.n") * 75) & (_differing(a, b) <= SKETCH - AGREE)
 
 
 def _pair(a: str, b: str) -> list:
-    differ = sum((F.bit_count(F.col(f"{a}.{c}").bitwiseXOR(F.col(f"{b}.{c}"))) for c in BITS), F.lit(0))
-    return [F.least(f"{a}.id", f"{b}.id").alias("v"), F.greatest(f"{a}.id", f"{b}.id").alias("u"), differ.cast("int").alias("differ")]
+    return [F.least(f"{a}.id", f"{b}.id").alias("v"), F.greatest(f"{a}.id", f"{b}.id").alias("u"), _differing(a, b).cast("int").alias("differ")]
 
 
 def candidates(sets: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -146,6 +157,56 @@ def _between(pairs: DataFrame, labels: DataFrame) -> DataFrame:
     return both.filter(F.coalesce("cu", "u") != F.coalesce("cv", "v")).select("u", "v")
 
 
+def _block_links(batch: pa.Table) -> pa.Table:
+    """Links between documents of different components in a pair of blocks; one link for two components is enough."""
+    rows = {c: batch.column(c).to_numpy() for c in ("id", "n", "component", "block", *BITS)}
+    sets = [x.values.to_numpy() for x in batch.column("shingles")]
+    low, high = batch.column("i")[0].as_py(), batch.column("j")[0].as_py()
+    sketches_ = np.stack([rows[b] for b in BITS], axis=1).view(np.uint64)
+    _, comp = np.unique(rows["component"], return_inverse=True)
+    left = np.flatnonzero(rows["block"] == low)
+    right = np.flatnonzero(rows["block"] == high)
+    out: list[tuple[int, int]] = []
+    for at, a in enumerate(left):
+        others = right[at + 1 :] if low == high else right
+        others = others[comp[others] != comp[a]]
+        n = rows["n"][others]
+        others = others[np.minimum(n, rows["n"][a]) * 100 >= np.maximum(n, rows["n"][a]) * 75]
+        if not len(others):
+            continue
+        x = sketches_[others] ^ sketches_[a]
+        differ = np.bitwise_count((x | (x >> np.uint64(1))) & np.uint64(_LOW_BITS)).sum(axis=1, dtype=np.int64)
+        near = np.flatnonzero(differ <= SKETCH - AGREE)
+        for k in near[np.argsort(differ[near], kind="stable")]:
+            b = others[k]
+            if comp[b] == comp[a]:
+                continue
+            common = len(np.intersect1d(sets[a], sets[b], assume_unique=True))
+            if 100 * common >= 75 * (len(sets[a]) + len(sets[b]) - common):
+                out.append((max(rows["id"][a], rows["id"][b]), min(rows["id"][a], rows["id"][b])))
+                comp[comp == comp[b]] = comp[a]
+    u, v = zip(*out, strict=True) if out else ((), ())
+    return pa.table({"u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64())})
+
+
+def links_in_large_nodes(large: DataFrame, labels: DataFrame, docs: DataFrame) -> DataFrame | None:
+    """Links that would join components within nodes large at the last level; None if no such node has several components."""
+    placed = large.join(labels, "id", "left").select("path", "id", "n", *BITS, F.coalesce("component", "id").alias("component"))
+    placed = cut(placed, "large-nodes")
+    several = placed.groupBy("path").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.min("id").alias("v")).filter("low <> high").select("path", "v")
+    edges = cut(placed.join(several, "path").select(F.col("id").alias("u"), "v"), "large-edges")
+    if not edges.limit(1).count():
+        return None
+    clusters = cut(components(edges).withColumnRenamed("component", "cluster"), "clusters")
+    members = placed.dropDuplicates(["id"]).select("id", "n", "component", *BITS).join(clusters, "id")
+    blocks = clusters.groupBy("cluster").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
+    ids = clusters.select(F.col("id").alias("doc_id"))
+    sets = full_sets(docs.join(sized(ids), "doc_id", "left_semi")).dropDuplicates(["id"])
+    rows = members.join(blocks, "cluster").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")).join(sets, "id")
+    dealt = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("cluster", "id", "n", "component", *BITS, "shingles", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
+    return cut(dealt.groupBy("cluster", "i", "j").applyInArrow(_block_links, "u long, v long"), "large-links")
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of ``docs``: doc_id, n_shingles, component_id, kept."""
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
@@ -162,14 +223,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     links = links.unionByName(confirmed(cut(_between(pairs, labels), "other-pairs"), texts))
     labels = cut(components(links), "labels")
 
-    mixed = large.join(labels, "id", "left").select("path", "id", "n", *BITS, F.coalesce("component", "id").alias("component"))
-    several = mixed.groupBy("path").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high").select("path")
-    mixed = cut(mixed.join(several, "path", "left_semi"), "mixed-nodes")
-    if mixed.limit(1).count():
-        left = mixed.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int"))
-        right = mixed.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        across = left.alias("a").join(right.alias("b"), (F.col("a.path") == F.col("b.path")) & (F.col("a.salt") == F.col("b.salt")) & (F.col("a.component") < F.col("b.component")) & _alike("a", "b"))
-        more = confirmed(cut(across.select(*_pair("a", "b")).select("u", "v").distinct(), "mixed-pairs"), texts)
+    more = links_in_large_nodes(large, labels, texts)
+    if more is not None:
         labels = components(links.unionByName(more))
 
     linked = classes.join(labels, "id", "left").select("h0", "h1", "n", F.coalesce("component", "id").alias("component_id"))
