@@ -5,8 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from casehours.functions.calendar import is_leap
-
 #: What a list writes for nothing.
 BLANKS = ("", "na", "n/a", "null", "#n/a")
 #: Spellings of a direction (blank is forward).
@@ -80,5 +78,3 @@ def direction(raw: Column) -> Column:
     low = F.lower(F.trim(F.coalesce(raw, F.lit(""))))
     return F.when(low.isin(*FORWARD), 1).when(low.isin(*REVERSED), -1)
 
-
-__all__ = ["BLANKS", "FORWARD", "REVERSED", "boolean", "direction", "export_date", "hour_ending", "is_leap", "iso_date", "normalized", "number", "time_of_use", "value_cell", "value_is_bad", "zero_is_null"]

@@ -79,11 +79,9 @@ def duration_curve(series: DataFrame, by: list[str]) -> DataFrame:
 
 def resampled_curve(curve: DataFrame, by: list[str], points: int = CURVE_POINTS) -> DataFrame:
     """A curve at ``points`` even places: the value at rank round(i / (points - 1) * (n - 1)) (W-01)."""
-    spark = curve.sparkSession
     sizes = curve.groupBy(*by).agg(F.max("n").alias("n"))
     places = sizes.select(*by, "n", F.explode(F.sequence(F.lit(0), F.lit(points - 1))).alias("point"))
     places = places.withColumn("rank", F.floor(F.col("point") / (points - 1) * (F.col("n") - 1) + 0.5).cast("int") + 1)
-    assert spark is not None
     return places.join(curve.select(*by, "rank", "value"), [*by, "rank"]).select(*by, "point", "value")
 
 

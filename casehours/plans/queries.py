@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from casehours.functions import calendar as cal
-from casehours.functions import cells, fuel, rules
-from casehours.operators import browse, combine, filters, groups, merge, ranges, shapes, stats
+from casehours.functions import rules
+from casehours.operators import browse, combine, filters, groups, ranges, shapes, stats
 from casehours.plans.facts import H, LIMITS, MEMBERS, box_sql, hourly, limits, memberships, series_of, stats_sql, table
 
 Query = Callable[[SparkSession, str], DataFrame]

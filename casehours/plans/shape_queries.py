@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from casehours import sinks
 from casehours.functions import calendar as cal
 from casehours.functions import cells, fuel
-from casehours.operators import browse, filters, groups, merge, series, shapes, stats
+from casehours.operators import browse, groups, merge, series, shapes, stats
 from casehours.plans.facts import H, MEMBERS, RATE, hourly, memberships, series_of, table
 from casehours.plans.queries import G, group_series, query, rounded
 
@@ -324,9 +324,6 @@ def all_zero(spark: SparkSession, sf: str) -> DataFrame:
     return stats.all_zero(series_of(hourly(spark, sf), "load").withColumn("value", F.col("value") - F.col("value")), ["case_id", "entity"])
 
 
-__all__ = ["Window", "filters"]
-
-
 @query(f"""WITH {H}, {MEMBERS}, s AS (SELECT 'nation' AS series_id, year, slot_hour, sum(load) AS value, count(*) AS c FROM h WHERE case_id = 'N' AND entity = 'NATION_3' GROUP BY ALL
   UNION ALL SELECT 'group', year, slot_hour, sum(load * coef), count(*) FROM h JOIN m USING (entity) WHERE case_id = 'N' AND m.grp = 'BOUNDARY' GROUP BY ALL
   UNION ALL SELECT 'frozen', year, slot_hour, sum(load * coef), count(*) FROM h JOIN m USING (entity) WHERE case_id = 'N' AND m.grp = 'BOUNDARY' AND entity IN ('NATION_1', 'NATION_2') GROUP BY ALL
