@@ -23,13 +23,15 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from casehours.llm.common import tidied
+
 #: The white space of the pattern, the pattern that finds words, the word end mark.
 SPACE = r"\t\n\x0b\x0c\r\x20\x85\xa0  -     　"
 WORDS = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|\p{{L}}+|\p{{N}}|[^{SPACE}\p{{L}}\p{{N}}]+")
 WORD_END = "</w>"
 
-CACHE_WORDS = 300_000
-SLICE_CHARS = 1 << 21
+CACHE_WORDS = 200_000
+SLICE_CHARS = 1 << 19
 NO_RANK = np.iinfo(np.int64).max
 
 
@@ -169,7 +171,7 @@ def encoded(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str =
             for start, texts in text_slices(batch):
                 yield pa.RecordBatch.from_arrays([names.slice(start, len(texts)), pa.array(tool.encode(texts), pa.binary())], schema=schema)
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, ids binary")
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(tidied(run), "doc_id long, ids binary")
 
 
 def decoded(tokens: DataFrame, path: str) -> DataFrame:
@@ -183,7 +185,7 @@ def decoded(tokens: DataFrame, path: str) -> DataFrame:
                 part = batch.slice(k, 200)
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([tool.decode(x.as_py()).decode() for x in part.column(1)], pa.string())], schema=schema)
 
-    return tokens.select("doc_id", "ids").mapInArrow(run, "doc_id long, text string")
+    return tokens.select("doc_id", "ids").mapInArrow(tidied(run), "doc_id long, text string")
 
 
 def round_trip_digests(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
@@ -203,4 +205,4 @@ def round_trip_digests(docs: DataFrame, path: str, id_col: str = "doc_id", text_
                     columns.append(pa.array(ids, pa.binary()))
                 yield pa.RecordBatch.from_arrays([names.slice(start, len(texts)), *columns], schema=schema)
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, ", ".join(f"{name} {kind}" for name, kind in kinds.items()))
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(tidied(run), ", ".join(f"{name} {kind}" for name, kind in kinds.items()))

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from casehours.llm.common import cut, sized, without_ids
+from casehours.llm.common import cut, sized, tidied, without_ids
 from casehours.llm.components import components
 from casehours.llm.shingles import mix, set_slices
 
@@ -80,7 +80,7 @@ def sketches(docs: DataFrame) -> DataFrame:
                     nothing = [pa.nulls(len(empty), f.type) for f in schema][2:]
                     yield pa.RecordBatch.from_arrays([own.take(pa.array(empty)), pa.array([0] * len(empty), pa.int32()), *nothing], schema=schema)
 
-    return docs.select(F.col("doc_id"), F.encode(F.coalesce("text", F.lit("")), "utf-8").alias("text")).mapInArrow(run, SKETCH_SCHEMA)
+    return docs.select(F.col("doc_id"), F.encode(F.coalesce("text", F.lit("")), "utf-8").alias("text")).mapInArrow(tidied(run), SKETCH_SCHEMA)
 
 
 def full_sets(docs: DataFrame) -> DataFrame:
@@ -95,7 +95,7 @@ def full_sets(docs: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([names.slice(at, len(sets)), pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(sets).view(np.int64)))], schema=schema)
                 at += len(sets)
 
-    return docs.select("doc_id", F.encode(F.coalesce("text", F.lit("")), "utf-8").alias("text")).mapInArrow(run, "id long, shingles array<long>")
+    return docs.select("doc_id", F.encode(F.coalesce("text", F.lit("")), "utf-8").alias("text")).mapInArrow(tidied(run), "id long, shingles array<long>")
 
 
 def _differing(a: str, b: str):
@@ -123,9 +123,9 @@ def candidates(sets: DataFrame) -> tuple[DataFrame, DataFrame]:
     rows = rows.withColumn("path", F.xxhash64("tree", F.element_at("steps", 1)))
     found = []
     for level in range(2, LEVELS + 2):
-        dealt = rows.repartition("path")
-        nodes = dealt.groupBy("path").agg(F.count(F.lit(1)).alias("size"), F.min("id").alias("low"), F.max("id").alias("high")).filter("size > 1")
-        held = cut(dealt.join(nodes, "path").withColumn("centre", F.when(F.col("tree") % 2 == 0, F.col("low")).otherwise(F.col("high"))).drop("low", "high"), f"nodes-{level - 1}")
+        # written first: the join then has plain exchanges on both sides, and AQE can split a large node
+        nodes = cut(rows.groupBy("path").agg(F.count(F.lit(1)).alias("size"), F.min("id").alias("low"), F.max("id").alias("high")).filter("size > 1"), f"node-sizes-{level - 1}")
+        held = cut(rows.join(nodes, "path").withColumn("centre", F.when(F.col("tree") % 2 == 0, F.col("low")).otherwise(F.col("high"))).drop("low", "high"), f"nodes-{level - 1}")
         narrow = held.select("path", "id", "n", *BITS, "size", "centre")
         small, large = narrow.filter(F.col("size") <= NODE), narrow.filter(F.col("size") > NODE)
         found.append(small.alias("a").join(small.alias("b"), (F.col("a.path") == F.col("b.path")) & (F.col("a.id") < F.col("b.id")) & _alike("a", "b")).select(*_pair("a", "b")))

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
 import os
 import tempfile
 import uuid
 
+import pyarrow as pa
 import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,8 +19,14 @@ REPO_ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__fi
 BROADCAST_KEYS = 1_000_000
 
 
+#: Rows of an Arrow batch where the session has Spark's own default: texts can be long, and a batch is in memory at once.
+BATCH_ROWS, DEFAULT_BATCH_ROWS = 1000, "10000"
+
+
 def prepare(spark: SparkSession) -> None:
-    """Let Python workers import this package when the driver found it by ``sys.path`` alone."""
+    """Let Python workers import this package when the driver found it by ``sys.path`` alone, and keep batches of texts small."""
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", DEFAULT_BATCH_ROWS) == DEFAULT_BATCH_ROWS:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
     env = spark.sparkContext.environment
     parts = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
     if REPO_ROOT not in parts:
@@ -57,6 +66,21 @@ def without_ids(docs: DataFrame, ids: DataFrame, id_col: str = "doc_id") -> Data
     return docs.join(sized(ids.select(id_col)), id_col, "left_anti").select(*docs.columns)
 
 
+def tidied(run):
+    """``run`` over batches; after the last one the worker gives freed memory back, because Spark keeps it for later tasks."""
+
+    @functools.wraps(run)
+    def wrapped(batches):
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+                trim(0)
+
+    return wrapped
+
+
 def file_system(uri: str) -> tuple[pafs.FileSystem, str]:
     """File system and path of a URI (file, hdfs, s3, gs) or of an absolute path."""
     return pafs.FileSystem.from_uri(uri)

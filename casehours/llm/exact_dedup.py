@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from casehours.llm.common import cut, sized, without_ids
+from casehours.llm.common import cut, sized, tidied, without_ids
 
 FILTER_SCHEMA = "segment int, quotient_bits int, occupied binary, run_ends binary, remainders binary, repeated binary, counts binary"
 FLUSH = 1_000_000
@@ -119,7 +119,7 @@ def partition_filters(fingerprints: DataFrame, segment_bits: int) -> DataFrame:
         if n:
             yield from flush(parts)
 
-    return fingerprints.mapInArrow(build, FILTER_SCHEMA)
+    return fingerprints.mapInArrow(tidied(build), FILTER_SCHEMA)
 
 
 def repeated_fingerprints(filters: DataFrame, segment_bits: int) -> DataFrame:

@@ -24,7 +24,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from casehours.llm.common import cut, without_ids
+from casehours.llm.common import cut, tidied, without_ids
 
 UNDETERMINED = "und"
 GRAM = 4
@@ -149,7 +149,7 @@ def learn(labelled: DataFrame, sample_rows: int = 4000, least_share: float = 4e-
             values, n = _summed(parts)
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(n), c, np.int32)), pa.array(values.view(np.int64)), pa.array(n.astype(np.int64))], schema=schema)
 
-    counted = sample.mapInArrow(count, "code int, gram long, n long").groupBy("code", "gram").agg(F.sum("n").alias("n"))
+    counted = sample.mapInArrow(tidied(count), "code int, gram long, n long").groupBy("code", "gram").agg(F.sum("n").alias("n"))
     totals = counted.groupBy("code").agg(F.sum("n").alias("total"))
     chosen = counted.join(F.broadcast(totals), "code").filter(F.col("n") >= F.greatest(F.lit(2.0), F.col("total") * least_share)).select("code", "gram")
     # each language has 1 / least_share n-grams at most, so the model is bounded
@@ -194,7 +194,7 @@ def identified(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("held_out"), pa.array(langs, pa.string()), pa.array(score)], schema=schema)
 
     fed = texts.select("doc_id", "held_out", "text", F.coalesce(F.rlike("text", F.lit(r"\p{L}")), F.lit(False)).alias("has_letter"))
-    return fed.mapInArrow(run, "doc_id long, held_out boolean, lang_pred string, score double")
+    return fed.mapInArrow(tidied(run), "doc_id long, held_out boolean, lang_pred string, score double")
 
 
 def keep_identified(docs: DataFrame, least_score: float = 0.1, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:

@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from casehours.llm.common import cut, file_system, fresh_path, write_file
+from casehours.llm.common import cut, file_system, fresh_path, tidied, write_file
 
 CRLF = b"\r\n"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -145,7 +145,7 @@ def write_archives(pages: DataFrame, path: str, archive_bytes: int = ARCHIVE_BYT
         yield pa.RecordBatch.from_pylist(rows, schema=schema)
 
     dealt = with_originals(pages, **columns).sortWithinPartitions("page_id", "digest")
-    return cut(dealt.mapInArrow(run, "archive string, records long, bytes long"), "warc-manifest")
+    return cut(dealt.mapInArrow(tidied(run), "archive string, records long, bytes long"), "warc-manifest")
 
 
 def read_archives(manifest: DataFrame) -> DataFrame:
@@ -167,7 +167,7 @@ def read_archives(manifest: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_pylist(rows, schema=schema)
 
     tasks = max(1, min(10_000, manifest.count()))
-    return manifest.select("archive").repartition(tasks).mapInArrow(run, "page_id long, url string, payload binary, payload_bytes long, payload_digest string, record_type string, refers_to long")
+    return manifest.select("archive").repartition(tasks).mapInArrow(tidied(run), "page_id long, url string, payload binary, payload_bytes long, payload_digest string, record_type string, refers_to long")
 
 
 def archive_pages(pages: DataFrame) -> DataFrame:
