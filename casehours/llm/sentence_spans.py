@@ -1,7 +1,7 @@
 """Substring deduplication by sliding sentence spans.
 
 Every run of several consecutive sentences is hashed: from each sentence on, as many sentences as give at least
-``MIN_SENTENCES`` sentences and ``MIN_WORDS`` words. Runs join globally by hash; of a repeated run the place with the
+``MIN_SENTENCES`` sentences and ``MIN_WORDS`` words; a sentence of ``LONG_SENTENCE`` words is a run by itself. Runs join globally by hash; of a repeated run the place with the
 smallest (doc_id, sentence) is the first, and sentences that any other place covers are removed.
 
 A sentence ends after a word that ends in ``.``, ``!`` or ``?`` (closing quotes or brackets may follow), and at a line
@@ -19,10 +19,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from casehours.llm.common import cut, sized
+from casehours.llm.common import cut, sized, tidied
 from casehours.llm.shingles import mix, words_of
 
-MIN_SENTENCES, MIN_WORDS = 2, 20
+MIN_SENTENCES, MIN_WORDS, LONG_SENTENCE = 2, 20, 50
 
 _STOPS = np.zeros(256, bool)
 _STOPS[[ord(c) for c in ".!?"]] = True
@@ -57,6 +57,7 @@ def runs_of(text: bytes, min_sentences: int = MIN_SENTENCES, min_words: int = MI
     hashes, first, _, _ = sentences_of(text)
     n = len(first) - 1
     until = np.maximum(np.arange(n) + min_sentences, np.searchsorted(first, first[:-1] + min_words))
+    until = np.where(np.diff(first) >= LONG_SENTENCE, np.arange(n) + 1, until)
     at = np.flatnonzero(until <= n)
     until = until[at]
     sums = np.concatenate([[np.uint64(0)], np.cumsum(hashes * _powers(_Q, len(hashes)))])
@@ -84,7 +85,7 @@ def runs(docs: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*parts, strict=True)], schema=schema)
 
     named = docs.filter("doc_id is not null").select("doc_id", F.encode(F.coalesce("text", F.lit("")), "utf-8").alias("text"))
-    return named.mapInArrow(run, "span long, doc_id long, first int, until int")
+    return named.mapInArrow(tidied(run), "span long, doc_id long, first int, until int")
 
 
 def repeated_runs(docs: DataFrame) -> DataFrame:
@@ -142,4 +143,4 @@ def repeated_sentences(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
     affected = texts.join(sized(covered.select("doc_id")), "doc_id", "left_semi").select("doc_id", F.encode(F.coalesce("text", F.lit("")), "utf-8").alias("text"))
     joined = affected.join(covered, "doc_id")
-    return joined.mapInArrow(run, "doc_id long, first_docs array<long>, sentences int, removed int, removed_spans array<array<int>>, text string")
+    return joined.mapInArrow(tidied(run), "doc_id long, first_docs array<long>, sentences int, removed int, removed_spans array<array<int>>, text string")

@@ -53,10 +53,12 @@ def brute_spans(texts: dict) -> dict:
         s = sentences(t or "")
         for a in range(len(s)):
             b, words = a, []
-            while b < len(s) and (b - a < sentence_spans.MIN_SENTENCES or len(words) < sentence_spans.MIN_WORDS):
+            if len(s[a]) >= sentence_spans.LONG_SENTENCE:
+                b, words = a + 1, list(s[a])
+            while b < len(s) and len(s[a]) < sentence_spans.LONG_SENTENCE and (b - a < sentence_spans.MIN_SENTENCES or len(words) < sentence_spans.MIN_WORDS):
                 words += s[b]
                 b += 1
-            if b - a >= sentence_spans.MIN_SENTENCES and len(words) >= sentence_spans.MIN_WORDS:
+            if len(s[a]) >= sentence_spans.LONG_SENTENCE or b - a >= sentence_spans.MIN_SENTENCES and len(words) >= sentence_spans.MIN_WORDS:
                 key = tuple(re.sub("[A-Z]", lambda m: m[0].lower(), w) for w in words)
                 runs.setdefault(i, []).append((a, b, key))
                 places.setdefault(key, (i, a))
@@ -71,7 +73,7 @@ def brute_spans(texts: dict) -> dict:
 def test_sentence_spans_against_brute_force(spark):
     rng = random.Random(9)
     passages = [prose(rng, n) for n in (25, 60, 80, 200)]
-    texts = [" ".join([prose(rng, rng.randint(5, 60)) + ".", rng.choice(passages) + ".", prose(rng, 30)]) for _ in range(40)] + odd_texts(rng) + [passages[2] + ".\n" + passages[2]]
+    texts = [" ".join([prose(rng, rng.randint(5, 60)) + ".", rng.choice(passages) + ".", prose(rng, 30)]) for _ in range(40)] + odd_texts(rng) + [passages[2] + ".\n" + passages[2], "w " * 70, prose(rng, 9) + ". " + "w " * 70]
     got = {r["doc_id"]: r for r in sentence_spans.repeated_sentences(frame(spark, texts)).collect()}
     expected = brute_spans(dict(enumerate(texts)))
     assert set(got) == set(expected)
