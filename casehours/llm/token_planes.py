@@ -13,29 +13,34 @@ each other in order of their texts; an empty table gives no files and an empty t
 from __future__ import annotations
 
 import json
+import re
+import unicodedata
 import zlib
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-import regex
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from casehours.llm.bpe import text_slices
-from casehours.llm.common import cut, file_system, fresh_path, sized, write_file
+from casehours.llm.common import cut, file_system, fresh_path, sized, tidied, write_file
 
 MAGIC = b"CHPLANE1"
 BLOCK = 1 << 16
 FILE_IDS = 1 << 24
-CACHE_WORDS = 300_000
+CACHE_WORDS = 200_000
 
-#: Fixed value: the pattern by which the byte-level tokenizer splits a text into words.
-WORDS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
 #: Characters about whose class every Unicode version agrees; a text with others is encoded whole.
-UNUSUAL = regex.compile(r"[^\t\n\r -~¡-ſ]")
+USUAL = "\t\n\r" + "".join(map(chr, [*range(32, 127), *range(161, 384)]))
+UNUSUAL = re.compile(f"[^{re.escape(USUAL)}]")
+_LETTERS = "".join(c for c in USUAL if unicodedata.category(c)[0] == "L")
+_DIGITS = "".join(c for c in USUAL if unicodedata.category(c)[0] == "N")
+#: How the byte-level tokenizer splits a usual text into words. The alternatives begin with different characters, so the
+#: most frequent comes first.
+WORDS = re.compile(rf" ?[{_LETTERS}]+|'(?:[stmd]|re|ve|ll)| ?[{_DIGITS}]+| ?[^\s{_LETTERS}{_DIGITS}]+|\s+(?!\S)|\s+")
 
 
 def to_planes(ids: np.ndarray, bit: bool = False) -> list[bytes]:
@@ -121,26 +126,25 @@ class WordCachedTokenizer:
     def _direct(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tool.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _words(self, words: list[str]) -> list[bytes]:
-        """Ids of words. Words of a space and letters are encoded many in a text: it splits into the same words again."""
-        plain = [w for w in words if w[0] == " " and w[1:].isalpha()]
-        other = [w for w in words if not (w[0] == " " and w[1:].isalpha())]
-        out = dict(zip(other, self._direct(other), strict=True))
+    def _learn(self, words: list[str]) -> None:
+        """Put ids of new words in the cache. Words of a space and letters are encoded many in a text: it splits into the same words again."""
+        plain, other = [], []
+        for w in words:
+            (plain if w[0] == " " and w[1:].isalpha() else other).append(w)
+        self.cache.update(zip(other, self._direct(other), strict=True))
         joined = ["".join(plain[k : k + 200]) for k in range(0, len(plain), 200)]
         for k, e in enumerate(self.tool.encode_batch(joined, add_special_tokens=False)):
-            flat, counts = np.array(e.ids, "<u4").tobytes(), np.bincount(e.word_ids)
-            stops = (np.cumsum(counts) * 4).tolist()
-            out.update(zip(plain[200 * k : 200 * k + 200], (flat[a:b] for a, b in zip([0, *stops[:-1]], stops, strict=True)), strict=True))
-        return [out[w] for w in words]
+            flat, stops = np.array(e.ids, "<u4").tobytes(), (np.cumsum(np.bincount(e.word_ids)) * 4).tolist()
+            self.cache.update(zip(plain[200 * k : 200 * k + 200], [flat[a:b] for a, b in zip([0, *stops[:-1]], stops, strict=True)], strict=True))
 
     def encode(self, texts: list[str]) -> list[bytes]:
         whole = [bool(UNUSUAL.search(t)) or any(s in t for s in self.specials) for t in texts]
         words = [[] if odd else WORDS.findall(t) for t, odd in zip(texts, whole, strict=True)]
-        used = {w for x in words for w in x}
+        used = set().union(*words)
         if len(self.cache) + len(used) > self.cache_words:
             self.cache = {w: self.cache[w] for w in used if w in self.cache}
-        if new := [w for w in used if w not in self.cache]:
-            self.cache.update(zip(new, self._words(new), strict=True))
+        if new := used.difference(self.cache):
+            self._learn(list(new))
         known = self.cache.__getitem__
         return [self._direct([t])[0] if odd else b"".join(map(known, x)) for t, x, odd in zip(texts, words, whole, strict=True)]
 
@@ -178,7 +182,7 @@ def write_tokens(docs: DataFrame, tokenizer_path: str, path: str, end_id: int =
         yield pa.RecordBatch.from_pylist(rows, schema=schema)
 
     ordered = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-    return cut(ordered.mapInArrow(run, "file string, part int, seq int, docs long, ids long, bytes long"), "plane-manifest")
+    return cut(ordered.mapInArrow(tidied(run), "file string, part int, seq int, docs long, ids long, bytes long"), "plane-manifest")
 
 
 def read_tokens(manifest: DataFrame) -> DataFrame:
@@ -207,7 +211,7 @@ def read_tokens(manifest: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array([uri] * len(n), pa.string()), pa.array(index["doc_ids"], pa.int64()), pa.array(np.cumsum(n) - n), pa.array(n), pa.array(crcs, pa.int64())], schema=schema)
 
     tasks = max(1, min(10_000, manifest.count()))
-    rows = manifest.select("file").repartition(tasks).mapInArrow(run, "file string, doc_id long, local_start long, n_tokens long, ids_crc32 long")
+    rows = manifest.select("file").repartition(tasks).mapInArrow(tidied(run), "file string, doc_id long, local_start long, n_tokens long, ids_crc32 long")
     before = Window.orderBy("part", "seq").rowsBetween(Window.unboundedPreceding, -1)
     offsets = manifest.select("file", F.coalesce(F.sum("ids").over(before), F.lit(0)).alias("file_start"))
     return rows.join(sized(offsets), "file").select("doc_id", (F.col("file_start") + F.col("local_start")).alias("start"), "n_tokens", "ids_crc32")

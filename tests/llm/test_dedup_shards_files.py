@@ -185,3 +185,16 @@ def test_bpe_cache_is_bounded(spark):
         texts = [prose(rng, 30) for _ in range(3)]
         assert small.encode(texts) == large.encode(texts)
     assert len(small.cache) <= 100
+
+
+def test_word_split_equals_the_tokenizers_pattern():
+    import regex
+
+    #: Fixed value: the pattern of the byte-level tokenizer.
+    pattern = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
+    rng = random.Random(1)
+    pieces = [*"stdm'.!]^-\\ \n\tÉaſ1½ª\xad", "  ", "re", "ll", "ve"]
+    for _ in range(20_000):
+        text = "".join(rng.choice(pieces) for _ in range(rng.randint(0, 14)))
+        assert not token_planes.UNUSUAL.search(text) and token_planes.WORDS.findall(text) == pattern.findall(text)
+    assert all(token_planes.UNUSUAL.search(c) for c in "\x0b\x1c\x85\xa0日")
