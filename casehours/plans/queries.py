@@ -242,16 +242,22 @@ def calculated_ratio(spark: SparkSession, sf: str) -> DataFrame:
     return d.groupBy("case_id", "entity", "quantity").agg(F.count(F.lit(1)).alias("n"), F.count("value").alias("n_values"), F.round(F.avg(F.when(F.abs("net") > 1, F.col("value"))), 4).alias("mean"))
 
 
-@query("""WITH q(kind, quantity) AS (VALUES ('bus', 'LMP ($/MWh)'), ('generator', 'Generation (MWh)'), ('interface', 'Power Flow (MW)'), ('generator', 'Odd (x)'))
-SELECT kind, quantity, regexp_extract(quantity, '\\(([^()]*)\\)[^()]*$', 1) AS unit, CASE quantity WHEN 'LMP ($/MWh)' THEN 'INTENSIVE' WHEN 'Generation (MWh)' THEN 'EXTENSIVE' WHEN 'Power Flow (MW)' THEN 'RATE' END AS class,
-CASE quantity WHEN 'Generation (MWh)' THEN 'SUM' ELSE 'MEAN' END AS temporal, quantity IN ('Generation (MWh)', 'Power Flow (MW)') AS can_group,
-CASE quantity WHEN 'LMP ($/MWh)' THEN 'an intensive quantity does not add up over entities' WHEN 'Odd (x)' THEN 'no rule for the unit' END AS reason,
-(SELECT count(*) FROM lineitem) AS facts FROM q""")
+COMBINED_UNITS = ("MWh", "MW", "$/MWh", "%", "zz", "k$")
+COMBINED_KINDS = ("bus", "generator", "interface")
+RULES_SQL = "r(kind, unit, class, temporal) AS (VALUES " + ", ".join(f"('{k}', '{u}', '{c}', '{t}')" for k, own in rules.UNIT_RULES.items() for u, c, t in own) + ")"
+
+
+@query(f"""WITH {RULES_SQL}, q AS (SELECT DISTINCT ({list(COMBINED_KINDS)!r})[p_partkey % 3 + 1] AS kind, p_brand || ' (' || ({list(COMBINED_UNITS)!r})[p_size % 6 + 1] || ')' AS quantity FROM part),
+u AS (SELECT *, regexp_extract(quantity, '\\(([^()]*)\\)[^()]*$', 1) AS unit FROM q)
+SELECT u.kind, quantity, u.unit, class, coalesce(temporal, 'MEAN') AS temporal, coalesce(class IN ('EXTENSIVE', 'RATE'), false) AS can_group,
+  CASE WHEN class IS NULL THEN 'no rule for the unit' WHEN class = 'INTENSIVE' THEN 'an intensive quantity does not add up over entities' END AS reason
+FROM u LEFT JOIN r ON u.kind = r.kind AND u.unit = r.unit""")
 def combinable_quantities(spark: SparkSession, sf: str) -> DataFrame:
-    """F-16, T-09, A-26: which quantities may be summed over entities; beside the number of facts."""
-    q = spark.createDataFrame([("bus", "LMP ($/MWh)"), ("generator", "Generation (MWh)"), ("interface", "Power Flow (MW)"), ("generator", "Odd (x)")], "kind string, quantity string")
-    facts = table(spark, sf, "lineitem").agg(F.count(F.lit(1)).alias("facts"))
-    return groups.combinable(q, rules.unit_rules(spark)).crossJoin(F.broadcast(facts))
+    """F-16, T-09, A-26: which quantities (brands of parts, with units in turn) may be summed over entities."""
+    pick = lambda names, k: F.element_at(F.array(*map(F.lit, names)), (k + 1).cast("int"))
+    quantity = F.concat("p_brand", F.lit(" ("), pick(COMBINED_UNITS, F.col("p_size") % 6), F.lit(")"))
+    q = table(spark, sf, "part").select(pick(COMBINED_KINDS, F.col("p_partkey") % 3).alias("kind"), quantity.alias("quantity")).distinct()
+    return groups.combinable(q, rules.unit_rules(spark))
 
 
 @query(f"WITH {H} SELECT case_id, entity, 'SUM' AS temporal, round(sum(load), 4) AS total FROM h GROUP BY 1, 2 UNION ALL SELECT case_id, entity, 'MEAN', NULL FROM h GROUP BY 1, 2")
