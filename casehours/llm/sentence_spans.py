@@ -1,8 +1,9 @@
 """Substring deduplication by sliding sentence spans.
 
-Every run of several consecutive sentences is hashed: from each sentence on, as many sentences as give at least
-``MIN_SENTENCES`` sentences and ``MIN_WORDS`` words; a sentence of ``LONG_SENTENCE`` words is a run by itself. Runs join globally by hash; of a repeated run the place with the
-smallest (doc_id, sentence) is the first, and sentences that any other place covers are removed.
+A run is ``MIN_SENTENCES`` consecutive sentences or more with ``MIN_WORDS`` words or more, or one sentence of
+``LONG_SENTENCE`` words. The shortest run that begins at each sentence, the shortest that ends at each, and each long
+sentence are hashed: inside any longer run, these cover every sentence. Runs join globally by hash; of a repeated run the
+place with the smallest (doc_id, sentence) is the first, and sentences that any other place covers are removed.
 
 A sentence ends after a word that ends in ``.``, ``!`` or ``?`` (closing quotes or brackets may follow), and at a line
 end. Words compare with A-Z as a-z, white space between them does not count.
@@ -53,13 +54,15 @@ def sentences_of(text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nd
 
 
 def runs_of(text: bytes, min_sentences: int = MIN_SENTENCES, min_words: int = MIN_WORDS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """First sentence, sentence after the last, and hash of every run of a text."""
+    """First sentence, sentence after the last, and hash of the shortest runs from and to every sentence of a text."""
     hashes, first, _, _ = sentences_of(text)
     n = len(first) - 1
-    until = np.maximum(np.arange(n) + min_sentences, np.searchsorted(first, first[:-1] + min_words))
-    until = np.where(np.diff(first) >= LONG_SENTENCE, np.arange(n) + 1, until)
-    at = np.flatnonzero(until <= n)
-    until = until[at]
+    each = np.arange(n)
+    until = np.maximum(each + min_sentences, np.searchsorted(first, first[:-1] + min_words))
+    since = np.minimum(each + 1 - min_sentences, np.searchsorted(first, first[1:] - min_words, "right") - 1)
+    begun, ended, long = np.flatnonzero(until <= n), np.flatnonzero(since >= 0), np.flatnonzero(np.diff(first) >= LONG_SENTENCE)
+    places = np.concatenate([begun * (n + 1) + until[begun], since[ended] * (n + 1) + ended + 1, long * (n + 1) + long + 1])
+    at, until = np.divmod(np.unique(places), n + 1)
     sums = np.concatenate([[np.uint64(0)], np.cumsum(hashes * _powers(_Q, len(hashes)))])
     a, b = first[at], first[until]
     if not len(at):

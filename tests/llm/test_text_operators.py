@@ -82,6 +82,37 @@ def test_sentence_spans_against_brute_force(spark):
         assert r["removed"] == len(expected[i]) and min(r["first_docs"]) <= i
 
 
+def all_run_spans(texts: list[list[str]]) -> dict:
+    """Sentences removed when all runs, short and long, are compared; texts as lists of sentences."""
+    places = {}
+    for i, s in enumerate(texts):
+        for a in range(len(s)):
+            for b in range(a + 1, len(s) + 1):
+                words = " ".join(s[a:b]).split()
+                if (b - a >= sentence_spans.MIN_SENTENCES and len(words) >= sentence_spans.MIN_WORDS) or (b - a == 1 and len(words) >= sentence_spans.LONG_SENTENCE):
+                    places.setdefault(tuple(words), []).append((i, a, b))
+    out = {}
+    for own in places.values():
+        for i, a, b in own:
+            if (i, a) != min(own)[:2]:
+                out.setdefault(i, set()).update(range(a, b))
+    return out
+
+
+def test_sentence_spans_cover_all_runs(spark):
+    rng = random.Random(13)
+    sentence = lambda n: " ".join(prose(rng, 1).rstrip(".") for _ in range(n)) + "."
+    passages = [[sentence(n) for n in lengths] for lengths in [(25, 5, 5), (55, 40), (15, 3, 10), (3, 3, 30), (60,), (19,), (4, 4, 4)]]
+    passages += [[sentence(rng.choice((1, 2, 5, 9, 21, 52))) for _ in range(rng.randint(1, 6))] for _ in range(20)]
+    texts = [[sentence(7), *p, sentence(30)] for p in passages for _ in range(2)]
+    for _ in range(30):
+        drawn = [rng.choice(passages) for _ in range(3)]
+        texts.append([s for p in drawn for s in [sentence(rng.randint(1, 30)), *p[rng.randint(0, len(p) - 1) :]]])
+    got = {r["doc_id"]: r for r in sentence_spans.repeated_sentences(frame(spark, [" ".join(t) for t in texts])).collect()}
+    assert {i: {k for a, b in r["removed_spans"] for k in range(a, b)} for i, r in got.items()} == all_run_spans(texts)
+    assert got[1]["removed_spans"] == [[1, 4]] and got[3]["removed_spans"] == [[1, 3]]
+
+
 def test_sentence_spans_awkward_rows(spark):
     text = prose(random.Random(10), 90)
     df = spark.createDataFrame([(None, text, None, None, None, 1), (2, text, None, None, None, 1), (2, text, None, None, None, 1), (1, text, None, None, None, 1)], DOCS + ", span int")
