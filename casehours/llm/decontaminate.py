@@ -2,8 +2,10 @@
 
 Texts and benchmark items become sequences of tokens in which numbers, names (capitalised words inside a sentence) and
 units (after a number) are typed placeholders. Windows of ``WINDOW`` placeholders and literal words are hashed and
-joined. Windows of a document that lie on one alignment with an item belong together; the values of their slots must map
-consistently from item to document. Equal values mean a verbatim copy, other consistent values a re-parameterised one.
+joined. Windows of a document that lie on one alignment with an item belong together. Windows without slots or with equal
+values count by themselves. A name of the item must map to one name of the document: where it meets two, the windows with
+it do not count unless their values are equal. Numbers and units map freely, because equal ones can stand for two things.
+If all values of an alignment are equal, it is a verbatim copy, else a re-parameterised one.
 
 A document is contaminated by an item if an alignment has ``NEED`` windows or half of the item's, whichever is less.
 
@@ -88,18 +90,19 @@ def contaminations(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id"
     hits = cut(hits, "template-hits")
 
     by = ["doc_id", "item_id", "offset"]
-    aligned = hits.withColumn("offset", F.col("position") - F.col("item_position"))
-    counted = aligned.groupBy(*by).agg(F.count_distinct("item_position").alias("windows"))
-    pairs = aligned.select(*by, F.explode("slots").alias("x")).select(*by, F.col("x.a").alias("a"), F.col("x.b").alias("b")).distinct()
-    # one value of an item must not have two values in the document
-    mapped = pairs.groupBy(*by, "a").agg(F.count(F.lit(1)).alias("n"), F.max((F.col("a") != F.col("b")).cast("int")).alias("other"))
-    mapped = mapped.groupBy(*by).agg(F.max("n").alias("most"), F.max("other").alias("other"))
-    same = [counted[c].eqNullSafe(mapped[c]) for c in by]
-    checked = counted.join(mapped, same[0] & same[1] & same[2], "left").select(*[counted[c] for c in by], "windows", "most", "other").filter("most is null or most = 1")
+    aligned = hits.withColumn("offset", F.col("position") - F.col("item_position")).withColumn("other", F.exists("slots", lambda x: x["a"] != x["b"]))
+    aligned = aligned.withColumn("names", F.transform(F.filter("slots", lambda x: x["s"] == NAME), lambda x: F.struct(x["a"].alias("a"), x["b"].alias("b"))))
+    # names of an item that have two values in the document; windows that show one count only if all their values are equal
+    pairs = aligned.select(*by, F.explode("names").alias("x")).groupBy(*by, "x.a").agg(F.count_distinct("x.b").alias("n")).filter("n > 1")
+    torn = pairs.groupBy(*[F.col(c).alias(f"_{c}") for c in by]).agg(F.collect_set("a").alias("torn"))
+    same = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in by]
+    joined = aligned.join(torn, same[0] & same[1] & same[2], "left").select(*by, "item_position", "other", "names", "torn")
+    counts = ~F.col("other") | F.col("torn").isNull() | ~F.exists("names", lambda x: F.array_contains("torn", x["a"]))
+    checked = joined.groupBy(*by).agg(F.count_distinct(F.when(counts, F.col("item_position"))).alias("windows"), F.max(F.col("other").cast("int")).alias("other"))
 
     sizes = items.groupBy("item_id").agg(F.count_distinct("item_position").alias("item_windows"))
     sizes = F.broadcast(sizes) if few else sizes
-    best = checked.groupBy("doc_id", "item_id").agg(F.max("windows").alias("windows"), F.min(F.when(F.coalesce("other", F.lit(0)) == 0, 0).otherwise(1)).alias("other"))
+    best = checked.groupBy("doc_id", "item_id").agg(F.max("windows").alias("windows"), F.min(F.when(F.col("windows") > 0, F.col("other"))).alias("other"))
     joined = best.join(sizes.select(F.col("item_id").alias("_item"), "item_windows"), F.col("item_id").eqNullSafe(F.col("_item")))
     enough = F.least(F.lit(NEED), F.ceil(F.col("item_windows") / 2))
     return joined.filter(F.col("windows") >= enough).select("doc_id", "item_id", F.when(F.col("other") == 0, "verbatim").otherwise("reparameterised").alias("kind"), F.col("windows").cast("long").alias("windows"), F.col("item_windows").cast("long").alias("item_windows"))

@@ -145,6 +145,22 @@ def test_decontamination(spark):
     assert {r["doc_id"] for r in kept.collect()} == set(range(len(texts))) - {d for d, _ in leaks}
 
 
+def test_decontamination_conflicting_values(spark):
+    rng = random.Random(14)
+    parts = [prose(rng, 14).replace(".", "") for _ in range(4)]
+    item = "{} then 12 of them saw Otto, {} until 12 others met Otto there {} {}"
+    fruit = "a basket holds {} apples that were shared among {} friends who ate them all before the long walk back home"
+    items = [item.format(*parts), fruit.format(3, 3)]
+    numbers = items[0].replace("12 others", "13 others")
+    names = items[0].replace("met Otto", "met Anna")
+    texts = [f"{prose(rng, 20)} {t} {prose(rng, 20)}" for t in (items[0], numbers, names, fruit.format(5, 4), prose(rng, 60))]
+    bench = spark.createDataFrame([(i, t, 0) for i, t in enumerate(items)], BENCH)
+    for few in (decontaminate.BROADCAST_WINDOWS, 0):
+        got = {(r["doc_id"], r["item_id"]): r["kind"] for r in decontaminate.contaminations(frame(spark, texts), bench, broadcast_windows=few).collect()}
+        assert got == {(0, 0): "verbatim", (1, 0): "reparameterised", (2, 0): "reparameterised", (3, 1): "reparameterised"}
+    assert {r["doc_id"] for r in decontaminate.drop_contaminated(frame(spark, texts), bench).collect()} == {4}
+
+
 def test_decontamination_empty_and_null(spark):
     text = prose(random.Random(12), 40)
     bench = spark.createDataFrame([(1, text, 0), (1, text, 0), (None, None, 0)], BENCH)
