@@ -1,4 +1,4 @@
-"""What export files are, from their first 64 KiB (S-01, S-04, S-13, S-14)."""
+"""What export files are, from their first lines, whole however wide (S-01, S-04, S-13, S-14)."""
 
 from __future__ import annotations
 
@@ -9,7 +9,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-PROBE_BYTES = 1 << 16
+#: Lines of a file that are looked at: banners stand in the first 20, titles, ids and headers before.
+PROBE_LINES = 20
 
 #: Key columns of long exports, longest first, and title words of wide ones.
 LONG_KEYS = (("bus", ("Date", "Hour", "TOU", "BusID", "BusName", "Area")), ("generator", ("Date", "Hour", "TOU", "UnitName", "BusID", "UnitID")), ("area", ("Date", "Hour", "TOU", "Name")))
@@ -32,7 +33,7 @@ def classify(head: str) -> dict:
     out = {"kind": None, "shape": None, "quantity": None, "first_year": None, "last_year": None, "columns": [], "key_ids": [], "reason": None}
     first = cells_of(lines[0])
     found = []
-    if any(LIMITS_BANNER in x.upper() for x in lines[:20]):
+    if any(LIMITS_BANNER in x.upper() for x in lines[:PROBE_LINES]):
         found.append(("interface", "limits"))
     for banner, name in LIST_BANNERS.items():
         if any(banner in x.upper() for x in lines[:2]) and not any(cells_of(x)[0] == "Date" for x in lines[:3]):
@@ -93,7 +94,7 @@ def catalog(spark: SparkSession, paths: list[str] | str, case_pattern: str | Non
 
     ``case_pattern`` is a name with one ``*``, which stands for the case; without a match the stem is the case.
     """
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(paths).select("path", F.substring("content", 1, PROBE_BYTES).alias("head"))
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(paths).select("path", F.substring_index(F.col("content").cast("string"), "\n", PROBE_LINES).cast("binary").alias("head"))
 
     def probe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:

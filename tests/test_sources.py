@@ -157,3 +157,22 @@ def test_watch(spark, files, tmp_path):
     watch(spark, files, study, str(tmp_path / "cp"), "*_area.csv").awaitTermination(120)
     assert spark.read.parquet(f"{study}/cells").count() == 16
     assert spark.read.parquet(f"{study}/quality").filter("cause = 'bad cell'").count() == 2
+
+
+def test_headers_of_any_width(spark, tmp_path):
+    n = 5900
+    ids, names = [str(100_000 + k) for k in range(n)], [f"A_BUS_OF_THE_NORTH_{k}" for k in range(n)]
+    wide = ["Bus Hourly 'LMP ($/MWh)' Data for Year 2035", "", "", ",,BusNumber," + ",".join(ids), "Date,Hour,TOU," + ",".join(names)]
+    wide += [f"1/1/2035,{h},OnPeak," + ",".join(str(k) for k in range(n)) for h in (1, 2)]
+    long = ["Date,Hour,TOU,Name," + ",".join(names), "1/1/2035,1,OnPeak,N," + ",".join("1" for _ in names)]
+    (tmp_path / "bus.csv").write_text("\n".join(wide))
+    (tmp_path / "area.csv").write_text("\n".join(long))
+    found = ranked_files(catalog(spark, str(tmp_path))).cache()
+    got = {r["src_file"]: r for r in found.collect()}
+    assert got["bus.csv"]["reason"] is None and got["bus.csv"]["columns"][3:] == names and got["bus.csv"]["key_ids"][3:] == ids
+    assert got["area.csv"]["columns"][4:] == names
+    facts, quality = read_wide(spark, found)
+    assert quality.count() == 0 and facts.count() == 2 * n
+    assert facts.filter("entity = '105899'").agg(F.min("value"), F.max("value")).first() == (5899.0, 5899.0)
+    facts, quality = read_long(spark, found)
+    assert quality.count() == 0 and facts.count() == n
