@@ -207,6 +207,17 @@ def test_long_conversations_take_a_window():
     assert "".join(pieces) == chat.instruct_template(turns) and len(r.turns) <= 7 and r.length == len("".join(pieces))
 
 
+def test_long_conversations_keep_their_prefix():
+    turns = [("user" if k % 2 == 0 else "assistant", f"t{k}") for k in range(300)]
+    numbered = lambda given: "".join(f"{k}:{t};" for k, (_, t) in enumerate(given))
+    text, spans, rewrites = chat.format_conversation(turns, numbered, reader=None)
+    assert rewrites == 0 and text == numbered(turns) and text[spans[-1].start : spans[-1].end] == "299:t299;"
+    dropping = lambda given: "".join(t for _, t in (list(given)[100:] if len(list(given)) > 290 else given))
+    text, _, rewrites = chat.format_conversation(turns, dropping, reader=None)
+    assert rewrites == 1 and text == dropping(turns)
+    assert chat.format_conversation(turns)[0] == chat.instruct_template(turns)
+
+
 CONVERSATIONS = "conv_id long, turn long, role string, text string, piece string"
 
 
