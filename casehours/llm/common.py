@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import contextlib
 import ctypes
 import functools
+import io
 import os
 import tempfile
 import uuid
+import zipfile
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 import pyarrow.fs as pafs
@@ -23,14 +27,27 @@ BROADCAST_KEYS = 1_000_000
 BATCH_ROWS, DEFAULT_BATCH_ROWS = 1000, "10000"
 
 
+_SHIPPED: set[str] = set()
+
+
 def prepare(spark: SparkSession) -> None:
-    """Let Python workers import this package when the driver found it by ``sys.path`` alone, and keep batches of texts small."""
+    """Ship this package to Python workers, which may not have it, and keep batches of texts small. Operators call it themselves."""
     if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", DEFAULT_BATCH_ROWS) == DEFAULT_BATCH_ROWS:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
-    env = spark.sparkContext.environment
-    parts = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
-    if REPO_ROOT not in parts:
-        env["PYTHONPATH"] = os.pathsep.join([REPO_ROOT, *parts])
+    context = spark.sparkContext
+    if context.applicationId in _SHIPPED:
+        return
+    _SHIPPED.add(context.applicationId)
+    package = os.path.join(REPO_ROOT, "casehours")
+    packed = io.BytesIO()
+    with zipfile.ZipFile(packed, "w") as archive:
+        for folder, _, names in os.walk(package):
+            for name in sorted(names):
+                if name.endswith(".py"):
+                    archive.write(os.path.join(folder, name), os.path.relpath(os.path.join(folder, name), REPO_ROOT))
+    place = fresh_path(spark, "package") + "/casehours.zip"
+    write_file(place, [packed.getvalue()])
+    context.addPyFile(place)
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -49,21 +66,69 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
 
 
+#: Tables written inside ``temporaries``, innermost last.
+_TABLES: list[list[str]] = []
+
+
 def cut(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it back: ends the lineage, survives lost executors."""
     path = fresh_path(df.sparkSession, name)
     df.write.parquet(path)
+    if _TABLES:
+        _TABLES[-1].append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+@contextlib.contextmanager
+def temporaries() -> Iterator[None]:
+    """Tables that :func:`cut` writes inside are deleted at the end; what is to stay must be written outside or by :func:`settled`."""
+    _TABLES.append([])
+    try:
+        yield
+    finally:
+        for path in _TABLES.pop():
+            drop_table(path)
+
+
+def settled(build: Callable[[], DataFrame], name: str) -> DataFrame:
+    """What ``build`` returns as a written table; the tables that it wrote on the way are deleted."""
+    with temporaries():
+        out = build()
+        path = fresh_path(out.sparkSession, name)
+        out.write.parquet(path)
+    if _TABLES:
+        _TABLES[-1].append(path)
+    return out.sparkSession.read.schema(out.schema).parquet(path)
+
+
+def drop_table(path: str) -> None:
+    fs, where = file_system(path)
+    with contextlib.suppress(FileNotFoundError):
+        fs.delete_dir(where)
+
+
 def sized(keys: DataFrame, most: int = BROADCAST_KEYS) -> DataFrame:
     """``keys`` (narrow, already written by :func:`cut`) hinted for broadcast if it has ``most`` rows or fewer."""
     return F.broadcast(keys) if keys.limit(most + 1).count() <= most else keys
 
 
-def without_ids(docs: DataFrame, ids: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """Rows of ``docs`` whose id is not among ``ids``; rows with a null id stay."""
-    return docs.join(sized(ids.select(id_col)), id_col, "left_anti").select(*docs.columns)
+ROW = "_row_id"
+
+
+def with_row_ids(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``docs`` with a long column ``ROW``: the id; of rows whose id is null or repeated, a hash of id and text.
+
+    So a decision about one row never reaches another row of the same id; rows equal in id and text share it.
+    """
+    repeated = cut(docs.filter(F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("_repeated")).count().filter("count > 1").select("_repeated"), "repeated-ids")
+    known = docs.join(sized(repeated), F.col(id_col) == F.col("_repeated"), "left")
+    own = F.xxhash64(F.lit("row"), F.col(id_col).cast("string"), F.coalesce(F.col(text_col), F.lit("")))
+    return known.withColumn(ROW, F.when(F.col(id_col).isNull() | F.col("_repeated").isNotNull(), own).otherwise(F.col(id_col).cast("long"))).drop("_repeated")
+
+
+def without_row_ids(keyed: DataFrame, losers: DataFrame) -> DataFrame:
+    """Rows of ``keyed`` (from :func:`with_row_ids`) whose ``ROW`` is not among the written ``losers``, without that column."""
+    return keyed.join(sized(losers.select(ROW)), ROW, "left_anti").drop(ROW)
 
 
 def tidied(run):
