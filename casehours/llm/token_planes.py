@@ -13,34 +13,27 @@ each other in order of their texts; an empty table gives no files and an empty t
 from __future__ import annotations
 
 import json
-import re
-import unicodedata
 import zlib
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from casehours.llm.bpe import text_slices
-from casehours.llm.common import cut, file_system, fresh_path, sized, tidied, write_file
+from casehours.llm.byte_words import ODD, WordTable, gathered, kinds_of, windows, word_starts
+from casehours.llm.common import cut, file_system, fresh_path, prepare, sized, tidied, write_file
 
 MAGIC = b"CHPLANE1"
 BLOCK = 1 << 16
 FILE_IDS = 1 << 24
-CACHE_WORDS = 200_000
-
-#: Characters about whose class every Unicode version agrees; a text with others is encoded whole.
-USUAL = "\t\n\r" + "".join(map(chr, [*range(32, 127), *range(161, 384)]))
-UNUSUAL = re.compile(f"[^{re.escape(USUAL)}]")
-_LETTERS = "".join(c for c in USUAL if unicodedata.category(c)[0] == "L")
-_DIGITS = "".join(c for c in USUAL if unicodedata.category(c)[0] == "N")
-#: How the byte-level tokenizer splits a usual text into words. The alternatives begin with different characters, so the
-#: most frequent comes first.
-WORDS = re.compile(rf" ?[{_LETTERS}]+|'(?:[stmd]|re|ve|ll)| ?[{_DIGITS}]+| ?[^\s{_LETTERS}{_DIGITS}]+|\s+(?!\S)|\s+")
+CACHE_WORDS = 1 << 21
+WINDOW = 1 << 20
+#: Documents that are encoded together.
+SLICE_ROWS = 200
 
 
 def to_planes(ids: np.ndarray, bit: bool = False) -> list[bytes]:
@@ -67,7 +60,11 @@ class PlaneWriter:
         self.parts, self.blocks, self.docs, self.held, self.n_held, self.at, self.n_ids = [MAGIC], [], [], [], 0, len(MAGIC), 0
 
     def add(self, doc_id: int | None, ids: np.ndarray) -> None:
-        self.docs.append((doc_id, len(ids)))
+        self.extend([doc_id], np.array([len(ids)]), ids)
+
+    def extend(self, doc_ids: list[int | None], lengths: np.ndarray, ids: np.ndarray) -> None:
+        """Documents in order: how many ids each has, and the ids of all."""
+        self.docs += zip(doc_ids, lengths.tolist(), strict=True)
         self.held.append(ids)
         self.n_held += len(ids)
         self.n_ids += len(ids)
@@ -115,72 +112,121 @@ def read_block(f, index: dict, k: int) -> np.ndarray:
 
 
 class WordCachedTokenizer:
-    """The tokenizers library, asked once for each distinct word: the byte-level merges never cross a word."""
+    """The tokenizers library, asked once for each distinct word: the byte-level merges never cross a word.
+
+    Every document ends with ``end_id``. Texts with special tokens or unusual characters are encoded whole.
+    """
 
-    def __init__(self, path: str, cache_words: int = CACHE_WORDS):
+    def __init__(self, path: str, end_id: int = 2, cache_words: int = CACHE_WORDS):
         from tokenizers import Tokenizer
 
-        self.tool, self.cache, self.cache_words = Tokenizer.from_file(path), {}, cache_words
-        self.specials = [t.content for t in self.tool.get_added_tokens_decoder().values()]
-
-    def _direct(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tool.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def _learn(self, words: list[str]) -> None:
-        """Put ids of new words in the cache. Words of a space and letters are encoded many in a text: it splits into the same words again."""
-        plain, other = [], []
-        for w in words:
-            (plain if w[0] == " " and w[1:].isalpha() else other).append(w)
-        self.cache.update(zip(other, self._direct(other), strict=True))
-        joined = ["".join(plain[k : k + 200]) for k in range(0, len(plain), 200)]
-        for k, e in enumerate(self.tool.encode_batch(joined, add_special_tokens=False)):
-            flat, stops = np.array(e.ids, "<u4").tobytes(), (np.cumsum(np.bincount(e.word_ids)) * 4).tolist()
-            self.cache.update(zip(plain[200 * k : 200 * k + 200], [flat[a:b] for a, b in zip([0, *stops[:-1]], stops, strict=True)], strict=True))
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        whole = [bool(UNUSUAL.search(t)) or any(s in t for s in self.specials) for t in texts]
-        words = [[] if odd else WORDS.findall(t) for t, odd in zip(texts, whole, strict=True)]
-        used = set().union(*words)
-        if len(self.cache) + len(used) > self.cache_words:
-            self.cache = {w: self.cache[w] for w in used if w in self.cache}
-        if new := used.difference(self.cache):
-            self._learn(list(new))
-        known = self.cache.__getitem__
-        return [self._direct([t])[0] if odd else b"".join(map(known, x)) for t, x, odd in zip(texts, words, whole, strict=True)]
+        self.tool, self.end_id = Tokenizer.from_file(path), end_id
+        self.tool.no_padding()
+        self.tool.no_truncation()
+        self.table = WordTable(self._words, cache_words)
+        self.specials = [t.content.encode() for t in self.tool.get_added_tokens_decoder().values()]
+
+    def _direct(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, np.uint32) for e in self.tool.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _words(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of new words. Words of a space and letters are encoded many in a text: it splits into the same words again."""
+        texts = [w.decode() for w in words]
+        plain = np.fromiter((w[0] == " " and w[1:].isalpha() for w in texts), bool, len(texts))
+        ended = np.fromiter((w == "\0" for w in texts), bool, len(texts))
+        rest = [texts[k] for k in np.flatnonzero(~plain & ~ended)]
+        named = [texts[k] for k in np.flatnonzero(plain)]
+        single = self._direct(rest)
+        many = self.tool.encode_batch(["".join(named[k : k + 200]) for k in range(0, len(named), 200)], add_special_tokens=False)
+        ids = np.concatenate([np.full(1, self.end_id, np.uint32), *single, *(np.array(e.ids, np.uint32) for e in many)])
+        lengths = np.concatenate([np.ones(1, np.int64), np.fromiter(map(len, single), np.int64, len(single)), *(np.bincount(e.word_ids) for e in many)])
+        at = np.zeros(len(words), np.int64)
+        at[~plain & ~ended] = 1 + np.arange(len(rest))
+        at[plain] = 1 + len(rest) + np.arange(len(named))
+        return gathered(ids, np.concatenate([[0], np.cumsum(lengths)]), at)
+
+    def _odd(self, data: np.ndarray, kinds: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+        """Texts of a stream that must be encoded whole."""
+        nul = np.flatnonzero(data == 0)
+        places = [np.flatnonzero(kinds == ODD), np.setdiff1d(nul, offsets[1:] - 1, assume_unique=True) if len(nul) >= len(offsets) else nul[:0]]
+        raw = data.tobytes()
+        for special in self.specials:
+            at = raw.find(special)
+            while at >= 0:
+                places.append(np.array([at]))
+                at = raw.find(special, at + 1)
+        return np.unique(np.searchsorted(offsets, np.concatenate(places), side="right") - 1)
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts one after another, end ids included, and how many each text has; null is empty."""
+        data, offsets = ended_stream(texts)
+        odd = self._odd(data, kinds_of(data), offsets)
+        if len(odd):
+            plain = np.ones(len(texts), bool)
+            plain[odd] = False
+            data, offsets = ended_stream(pc.if_else(pa.array(plain), texts, pa.scalar("", texts.type)))
+        parts, ends, n = [], [], 0
+        for a, b in windows(data, WINDOW):
+            piece = data[a:b]
+            starts = word_starts(piece, kinds_of(piece))
+            ids, counts = self.table.ids_of(self.table.values(piece, starts))
+            parts.append(ids)
+            ends.append(n + np.cumsum(counts)[piece[starts] == 0])
+            n += len(ids)
+        flat, ends = np.concatenate([*parts, np.zeros(0, np.uint32)]), np.concatenate([*ends, np.zeros(0, np.int64)])
+        lengths = np.diff(ends, prepend=0)
+        if len(odd):
+            whole = [self._direct([texts[int(k)].as_py()])[0] for k in odd]
+            pieces, at = [], 0
+            for k, x in zip(odd, whole, strict=True):
+                pieces += [flat[at : ends[k] - 1], x]
+                at = ends[k] - 1
+            flat = np.concatenate([*pieces, flat[at:]])
+            lengths[odd] += np.fromiter(map(len, whole), np.int64, len(whole))
+        return flat, lengths
+
+
+def ended_stream(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """UTF-8 bytes of all texts, each with a NUL after it, and where each begins and the last ends."""
+    texts = pc.fill_null(texts.cast(pa.large_string()), "")
+    joined = pc.binary_join_element_wise(texts, pa.scalar("", pa.large_string()), pa.scalar("\0", pa.large_string()))
+    _, offsets, data = joined.buffers()
+    offsets = np.frombuffer(offsets, np.int64)[joined.offset : joined.offset + len(joined) + 1]
+    return (np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8))[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
 @lru_cache(maxsize=2)
-def tokenizer(path: str) -> WordCachedTokenizer:
+def tokenizer(path: str, end_id: int) -> WordCachedTokenizer:
     import os
 
     os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-    return WordCachedTokenizer(path)
+    return WordCachedTokenizer(path, end_id)
 
 
 def write_tokens(docs: DataFrame, tokenizer_path: str, path: str, end_id: int = 2, bit: bool = False, file_ids: int = FILE_IDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Write the plane files of ``docs`` into ``path``; the table of them: file, part, seq, docs, ids, bytes."""
     schema = pa.schema([("file", pa.string()), ("part", pa.int32()), ("seq", pa.int32()), ("docs", pa.int64()), ("ids", pa.int64()), ("bytes", pa.int64())])
-    end = np.array([end_id], "<u4")
 
     def run(batches):
-        tool, part, rows, writer = tokenizer(tokenizer_path), TaskContext.get().partitionId(), [], PlaneWriter(bit)
+        tool, part, rows, writer = tokenizer(tokenizer_path, end_id), TaskContext.get().partitionId(), [], PlaneWriter(bit)
 
         def flush():
             uri = f"{path}/part-{part:06d}-{len(rows):04d}.planes"
             rows.append({"file": uri, "part": part, "seq": len(rows), "docs": len(writer.docs), "ids": writer.n_ids, "bytes": write_file(uri, writer.close())})
 
         for batch in batches:
-            names = batch.column("doc_id").to_pylist()
-            for start, texts in text_slices(batch):
-                for name, ids in zip(names[start : start + len(texts)], tool.encode(texts), strict=True):
-                    writer.add(name, np.concatenate([np.frombuffer(ids, "<u4"), end]))
-                    if writer.n_ids >= file_ids:
-                        flush()
-                        writer = PlaneWriter(bit)
+            for k in range(0, batch.num_rows, SLICE_ROWS):
+                own = batch.slice(k, SLICE_ROWS)
+                ids, lengths = tool.encode(own.column("text"))
+                writer.extend(own.column("doc_id").to_pylist(), lengths, ids)
+                if writer.n_ids >= file_ids:
+                    flush()
+                    writer = PlaneWriter(bit)
         if writer.docs:
             flush()
         yield pa.RecordBatch.from_pylist(rows, schema=schema)
 
+    prepare(docs.sparkSession)
     ordered = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
     return cut(ordered.mapInArrow(tidied(run), "file string, part int, seq int, docs long, ids long, bytes long"), "plane-manifest")
 
