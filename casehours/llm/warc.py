@@ -22,13 +22,15 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from casehours.llm.common import cut, file_system, fresh_path, tidied, write_file
+from casehours.llm.common import cut, file_system, fresh_path, prepare, sized, tidied, write_file
 
 CRLF = b"\r\n"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 DATE = "1970-01-01T00:00:00Z"
 ARCHIVE_BYTES = 64 << 20
 PIECE = 1 << 16
+#: Repeated payloads (about 150 bytes each in a hash table) that may be broadcast.
+BROADCAST_PAYLOADS = 300_000
 
 
 def sha1_base32(data: bytes) -> str:
@@ -112,12 +114,18 @@ def read_archive(stream) -> Iterator[dict]:
 
 
 def with_originals(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", least_bytes: int = 0) -> DataFrame:
-    """page_id, url, payload, digest (hex), length, refers_to (null for responses). Payloads of revisits are dropped."""
+    """page_id, url, payload, digest (hex), length, refers_to (null for responses). Payloads of revisits are dropped.
+
+    Payloads are equal if SHA-1, length and a second hash are. Repeated ones are found from these alone; payloads are
+    not shuffled while the repeated ones are few enough to broadcast.
+    """
     base = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), F.encode(F.coalesce(F.col(payload_col), F.lit("")), "utf-8").alias("payload"))
-    base = base.withColumn("digest", F.sha1("payload")).withColumn("length", F.octet_length("payload"))
-    first = base.filter(F.col("length") >= least_bytes).groupBy("digest").agg(F.min("page_id").alias("first"))
-    joined = base.join(first, "digest", "left")
-    return joined.withColumn("refers_to", F.when(F.col("first").isNotNull() & ~F.col("first").eqNullSafe(F.col("page_id")), F.col("first"))).drop("first").withColumn("payload", F.when(F.col("refers_to").isNull(), F.col("payload")))
+    base = base.withColumn("digest", F.sha1("payload")).withColumn("length", F.octet_length("payload")).withColumn("second", F.xxhash64("payload"))
+    same = ["digest", "length", "second"]
+    repeated = base.filter(F.col("length") >= least_bytes).groupBy(*same).agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("copies")).filter("copies > 1 and first is not null")
+    joined = base.join(sized(cut(repeated.drop("copies"), "repeated-payloads"), BROADCAST_PAYLOADS), same, "left")
+    joined = joined.withColumn("refers_to", F.when(F.col("first").isNotNull() & ~F.col("first").eqNullSafe(F.col("page_id")), F.col("first")))
+    return joined.drop("first", "second").withColumn("payload", F.when(F.col("refers_to").isNull(), F.col("payload")))
 
 
 def write_archives(pages: DataFrame, path: str, archive_bytes: int = ARCHIVE_BYTES, **columns) -> DataFrame:
@@ -144,7 +152,8 @@ def write_archives(pages: DataFrame, path: str, archive_bytes: int = ARCHIVE_BYT
             flush()
         yield pa.RecordBatch.from_pylist(rows, schema=schema)
 
-    dealt = with_originals(pages, **columns).sortWithinPartitions("page_id", "digest")
+    prepare(pages.sparkSession)
+    dealt = with_originals(pages, **columns)
     return cut(dealt.mapInArrow(tidied(run), "archive string, records long, bytes long"), "warc-manifest")
 
 
