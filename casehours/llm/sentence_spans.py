@@ -1,15 +1,14 @@
 """Substring deduplication by sliding sentence spans.
 
-A run is ``MIN_SENTENCES`` consecutive sentences or more with ``MIN_WORDS`` words or more, or one sentence of
-``LONG_SENTENCE`` words. The shortest run that begins at each sentence, the shortest that ends at each, and each long
-sentence are hashed: inside any longer run, these cover every sentence. Runs join globally by hash; of a repeated run the
-place with the smallest (doc_id, sentence) is the first, and sentences that any other place covers are removed.
+A span is a run of consecutive sentences with ``min_words`` words or more, as few sentences as that takes; a text with
+fewer words is one span. The span that begins at each sentence and the span that ends at each are hashed: inside any
+longer run they cover every sentence. Spans join globally by two 64-bit hashes; of a repeated span the place with the
+smallest (doc_id, sentence) is the first, and sentences that any other place covers are removed.
 
 A sentence ends after a word that ends in ``.``, ``!`` or ``?`` (closing quotes or brackets may follow), and at a line
 end. Words compare with A-Z as a-z, white space between them does not count.
 
-Defined results: null and empty texts have no sentences; a text whose runs are too short is left alone; rows with a
-null id are left alone and are nobody's first place; rows that share an id are one document; an empty table gives an
+Defined results: null and empty texts have no sentences; rows with a null id are left alone and are nobody's first place; rows that share an id are one document; an empty table gives an
 empty table; further columns are ignored.
 """
 
@@ -20,21 +19,24 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from casehours.llm.common import cut, sized, tidied
+from casehours.llm.common import cut, prepare, sized, tidied
 from casehours.llm.shingles import mix, words_of
 
-MIN_SENTENCES, MIN_WORDS, LONG_SENTENCE = 2, 20, 50
+#: Words of a span, at least.
+MIN_WORDS = 20
+#: Repeated spans that may be broadcast (about 100 bytes each).
+BROADCAST_SPANS = 300_000
 
 _STOPS = np.zeros(256, bool)
 _STOPS[[ord(c) for c in ".!?"]] = True
 _CLOSING = np.zeros(256, bool)
 _CLOSING[[ord(c) for c in "\"')]}"]] = True
-_Q = np.uint64(0xD1342543DE82EF95)
-_Q_INVERSE = np.uint64(pow(int(_Q), -1, 1 << 64))
+#: Bases of the two hashes.
+_BASES = (0xD1342543DE82EF95, 0x2545F4914F6CDD1D)
 
 
-def _powers(base: np.uint64, n: int) -> np.ndarray:
-    out = np.full(max(n, 1), base)
+def _powers(base: int, n: int) -> np.ndarray:
+    out = np.full(max(n, 1), np.uint64(base))
     out[0] = 1
     return np.multiply.accumulate(out)
 
@@ -53,33 +55,36 @@ def sentences_of(text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nd
     return hashes, np.concatenate([[0], np.flatnonzero(stop[:-1]) + 1, [len(hashes)]]), starts, ends
 
 
-def runs_of(text: bytes, min_sentences: int = MIN_SENTENCES, min_words: int = MIN_WORDS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """First sentence, sentence after the last, and hash of the shortest runs from and to every sentence of a text."""
+def runs_of(text: bytes, min_words: int = MIN_WORDS) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """First sentence, sentence after the last, and two hashes of the spans from and to every sentence of a text."""
     hashes, first, _, _ = sentences_of(text)
-    n = len(first) - 1
-    each = np.arange(n)
-    until = np.maximum(each + min_sentences, np.searchsorted(first, first[:-1] + min_words))
-    since = np.minimum(each + 1 - min_sentences, np.searchsorted(first, first[1:] - min_words, "right") - 1)
-    begun, ended, long = np.flatnonzero(until <= n), np.flatnonzero(since >= 0), np.flatnonzero(np.diff(first) >= LONG_SENTENCE)
-    places = np.concatenate([begun * (n + 1) + until[begun], since[ended] * (n + 1) + ended + 1, long * (n + 1) + long + 1])
+    n, words = len(first) - 1, len(hashes)
+    if not words:
+        return (np.zeros(0, np.int64),) * 2 + (np.zeros(0, np.uint64),) * 2
+    least = min(min_words, words)
+    until = np.searchsorted(first, first[:-1] + least)
+    since = np.searchsorted(first, first[1:] - least, "right") - 1
+    begun, ended = np.flatnonzero(until <= n), np.flatnonzero(since >= 0)
+    places = np.concatenate([begun * (n + 1) + until[begun], since[ended] * (n + 1) + ended + 1])
     at, until = np.divmod(np.unique(places), n + 1)
-    sums = np.concatenate([[np.uint64(0)], np.cumsum(hashes * _powers(_Q, len(hashes)))])
     a, b = first[at], first[until]
-    if not len(at):
-        return at, until, np.zeros(0, np.uint64)
-    return at, until, mix((sums[b] - sums[a]) * _powers(_Q_INVERSE, len(hashes))[a] + (b - a).astype(np.uint64))
+    out = []
+    for base in _BASES:
+        sums = np.concatenate([[np.uint64(0)], np.cumsum(hashes * _powers(base, words))])
+        out.append(mix((sums[b] - sums[a]) * _powers(pow(base, -1, 1 << 64), words)[a] + (b - a).astype(np.uint64)))
+    return at, until, *out
 
 
-def runs(docs: DataFrame) -> DataFrame:
-    """span (hash), doc_id, first, until of all runs of a table doc_id, text."""
-    schema = pa.schema([("span", pa.int64()), ("doc_id", pa.int64()), ("first", pa.int32()), ("until", pa.int32())])
+def runs(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+    """span, check (hashes), doc_id, first, until of all spans of a table doc_id, text."""
+    schema = pa.schema([("span", pa.int64()), ("check", pa.int64()), ("doc_id", pa.int64()), ("first", pa.int32()), ("until", pa.int32())])
 
     def run(batches):
         for batch in batches:
             parts, size = [], 0
             for name, text in zip(batch.column("doc_id").to_pylist(), batch.column("text"), strict=True):
-                at, until, span = runs_of(text.as_buffer() or b"")
-                parts.append((span.view(np.int64), np.full(len(at), name, np.int64), at.astype(np.int32), until.astype(np.int32)))
+                at, until, span, check = runs_of(text.as_buffer() or b"", min_words)
+                parts.append((span.view(np.int64), check.view(np.int64), np.full(len(at), name, np.int64), at.astype(np.int32), until.astype(np.int32)))
                 size += len(at)
                 if size > 200_000:
                     yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*parts, strict=True)], schema=schema)
@@ -88,16 +93,18 @@ def runs(docs: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*parts, strict=True)], schema=schema)
 
     named = docs.filter("doc_id is not null").select("doc_id", F.encode(F.coalesce("text", F.lit("")), "utf-8").alias("text"))
-    return named.mapInArrow(tidied(run), "span long, doc_id long, first int, until int")
+    return named.mapInArrow(tidied(run), "span long, check long, doc_id long, first int, until int")
 
 
-def repeated_runs(docs: DataFrame) -> DataFrame:
+def repeated_runs(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """doc_id, first, until, first_doc of every run that is not the first place of its span."""
-    held = cut(runs(docs), "runs")
-    spans = held.groupBy("span").agg(F.count(F.lit(1)).alias("places"), F.min("doc_id").alias("first_doc")).filter("places > 1").select("span", "first_doc")
-    placed = cut(held.join(spans, "span"), "repeated-runs")
-    begins = placed.filter("doc_id = first_doc").groupBy("span").agg(F.min("first").alias("first_at"))
-    return placed.join(begins, "span").filter("doc_id <> first_doc or first <> first_at").select("doc_id", "first", "until", "first_doc")
+    by = ["span", "check"]
+    held = cut(runs(docs, min_words), "runs")
+    # both small sides are written before their joins, so that these have plain exchanges and AQE can split a hot span
+    spans = cut(held.groupBy(*by).agg(F.count(F.lit(1)).alias("places"), F.min("doc_id").alias("first_doc")).filter("places > 1").select(*by, "first_doc"), "repeated-spans")
+    placed = cut(held.join(sized(spans, BROADCAST_SPANS), by), "repeated-runs")
+    begins = cut(placed.filter("doc_id = first_doc").groupBy(*by).agg(F.min("first").alias("first_at")), "first-places")
+    return placed.join(sized(begins, BROADCAST_SPANS), by).filter("doc_id <> first_doc or first <> first_at").select("doc_id", "first", "until", "first_doc")
 
 
 def without_sentences(text: bytes, runs_: list[tuple[int, int]]) -> tuple[bytes, list[tuple[int, int]], int]:
@@ -119,14 +126,15 @@ def without_sentences(text: bytes, runs_: list[tuple[int, int]]) -> tuple[bytes,
     return b"".join([*parts, text[at:]]), spans, n
 
 
-def repeated_sentences(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def repeated_sentences(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
     """One row per document that loses sentences: doc_id, first_docs, sentences, removed, removed_spans, text (what stays).
 
     ``first_docs``: documents that have the first places of the removed runs. ``removed_spans``: first sentence, and
     the one after the last, of every stretch removed.
     """
+    prepare(docs.sparkSession)
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    covered = repeated_runs(texts).groupBy("doc_id").agg(F.collect_set(F.struct("first", "until")).alias("runs"), F.array_sort(F.collect_set("first_doc")).alias("first_docs"))
+    covered = repeated_runs(texts, min_words).groupBy("doc_id").agg(F.collect_set(F.struct("first", "until")).alias("runs"), F.array_sort(F.collect_set("first_doc")).alias("first_docs"))
     covered = cut(covered, "covered")
     schema = pa.schema([("doc_id", pa.int64()), ("first_docs", pa.list_(pa.int64())), ("sentences", pa.int32()), ("removed", pa.int32()), ("removed_spans", pa.list_(pa.list_(pa.int32()))), ("text", pa.string())])
 
