@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from casehours.llm.common import cut, sized, tidied, without_ids
+from casehours.llm.common import ROW, cut, prepare, settled, sized, tidied, with_row_ids, without_row_ids
 from casehours.llm.components import components
 from casehours.llm.shingles import mix, set_slices
 
@@ -209,6 +209,7 @@ def links_in_large_nodes(large: DataFrame, labels: DataFrame, docs: DataFrame) -
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of ``docs``: doc_id, n_shingles, component_id, kept."""
+    prepare(docs.sparkSession)
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     held = cut(sketches(texts), "sketches")
     linkable = held.filter("n > 0 and doc_id is not null")
@@ -235,6 +236,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with one document of each group of near-duplicates, the one with the smallest id; columns unchanged."""
-    losers = cut(near_duplicates(docs, id_col, text_col).filter("not kept").select(F.col("doc_id").alias(id_col)), "near-losers")
-    return without_ids(docs, losers, id_col)
+    """``docs`` with one document of each group of near-duplicates, the one with the smallest id; columns unchanged.
+
+    Rows with a null or repeated id are documents of their own (see ``with_row_ids``) and take part in the comparison.
+    """
+    keyed = with_row_ids(docs, id_col, text_col)
+    losers = settled(lambda: near_duplicates(keyed, ROW, text_col).filter("not kept").select(F.col("doc_id").alias(ROW)), "near-losers")
+    return without_row_ids(keyed, losers)

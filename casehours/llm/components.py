@@ -5,17 +5,22 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from casehours.llm.common import cut
+from casehours.llm.common import cut, settled, sized
+
+
+def _least(pairs: DataFrame) -> DataFrame:
+    """u and its least v, written: a join with it has plain exchanges, so that AQE can split a hub, or none."""
+    return sized(cut(pairs.groupBy("u").agg(F.min("v").alias("m")), "least"))
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
     both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+    least = _least(both).select("u", F.least("u", "m").alias("m"))
     return both.join(least, "u").filter("v > u and v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
-    least = edges.groupBy("u").agg(F.min("v").alias("m"))
+    least = _least(edges)
     moved = edges.join(least, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return moved.unionByName(least.select("u", F.col("m").alias("v"))).filter("u <> v").distinct()
 
@@ -26,13 +31,12 @@ def _are_stars(edges: DataFrame) -> bool:
     return not ends.groupBy("id").agg(F.sum("up").alias("up"), F.max("down").alias("down")).filter("up > 1 or up > 0 and down > 0").limit(1).count()
 
 
-def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
-    """id, component (the smallest id reachable) of every end of the edges (u, v); ids that no edge has are left out."""
+def components(edges: DataFrame) -> DataFrame:
+    """id, component (the smallest id reachable) of every end of the edges (u, v); ids that no edge has are left out.
+
+    Every round brings nodes nearer to the smallest id of their component, so the rounds come to an end.
+    """
     held = cut(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).filter("u <> v").distinct(), "edges")
-    for _ in range(most_rounds):
-        if _are_stars(held):
-            break
-        held = cut(_small_star(_large_star(held)), "edges")
-    else:
-        raise RuntimeError(f"components did not settle in {most_rounds} rounds")
+    while not _are_stars(held):
+        held = settled(lambda now=held: _small_star(cut(_large_star(now), "large-star")), "edges")
     return held.select(F.col("u").alias("id"), F.col("v").alias("component")).unionByName(held.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct())
