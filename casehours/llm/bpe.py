@@ -5,6 +5,9 @@ neighbouring pairs are found by binary search over the sorted pair keys, each wo
 of lowest rank, and words without a known pair leave the array. Encoded words are kept in a bounded cache of the
 worker process, so that frequent words are merged once.
 
+Python and the library may follow different versions of Unicode. A text with a character about which they may differ
+(newer than Unicode 3.2, or treated differently when both are asked) is split into words by the library's own rules.
+
 Defined results: a null text is the empty text, which has no tokens; texts of any length are handled whole; an
 empty table gives an empty table; repeated rows give repeated rows.
 """
@@ -23,7 +26,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from casehours.llm.common import tidied
+from casehours.llm.common import prepare, tidied
 
 #: The white space of the pattern, the pattern that finds words, the word end mark.
 SPACE = r"\t\n\x0b\x0c\r\x20\x85\xa0  -     　"
@@ -106,32 +109,80 @@ class MergeTable:
         return [flat[a:b] for a, b in zip([0, *stops[:-1]], stops, strict=True)]
 
 
+def plain_words(text: str) -> list[str]:
+    """Normalised words: canonical composition, lower case character by character, white space dropped."""
+    if not text.isascii():
+        text = unicodedata.normalize("NFC", text).replace("Σ", "σ")
+    return WORDS.findall(text.lower())
+
+
+class LibraryWords:
+    """Words as the library's normaliser and pre-tokenizer find them."""
+
+    def __init__(self, path: str):
+        from tokenizers import Tokenizer
+
+        self.tool = Tokenizer.from_file(path)
+        self.byte_of = {c: b for b, c in enumerate(byte_characters())}
+
+    def __call__(self, text: str) -> list[str]:
+        found = self.tool.pre_tokenizer.pre_tokenize_str(self.tool.normalizer.normalize_str(text))
+        return [bytes(map(self.byte_of.__getitem__, w)).decode() for w, _ in found]
+
+
+class Disputes:
+    """Remembers about which characters Python and the library agree."""
+
+    def __init__(self, library: LibraryWords):
+        from tokenizers.normalizers import NFD
+
+        self.library, self.decomposed, self.known = library, NFD().normalize_str, {}
+        usual = [c for c in map(chr, (*range(0x80, 0x250), *range(0x2010, 0x2028))) if not self.disputed(c)]
+        self.unusual = regex.compile("[^\\x00-\\x7f" + "".join(map(regex.escape, usual)) + "]")
+
+    def disputed(self, c: str) -> bool:
+        """May the two normalise, split or order the character differently?"""
+        if c not in self.known:
+            beside = f"a{c}!"
+            marks = (c, f"{c}\u0334", f"\u0345{c}")
+            newer = unicodedata.ucd_3_2_0.category(c) == "Cn" or unicodedata.category(c) == "Cn"
+            self.known[c] = newer or plain_words(beside) != self.library(beside) or any(unicodedata.normalize("NFD", x) != self.decomposed(x) for x in marks)
+        return self.known[c]
+
+    def any(self, text: str) -> bool:
+        return not text.isascii() and self.unusual.search(text) is not None and any(map(self.disputed, set(self.unusual.findall(text))))
+
+
 class Encoder:
     """Encodes whole texts as ids and decodes ids, with a bounded cache of encoded words."""
 
     def __init__(self, path: str, cache_words: int = CACHE_WORDS):
-        self.table, self.cache, self.cache_words = MergeTable(path), {}, cache_words
+        self.table, self.cache, self.older, self.cache_words = MergeTable(path), {}, {}, cache_words
+        self.library = LibraryWords(path)
+        self.disputes = Disputes(self.library)
 
-    @staticmethod
-    def words(text: str) -> list[str]:
-        """Normalised words: canonical composition, lower case character by character, white space dropped."""
-        if not text.isascii():
-            text = unicodedata.normalize("NFC", text).replace("Σ", "σ")
-        return WORDS.findall(text.lower())
+    def words(self, text: str) -> list[str]:
+        return self.library(text) if self.disputes.any(text) else plain_words(text)
 
     def pieces(self, text: str) -> list[list[str] | bytes]:
         """Words of the text between special tokens, and ids of special tokens."""
         t = self.table
-        if t.special_pattern is None or "<|" not in text:
+        if not any(x in text for x in t.specials):
             return [self.words(text)]
         return [t.specials[x].to_bytes(4, "little") if x in t.specials else self.words(x) for x in t.special_pattern.split(text)]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         split = [self.pieces(t) for t in texts]
         used = {w for pieces in split for p in pieces if isinstance(p, list) for w in p}
-        if len(self.cache) + len(used) > self.cache_words:
-            self.cache = {w: self.cache[w] for w in used if w in self.cache}
-        if new := [w for w in used if w not in self.cache]:
+        if len(self.cache) + len(used) > self.cache_words:  # words in use come back from the older generation
+            self.older, self.cache = self.cache, {}
+        new = []
+        for w in used.difference(self.cache):
+            if (ids := self.older.get(w)) is None:
+                new.append(w)
+            else:
+                self.cache[w] = ids
+        if new:
             self.cache.update(zip(new, self.table.merge([w.encode() for w in new]), strict=True))
         known = self.cache.__getitem__
         return [b"".join(p if isinstance(p, bytes) else b"".join(map(known, p)) for p in pieces) for pieces in split]
@@ -162,6 +213,7 @@ def text_slices(batch: pa.RecordBatch, column: str = "text", chars: int = SLICE_
 
 def encoded(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, ids (binary, little-endian unsigned 32-bit) of every text."""
+    prepare(docs.sparkSession)
     schema = pa.schema([("doc_id", pa.int64()), ("ids", pa.binary())])
 
     def run(batches):
@@ -176,6 +228,7 @@ def encoded(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str =
 
 def decoded(tokens: DataFrame, path: str) -> DataFrame:
     """doc_id, text of a table of doc_id, ids."""
+    prepare(tokens.sparkSession)
     schema = pa.schema([("doc_id", pa.int64()), ("text", pa.string())])
 
     def run(batches):
@@ -190,6 +243,7 @@ def decoded(tokens: DataFrame, path: str) -> DataFrame:
 
 def round_trip_digests(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256, and ids if asked for: encode and decode in one pass."""
+    prepare(docs.sparkSession)
     kinds = {"doc_id": "long", "n_tokens": "long", "ids_sha256": "string", "decoded_sha256": "string"} | ({"ids": "binary"} if with_ids else {})
     schema = pa.schema([(name, {"long": pa.int64(), "string": pa.string(), "binary": pa.binary()}[kind]) for name, kind in kinds.items()])
     digest = lambda x: hashlib.sha256(x).hexdigest()
