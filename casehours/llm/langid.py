@@ -4,13 +4,13 @@ Every language has a Bloom filter of its frequent byte n-grams; the filters are
 holds a bit of each language and one look-up gives all languages that contain an n-gram. Per document and
 language the hits are counted, corrected for the filter's false positives, and the language with most decides.
 
-Learning uses labelled documents only, at most ``sample_rows`` or so of each language, taken by the hash of the
-id; n-grams are counted over the whole texts of that sample.
+Learning uses labelled documents only, at most ``sample_rows`` or so of each language, taken by the hash of
+id and text; n-grams are counted over the whole texts of that sample.
 
 Defined results: a text that is null or has no letter is ``und`` with score 0; a text with letters always gets a
 learned language (the first in alphabetical order when none has a hit, score 0); ties go to the language first in
-alphabetical order; labels that are null are not learned; without any label everything is ``und``; more than 64
-languages are refused; an empty table gives an empty table.
+alphabetical order; labels that are null are not learned; without any label everything is ``und``; an empty table
+gives an empty table. Any number of languages can be learned: a slot has a word of 64 bits for every 64 of them.
 """
 
 from __future__ import annotations
@@ -24,7 +24,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from casehours.llm.common import cut, tidied, without_ids
+from casehours.llm.common import ROW, prepare, settled, tidied, with_row_ids, without_row_ids
 
 UNDETERMINED = "und"
 GRAM = 4
@@ -81,7 +81,10 @@ def slots_of(grams: np.ndarray, bits: int) -> list[np.ndarray]:
 
 @dataclass
 class LanguageModel:
-    """Bit-sliced filters: ``slots[i]`` has bit l if language l set slot i; ``false_rate[l]`` is its false positive rate."""
+    """Bit-sliced filters: word ``l // 64`` of ``slots[i]`` has bit ``l % 64`` if language l set slot i.
+
+    ``false_rate[l]`` is the false positive rate of language l.
+    """
 
     languages: list[str]
     bits: int
@@ -96,13 +99,15 @@ class LanguageModel:
             if not len(doc):
                 continue
             first = np.flatnonzero(np.concatenate([[True], doc[1:] != doc[:-1]]))
-            masks = None
-            for slot in slots_of(grams, self.bits):
-                masks = self.slots[slot] if masks is None else masks & self.slots[slot]
             at = doc[first]
             total[at] += np.diff(np.append(first, len(doc)))
-            for k in range(len(self.languages)):
-                counts[at, k] += np.add.reduceat((masks >> masks.dtype.type(k)) & masks.dtype.type(1), first, dtype=np.int64)
+            slots = slots_of(grams, self.bits)
+            for word in range(self.slots.shape[1]):
+                masks = self.slots[slots[0], word]
+                for slot in slots[1:]:
+                    masks = masks & self.slots[slot, word]
+                for k in range(64 * word, min(64 * word + 64, len(self.languages))):
+                    counts[at, k] += np.add.reduceat((masks >> masks.dtype.type(k % 64)) & masks.dtype.type(1), first, dtype=np.int64)
         return counts, total
 
     def predict(self, texts: pa.Array, has_letter: np.ndarray) -> tuple[list[str], np.ndarray]:
@@ -119,15 +124,13 @@ def learn(labelled: DataFrame, sample_rows: int = 4000, least_share: float = 4e-
     """Filters from labelled documents (doc_id, text, lang): n-grams with ``least_share`` of their language's n-grams."""
     spark = labelled.sparkSession
     labelled = labelled.filter("lang is not null and text is not null")
-    sizes = {r["lang"]: r["count"] for r in labelled.groupBy("lang").count().limit(65).collect()}
-    if len(sizes) > 64:
-        raise ValueError("more than 64 languages")
+    sizes = {r["lang"]: r["count"] for r in labelled.groupBy("lang").count().collect()}
     languages = sorted(sizes)
     if not languages:
-        return LanguageModel([], 1, np.zeros(2, np.uint8), np.zeros(0))
-    share = F.coalesce(*[F.when(F.col("lang") == x, F.lit(math.ceil(sample_rows / sizes[x] * 1e6))) for x in languages])
-    code = F.coalesce(*[F.when(F.col("lang") == x, F.lit(k)) for k, x in enumerate(languages)])
-    sample = labelled.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < share).select(code.alias("code"), "text")
+        return LanguageModel([], 1, np.zeros((2, 1), np.uint8), np.zeros(0))
+    shares = {x: math.ceil(sample_rows / sizes[x] * 1e6) for x in languages}
+    share, code = (F.create_map(*[F.lit(y) for pair in pairs for y in pair])[F.col("lang")] for pairs in (shares.items(), zip(languages, range(len(languages)), strict=True)))
+    sample = labelled.filter(F.pmod(F.xxhash64("doc_id", "text"), F.lit(1_000_000)) < share).select(code.alias("code"), "text")
     schema = pa.schema([("code", pa.int32()), ("gram", pa.int64()), ("n", pa.int64())])
 
     def count(batches):
@@ -157,13 +160,13 @@ def learn(labelled: DataFrame, sample_rows: int = 4000, least_share: float = 4e-
     grams, codes = rows["gram"].to_numpy(np.int64).view(np.uint64), rows["code"].to_numpy()
     most = max(1, int(np.bincount(codes, minlength=1).max()) if len(codes) else 1)
     bits = max(10, math.ceil(math.log2(16 * most)))
-    kind = next(t for n, t in ((8, np.uint8), (16, np.uint16), (32, np.uint32), (64, np.uint64)) if len(languages) <= n)
-    slots, rates = np.zeros(1 << bits, kind), []
+    kind = next(t for n, t in ((8, np.uint8), (16, np.uint16), (32, np.uint32), (math.inf, np.uint64)) if len(languages) <= n)
+    slots, rates = np.zeros((1 << bits, -(-len(languages) // 64)), kind), []
     for k in range(len(languages)):
         own = np.zeros(1 << bits, bool)
         for slot in slots_of(grams[codes == k], bits):
             own[slot] = True
-        slots |= own.astype(kind) << kind(k)
+        slots[:, k // 64] |= own.astype(kind) << kind(k % 64)
         rates.append(own.mean() ** HASHES)
     return LanguageModel(languages, bits, slots, np.array(rates))
 
@@ -181,6 +184,7 @@ def held_out(id_col: str = "doc_id"):
 def identified(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample_rows: int = 4000) -> DataFrame:
     """doc_id, held_out, lang_pred, score of every row; learns from the labels of the rows not held out."""
     spark = docs.sparkSession
+    prepare(spark)
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).withColumn("held_out", held_out())
     model = spark.sparkContext.broadcast(learn(texts.filter(~F.col("held_out")), sample_rows))
     schema = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("lang_pred", pa.string()), ("score", pa.float64())])
@@ -199,6 +203,10 @@ def identified(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 def keep_identified(docs: DataFrame, least_score: float = 0.1, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """``docs`` without undetermined texts and texts whose best language has less than ``least_score`` of the n-grams."""
-    found = identified(docs, id_col, text_col, lang_col)
-    rejected = found.filter((F.col("lang_pred") == UNDETERMINED) | (F.col("score") < least_score))
-    return without_ids(docs, cut(rejected.select(F.col("doc_id").alias(id_col)), "unidentified"), id_col)
+    keyed = with_row_ids(docs, id_col, text_col)
+
+    def losers() -> DataFrame:
+        found = identified(keyed, ROW, text_col, lang_col)
+        return found.filter((F.col("lang_pred") == UNDETERMINED) | (F.col("score") < least_score)).select(F.col("doc_id").alias(ROW))
+
+    return without_row_ids(keyed, settled(losers, "unidentified"))
