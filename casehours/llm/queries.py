@@ -112,7 +112,7 @@ ORACLE_SQL: dict[str, str] = {
     "op1_interleaved_shards": f"""
 WITH {CRC32_CTES},
 d AS (SELECT doc_id, 's' || source AS st, octet_length(encode(coalesce(text, ''))) + 8 AS size, coalesce(text, '') AS tx,
-        md5('42:' || coalesce(doc_id::VARCHAR, 'null')) AS k FROM documents),
+        md5('42:' || coalesce(doc_id::VARCHAR, 'null') || ':' || md5(coalesce(text, ''))) AS k FROM documents),
 r AS (SELECT *, row_number() OVER (PARTITION BY st ORDER BY k) - 1 AS rk, count(*) OVER (PARTITION BY st) AS n FROM d),
 p AS (SELECT *, row_number() OVER (ORDER BY (2 * rk + 1)::DOUBLE / (2 * n)::DOUBLE, coalesce(st, 'n'), k) - 1 AS p, count(*) OVER () AS total FROM r),
 s AS (SELECT *, (p * 24) // total AS sh FROM p)

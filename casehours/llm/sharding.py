@@ -1,9 +1,9 @@
 """Proportional stratified interleaving: shards that all have the mixture of the sources.
 
-Rows are put in a seeded random order within their source (by the MD5 of seed and id); a row's fractional rank
+Rows are put in a seeded random order within their source (by the MD5 of seed, id and text); a row's fractional rank
 is its place in that order over the rows of its source; rows of all sources sorted by fractional rank are cut
 into shards of equal row counts. Both ranks come from two-level ranking (equal ranges of the key, a window
-inside each range, running totals of the ranges), so no source and no shard meets in one task.
+inside each range, running totals of the ranges, two-level as well), so no source and no shard meets in one task.
 
 Defined results: a null source is a source of its own; a null id orders as the word null; repeated rows get
 places of their own; a null text has size 8; an empty table gives an empty table.
@@ -24,9 +24,18 @@ def _range_bits(rows: int, range_rows: int) -> int:
     return min(24, max(10, math.ceil(math.log2(max(1, rows / range_rows)))))
 
 
+#: Neighbouring ranges whose totals are summed up in one task.
+NEIGHBOURS_BITS = 12
+
+
 def _with_totals_before(counts: DataFrame, by: list[str], order: str) -> DataFrame:
-    before = Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    return counts.withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0)))
+    """Column ``before``: rows of all smaller ranges; totals run inside groups of ranges and over the groups."""
+    grouped = counts.withColumn("group", F.shiftright(order, NEIGHBOURS_BITS))
+    inside = Window.partitionBy(*by, "group").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    across = Window.partitionBy(*by).orderBy("group").rowsBetween(Window.unboundedPreceding, -1)
+    groups = grouped.groupBy(*by, "group").agg(F.sum("n").alias("group_rows")).withColumn("group_before", F.coalesce(F.sum("group_rows").over(across), F.lit(0)))
+    joined = grouped.join(groups.drop("group_rows"), [*by, "group"])
+    return joined.withColumn("before", F.col("group_before") + F.coalesce(F.sum("n").over(inside), F.lit(0))).drop("group", "group_before")
 
 
 def interleaved(docs: DataFrame, shards: int = 24, seed: int = 42, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", range_rows: int = 100_000) -> DataFrame:
@@ -34,7 +43,7 @@ def interleaved(docs: DataFrame, shards: int = 24, seed: int = 42, id_col: str =
     total = docs.count()
     bits = _range_bits(total, range_rows)
     text = F.coalesce(F.col(text_col), F.lit(""))
-    key = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(id_col).cast("string"), F.lit("null"))))
+    key = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(id_col).cast("string"), F.lit("null")), F.lit(":"), F.md5(text)))
     rows = docs.select(
         F.col(id_col).alias("doc_id"),
         F.col(source_col).alias("source"),
@@ -46,8 +55,8 @@ def interleaved(docs: DataFrame, shards: int = 24, seed: int = 42, id_col: str =
 
     dealt = rows.repartition("stratum", "range")
     offsets = _with_totals_before(dealt.groupBy("stratum", "range").agg(F.count(F.lit(1)).alias("n")), ["stratum"], "range")
-    sizes = Window.partitionBy("stratum")
-    offsets = offsets.select("stratum", "range", "before", F.sum("n").over(sizes).alias("stratum_rows"))
+    strata = dealt.groupBy("stratum").agg(F.count(F.lit(1)).alias("stratum_rows"))
+    offsets = offsets.join(strata, "stratum").select("stratum", "range", "before", "stratum_rows")
     place = Window.partitionBy("stratum", "range").orderBy("shuffle_key", "text_crc32", "size")
     ranked = dealt.withColumn("inside", F.row_number().over(place)).join(offsets, ["stratum", "range"])
     rank: Column = F.col("before") + F.col("inside") - 1
