@@ -1,17 +1,23 @@
 """Benchmark decontamination by template canonicalisation, in DataFrame functions alone.
 
-Texts and benchmark items become sequences of tokens in which numbers, names (capitalised words inside a sentence) and
-units (after a number) are typed placeholders. Windows of ``WINDOW`` placeholders and literal words are hashed and
-joined. Windows of a document that lie on one alignment with an item belong together. Windows without slots or with equal
-values count by themselves. A name of the item must map to one name of the document: where it meets two, the windows with
-it do not count unless their values are equal. Numbers and units map freely, because equal ones can stand for two things.
-If all values of an alignment are equal, it is a verbatim copy, else a re-parameterised one.
-
-A document is contaminated by an item if an alignment has ``NEED`` windows or half of the item's, whichever is less.
-
-Defined results: null and empty texts have no windows; items of fewer than ``WINDOW`` tokens, and windows with fewer
-than ``LITERALS`` literal words, prove nothing and are not searched; rows with a null id are reported with that null
-id; rows that share an id are one document; items that share an id are one item; empty tables give an empty table.
+Texts and benchmark items become sequences of tokens in which numbers (digits or words), names and units (after a number)
+are typed placeholders. A name is a capitalised word inside a sentence, and the same word where it begins one. Windows of
+``WINDOW`` placeholders and literal words are hashed and joined, and literal words of windows that meet are compared.
+Windows of a document that lie on one alignment with an item belong together. Windows without slots or with equal values
+count by themselves. A name of the item must map to one name of the document: where it meets two, the windows with it do
+not count unless their values are equal. Numbers and units map freely, because equal ones can stand for two things. If all
+values of an alignment are an item's, it is a verbatim copy, else a re-parameterised one.
+
+A template is no evidence where it has few words. So windows with fewer than ``LITERALS`` different literal words, and
+items shorter than a window, are searched with their values, word for word; items of one or two tokens count only where
+they are the whole document.
+
+Items of one template with the same pattern of equal values are one class, so that documents meet a template once,
+however many items it has. A document is contaminated by a class if an alignment has ``NEED`` windows or half of the
+item's, whichever is less.
+
+Defined results: null and empty texts and items have no tokens and match nothing; rows with a null id are reported with
+that null id; rows that share an id are one document; empty tables give an empty table.
 """
 
 from __future__ import annotations
@@ -19,9 +25,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from casehours.llm.common import cut, without_ids
+from casehours.llm.common import ROW, cut, settled, sized, with_row_ids, without_row_ids
 
 WINDOW, LITERALS, NEED = 8, 5, 6
+#: Tokens of an item that is searched inside documents.
+LEAST_INSIDE = 3
 
 #: Windows of a benchmark that may be broadcast (about 60 bytes each); beyond that the join shuffles.
 BROADCAST_WINDOWS = 300_000
@@ -29,28 +37,41 @@ BROADCAST_WINDOWS = 300_000
 #: The units that are placeholders after a number.
 UNITS = "km mm cm kg mg ml kWh MWh mph km/h hours hour minutes minute seconds second days day weeks week months month years year meters meter metres metre miles mile feet foot inches inch dollars dollar euros euro cents cent percent litres liters grams tons pounds m g l s h t %".split()
 
+#: Words that are numbers. ("one" is left out: mostly it is none.)
+NUMBER_WORDS = "two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen twenty thirty forty fifty sixty seventy eighty ninety hundred thousand million".split()
+
 _UNIT = r"(\p{Nd}\s?)(" + "|".join(UNITS) + r")(?![\p{L}\p{N}])"
 _NAME = r"(?<=[\p{Ll}\p{Nd},;:)]\s)(\p{Lu}\p{Ll}+)"
-_TOKEN = r"[\u0002\u0003]?\p{L}[\p{L}\p{M}\p{N}]*|\u0003%|\p{Nd}+(?:[.,:/]\p{Nd}+)*"
-NUMBER, NAME, UNIT = 1, 2, 3
+_FIRST = r"(^|[.!?]['\")\]]{0,2}\s+|[\r\n]\s*)(\p{Lu}\p{Ll}+)"
+_TOKEN = r"[\u0002\u0003\u0004]?\p{L}[\p{L}\p{M}\p{N}]*|\u0003%|\p{Nd}+(?:[.,:/]\p{Nd}+)*"
+NUMBER, NAME, UNIT, FIRST = 1, 2, 3, 4
 
 
 def tokens(text: Column) -> Column:
-    """Lower-case tokens; a name begins with U+0002, a unit with U+0003."""
+    """Lower-case tokens; a name begins with U+0002, a unit with U+0003, a capitalised word that begins a sentence with U+0004."""
     marked = F.regexp_replace(text, _UNIT, "$1 \u0003$2")
     marked = F.regexp_replace(marked, _NAME, "\u0002$1")
+    marked = F.regexp_replace(marked, _FIRST, "$1\u0004$2")
     return F.regexp_extract_all(F.lower(marked), F.lit(_TOKEN), 0)
 
 
 def symbol(token: Column) -> Column:
     """1 for a number, 2 for a name, 3 for a unit, else a hash of the word."""
     code = F.ascii(token)
-    return F.when(code.between(48, 57), F.lit(NUMBER).cast("long")).when(code.isin(NAME, UNIT), code.cast("long")).otherwise(F.xxhash64(token))
+    number = code.between(48, 57) | token.isin(NUMBER_WORDS)
+    return F.when(number, F.lit(NUMBER).cast("long")).when(code.isin(NAME, UNIT), code.cast("long")).otherwise(F.xxhash64(token))
 
 
 def tokenised(rows: DataFrame) -> DataFrame:
     """``rows`` (key, text) with columns words (tokens) and symbols."""
-    words = rows.select("key", tokens(F.coalesce("text", F.lit(""))).alias("words"))
+    marked = rows.select("key", tokens(F.coalesce("text", F.lit(""))).alias("marked"))
+    inside = F.transform(F.filter("marked", lambda x: F.ascii(x) == NAME), lambda x: F.substring(x, 2, 1 << 30))
+    first = F.transform(F.filter("marked", lambda x: F.ascii(x) == FIRST), lambda x: F.substring(x, 2, 1 << 30))
+    named = marked.select("key", "marked", F.array_intersect(first, inside).alias("names"))  # names that begin a sentence as well
+    plain = lambda x: F.substring(x, 2, 1 << 30)
+    # two references to the names: with one alone, Spark would move their computation into the lambda
+    own = lambda x: F.when((F.size("names") > 0) & F.array_contains("names", plain(x)), F.concat(F.lit("\u0002"), plain(x))).otherwise(plain(x))
+    words = named.select("key", F.transform("marked", lambda x: F.when(F.ascii(x) == FIRST, own(x)).otherwise(x)).alias("words"))
     return words.select("key", "words", F.transform("words", symbol).alias("symbols"))
 
 
@@ -67,48 +88,105 @@ def _is_slot(x: Column) -> Column:
     return x.between(NUMBER, UNIT)
 
 
-def benchmark_windows(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text") -> DataFrame:
-    """template, item_id, item_position, item_values, literals of the windows of all items."""
-    rows = windows(tokenised(benchmark.select(F.col(id_col).alias("key"), F.col(text_col).alias("text"))))
-    held = rows.select("template", F.col("key").alias("item_id"), F.col("position").alias("item_position"), F.slice("words", F.col("position") + 1, F.lit(WINDOW)).alias("item_values"), F.slice("symbols", F.col("position") + 1, F.lit(WINDOW)).alias("item_symbols"))
-    literal = F.size(F.array_distinct(F.filter("item_symbols", lambda x: ~_is_slot(x))))
-    return held.filter(literal >= LITERALS)
+def _piece(column: str, at: Column, length: int = WINDOW) -> Column:
+    return F.slice(column, at + 1, F.lit(length))
+
+
+def _literals(symbols: Column) -> Column:
+    return F.size(F.array_distinct(F.filter(symbols, lambda x: ~_is_slot(x))))
+
+
+def classed(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text") -> DataFrame:
+    """cls, key (item id), words, symbols of every item; items of a class have the same symbols and equal values in the same places."""
+    rows = tokenised(benchmark.select(F.col(id_col).alias("key"), F.col(text_col).alias("text"))).filter(F.size("words") > 0)
+    slots = rows.withColumn("slots", F.transform(F.filter(F.arrays_zip(F.col("symbols").alias("s"), F.col("words").alias("w")), lambda x: _is_slot(x["s"])), lambda x: x["w"]))
+    return slots.select(F.xxhash64("symbols", F.transform("slots", lambda x: F.array_position("slots", x))).alias("cls"), "key", "words", "symbols")
+
+
+def _unmarked(words: str) -> Column:
+    return F.transform(words, lambda x: F.when(F.ascii(x).isin(NAME, UNIT), F.substring(x, 2, 1 << 30)).otherwise(x))
+
+
+def _verbatim_windows(items: DataFrame) -> DataFrame:
+    """cls, item_position, length, value of windows with few literal words, and of items shorter than a window."""
+    items = items.withColumn("words", _unmarked("words"))
+    own = windows(items.select(F.col("cls").alias("key"), "words", "symbols"))
+    poor = own.filter(_literals(_piece("symbols", F.col("position"))) < LITERALS)
+    long = poor.select(F.col("key").alias("cls"), F.col("position").alias("item_position"), F.lit(WINDOW).alias("length"), F.xxhash64(_piece("words", F.col("position"))).alias("value"))
+    short = items.filter(F.size("words") < WINDOW).select("cls", F.lit(0).alias("item_position"), F.size("words").alias("length"), F.xxhash64("words").alias("value"))
+    return long.unionByName(short).distinct()
+
+
+def _verbatim_hits(docs: DataFrame, wanted: DataFrame) -> DataFrame | None:
+    """Hits of word-for-word windows; ``wanted`` is written. None without such windows."""
+    found, docs = None, docs.select("key", _unmarked("words").alias("words"))
+    for length in sorted(r["length"] for r in wanted.select("length").distinct().collect()):  # 1 to WINDOW
+        n = F.size("words") - length
+        fits = n >= 0 if length >= LEAST_INSIDE else n == 0
+        places = docs.select("key", F.when(fits, F.transform(F.sequence(F.lit(0), F.greatest(n, F.lit(0))), lambda i: F.xxhash64(F.slice("words", i + 1, F.lit(length))))).alias("values"))  # noqa: B023
+        places = places.select("key", F.posexplode_outer("values").alias("position", "value")).filter("value is not null")
+        hits = places.join(sized(wanted.filter(F.col("length") == length).drop("length"), BROADCAST_WINDOWS), "value")
+        found = hits if found is None else found.unionByName(hits)
+    return found
 
 
 def contaminations(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", broadcast_windows: int = BROADCAST_WINDOWS) -> DataFrame:
-    """doc_id, item_id, kind (verbatim or reparameterised), windows, item_windows of every contaminated document."""
-    items = cut(benchmark_windows(benchmark, item_col, item_text_col), "benchmark-windows")
-    few = items.limit(broadcast_windows + 1).count() <= broadcast_windows
-    own = windows(tokenised(docs.select(F.col(id_col).alias("key"), F.col(text_col).alias("text"))))
+    """doc_id, item_id, kind (verbatim or reparameterised), windows, item_windows, items of every contaminated document.
+
+    ``item_id``: the first item of the class; ``items``: how many items the class has.
+    """
+    items = cut(classed(benchmark, item_col, item_text_col), "benchmark-items")
+    classes = cut(items.groupBy("cls").agg(F.min(F.struct("key", "words", "symbols")).alias("x"), F.count(F.lit(1)).alias("items")).select("cls", "x.key", "x.words", "x.symbols", "items"), "benchmark-classes")
+    own_windows = windows(classes.select(F.col("cls").alias("key"), "words", "symbols"))
+    own_windows = own_windows.select("template", F.col("key").alias("cls"), F.col("position").alias("item_position"), _piece("words", F.col("position")).alias("item_values"), _piece("symbols", F.col("position")).alias("item_symbols"))
+    targets = cut(own_windows.filter(_literals(F.col("item_symbols")) >= LITERALS), "benchmark-windows")
+    few = targets.limit(broadcast_windows + 1).count() <= broadcast_windows
+
+    read = tokenised(docs.select(F.col(id_col).alias("key"), F.col(text_col).alias("text")))
+    own = windows(read)
     if few:
-        found = own.join(F.broadcast(items), "template")
+        found = own.join(F.broadcast(targets), "template").withColumn("values", _piece("words", F.col("position")))
     else:  # only windows that some item has keep their words
-        found = own.select("key", "position", "template", F.slice("words", F.col("position") + 1, F.lit(WINDOW)).alias("words")).join(items, "template").withColumn("position", F.col("position"))
-    values = F.slice("words", F.col("position") + 1, F.lit(WINDOW)) if few else F.col("words")
-    slots = F.filter(F.arrays_zip(F.col("item_symbols").alias("s"), F.col("item_values").alias("a"), values.alias("b")), lambda x: _is_slot(x["s"]))
-    hits = found.select(F.col("key").alias("doc_id"), "item_id", "position", "item_position", slots.alias("slots"))
-    hits = cut(hits, "template-hits")
-
-    by = ["doc_id", "item_id", "offset"]
-    aligned = hits.withColumn("offset", F.col("position") - F.col("item_position")).withColumn("other", F.exists("slots", lambda x: x["a"] != x["b"]))
-    aligned = aligned.withColumn("names", F.transform(F.filter("slots", lambda x: x["s"] == NAME), lambda x: F.struct(x["a"].alias("a"), x["b"].alias("b"))))
+        found = own.select("key", "position", "template", _piece("words", F.col("position")).alias("values")).join(targets, "template")
+    # the join and the cut of the window stay in one stage of generated code, so that no row carries the whole text; what
+    # takes a lambda comes after it, and the filter after writing, lest it become a condition of the join
+    found = found.select("key", "cls", "position", "item_position", "item_values", "item_symbols", "values")
+    triples = F.arrays_zip(F.col("item_symbols").alias("s"), F.col("item_values").alias("a"), F.col("values").alias("b"))
+    words_agree = F.forall(triples, lambda x: _is_slot(x["s"]) | (x["a"] == x["b"]))
+    names = F.transform(F.filter(triples, lambda x: x["s"] == NAME), lambda x: F.struct(x["a"].alias("a"), x["b"].alias("b")))
+    hits = found.select(F.col("key").alias("doc_id"), "cls", "position", "item_position", F.xxhash64("values").alias("value"), names.alias("names"), words_agree.alias("words_agree"))
+    hits = cut(hits, "template-hits").filter("words_agree")
+    # values are an item's if some item of the class has them in this window
+    of_items = windows(items.select(F.col("cls").alias("key"), "words", "symbols")).select(F.col("key").alias("cls"), F.col("position").alias("item_position"), F.xxhash64(_piece("words", F.col("position"))).alias("value"), F.lit(True).alias("same")).distinct()
+    of_items = sized(cut(of_items, "item-values"), broadcast_windows)
+    aligned = hits.join(of_items, ["cls", "item_position", "value"], "left").select("doc_id", "cls", "position", "item_position", "names", F.col("same").isNull().alias("other"), F.lit(True).alias("template"))
+    exact = _verbatim_hits(read, cut(_verbatim_windows(items), "verbatim-windows"))
+    if exact is not None:
+        exact = cut(exact, "verbatim-hits")
+        aligned = aligned.unionByName(exact.select(F.col("key").alias("doc_id"), "cls", "position", "item_position", F.expr("cast(array() as array<struct<a:string,b:string>>)").alias("names"), F.lit(False).alias("other"), F.lit(False).alias("template")))
+
+    by = ["doc_id", "cls", "offset"]
+    aligned = aligned.withColumn("offset", F.col("position") - F.col("item_position"))
     # names of an item that have two values in the document; windows that show one count only if all their values are equal
     pairs = aligned.select(*by, F.explode("names").alias("x")).groupBy(*by, "x.a").agg(F.count_distinct("x.b").alias("n")).filter("n > 1")
     torn = pairs.groupBy(*[F.col(c).alias(f"_{c}") for c in by]).agg(F.collect_set("a").alias("torn"))
     same = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in by]
-    joined = aligned.join(torn, same[0] & same[1] & same[2], "left").select(*by, "item_position", "other", "names", "torn")
+    joined = aligned.join(torn, same[0] & same[1] & same[2], "left").select(*by, "item_position", "other", "names", "torn", "template")
     counts = ~F.col("other") | F.col("torn").isNull() | ~F.exists("names", lambda x: F.array_contains("torn", x["a"]))
-    checked = joined.groupBy(*by).agg(F.count_distinct(F.when(counts, F.col("item_position"))).alias("windows"), F.max(F.col("other").cast("int")).alias("other"))
+    place = F.when(counts, F.col("item_position"))
+    checked = joined.groupBy(*by).agg(F.count_distinct(place).alias("windows"), F.count_distinct(F.when(F.col("template"), place)).alias("by_template"), F.max(F.col("other").cast("int")).alias("other"))
 
-    sizes = items.groupBy("item_id").agg(F.count_distinct("item_position").alias("item_windows"))
+    n_templates = targets.groupBy("cls").agg(F.count(F.lit(1)).alias("item_templates"))
+    sizes = classes.join(n_templates, "cls", "left").select("cls", F.col("key").alias("item_id"), "items", F.greatest(F.size("words") - WINDOW + 1, F.lit(1)).alias("item_windows"), F.coalesce("item_templates", F.lit(0)).alias("item_templates"))
     sizes = F.broadcast(sizes) if few else sizes
-    best = checked.groupBy("doc_id", "item_id").agg(F.max("windows").alias("windows"), F.min(F.when(F.col("windows") > 0, F.col("other"))).alias("other"))
-    joined = best.join(sizes.select(F.col("item_id").alias("_item"), "item_windows"), F.col("item_id").eqNullSafe(F.col("_item")))
-    enough = F.least(F.lit(NEED), F.ceil(F.col("item_windows") / 2))
-    return joined.filter(F.col("windows") >= enough).select("doc_id", "item_id", F.when(F.col("other") == 0, "verbatim").otherwise("reparameterised").alias("kind"), F.col("windows").cast("long").alias("windows"), F.col("item_windows").cast("long").alias("item_windows"))
+    half = lambda n: F.least(F.lit(NEED), F.ceil(F.col(n) / 2))
+    enough = (F.col("windows") >= half("item_windows")) | ((F.col("item_templates") > 0) & (F.col("by_template") >= half("item_templates")))
+    best = checked.join(sizes, "cls").filter(enough).groupBy("doc_id", "cls", "item_id", "items", "item_windows").agg(F.max("windows").alias("windows"), F.min("other").alias("other"))
+    return best.select("doc_id", "item_id", F.when(F.col("other") == 0, "verbatim").otherwise("reparameterised").alias("kind"), F.col("windows").cast("long").alias("windows"), F.col("item_windows").cast("long").alias("item_windows"), "items")
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` without contaminated documents, columns unchanged."""
-    found = cut(contaminations(docs, benchmark, id_col, text_col).select(F.col("doc_id").alias(id_col)).distinct(), "contaminated")
-    return without_ids(docs, found, id_col)
+    """``docs`` without contaminated documents, columns unchanged. Rows are judged one by one, also where ids are null or repeated."""
+    keyed = with_row_ids(docs, id_col, text_col)
+    found = settled(lambda: contaminations(keyed, benchmark, ROW, text_col).select(F.col("doc_id").alias(ROW)).distinct(), "contaminated")
+    return without_row_ids(keyed, found)
