@@ -5,11 +5,12 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from casehours.llm import bpe, exact_dedup, sharding, token_planes, warc
+from casehours.llm import bpe, byte_words, exact_dedup, sharding, token_planes, warc
 from casehours.llm.exact_dedup import CountingQuotientFilter, merge_filters
 from casehours.llm.queries import tokenizer_file
 from tests.llm.helpers import DOCS, edited, frame, odd_texts, prose
@@ -54,6 +55,31 @@ def test_exact_dedup_nulls_repeats_empty(spark):
     assert exact_dedup.exact_duplicates(spark.createDataFrame([], EXTRA)).count() == 0
 
 
+def test_exact_dedup_drops_rows_not_ids(spark):
+    rows = [(5, "A"), (5, "B"), (9, "A"), (None, "A"), (None, "C"), (7, None), (8, ""), (7, "C"), (9, "A")]
+    df = spark.createDataFrame([(i, t, None, None, None, 1, 2, 3, 4) for i, t in rows], EXTRA)
+    kept = sorted(((r["doc_id"], r["text"]) for r in exact_dedup.drop_exact_duplicates(df).collect()), key=repr)
+    assert kept == sorted([(5, "B"), (9, "A"), (9, "A"), (8, ""), (7, "C")], key=repr)
+
+
+def test_quotient_filters_level_by_level(spark, monkeypatch):
+    monkeypatch.setattr(exact_dedup, "FLUSH", 40)
+    rng = random.Random(21)
+    values = [rng.randrange(-(2**63), 2**63) for _ in range(300)]
+    values += [rng.choice(values) for _ in range(200)] + [values[0]] * 300
+    df = spark.createDataFrame([(v,) for v in values], "fp long").repartition(6)
+    for bits in (3, 12, 25):
+        got = {r["fp"]: r["copies"] for r in exact_dedup.repeated_fingerprints(df, bits).collect()}
+        assert got == {v: n for v, n in Counter(values).items() if n > 1}
+
+
+def test_remainders_are_packed():
+    values = np.sort(np.random.default_rng(3).integers(0, 2**54, 5000, dtype=np.uint64))
+    row = CountingQuotientFilter.build(values, np.ones(5000, np.int64), 54).row(0)
+    assert len(row["remainders"]) == -(-5000 * (54 - row["quotient_bits"]) // 8) and row["quotient_bits"] == 13
+    assert CountingQuotientFilter.of_row(row, 54).items()[0].tolist() == values.tolist()
+
+
 def test_shards_match_the_mixture(spark):
     rows = [(i, "x" * (i % 50), "en", "hot" if i % 3 else f"s{i % 5}" if i % 7 else None, i) for i in range(5000)]
     df = spark.createDataFrame([(*r, 1, 2, 3, 4) for r in rows], EXTRA)
@@ -75,6 +101,8 @@ def test_shards_match_the_mixture(spark):
 
 
 def test_shards_of_awkward_rows(spark):
+    many = spark.createDataFrame([(None, f"t{k}", None, "s", None, 1, 2, 3, 4) for k in range(400)], EXTRA)
+    assert Counter(r["shard"] for r in sharding.interleaved(many, 4, range_rows=1).collect()) == {k: 100 for k in range(4)}
     rows = [(None, None, None, None, None, 1, 2, 3, 4)] * 3 + [(5, "a", None, "s", None, 1, 2, 3, 4)] * 4
     got = sharding.interleaved(spark.createDataFrame(rows, EXTRA), 3).collect()
     assert sorted(Counter(r["shard"] for r in got).values()) == [2, 2, 3]
@@ -177,6 +205,30 @@ def test_bpe_against_the_library(spark):
     assert bpe.encoded(spark.createDataFrame([], EXTRA), path).count() == 0
 
 
+def test_bpe_of_every_code_point(spark):
+    from tokenizers import Tokenizer
+
+    path = tokenizer_file(spark, "word_bpe_49k.json")
+    tool, own = Tokenizer.from_file(path), bpe.Encoder(path)
+    tool.no_padding()
+    tool.no_truncation()
+    codes = [chr(c) for c in (*range(0xD800), *range(0xE000, 0x110000))]
+    disputed = set(filter(own.disputes.disputed, codes))
+    assert disputed.isdisjoint("éßçñäΩЖ日한ا") and len(disputed) < len(codes)
+    for group in ([c for c in codes if c not in disputed], sorted(disputed)):
+        texts = ["".join(f"a{c}b {c}\u0301{c}" for c in group[k : k + 1500]) for k in range(0, len(group), 1500)] + ["Ᲊ Ɤ \U00010d50", "\U0001611e\U0001611e"]
+        for ids, e, text in zip(own.encode(texts), tool.encode_batch(texts, add_special_tokens=False), texts, strict=True):
+            assert np.frombuffer(ids, "<u4").tolist() == e.ids, ascii(text[:40])
+            assert own.decode(ids).decode() == tool.decode(e.ids, skip_special_tokens=False)
+
+
+def test_bpe_nulls_and_repeats(spark):
+    path = tokenizer_file(spark, "word_bpe_49k.json")
+    df = spark.createDataFrame([(i, t, None, None, None, 1, 2, 3, 4, 5) for i, t in [(None, "a b"), (None, "a b"), (3, None), (3, "a b"), (3, "a b")]], EXTRA + ", n_tokens int")
+    got = sorted(((r["doc_id"], r["n_tokens"]) for r in bpe.round_trip_digests(df, path).collect()), key=repr)
+    assert got == sorted([(None, 2), (None, 2), (3, 0), (3, 2), (3, 2)], key=repr)
+
+
 def test_bpe_cache_is_bounded(spark):
     path = tokenizer_file(spark, "word_bpe_49k.json")
     small, large = bpe.Encoder(path, cache_words=10), bpe.Encoder(path)
@@ -193,8 +245,46 @@ def test_word_split_equals_the_tokenizers_pattern():
     #: Fixed value: the pattern of the byte-level tokenizer.
     pattern = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
     rng = random.Random(1)
-    pieces = [*"stdm'.!]^-\\ \n\tÉaſ1½ª\xad", "  ", "re", "ll", "ve"]
-    for _ in range(20_000):
-        text = "".join(rng.choice(pieces) for _ in range(rng.randint(0, 14)))
-        assert not token_planes.UNUSUAL.search(text) and token_planes.WORDS.findall(text) == pattern.findall(text)
-    assert all(token_planes.UNUSUAL.search(c) for c in "\x0b\x1c\x85\xa0日")
+    pieces = [*"stdm'.!]^-\\ \n\tÉaſ1½ª\xad×“’", "  ", "re", "ll", "ve"]
+    for _ in range(4000):
+        texts = ["".join(rng.choice(pieces) for _ in range(rng.randint(0, 14))) for _ in range(5)]
+        data, offsets = token_planes.ended_stream(pa.array(texts))
+        kinds = byte_words.kinds_of(data)
+        assert not (kinds == byte_words.ODD).any()
+        starts = byte_words.word_starts(data, kinds)
+        words = [data[a:b].tobytes().decode() for a, b in zip(starts, [*starts[1:], len(data)], strict=True)]
+        assert words == [w for t in texts for w in [*pattern.findall(t), "\0"]]
+    for c in "\x0b\x1c\x85\xa0日\u2003\u2028":
+        assert (byte_words.kinds_of(token_planes.ended_stream(pa.array([c]))[0]) == byte_words.ODD).any()
+
+
+def test_word_windows_do_not_change_the_words():
+    rng = random.Random(2)
+    texts = [prose(rng, rng.randint(0, 60)) + rng.choice(["", "'s it's", "\n", " \n x"]) for _ in range(60)]
+    data, _ = token_planes.ended_stream(pa.array(texts))
+    whole = byte_words.word_starts(data, byte_words.kinds_of(data)).tolist()
+    for window in (1, 7, 64, 1000):
+        cuts = list(byte_words.windows(data, window))
+        assert [a for a, _ in cuts] == [0, *(b for _, b in cuts[:-1])] and cuts[-1][1] == len(data)
+        assert [a + x for a, b in cuts for x in byte_words.word_starts(data[a:b], byte_words.kinds_of(data[a:b])).tolist()] == whole
+
+
+def test_word_table_is_bounded_and_exact(spark):
+    path, rng = tokenizer_file(spark, "byte_bpe_50k.json"), random.Random(7)
+    small, large = token_planes.WordCachedTokenizer(path, cache_words=300), token_planes.WordCachedTokenizer(path)
+    common = [prose(rng, 30) + " " + "y" * 40 for _ in range(3)]
+    for k in range(60):
+        texts = pa.array([prose(rng, 30) + "z" * k, rng.choice(common), None, "<|endoftext|> é 日本", "nul \0 nul"])
+        for got, expected in zip(small.encode(texts), large.encode(texts), strict=True):
+            assert np.array_equal(got, expected)
+        ids, lengths = large.encode(texts)
+        assert lengths.sum() == len(ids) and ids.tolist() == [i for t in texts.to_pylist() for i in [*large.tool.encode(t or "", add_special_tokens=False).ids, 2]]
+    assert small.table.n < 700 < large.table.n
+
+
+def test_token_files_of_awkward_rows(spark):
+    rows = [(None, "b", None, None, None), (None, None, None, None, None), (3, "x y", None, None, None), (3, "a", None, None, None), (3, "a", None, None, None), (-5, "", None, None, None)]
+    df = spark.createDataFrame([(*r, 1, 2, 3, 4, 5) for r in rows], EXTRA + ", start int")
+    path = tokenizer_file(spark, "byte_bpe_50k.json")
+    got = sorted(token_planes.token_round_trip(df, path).collect(), key=lambda r: r["start"])
+    assert [(r["doc_id"], r["start"], r["n_tokens"]) for r in got] == [(None, 0, 1), (None, 1, 2), (-5, 3, 1), (3, 4, 2), (3, 6, 2), (3, 8, 3)]

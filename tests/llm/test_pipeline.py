@@ -45,3 +45,29 @@ def test_stages_keep_the_columns_of_documents(spark):
     for _, stage in corpus_pipeline.STAGES[:-1]:
         out = stage(spark, empty, DATA)
         assert out.columns == empty.columns and out.count() == 0
+
+
+def test_stages_judge_rows_not_ids(spark):
+    import random
+
+    from tests.llm.helpers import DOCS, edited, prose
+
+    rng = random.Random(31)
+    item = table(spark, DATA, "benchmark").first()["text"]
+    base, other, third = (prose(rng, 120) for _ in range(3))
+    near = edited(rng, base, 0.01)
+    rows = [(1, base), (5, near), (5, other), (None, near), (None, third), (6, f"{third} x"), (7, "12 34"), (7, prose(rng, 50)), (8, f"{prose(rng, 30)} {item}"), (8, prose(rng, 40)), (None, f"{prose(rng, 30)} {item}"), (None, "!!"), (9, None), (10, prose(rng, 9000)), (3, prose(rng, 60)), (3, prose(rng, 60))]
+    rows += [(100 + k, prose(rng, 80)) for k in range(40)]
+    df = spark.createDataFrame([(i, t, "en", None, 1, 2, "w") for i, t in rows], DOCS + ", kept int, words string")
+    texts = lambda out: sorted((r["text"] or "") for r in out.collect())
+    stages = dict(corpus_pipeline.STAGES)
+    out = stages["language_id"](spark, df, DATA)
+    assert out.columns == df.columns and texts(out) == sorted(t for _, t in rows if t not in (None, "12 34", "!!"))
+    out = stages["near_dedup"](spark, df, DATA)
+    left = texts(out)
+    assert out.columns == df.columns and len([t for t in left if t in (base, near)]) == 1 and len([t for t in left if t.startswith(third)]) == 1
+    assert {t for _, t in rows if t and t not in (base, near) and not t.startswith(third)} <= set(left)
+    out = stages["decontamination"](spark, df, DATA)
+    assert out.columns == df.columns and texts(out) == sorted((t or "") for _, t in rows if item not in (t or ""))
+    out = stages["exact_dedup"](spark, df.unionByName(df), DATA)
+    assert out.columns == df.columns and set(texts(out)) == {t or "" for _, t in rows}

@@ -36,6 +36,53 @@ def test_language_of_awkward_texts(spark):
     assert langid.keep_identified(df).columns == df.columns
 
 
+def brute_languages(rows, held_out):
+    """Predictions from plain sets of n-grams, each false positive of the filters aside."""
+    from collections import Counter
+
+    def grams(text):
+        out, t = [], " " + re.sub(r"[\x00-\x7f]", lambda m: m[0].lower() if m[0].isalpha() else " ", text.translate({c: c + 32 for c in range(0xC0, 0xDF) if c != 0xD7})) + "  "
+        data = t.encode()
+        for k in range(len(data) - langid.GRAM + 1):
+            g = data[k : k + langid.GRAM]
+            if sum(b != 32 for b in g) >= 2:
+                out.append(g)
+        return out
+
+    counts = {}
+    for i, text, lang in rows:
+        if lang is not None and text is not None and not held_out(i):
+            counts.setdefault(lang, Counter()).update(grams(text))
+    known = {x: {g for g, n in c.items() if n >= max(2.0, sum(c.values()) * 4e-5)} for x, c in sorted(counts.items())}
+    out = []
+    for i, text, _ in rows:
+        own = grams(text or "")
+        hits = {x: sum(g in k for g in own) for x, k in known.items()}
+        best = max(hits, key=hits.get) if re.search(r"[^\W\d_]", text or "") else "und"
+        out.append((i, best, hits[best] / len(own) if best != "und" and own else 0.0))
+    return out
+
+
+def test_language_against_brute_force(spark):
+    import zlib
+
+    rng = random.Random(18)
+    alphabets = {f"l{k:02d}": [prose(rng, 1).rstrip(".") for _ in range(40)] for k in range(70)}
+    rows, at = [], 0
+    for lang, words in alphabets.items():
+        for _ in range(9):
+            rows.append((at, " ".join(rng.choices(words, k=60)), lang))
+            at += 1
+    rows += [(at, rows[0][1].upper(), None), (at + 1, "É Ü × ß " + rows[9][1], None), (at + 2, "12 ?!", "l00"), (at + 3, None, "l00"), (at + 4, "", None), (at + 4, "", None), (at + 5, rows[30][1], "l03"), (at + 6, rows[30][1], "l03")]
+    df = spark.createDataFrame([(i, t, x, None, 0, True, "q") for i, t, x in rows], DOCS + ", held_out boolean, code string")
+    got = sorted((r["doc_id"], r["lang_pred"], r["score"]) for r in langid.identified(df).collect())
+    expected = sorted(brute_languages(rows, lambda i: zlib.crc32(str(i).encode()) % 3 == 1))
+    assert [g[0] for g in got] == [e[0] for e in expected]
+    assert sum(g[1] == e[1] for g, e in zip(got, expected, strict=True)) >= len(rows) - 2  # the correction is an estimate
+    assert all(abs(g[2] - e[2]) < 0.02 for g, e in zip(got, expected, strict=True))
+    assert {g[1] for g in got} == {*alphabets, "und"}
+
+
 def brute_spans(texts: dict) -> dict:
     """Sentences removed of each document, by plain Python."""
     def sentences(t):
@@ -48,32 +95,28 @@ def brute_spans(texts: dict) -> dict:
             at = m.end()
         return [*out, own] if own else out
 
-    runs, places = {}, {}
+    places = {}
     for i, t in sorted(texts.items()):
-        s = sentences(t or "")
+        s = [[re.sub("[A-Z]", lambda m: m[0].lower(), w) for w in x] for x in sentences(t or "")]
+        least = min(sentence_spans.MIN_WORDS, sum(map(len, s)))
         for a in range(len(s)):
-            b, words = a, []
-            if len(s[a]) >= sentence_spans.LONG_SENTENCE:
-                b, words = a + 1, list(s[a])
-            while b < len(s) and len(s[a]) < sentence_spans.LONG_SENTENCE and (b - a < sentence_spans.MIN_SENTENCES or len(words) < sentence_spans.MIN_WORDS):
+            words = []
+            for b in range(a, min(len(s), a + 40)):  # longer runs cover nothing that these do not
                 words += s[b]
-                b += 1
-            if len(s[a]) >= sentence_spans.LONG_SENTENCE or b - a >= sentence_spans.MIN_SENTENCES and len(words) >= sentence_spans.MIN_WORDS:
-                key = tuple(re.sub("[A-Z]", lambda m: m[0].lower(), w) for w in words)
-                runs.setdefault(i, []).append((a, b, key))
-                places.setdefault(key, (i, a))
+                if len(words) >= least:
+                    places.setdefault(tuple(words), []).append((i, a, b + 1))
     out = {}
-    for i, own in runs.items():
-        gone = {k for a, b, key in own if places[key] != (i, a) for k in range(a, b)}
-        if gone:
-            out[i] = gone
+    for own in places.values():
+        for i, a, b in own:
+            if (i, a) != min(own)[:2]:
+                out.setdefault(i, set()).update(range(a, b))
     return out
 
 
 def test_sentence_spans_against_brute_force(spark):
     rng = random.Random(9)
     passages = [prose(rng, n) for n in (25, 60, 80, 200)]
-    texts = [" ".join([prose(rng, rng.randint(5, 60)) + ".", rng.choice(passages) + ".", prose(rng, 30)]) for _ in range(40)] + odd_texts(rng) + [passages[2] + ".\n" + passages[2], "w " * 70, prose(rng, 9) + ". " + "w " * 70]
+    texts = [" ".join([prose(rng, rng.randint(5, 60)) + ".", rng.choice(passages) + ".", prose(rng, 30)]) for _ in range(40)] + odd_texts(rng) + [passages[2] + ".\n" + passages[2], "w " * 70, prose(rng, 9) + ". " + "w " * 70, "one short text", "One  short\ttext"]
     got = {r["doc_id"]: r for r in sentence_spans.repeated_sentences(frame(spark, texts)).collect()}
     expected = brute_spans(dict(enumerate(texts)))
     assert set(got) == set(expected)
@@ -89,7 +132,7 @@ def all_run_spans(texts: list[list[str]]) -> dict:
         for a in range(len(s)):
             for b in range(a + 1, len(s) + 1):
                 words = " ".join(s[a:b]).split()
-                if (b - a >= sentence_spans.MIN_SENTENCES and len(words) >= sentence_spans.MIN_WORDS) or (b - a == 1 and len(words) >= sentence_spans.LONG_SENTENCE):
+                if len(words) >= min(sentence_spans.MIN_WORDS, len(" ".join(s).split())):
                     places.setdefault(tuple(words), []).append((i, a, b))
     out = {}
     for own in places.values():
@@ -102,7 +145,7 @@ def all_run_spans(texts: list[list[str]]) -> dict:
 def test_sentence_spans_cover_all_runs(spark):
     rng = random.Random(13)
     sentence = lambda n: " ".join(prose(rng, 1).rstrip(".") for _ in range(n)) + "."
-    passages = [[sentence(n) for n in lengths] for lengths in [(25, 5, 5), (55, 40), (15, 3, 10), (3, 3, 30), (60,), (19,), (4, 4, 4)]]
+    passages = [[sentence(n) for n in lengths] for lengths in [(25, 5, 5), (55, 40), (15, 3, 10), (3, 3, 30), (60,), (30,), (19,), (4, 4, 4)]]
     passages += [[sentence(rng.choice((1, 2, 5, 9, 21, 52))) for _ in range(rng.randint(1, 6))] for _ in range(20)]
     texts = [[sentence(7), *p, sentence(30)] for p in passages for _ in range(2)]
     for _ in range(30):
@@ -111,6 +154,7 @@ def test_sentence_spans_cover_all_runs(spark):
     got = {r["doc_id"]: r for r in sentence_spans.repeated_sentences(frame(spark, [" ".join(t) for t in texts])).collect()}
     assert {i: {k for a, b in r["removed_spans"] for k in range(a, b)} for i, r in got.items()} == all_run_spans(texts)
     assert got[1]["removed_spans"] == [[1, 4]] and got[3]["removed_spans"] == [[1, 3]]
+    assert got[9]["removed_spans"] == [[1, 2]] and got[11]["removed_spans"] == [[1, 2]] and 13 not in got  # one sentence of 60, 30, 19 words
 
 
 def test_sentence_spans_awkward_rows(spark):
@@ -161,6 +205,111 @@ def test_decontamination_conflicting_values(spark):
     assert {r["doc_id"] for r in decontaminate.drop_contaminated(frame(spark, texts), bench).collect()} == {4}
 
 
+def found(spark, texts, items, **options):
+    bench = spark.createDataFrame([(i, t, 0) for i, t in enumerate(items)], BENCH)
+    return {(r["doc_id"], r["item_id"]): r["kind"] for r in decontaminate.contaminations(frame(spark, texts), bench, **options).collect()}
+
+
+def test_decontamination_short_and_number_heavy_items(spark):
+    rng = random.Random(15)
+    line = "12 7 99 3 1044 8 15 16 23 42 4 108"
+    items = ["What is 3 plus 4", "name the capital", "yes", line]
+    texts = [f"{prose(rng, 20)} {t} {prose(rng, 20)}" for t in (items[0], "what is 3 plus 5", items[1].upper(), "yes", line, line.replace("23", "24").replace("99", "98"))] + ["Yes!"]
+    expected = {(0, 0): "verbatim", (2, 1): "verbatim", (6, 2): "verbatim", (4, 3): "verbatim"}
+    assert found(spark, texts, items) == found(spark, texts, items, broadcast_windows=0) == expected
+
+
+def test_decontamination_names_and_number_words(spark):
+    rng = random.Random(16)
+    story = "{0} has {1} sweet apples in the basket and gives {2} of them to {3} on the way home. How many sweet apples does {0} still have in the basket?"
+    drive = "{0} drove {1} miles through the long cold night until the road was closed by snow near the river"
+    items = [story.format("Alice", "12", "5", "Bob"), drive.format("John", "three")]
+    texts = [f"{prose(rng, 20)}. {t} {prose(rng, 20)}" for t in (story.format("Maria", "40", "nine", "Pedro"), drive.format("Peter", "seven"), drive.format("John", "three"))]
+    assert found(spark, texts, items) == {(0, 0): "reparameterised", (1, 1): "reparameterised", (2, 1): "verbatim"}
+
+
+def brute_contaminations(texts, items):
+    """(document, first item of the class): kind, by comparing every place of every document with every place of every item."""
+    import regex
+
+    d, w = decontaminate, decontaminate.WINDOW
+
+    def read(text):
+        t = regex.sub(d._UNIT, "\\1 \x03\\2", text or "")
+        t = regex.sub(d._NAME, "\x02\\1", t)
+        t = regex.sub(d._FIRST, "\\1\x04\\2", t)
+        marked = regex.findall(d._TOKEN, t.lower())
+        inside = {x[1:] for x in marked if x[0] == "\x02"}
+        words = [("\x02" if x[1:] in inside else "") + x[1:] if x[0] == "\x04" else x for x in marked]
+        kinds = [1 if "0" <= x[0] <= "9" or x in d.NUMBER_WORDS else ord(x[0]) if x[0] in "\x02\x03" else x for x in words]
+        return words, kinds
+
+    def literals(kinds):
+        return len({k for k in kinds if isinstance(k, str)})
+
+    classes = {}
+    for i, t in enumerate(items):
+        words, kinds = read(t)
+        slots = [x for x, k in zip(words, kinds, strict=True) if not isinstance(k, str)]
+        if words:
+            classes.setdefault((tuple(kinds), tuple(map(slots.index, slots))), []).append((i, words))
+    out = {}
+    for doc, t in enumerate(texts):
+        words, kinds = read(t)
+        for (item_kinds, _), members in classes.items():
+            n, first = len(item_kinds), members[0][1]
+            rich = [q for q in range(n - w + 1) if literals(item_kinds[q : q + w]) >= d.LITERALS]
+            kinds_found = []
+            for offset in range(-n, len(words)):
+                hits = {}
+                for q in range(max(n - w + 1, 1)):
+                    length = min(n, w)
+                    own, p = words[offset + q : offset + q + length], offset + q
+                    if p < 0 or len(own) < length or (n < d.LEAST_INSIDE and len(words) != n):
+                        continue
+                    if q in rich and tuple(kinds[p : p + w]) == item_kinds[q : q + w]:
+                        hits[q] = (not any(m[q : q + w] == own for _, m in members), [(a, b) for a, b in zip(first[q : q + w], own, strict=True) if a[0] == "\x02"])
+                    elif q not in rich and any([x.lstrip("\x02\x03") for x in m[q : q + length]] == [x.lstrip("\x02\x03") for x in own] for _, m in members):
+                        hits[q] = (False, [])
+                pairs = {x for _, names in hits.values() for x in names}
+                torn = {a for a, _ in pairs if len({y for x, y in pairs if x == a}) > 1}
+                good = [q for q, (other, names) in hits.items() if not other or not any(a in torn for a, _ in names)]
+                need = lambda m: min(d.NEED, -(-m // 2))
+                if good and (len(good) >= need(max(n - w + 1, 1)) or rich and len(set(good) & set(rich)) >= need(len(rich))):
+                    kinds_found.append(any(other for other, _ in hits.values()))
+            if kinds_found:
+                out[doc, members[0][0]] = "reparameterised" if all(kinds_found) else "verbatim"
+    return out
+
+
+def test_decontamination_against_brute_force(spark):
+    rng = random.Random(17)
+    names, units = ["Otto", "Berta", "Anna", "Carlos"], ["kg", "miles", "%"]
+
+    def item(n):
+        return " ".join(rng.choice([prose(rng, 1).rstrip("."), str(rng.randint(1, 9)), rng.choice(names), f"{rng.randint(1, 9)} {rng.choice(units)}", "seven", prose(rng, 2)]) for _ in range(n)) + rng.choice([".", "?", ""])
+
+    def altered(t):
+        t = re.sub(r"\d+", lambda m: str(rng.randint(1, 99)) if rng.random() < 0.5 else m[0], t)
+        for a in names:
+            if rng.random() < 0.4:
+                t = t.replace(a, rng.choice(names), rng.choice([1, -1]))
+        return t
+
+    items = [item(rng.choice([1, 2, 3, 5, 9, 14, 20])) for _ in range(25)]
+    items += [altered(t) for t in items[-8:]] + ["1 2 3 4 5 6 7 8 9", None, ""]
+    texts = []
+    for _ in range(50):
+        drawn = rng.choice(items[:-2])
+        body = rng.choice([drawn, altered(drawn), altered(altered(drawn)), drawn.lower()])
+        texts.append(rng.choice([body, f"{prose(rng, 9)} {body} {prose(rng, 9)}", f"{prose(rng, 5)}. {body}\n{item(6)}"]))
+    texts += [None, "", "Anna."]
+    expected = brute_contaminations(texts, items)
+    assert len(expected) > 25 and set(expected.values()) == {"verbatim", "reparameterised"}
+    assert found(spark, texts, items) == expected
+    assert found(spark, texts, items, broadcast_windows=0) == expected
+
+
 def test_decontamination_empty_and_null(spark):
     text = prose(random.Random(12), 40)
     bench = spark.createDataFrame([(1, text, 0), (1, text, 0), (None, None, 0)], BENCH)
@@ -200,11 +349,36 @@ def test_rewriting_templates_are_detected():
     assert rewrites == 0 and [text[s.start : s.end] for s in spans] == ["<user>a", "<user>b"]
 
 
-def test_long_conversations_take_a_window():
+CONVERSATIONS = "conv_id long, turn long, role string, text string, piece string"
+
+
+def test_turn_local_templates_are_held_to_it():
     turns = [("user" if k % 2 == 0 else "assistant", f"t{k}") for k in range(700)]
-    r = chat.IncrementalRenderer(whole_turns=20, window=5)
-    pieces = [r.add(t) for t in turns]
-    assert "".join(pieces) == chat.instruct_template(turns) and len(r.turns) <= 7 and r.length == len("".join(pieces))
+    rendered = []
+
+    def counting(given):
+        rendered.append(len(given))
+        return chat.instruct_template(given)
+
+    counting.turn_local = True
+    text, added = chat.incremental(turns, counting)
+    assert text == chat.instruct_template(turns) == "".join(x for _, x, _ in added) and not any(r for *_, r in added)
+    assert sum(rendered) < 4 * len(turns)
+
+    def rewriting(given):  # writes turn 5 anew from turn 300 on
+        return chat.instruct_template([(r, "changed" if k == 5 and len(given) > 300 else t) for k, (r, t) in enumerate(given)])
+
+    rewriting.turn_local = True
+    for n, times in ((700, 1), (301, 1), (300, 0)):
+        text, spans, rewrites = chat.format_conversation(turns[:n], rewriting)
+        assert rewrites == times and text == rewriting(turns[:n]) and len(spans) == min(n, 300)
+
+
+def test_chat_of_a_very_long_text(spark):
+    long = "</s>[INST] é\\ " * 300_000
+    df = spark.createDataFrame([(1, 0, "user", "q", ""), (1, 1, "assistant", long, ""), (1, 2, "assistant", "", "")], CONVERSATIONS)
+    r = chat.digests(df).collect()[0]
+    assert (r["loss_chars"], r["loss_sha256"]) == (len(long), hashlib.sha256(long.encode()).hexdigest())
 
 
 def test_long_conversations_keep_their_prefix():
@@ -218,9 +392,6 @@ def test_long_conversations_keep_their_prefix():
     assert chat.format_conversation(turns)[0] == chat.instruct_template(turns)
 
 
-CONVERSATIONS = "conv_id long, turn long, role string, text string, piece string"
-
-
 def test_chat_digests(spark):
     rows = [(1, 1, "assistant", "b", ""), (1, 0, "user", None, ""), (None, 0, None, "x", ""), (2, None, "assistant", "</s>", ""), (2, 0, "assistant", "é", ""), (2, 0, "assistant", "é", "")]
     df = spark.createDataFrame(rows, CONVERSATIONS)
