@@ -5,65 +5,80 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from casehours.functions.rules import fuel_spellings
+from casehours.functions.rules import FUELS, fuel_spellings
 
 COLUMNS = ("fuel_type", "technology", "sub_type")
 UNLISTED = "(unlisted)"
 
-#: Patterns that tell a fuel where no spelling does, in order of precedence.
-PUMPED = r"(?:^|[^a-z0-9])(?:psh|ps|ph)(?:$|[^a-z0-9])|pumped|pump\s*storage|hydro\s*pump|reversible"
-PUMPED_NAME = r"pumped|pump\s*storage|hydro\s*pump|(?:^|[^a-z0-9])psh(?:$|[^a-z0-9])"
-PATTERNS = (
-    ("Pumped Storage", PUMPED),
-    ("Battery Storage", r"(?:^|[^a-z0-9])(?:bess|es)(?:$|[^a-z0-9])|batter|li-ion|lithium|flywheel|electrochemical|storage|^mwh$"),
-    ("Solar", r"(?:^|[^a-z0-9])(?:pv)(?:$|[^a-z0-9])|solar|sun|photovoltaic"),
-    ("Wind", r"(?:^|[^a-z0-9])(?:wnd|wtg)(?:$|[^a-z0-9])|wind"),
-    ("Geothermal", r"(?:^|[^a-z0-9])(?:geo)(?:$|[^a-z0-9])|geothermal"),
-    ("Biomass", r"bio|biomass|biogas|wood|landfill|refuse"),
-    ("Hydrogen", r"hydrogen|(?:^|[^a-z0-9])(?:h2)(?:$|[^a-z0-9])"),
-    ("Hydro", r"(?:^|[^a-z0-9])(?:wat|ror)(?:$|[^a-z0-9])|hydro|water|run-of-river|pondage"),
-    ("Nuclear", r"(?:^|[^a-z0-9])(?:nuc)(?:$|[^a-z0-9])|nuclear|uranium"),
-    ("Coal", r"coal|lignite|sub-bit|anthracite|bituminous"),
-    ("Distillate Fuel Oil", r"(?:^|[^a-z0-9])(?:fo|df)(?:$|[^a-z0-9])|oil|diesel|distillate|jet\s*fuel|kerosene"),
-    ("Natural Gas", r"(?:^|[^a-z0-9])(?:ng|natgas|cc|ct|gt|ic)(?:$|[^a-z0-9])|gas|natural\s*gas|methane|combined\s*cycle|combustion\s*turbine|steam\s*gas"),
+#: Cells that say nothing.
+SAYS_NOTHING = ("", "na", "n/a", "none", "null", "unknown", "(blank)", "-", "--")
+
+#: What tells a fuel where no spelling does, in order of precedence: whole cells, words, and parts of words.
+HINTS = (
+    ("Pumped Storage", (), ("psh", "ps", "ph"), ("pumped", "pump storage", "pumpstorage", "hydro pump", "hydropump", "reversible")),
+    ("Battery Storage", ("mwh",), ("bess", "es"), ("batter", "li-ion", "lithium", "flywheel", "electrochemical", "storage")),
+    ("Solar", (), ("pv",), ("solar", "sun", "photovoltaic")),
+    ("Wind", (), ("wnd", "wtg"), ("wind",)),
+    ("Geothermal", (), ("geo",), ("geothermal",)),
+    ("Biomass", (), (), ("bio", "wood", "landfill", "refuse")),
+    ("Hydrogen", (), ("h2",), ("hydrogen",)),
+    ("Hydro", (), ("wat", "ror"), ("hydro", "water", "run-of-river", "pondage")),
+    ("Nuclear", (), ("nuc",), ("nuclear", "uranium")),
+    ("Coal", (), (), ("coal", "lignite", "sub-bit", "anthracite", "bituminous")),
+    ("Distillate Fuel Oil", (), ("fo", "df"), ("oil", "diesel", "distillate", "jet fuel", "jetfuel", "kerosene")),
+    ("Natural Gas", (), ("ng", "natgas", "cc", "ct", "gt", "ic"), ("gas", "methane", "combined cycle", "combinedcycle", "combustion turbine", "combustionturbine")),
 )
+#: The same for pumped storage in a unit's name, where ps or ph may be a site's initials.
+PUMPED_NAME = ((), ("psh",), ("pumped", "pump storage", "pumpstorage", "hydro pump", "hydropump"))
 
 
 def normal_fuel(raw: Column) -> Column:
-    """Trimmed, lower case, runs of white space as one; null if empty."""
+    """Trimmed, lower case, runs of white space as one; null if it says nothing."""
     text = F.regexp_replace(F.lower(F.trim(raw)), r"\s+", " ")
-    return F.when(text != "", text)
+    return F.when(~text.isin(*SAYS_NOTHING), text)
+
+
+def hinted(text: Column, cells: tuple, words: tuple, parts: tuple) -> Column:
+    """Is the text one of the cells, or has it one of the words or parts? Null is none."""
+    hit = text.isin(*cells) if cells else F.lit(False)
+    if words:
+        hit = hit | F.arrays_overlap(F.split(text, "[^a-z0-9]+"), F.array(*map(F.lit, words)))
+    for part in parts:
+        hit = hit | text.contains(part)
+    return F.coalesce(hit, F.lit(False))
 
 
-def guessed(text: Column) -> Column:
-    out = F.lit(None).cast("string")
-    for clean, pattern in reversed(PATTERNS):
-        out = F.when(text.rlike(pattern), clean).otherwise(out)
-    return out
+def classified(cells: DataFrame) -> DataFrame:
+    """cell, clean, pumped of distinct normalised cells: by spelling, else by the first hint."""
+    guess = F.lit(None).cast("string")
+    for clean, *hint in reversed(HINTS):
+        guess = F.when(hinted(F.col("cell"), *hint), clean).otherwise(guess)
+    spelled = cells.join(fuel_spellings(cells.sparkSession).select(F.col("spelling").alias("cell"), F.col("clean").alias("_spelled")), "cell", "left")
+    return spelled.select("cell", F.coalesce("_spelled", guess).alias("clean"), hinted(F.col("cell"), *HINTS[0][1:]).alias("pumped"))
 
 
 def with_clean_fuel(units: DataFrame, name: str = "entity") -> DataFrame:
-    """``units`` with clean_fuel and fuel_group. Pumped markers decide first, then spellings and patterns column by column.
+    """``units`` with clean_fuel and fuel_group. Pumped markers decide first, then spellings and hints column by column.
 
-    A unit without any list row (all columns ``(unlisted)``) is Unlisted, one without any fuel Unknown, one whose fuel
-    nothing claims Unrecognised.
+    A unit without any list row (all columns ``(unlisted)``) is Unlisted, one whose cells say nothing Unknown, one whose
+    fuel nothing claims Unrecognised. Every distinct cell is classified once.
     """
-    spellings = fuel_spellings(units.sparkSession)
-    out = units
-    pumped = F.coalesce(F.lower(F.col(name)).rlike(PUMPED_NAME), F.lit(False))
+    text = lambda c: F.when(normal_fuel(F.col(c)) != UNLISTED, normal_fuel(F.col(c)))
+    cells = units.select(F.explode(F.array_compact(F.array(*map(text, COLUMNS)))).alias("cell")).distinct()
+    known, out = classified(cells), units
+    pumped = hinted(F.regexp_replace(F.lower(F.col(name)), r"\s+", " "), *PUMPED_NAME)
     found, named, unlisted = [], F.lit(False), F.lit(True)
     for k, c in enumerate(COLUMNS):
-        text = F.when(normal_fuel(F.col(c)) != UNLISTED, normal_fuel(F.col(c)))
-        side = F.broadcast(spellings.select(F.col("spelling").alias(f"_s{k}"), F.col("clean").alias(f"_c{k}")))
-        out = out.join(side, text == F.col(f"_s{k}"), "left").drop(f"_s{k}")
-        found.append(F.coalesce(F.col(f"_c{k}"), guessed(text)))
-        pumped = pumped | F.coalesce(text.rlike(PUMPED), F.lit(False))
-        named = named | text.isNotNull()
+        side = known.select(F.col("cell").alias(f"_s{k}"), F.col("clean").alias(f"_c{k}"), F.col("pumped").alias(f"_p{k}"))
+        out = out.join(side, text(c) == F.col(f"_s{k}"), "left")
+        found.append(F.col(f"_c{k}"))
+        pumped = pumped | F.coalesce(F.col(f"_p{k}"), F.lit(False))
+        named = named | F.col(f"_s{k}").isNotNull()
         unlisted = unlisted & F.coalesce(normal_fuel(F.col(c)) == UNLISTED, F.lit(False))
     clean = F.when(pumped, "Pumped Storage").otherwise(F.coalesce(*found, F.when(unlisted, "Unlisted"), F.when(named, "Unrecognised"), F.lit("Unknown")))
-    out = out.withColumn("clean_fuel", clean).drop(*[f"_c{k}" for k in range(len(COLUMNS))])
-    groups = F.broadcast(spellings.select(F.col("clean").alias("clean_fuel"), "fuel_group").distinct())
-    return out.join(groups, "clean_fuel", "left").withColumn("fuel_group", F.coalesce("fuel_group", "clean_fuel")).select(*units.columns, "clean_fuel", "fuel_group")
+    out = out.withColumn("clean_fuel", clean)
+    groups = F.create_map(*[F.lit(x) for c, g, _ in FUELS for x in (c, g)])
+    return out.withColumn("fuel_group", F.coalesce(groups[F.col("clean_fuel")], F.col("clean_fuel"))).select(*units.columns, "clean_fuel", "fuel_group")
 
 
 #: Derived attributes: name to builder of a column over a frame that has clean_fuel (T-13); retired names follow.

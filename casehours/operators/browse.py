@@ -46,16 +46,21 @@ def cap_refusals(series: int = 0, overlay_lines: int = 0, scales: int = 0) -> li
     return out
 
 
-def displayed(value: Column, cell_class: str) -> Column:
-    """The displayed cell of a quantity, a ratio or a count (T-17)."""
-    v = value.cast("double")
+def cap_refusal(n: Column, what: str, done: str, most: int) -> Column:
+    """Why so many are refused; null within the cap (O-04)."""
+    return F.when(n > most, F.concat(n.cast("string"), F.lit(f" {what}; at most {most} are {done}")))
+
+
+def displayed(value: Column, cell_class: str = "quantity") -> Column:
+    """The displayed cell of a quantity, a ratio or a count: whole numbers, halves up; what is not zero never shows as 0 (T-17)."""
+    v = F.nanvl(value.cast("double"), F.lit(None).cast("double"))
+    whole = F.floor((v * 100 if cell_class == "ratio" else v) + 0.5)
     if cell_class == "count":
-        return F.when(v.isNotNull(), F.format_string("%d", v.cast("long")))
-    if cell_class == "ratio":
-        small = (v != 0) & (F.abs(v) < 0.01)
-        return F.when(v.isNull(), "").when(small, "<1%").otherwise(F.concat(F.format_number(F.round(v * 100), 0), F.lit("%")))
-    small = (v != 0) & (F.abs(v) < 1)
-    return F.when(v.isNull(), "").when(small, "<1").otherwise(F.format_number(F.round(v), 0))
+        return F.when(v.isNull(), "").otherwise(whole.cast("string"))
+    sign = "%" if cell_class == "ratio" else ""
+    text = F.concat(whole.cast("string"), F.lit("%")) if cell_class == "ratio" else F.format_number(whole, 0)
+    hidden = (v != 0) & (whole == 0)
+    return F.when(v.isNull(), "").when(hidden & (v > 0), f"<1{sign}").when(hidden, f">-1{sign}").otherwise(text)
 
 
 def cell_text(value: Column) -> Column:
@@ -73,14 +78,20 @@ def scale_of(unit: Column) -> Column:
     return F.when(unit == "MW", "MWh").otherwise(unit)
 
 
+def scale_labels(units: DataFrame) -> DataFrame:
+    """scale, label: the units that share a scale, joined in the order of their names (T-20). ``units``: unit."""
+    return units.select("unit", scale_of(F.col("unit")).alias("scale")).distinct().groupBy("scale").agg(F.array_join(F.array_sort(F.collect_list("unit")), " / ").alias("label"))
+
+
 def unit_of(quantity: Column) -> Column:
     """The unit in the last parentheses of a quantity (T-09)."""
     return F.regexp_extract(quantity, r"\(([^()]*)\)[^()]*$", 1)
 
 
 def prefix_of(name: Column) -> Column:
-    """An interface name's prefix, before the first underscore, space or dash (T-16)."""
-    return F.regexp_extract(name, r"^([^_\s-]+)", 1)
+    """The leading token of an interface name: letters, perhaps a space, digits, before a space or underscore; else four characters (T-16)."""
+    token = F.regexp_extract(F.trim(name), r"^([A-Za-z]+ ?\d*)[\s_]", 1)
+    return F.when(token != "", token).otherwise(F.substring(F.trim(name), 1, 4))
 
 
 def year_runs(years: DataFrame, by: list[str]) -> DataFrame:
@@ -98,7 +109,7 @@ def day_label(slot_day: Column) -> Column:
 
 def member_signature(members: Column) -> Column:
     """A digest of a set of members, whatever their order (T-22)."""
-    return F.sha2(F.concat_ws("\u0000", F.array_sort(members)), 256)
+    return F.sha2(F.concat_ws("\u001f", F.array_sort(members)), 256)
 
 
 def row_id(*parts: Column) -> Column:

@@ -5,7 +5,7 @@ The group series is built first; hour filters and statistics come after it.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 HOUR = ["year", "slot_hour"]
@@ -48,19 +48,18 @@ def weighted_series(df: DataFrame, by: list[str], value: str = "value", weight:
     for k, w in enumerate(names):
         both = v.isNotNull() & F.col(w).isNotNull()
         sums += [F.coalesce(F.sum(F.when(both, v * F.col(w))), F.lit(0.0)).alias(f"_vw{k}"), F.coalesce(F.sum(F.when(both, F.col(w))), F.lit(0.0)).alias(f"_w{k}")]
-    hourly = df.groupBy(*by, *HOUR).agg(F.avg(v).alias("_plain"), *sums)
-    # over all hours, whatever a filter keeps later
-    usable = [F.count_if(F.col("_plain").isNotNull() & (F.col(f"_w{k}") != 0)).alias(f"_u{k}") for k in range(len(names))]
+    held = F.when(v.isNotNull(), F.col(entity))
     carried = [F.count(F.col(w)).alias(f"_n{k}") for k, w in enumerate(names)]
-    series = df.groupBy(*by).agg(F.count_distinct(F.when(v.isNotNull(), F.col(entity))).alias("_entities"), *carried)
-    if usable:
-        nonzero = hourly.groupBy(*by).agg(*usable)
-        series = series.join(nonzero, by)
+    hourly = df.groupBy(*by, *HOUR).agg(F.avg(v).alias("_plain"), F.min(held).alias("_first"), F.max(held).alias("_last"), *sums, *carried)
+    # what decides for the whole series comes from its hours, all of them, whatever a filter keeps later
+    whole = Window.partitionBy(*by)
     choice = F.lit(None).cast("int")
     for k in reversed(range(len(names))):
-        choice = F.when((F.col(f"_n{k}") > 0) & (F.col(f"_u{k}") > 0), F.lit(k)).otherwise(choice)
-    series = series.withColumn("_k", F.when(F.col("_entities") > 1, choice)).select(*by, "_k")
-    joined = hourly.join(series, by)
+        has = F.sum(f"_n{k}").over(whole) > 0
+        weighs = F.count_if(F.col("_plain").isNotNull() & (F.col(f"_w{k}") != 0)).over(whole) > 0
+        choice = F.when(has & weighs, F.lit(k)).otherwise(choice)
+    several = F.min("_first").over(whole) < F.max("_last").over(whole)
+    joined = hourly.withColumn("_k", F.when(several, choice))
     value_out, weight_out, used = F.col("_plain"), F.lit(None).cast("double"), F.lit(None).cast("string")
     for k, w in enumerate(names):
         here = F.col("_k") == k

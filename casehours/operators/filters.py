@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from casehours.functions import calendar as cal
+from casehours.operators.browse import displayed
 
 
 def normalized_runs(runs: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -63,22 +64,23 @@ class HourFilter:
         return HourFilter(None if not still or set(still) == set(loaded) else still, self.date_runs, self.hours_ending, self.weekdays, self.seasons, self.tou, self.tou_column)
 
 
-def display_text(column: Column) -> Column:
-    return F.trim(F.coalesce(column.cast("string"), F.lit("")))
+def display_text(column: Column, cell_class: str | None = None) -> Column:
+    """The cell as shown: text trimmed; numbers, for which ``cell_class`` is given, rounded as in tables."""
+    return displayed(column, cell_class) if cell_class else F.trim(F.coalesce(column.cast("string"), F.lit("")))
 
 
-def text_filter(column: Column, typed: str) -> Column:
+def text_filter(column: Column, typed: str, cell_class: str | None = None) -> Column:
     """Any comma- or line-separated piece occurs in the displayed cell, case ignored (F-04)."""
     pieces = [p.strip().lower() for p in re.split(r"[,\n]", typed) if p.strip()]
     if not pieces:
         return F.lit(True)
-    shown = F.lower(display_text(column))
+    shown = F.lower(display_text(column, cell_class))
     return reduce(Column.__or__, [shown.contains(p) for p in pieces])
 
 
-def values_filter(column: Column, chosen: list[str]) -> Column:
+def values_filter(column: Column, chosen: list[str], cell_class: str | None = None) -> Column:
     """The displayed cell is one of the chosen texts; the empty text selects blanks (F-05)."""
-    return display_text(column).isin(*[c.strip() for c in chosen])
+    return display_text(column, cell_class).isin(*[c.strip() for c in chosen])
 
 
 def range_filter(column: Column, low: float | None = None, high: float | None = None, ratio: bool = False) -> Column:

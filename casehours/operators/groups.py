@@ -119,7 +119,7 @@ def combinable(quantities: DataFrame, rules: DataFrame) -> DataFrame:
     ``quantities``: kind, quantity. ``rules``: kind, unit, class, temporal.
     """
     unit = F.regexp_extract("quantity", r"\(([^()]*)\)[^()]*$", 1)
-    joined = quantities.withColumn("unit", unit).join(F.broadcast(rules), ["kind", "unit"], "left")
+    joined = quantities.withColumn("unit", unit).join(rules, ["kind", "unit"], "left")
     can = F.coalesce(F.col("class").isin("EXTENSIVE", "RATE"), F.lit(False))
     reason = F.when(F.col("class").isNull(), "no rule for the unit").when(~can, "an intensive quantity does not add up over entities")
     return joined.select("kind", "quantity", "unit", "class", F.coalesce("temporal", F.lit("MEAN")).alias("temporal"), can.alias("can_group"), reason.alias("reason"))
@@ -139,3 +139,12 @@ def entity_files(carried: DataFrame) -> DataFrame:
 def inventory(facts: DataFrame, kinds: list[str]) -> DataFrame:
     """A row a case with the files behind each kind's tables (A-29)."""
     return facts.groupBy("case_id").pivot("kind", kinds).agg(F.array_sort(F.collect_set("src_file")))
+
+
+def source_counts(kept: DataFrame, in_source: DataFrame) -> DataFrame:
+    """case_id, kind, src_file, kept, in_source: entities that a file's table keeps against those its header names (A-29).
+
+    ``kept``: case_id, kind, src_file, entity. ``in_source``: src_file, name.
+    """
+    own = kept.groupBy("case_id", "kind", "src_file").agg(F.count_distinct("entity").alias("kept"))
+    return own.join(in_source.groupBy("src_file").agg(F.count_distinct("name").alias("in_source")), "src_file", "left")

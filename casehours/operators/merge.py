@@ -9,9 +9,14 @@ CELL = ["case_id", "kind", "quantity", "entity", "year", "slot_hour"]
 
 
 def first_wins(cells: DataFrame, key: list[str] | None = None, rank: str = "src_rank") -> DataFrame:
-    """Of the files that offer a cell the first owns it, an explicit blank (null) included (W-08)."""
-    w = Window.partitionBy(*(key or CELL)).orderBy(rank)
-    return cells.withColumn("_rn", F.row_number().over(w)).filter("_rn = 1").drop("_rn")
+    """Of the files that offer a cell the first owns it, an explicit blank (null) included (W-08).
+
+    Of equal ranks the smallest remaining row wins (file name first), so that the result never depends on chance.
+    """
+    on = key or CELL
+    rest = sorted((c for c in cells.columns if c not in on and c != rank), key=lambda c: c != "src_file")
+    owner = cells.groupBy(*on).agg(F.min(F.struct(rank, *rest)).alias("_first"))
+    return owner.select(*on, "_first.*").select(*cells.columns)
 
 
 def append_cells(held: DataFrame, fresh: DataFrame, key: list[str] | None = None) -> DataFrame:
@@ -38,11 +43,11 @@ def tou_conflicts(hours: DataFrame, by: list[str]) -> DataFrame:
 
 
 def year_gaps(facts: DataFrame, by: list[str], most: int = 256) -> DataFrame:
-    """first_year, last_year, missing_years, refusal of each table (Q-05, U-02)."""
-    years = facts.select(*by, "year").distinct()
-    span = years.groupBy(*by).agg(F.min("year").alias("first_year"), F.max("year").alias("last_year"), F.sort_array(F.collect_set("year")).alias("_have"))
-    out = span.withColumn("missing_years", F.array_except(F.sequence("first_year", "last_year"), "_have")).drop("_have")
-    refusal = F.when(F.size("missing_years") > 0, "years are missing").when(F.col("last_year") - F.col("first_year") + 1 > most, "too many years")
+    """first_year, last_year, missing_years, refusal of each table; a table may have no year that can be read (Q-05, U-02)."""
+    span = facts.groupBy(*by).agg(F.min("year").alias("first_year"), F.max("year").alias("last_year"), F.sort_array(F.collect_set("year")).alias("_have"))
+    missing = F.when(F.col("first_year").isNotNull(), F.array_except(F.sequence("first_year", "last_year"), "_have")).otherwise(F.array().cast("array<int>"))
+    out = span.withColumn("missing_years", missing).drop("_have")
+    refusal = F.when(F.col("first_year").isNull(), "no readable date").when(F.size("missing_years") > 0, "years are missing").when(F.col("last_year") - F.col("first_year") + 1 > most, "too many years")
     return out.withColumn("refusal", refusal)
 
 
@@ -93,11 +98,51 @@ def weight_caveats(hourly: DataFrame, by: list[str]) -> DataFrame:
     return hourly.filter("weight_used is not null").groupBy(*by, "weight_used").agg(F.count_if((F.col("weight") == 0) & F.col("value").isNotNull()).alias("zero_weight_hours"))
 
 
-def resolutions(specs: DataFrame, carried: DataFrame, rules: DataFrame) -> DataFrame:
-    """status and reason of each series asked for: not carried, no rule, not combinable, or resolved (Q-20).
+def missing_weights(metrics: DataFrame, rules: DataFrame, carried: list[str]) -> DataFrame:
+    """metric, weight_used, caveat: which weight a weighted mean takes of what is carried, and what that costs (Q-13).
+
+    ``rules`` is ``rules.area_rules``; ``carried``: metrics that the case retained.
+    """
+    joined = metrics.join(rules.filter("weight is not null"), "metric")
+    has = lambda c: F.col(c).isNotNull() & F.col(c).isin(*carried)
+    used = F.when(has("weight"), F.col("weight")).when(has("fallback_weight"), F.col("fallback_weight"))
+    wanted = F.concat_ws(" or ", "weight", "fallback_weight")
+    caveat = F.when(used.isNull(), F.concat(F.lit("no weight is carried, every area counts equally: "), wanted)).when(~has("weight"), F.concat(F.lit("weighted by the fallback: "), F.col("fallback_weight")))
+    return joined.select("metric", used.alias("weight_used"), caveat.alias("caveat"))
+
+
+def coverage_notes(facts: DataFrame, retained: DataFrame, carried: DataFrame) -> DataFrame:
+    """src_file, absent: retained columns that a file does not carry (Q-08). ``retained``: name. ``carried``: src_file, name."""
+    files = facts.select("src_file").distinct()
+    wanted = files.crossJoin(retained.select("name").distinct())
+    gone = wanted.join(carried.select("src_file", "name").distinct(), ["src_file", "name"], "left_anti")
+    return gone.groupBy("src_file").agg(F.array_sort(F.collect_set("name")).alias("absent"))
+
+
+def entities_without_rows(listed: DataFrame, facts: DataFrame, by: list[str]) -> DataFrame:
+    """Listed entities of a table that have no row in it (Q-08)."""
+    return listed.select(*by, "entity").distinct().join(facts.select(*by, "entity").distinct(), [*by, "entity"], "left_anti")
+
+
+def resolutions(specs: DataFrame, carried: DataFrame, rules: DataFrame, exported: DataFrame | None = None) -> DataFrame:
+    """status and reason of each series asked for (Q-20): resolved, or refused because the case does not carry the quantity,
+    it was exported but not retained, a list is needed for its grouping, it has no rule, or it does not combine.
 
-    ``specs``: series_id, case_id, kind, quantity, grouped. ``carried``: case_id, kind, quantity. ``rules``: kind, quantity, can_group, reason.
+    ``specs``: series_id, case_id, kind, quantity, grouped, and perhaps needs_list and has_list. ``carried`` and ``exported``:
+    case_id, kind, quantity. ``rules``: kind, quantity, can_group, reason.
     """
-    joined = specs.join(carried.select("case_id", "kind", "quantity", F.lit(True).alias("_has")).distinct(), ["case_id", "kind", "quantity"], "left").join(rules.select("kind", "quantity", "can_group", F.col("reason").alias("_why")), ["kind", "quantity"], "left")
-    why = F.when(F.col("_has").isNull(), "the case does not carry the quantity").when(F.col("grouped") & F.col("can_group").isNull(), "no rule for the unit").when(F.col("grouped") & ~F.col("can_group"), F.col("_why"))
+    on = ["case_id", "kind", "quantity"]
+    joined = specs.join(carried.select(*on, F.lit(True).alias("_has")).distinct(), on, "left").join(rules.select("kind", "quantity", "can_group", F.col("reason").alias("_why")), ["kind", "quantity"], "left")
+    if exported is not None:
+        joined = joined.join(exported.select(*on, F.lit(True).alias("_exported")).distinct(), on, "left")
+    else:
+        joined = joined.withColumn("_exported", F.lit(None).cast("boolean"))
+    listless = F.col("needs_list") & ~F.col("has_list") if {"needs_list", "has_list"} <= set(specs.columns) else F.lit(False)
+    why = (
+        F.when(F.col("_has").isNull() & F.col("_exported"), "exported but not retained")
+        .when(F.col("_has").isNull(), "the case does not carry the quantity")
+        .when(listless, "the grouping needs a list that is not loaded")
+        .when(F.col("grouped") & F.col("can_group").isNull(), "no rule for the unit")
+        .when(F.col("grouped") & ~F.col("can_group"), F.col("_why"))
+    )
     return joined.select(*specs.columns, F.when(why.isNull(), "resolved").otherwise("refused").alias("status"), why.alias("reason"))

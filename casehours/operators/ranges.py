@@ -69,9 +69,13 @@ def range_labels(ranged: DataFrame, by: list[str]) -> DataFrame:
 
 
 def nameplate(members: DataFrame, unit_list: DataFrame, by: list[str]) -> DataFrame:
-    """Summed caps of the units of a series: max counts only above 0, any min counts (J-10), and units without a max (Q-14)."""
+    """Summed caps of the units of a series: max counts only above 0, any min counts (J-10); and units without a max (Q-14).
+
+    Where no unit has a max, the peak is the divisor, which nothing exceeds: then none counts as capless.
+    """
     joined = members.join(unit_list, "entity", "left")
-    return joined.groupBy(*by).agg(F.sum(F.when(F.col("pmax") > 0, F.col("pmax"))).alias("pmax"), F.sum("pmin").alias("pmin"), F.count_if(~F.coalesce(F.col("pmax") > 0, F.lit(False))).alias("capless"))
+    own = F.when(F.col("pmax") > 0, F.col("pmax"))
+    return joined.groupBy(*by).agg(F.sum(own).alias("pmax"), F.sum("pmin").alias("pmin"), F.when(F.count(own) > 0, F.count_if(own.isNull())).otherwise(0).alias("capless"))
 
 
 def flow_extremes(flows: DataFrame) -> DataFrame:
@@ -109,6 +113,18 @@ def limit_name_match(limit_names: DataFrame, flow_names: DataFrame) -> DataFrame
     return names.select("interface", match.alias("match"))
 
 
+def limit_match_report(limits: DataFrame, flows: DataFrame) -> DataFrame:
+    """case_id, matched, total: how many of a case's interfaces its limits name (Q-17). ``limits`` from ``limits_for_cases``."""
+    named = limits.select("case_id", F.trim("interface").alias("_i")).distinct().withColumn("_hit", F.lit(True))
+    joined = flows.select("case_id", F.trim("interface").alias("_i")).distinct().join(named, ["case_id", "_i"], "left")
+    return joined.groupBy("case_id").agg(F.count("_hit").alias("matched"), F.count(F.lit(1)).alias("total"))
+
+
+def paths_without_limits(limit_names: DataFrame, flow_names: DataFrame) -> DataFrame:
+    """Interfaces with flows that no limit names (J-17)."""
+    return flow_names.select(F.trim("interface").alias("interface")).distinct().join(limit_names.select(F.trim("interface").alias("interface")).distinct(), "interface", "left_anti")
+
+
 def limit_profile(limits: DataFrame) -> DataFrame:
     """One row about a limits table: rows, blank, near the no-limit threshold, varying within the year (A-28)."""
     per = limits.groupBy("interface", "side").agg(F.count_distinct("value").alias("levels"), F.count(F.lit(1)).alias("cells"), F.count_if(F.col("value").isNull()).alias("blank"), F.count_if(F.abs("value").between(0.9 * NO_LIMIT, NO_LIMIT)).alias("near"))

@@ -9,23 +9,23 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from casehours.functions.rules import AREA_DERIVED, POLYSEMOUS
+from casehours.functions.rules import AREA_CAPACITIES, AREA_DERIVED, AREA_MEANS, AREA_SUMS, AREA_WEIGHTS, POLYSEMOUS, RESERVES
 
 TABLE = ["case_id", "kind", "quantity"]
 
-#: Metric groups in display order: title, words that match, words that do not, headline metrics.
+#: Metric groups in display order: title, words that match, words that do not, a unit that matches, headline metrics.
 METRIC_GROUPS = (
-    ("Load", ("load",), ("payment", "cost", "lmp weighted"), ("Load (MWh)", "Served Load Including Losses (MWh)", "Net Load (MW)")),
-    ("Generation", ("generation", "capacity", "spillage"), ("revenue", "cost"), ("Generation (MWh)", "Available Capacity (MW)", "Installed Capacity (MW)")),
-    ("Prices", ("lmp", "price", "($/mwh)"), (), ("Avg LMP Weighted by Load ($/MWh)", "Avg LMP Weighted by Gen ($/MWh)")),
-    ("Interchange & losses", ("flow", "losses", "import", "export", "interface", "wheel"), (), ("Import Flow(MWh)", "Export Flow (MWh)")),
-    ("Costs & revenue", ("cost", "revenue", "payment", "(k$)"), (), ()),
-    ("Ancillary services", ("a. s.", "a.s.", "reserve", "regulation"), (), ()),
-    ("Emissions", ("so2", "nox", "co2", "emission"), (), ()),
-    ("Calculated", (), (), ()),
+    ("Load", ("load",), ("payment", "cost", "lmp weighted"), None, ("Load (MWh)", "Served Load Including Losses (MWh)", "Net Load (MW)")),
+    ("Generation", ("generation", "capacity", "spillage"), ("revenue", "cost"), None, ("Generation (MWh)", "Available Capacity (MW)", "Installed Capacity (MW)")),
+    ("Prices", ("lmp", "price"), (), "$/MWh", ("Avg LMP Weighted by Load ($/MWh)", "Avg LMP Weighted by Gen ($/MWh)")),
+    ("Interchange & losses", ("flow", "losses", "import", "export", "interface", "wheel"), (), None, ("Import Flow(MWh)", "Export Flow (MWh)")),
+    ("Costs & revenue", ("cost", "revenue", "payment"), (), "k$", ()),
+    ("Ancillary services", ("a. s.", "a.s.", "reserve", "regulation"), (), None, ()),
+    ("Emissions", ("so2", "nox", "co2", "emission"), (), None, ()),
+    ("Calculations", (), (), None, ()),
 )
 #: Fixed value: groups asked first, because their words also occur in others.
-ASKED_FIRST = ("Calculated", "Ancillary services", "Emissions")
+ASKED_FIRST = ("Calculations", "Ancillary services", "Emissions")
 
 
 def resolve(specs: DataFrame, facts: DataFrame, memberships: DataFrame) -> DataFrame:
@@ -45,37 +45,61 @@ def offered(facts: DataFrame, cases: list[str], kind: str) -> DataFrame:
     return facts.filter(F.col("case_id").isin(*cases) & (F.col("kind") == kind)).groupBy("quantity").agg(F.count_distinct("case_id").alias("cases"))
 
 
+def quantity_scope(facts: DataFrame, cases: list[str], kind: str, rules: DataFrame | None = None) -> DataFrame:
+    """quantity, cases, offered, reason: what the cases carry of a kind, and why a quantity is withheld (F-10).
+
+    ``rules`` (kind, quantity, can_group, reason, as from ``groups.combinable``): only what they let combine is offered.
+    """
+    carried = offered(facts, cases, kind)
+    if rules is None:
+        return carried.withColumn("offered", F.lit(True)).withColumn("reason", F.lit(None).cast("string"))
+    own = rules.filter(F.col("kind") == kind).select("quantity", "can_group", F.col("reason").alias("_why"))
+    joined = carried.join(own, "quantity", "left")
+    can = F.coalesce("can_group", F.lit(False))
+    return joined.select("quantity", "cases", can.alias("offered"), F.when(~can, F.coalesce("_why", F.lit("no rule for the unit"))).alias("reason"))
+
+
+def _known_metrics() -> dict[str, str]:
+    """Metrics that have a rule, and their units: the last parentheses."""
+    names = {*(m for m, *_ in AREA_WEIGHTS), *AREA_MEANS, *AREA_SUMS, *AREA_CAPACITIES, *(m for m, *_ in AREA_DERIVED)}
+    names |= {f"{r} A. S. {x}" for r in RESERVES for x in ("Price", "Requirement", "Served Amount")}
+    return {m: m[m.rindex("(") + 1 : -1] if m.endswith(")") else "" for m in names}
+
+
 def metric_group(name: Column) -> Column:
     """The display group of an area metric (O-03)."""
-    low = F.lower(name)
-    def matches(title: str, words: tuple, but: tuple) -> Column:
-        if title == "Calculated":
+    low, known = F.lower(name), _known_metrics()
+
+    def matches(title: str, words: tuple, but: tuple, unit: str | None) -> Column:
+        if title == "Calculations":
             return name.isin(*[m for m, *_ in AREA_DERIVED])
         hit = F.lit(False)
         for w in words:
             hit = hit | low.contains(w)
         for w in but:
             hit = hit & ~low.contains(w)
-        return hit
+        return hit | name.isin(*[m for m, u in known.items() if u == unit]) if unit else hit
 
     order = [g for g in METRIC_GROUPS if g[0] in ASKED_FIRST] + [g for g in METRIC_GROUPS if g[0] not in ASKED_FIRST]
     out = F.lit("Other")
-    for title, words, but, _ in reversed(order):
-        out = F.when(matches(title, words, but), title).otherwise(out)
+    for title, words, but, unit, _ in reversed(order):
+        out = F.when(matches(title, words, but, unit), title).otherwise(out)
     return out
 
 
-def metric_groups(metrics: DataFrame, rules: DataFrame | None = None) -> DataFrame:
-    """``metrics`` (metric, perhaps sparse and degenerate) with title, group_rank and rank: headline first, constants last (O-03)."""
+def metric_groups(metrics: DataFrame) -> DataFrame:
+    """``metrics`` (metric, perhaps sparse and degenerate) with title, group_rank and rank: headline first, then varying ones,
+    sparse ones, constants, and metrics without a rule last (O-03)."""
     title = metric_group(F.col("metric"))
     titles = [g[0] for g in METRIC_GROUPS]
     group_rank, headline = F.lit(len(titles)), F.lit(None).cast("int")
-    for k, (t, _, _, first) in enumerate(METRIC_GROUPS):
+    for k, (t, *_, first) in enumerate(METRIC_GROUPS):
         group_rank = F.when(F.col("title") == t, k).otherwise(group_rank)
         for j, m in enumerate(first):
             headline = F.when((F.col("title") == t) & (F.col("metric") == m), j).otherwise(headline)
     flag = lambda c: F.coalesce(F.col(c), F.lit(False)) if c in metrics.columns else F.lit(False)
-    rank = F.coalesce(headline, F.when(flag("degenerate"), 300).when(flag("sparse"), 200).otherwise(100))
+    known = F.col("metric").isin(*_known_metrics())
+    rank = F.coalesce(headline, F.when(~known, 500).when(flag("degenerate"), 300).when(flag("sparse"), 200).otherwise(100))
     return metrics.withColumn("title", title).withColumn("group_rank", group_rank).withColumn("rank", rank)
 
 

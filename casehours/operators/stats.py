@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -39,17 +39,16 @@ def ranked_stats(scope: DataFrame, facts: DataFrame, by: list[str], value: str =
 
 def box_stats(df: DataFrame, by: list[str], value: str = "value") -> DataFrame:
     """Box plots: quartiles by linear interpolation, whiskers within 1.5 IQR, outliers, degenerate (A-10, A-14)."""
-    clean = df.filter(F.col(value).isNotNull())
-    q = clean.groupBy(*by).agg(F.percentile(value, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("_q"), F.min(value).alias("min"), F.max(value).alias("max"), F.count(value).alias("n"))
-    q = q.select(*by, "n", "min", F.col("_q")[0].alias("p25"), F.col("_q")[1].alias("median"), F.col("_q")[2].alias("p75"), "max")
-    iqr = F.col("p75") - F.col("p25")
-    q = q.withColumn("_low", F.col("p25") - 1.5 * iqr).withColumn("_high", F.col("p75") + 1.5 * iqr)
-    v = F.col(value)
-    fences = q.select(*[F.col(c).alias(f"_k{i}") for i, c in enumerate(by)], "_low", "_high")
-    on = [df_col.eqNullSafe(F.col(f"_k{i}")) for i, df_col in enumerate(clean[c] for c in by)]
-    inside = clean.join(fences, on).groupBy(*[clean[c] for c in by]).agg(F.min(F.when(v.between(F.col("_low"), F.col("_high")), v)).alias("whisker_low"), F.max(F.when(v.between(F.col("_low"), F.col("_high")), v)).alias("whisker_high"), F.count_if(~v.between(F.col("_low"), F.col("_high"))).alias("outliers"))
-    same = [q[c].eqNullSafe(inside[c]) for c in by]
-    return q.join(inside, same).select(*[q[c] for c in by], "n", "min", "p25", "median", "p75", "max", "whisker_low", "whisker_high", "outliers", (F.col("min") == F.col("max")).alias("degenerate"))
+    points = F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))
+    # the quartiles come with every row, so that the whiskers need neither a second pass over the facts nor a join
+    held = df.filter(F.col(value).isNotNull()).select(*by, F.col(value).alias("_v"), F.percentile(value, points).over(Window.partitionBy(*by)).alias("_q"))
+    v, p25, p75 = F.col("_v"), F.col("_q")[0], F.col("_q")[2]
+    inside = v.between(p25 - 1.5 * (p75 - p25), p75 + 1.5 * (p75 - p25))
+    q = held.groupBy(*by).agg(
+        F.count(v).alias("n"), F.min(v).alias("min"), F.max(v).alias("max"), F.first("_q").alias("_q"),
+        F.min(F.when(inside, v)).alias("whisker_low"), F.max(F.when(inside, v)).alias("whisker_high"), F.count_if(~inside).alias("outliers"),
+    )
+    return q.select(*by, "n", "min", p25.alias("p25"), F.col("_q")[1].alias("median"), p75.alias("p75"), "max", "whisker_low", "whisker_high", "outliers", (F.col("min") == F.col("max")).alias("degenerate"))
 
 
 def quartiles(df: DataFrame, by: list[str], value: str = "value", approximate: int | None = None) -> DataFrame:
