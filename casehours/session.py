@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import SparkSession
 
 DEFAULTS = {
@@ -15,3 +18,14 @@ DEFAULTS = {
 def session(app: str = "casehours", **more: str) -> SparkSession:
     """The active session or a new one with the defaults; ``more`` has further settings, dots as double underscores."""
     return SparkSession.builder.appName(app).config(map=DEFAULTS | {k.replace("__", "."): v for k, v in more.items()}).getOrCreate()
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A path that nothing else uses, in the folder that driver and executors share (``spark.checkpoint.dir``); in local mode a temporary one."""
+    place = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not place:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        place = tempfile.mkdtemp(prefix="spark-casehours-", dir="/tmp")
+        spark.sparkContext.setCheckpointDir(place)
+    return f"{place.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"

@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import re
+import uuid
+
+import pandas as pd
+import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,8 +18,8 @@ STUDY_TABLES = ("facts", "table_hours", "bus_list", "generator_list", "membershi
 
 
 def write_table(rows: DataFrame, path: str, order: list, descriptor: dict[str, str]) -> None:
-    """A statistics table as CSV in sort order, and its descriptor lines beside it (K-01)."""
-    rows.orderBy(*order).coalesce(1).write.mode("overwrite").option("header", "true").csv(f"{path}/rows")
+    """A statistics table as CSV, its part files in sort order, and its descriptor lines beside it (K-01)."""
+    rows.orderBy(*order).write.mode("overwrite").option("header", "true").csv(f"{path}/rows")
     lines = [(k, f"# {a}: {b}") for k, (a, b) in enumerate(descriptor.items())]
     rows.sparkSession.createDataFrame(lines, "k int, value string").orderBy("k").coalesce(1).select("value").write.mode("overwrite").text(f"{path}/descriptor")
 
@@ -24,10 +29,12 @@ def hourly_wide(series: DataFrame, names: list[tuple[str, int]], spark: SparkSes
     if len(names) > MOST_COLUMNS:
         raise ValueError(f"{len(names)} columns; a sheet holds {MOST_COLUMNS}")
     several = len({y for _, y in names}) > 1
-    cells = [F.max(F.when((F.col("series") == s) & (F.col("year") == y) & ~cal.is_phantom(), F.col("value"))).alias(f"{s} {y}" if several else s) for s, y in names]
-    wide = series.groupBy("slot_hour").agg(*cells)
+    titles = [f"{s} {y}" if several else s for s, y in names]
+    title = F.concat_ws(" ", "series", F.col("year").cast("string")) if several else F.col("series")
+    shown = series.join(spark.createDataFrame(names, "series string, year int"), ["series", "year"], "left_semi").filter(~cal.is_phantom())
+    wide = shown.withColumn("_title", title).groupBy("slot_hour").pivot("_title", titles).agg(F.max("value"))
     base = spark.range(cal.SLOT_HOURS).select(F.col("id").cast("int").alias("slot_hour"))
-    return base.join(wide, "slot_hour", "left").select(cal.month_of().alias("month"), cal.monthday_of().alias("day"), cal.he_of().alias("he"), "slot_hour", *[F.col(f"`{s} {y}`" if several else f"`{s}`") for s, y in names]).orderBy("slot_hour")
+    return base.join(wide, "slot_hour", "left").select(cal.month_of().alias("month"), cal.monthday_of().alias("day"), cal.he_of().alias("he"), "slot_hour", *[F.col(f"`{t}`") for t in titles]).orderBy("slot_hour")
 
 
 def hourly_long(series: DataFrame, spark: SparkSession, first_year: int, years: int, kept=None) -> DataFrame:
@@ -48,7 +55,28 @@ def window_extract(wide: DataFrame, first: int, last: int, columns: list[str]) -
 def write_memberships(memberships: DataFrame, path: str) -> None:
     """Name,Grouping,Direction in insertion order, unresolved rows included (K-04)."""
     rows = memberships.orderBy("src_order").select(F.col("entity").alias("Name"), F.col("grp").alias("Grouping"), F.when(F.col("coef") < 0, "reversed").otherwise("forward").alias("Direction"))
-    rows.coalesce(1).write.mode("overwrite").option("header", "true").csv(path)
+    rows.write.mode("overwrite").option("header", "true").csv(path)
+
+
+def write_texts(files: DataFrame, directory: str) -> DataFrame:
+    """Write a text file for every row of ``files`` (name, text) under ``directory``; gives name, bytes.
+
+    A file gets its name when it is whole, so that a retried task leaves one.
+    """
+    def write(batches):
+        for batch in batches:
+            fs, where = pafs.FileSystem.from_uri(re.sub(r"^file:/+", "file:///", directory))
+            fs.create_dir(where, recursive=True)
+            sizes = []
+            for name, text in zip(batch["name"], batch["text"], strict=True):
+                passing = f"{where}/.{name}.{uuid.uuid4().hex[:8]}"
+                with fs.open_output_stream(passing, compression=None) as out:
+                    out.write(text.encode())
+                fs.move(passing, f"{where}/{name}")
+                sizes.append(len(text.encode()))
+            yield pd.DataFrame({"name": batch["name"], "bytes": sizes})
+
+    return files.select("name", "text").mapInPandas(write, "name string, bytes long")
 
 
 def save_study(path: str, **tables: DataFrame) -> None:

@@ -4,19 +4,26 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from urllib.parse import unquote
 
 import pandas as pd
+import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Lines of a file that are looked at: banners stand in the first 20, titles, ids and headers before.
 PROBE_LINES = 20
+#: Bytes that are read at a time.
+PROBE_BYTES = 1 << 16
 
 #: Key columns of long exports, longest first, and title words of wide ones.
 LONG_KEYS = (("bus", ("Date", "Hour", "TOU", "BusID", "BusName", "Area")), ("generator", ("Date", "Hour", "TOU", "UnitName", "BusID", "UnitID")), ("area", ("Date", "Hour", "TOU", "Name")))
 WIDE_KINDS = ("area", "interface", "bus", "generator")
 LIMITS_BANNER, LIST_BANNERS = "INTERFACELIMITSCHEDULE_MONTHLY", {"BUS_GENERAL": "bus_list", "GENERATORLIST": "generator_list"}
 
+#: Marks of a saved study's descriptor and of a file of edited groups.
+STUDY_MAGIC, GROUPS_BANNER = "casehours study", "# groups"
+
 _TITLE = re.compile(r"^\s*\"?(\w+) Hourly '(.+)' Data for Year (\d{4})", re.I)
 _SPAN = re.compile(r"first hour of (\d{1,2}/\d{1,2}/(\d{4})) to the last hour of (\d{1,2}/\d{1,2}/(\d{4}))", re.I)
 
@@ -46,6 +53,10 @@ def classify(head: str) -> dict:
                 break
         else:
             out["reason"] = "no long export has these key columns"
+    elif first and first[0].startswith(GROUPS_BANNER):
+        found.append(("groups", "groups"))
+    elif lines[0].startswith(STUDY_MAGIC):
+        found.append(("study", "study"))
     elif "Grouping" in first:
         found.append(("membership", "membership"))
         out["columns"] = first
@@ -89,23 +100,35 @@ def bus_ids_refusal(ids: list[str]) -> str | None:
     return None
 
 
+def head_of(path: str) -> bytes:
+    """The first lines of a file, each whole."""
+    fs, where = pafs.FileSystem.from_uri(re.sub(r"^file:/+", "file:///", path))
+    parts, lines = [], 0
+    with fs.open_input_stream(where, compression=None) as stream:
+        while lines < PROBE_LINES and (piece := stream.read(PROBE_BYTES)):
+            parts.append(piece)
+            lines += piece.count(b"\n")
+    return b"\n".join(b"".join(parts).split(b"\n", PROBE_LINES)[:PROBE_LINES])
+
+
 def catalog(spark: SparkSession, paths: list[str] | str, case_pattern: str | None = None) -> DataFrame:
     """One row per file under ``paths``: its shape and what it carries, plus case_id from the file name (S-13).
 
-    ``case_pattern`` is a name with one ``*``, which stands for the case; without a match the stem is the case.
+    ``case_pattern`` is a name with one ``*``, which stands for the case, and ``?`` for other characters that differ; without a match the stem is the case.
     """
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(paths).select("path", F.substring_index(F.col("content").cast("string"), "\n", PROBE_LINES).cast("binary").alias("head"))
+    # the content is not selected, so Spark lists the files alone; a task opens a file and reads its first lines
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(paths).select("path")
 
     def probe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            rows = [{"path": p, "src_file": p.rsplit("/", 1)[-1], **classify(bytes(h).decode("utf-8", "replace"))} for p, h in zip(batch["path"], batch["head"], strict=True)]
+            rows = [{"path": p, "src_file": unquote(p.rsplit("/", 1)[-1]), **classify(head_of(p).decode("utf-8", "replace"))} for p in batch["path"]]
             yield pd.DataFrame(rows, columns=[c.split()[0] for c in SCHEMA.split(", ")])
 
     found = files.mapInPandas(probe, SCHEMA)
     stem = F.regexp_replace("src_file", r"\.[^.]*$", "")
     case = stem
     if case_pattern and case_pattern.count("*") == 1:
-        a, b = (re.escape(x) for x in case_pattern.split("*"))
+        a, b = (re.escape(x).replace(r"\?", ".") for x in case_pattern.split("*"))
         named = F.regexp_extract("src_file", f"^{a}(.*){b}$", 1)
         case = F.when(named != "", named).otherwise(stem)
     return found.withColumn("case_id", case)

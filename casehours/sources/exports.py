@@ -16,14 +16,16 @@ KEY_COLUMNS = {"area": 1, "bus": 3, "generator": 3}
 
 
 def _lines(spark: SparkSession, files: DataFrame, shape: str) -> DataFrame:
+    """path-less lines of the files of a shape, with what the catalog says of their file; no rows without such files."""
     chosen = files.filter((F.col("shape") == shape) & F.col("reason").isNull())
     paths = [r["path"] for r in chosen.select("path").collect()]  # names of files, not data
-    if not paths:
-        return None
-    text = spark.read.text(paths).select(F.regexp_replace("value", r"\r$", "").alias("line"), F.col("_metadata.file_path").alias("path"))
+    if paths:
+        text = spark.read.text(paths).select(F.regexp_replace("value", r"\r$", "").alias("line"), F.col("_metadata.file_path").alias("path"))
+    else:
+        text = spark.createDataFrame([], "line string, path string")
     meta = chosen.select(F.col("path"), "src_file", "case_id", "kind", "quantity", "first_year", "last_year", "src_rank")
     bare = F.regexp_replace("path", r"^file:/+", "/")
-    return text.withColumn("_p", bare).drop("path").join(F.broadcast(meta.withColumn("_p", bare).drop("path")), "_p").withColumn("cells", F.split("line", ",", -1))
+    return text.withColumn("_p", bare).drop("path").join(meta.withColumn("_p", bare).drop("path"), "_p").withColumn("cells", F.split("line", ",", -1))
 
 
 def header_positions(files: DataFrame, shape: str, retained: list[str] | None = None) -> DataFrame:
@@ -60,7 +62,7 @@ FACTS = ["case_id", "kind", "quantity", "entity", "year", "slot_hour", "value",
 
 def _unpivoted(rows: DataFrame, header: DataFrame) -> DataFrame:
     """Rows by header position: a cell that the row lacks is null."""
-    joined = rows.join(F.broadcast(header.groupBy("src_file").agg(F.collect_list(F.struct("pos", "name")).alias("_header"))), "src_file")
+    joined = rows.join(header.groupBy("src_file").agg(F.collect_list(F.struct("pos", "name")).alias("_header")), "src_file")
     each = joined.select("*", F.explode("_header").alias("_h")).drop("_header")
     return each.withColumn("raw", F.get("cells", F.col("_h.pos"))).withColumn("name", F.col("_h.name"))
 
@@ -70,7 +72,7 @@ def read_wide(spark: SparkSession, files: DataFrame, retained: list[str] | None
     lines = _lines(spark, files, "wide")
     rows = _parsed(lines).filter(F.get("cells", F.lit(0)).rlike(r"^\s*\d"))
     width = header_width(files, "wide")
-    rows = rows.join(F.broadcast(width), "src_file")
+    rows = rows.join(width, "src_file")
     beyond = F.exists(F.slice("cells", F.col("width") + 1, F.greatest(F.size("cells") - F.col("width"), F.lit(0))), lambda c: F.trim(c) != "")
     bad = F.exists(F.slice("cells", 4, F.greatest(F.size("cells") - 3, F.lit(0))), value_is_bad)
     rows = _cause(rows, [(F.lit(False), ""), (beyond, "field beyond the header"), (bad, "bad cell")])
@@ -84,7 +86,7 @@ def read_long(spark: SparkSession, files: DataFrame, retained: list[str] | None
     rows = _parsed(lines).filter(F.trim(F.get("cells", F.lit(0))) != "Date")
     raw = F.trim(F.get("cells", F.lit(3)))
     entity = F.when(F.col("kind") == "bus", F.regexp_extract(raw, r"^(\d+)(?:\.0*)?$", 1)).otherwise(raw)
-    rows = rows.withColumn("entity", entity).join(F.broadcast(header_width(files, "long")), "src_file")
+    rows = rows.withColumn("entity", entity).join(header_width(files, "long"), "src_file")
     first = F.coalesce(*[F.when(F.col("kind") == k, F.lit(3 + n)) for k, n in KEY_COLUMNS.items()])
     bad = F.exists(F.slice("cells", first + 1, F.greatest(F.size("cells") - first, F.lit(0))), value_is_bad)
     rows = _cause(rows, [(F.coalesce(F.col("entity"), F.lit("")).rlike(r'^$|"'), "blank or quoted id"), (F.size("cells") != F.col("width"), "ragged row"), (bad, "bad cell")])

@@ -49,14 +49,22 @@ def read_list(spark: SparkSession, path: str, name: str) -> DataFrame:
     return body.withColumn("_rn", F.row_number().over(first)).filter("_rn = 1").drop("_rn", "line_no")
 
 
+#: Text columns that a list declares besides the typed ones.
+DECLARED_TEXT = {"bus_list": ("Name", "LoadArea", "PSSEArea", "PSSEZone"), "generator_list": ("Name", "Bus Name", "Unit ID", "Generator TypeID", "SubType", "Long ID", "Long Name", "DevStatus", "Area Name", "Region Name", "State", "County", "City", "Zipcode", "FuelType", "Technology")}
+
+
 def list_quality(spark: SparkSession, path: str, name: str) -> DataFrame:
-    """One row: rows, blank_keys, repeated_keys of a list (Q-11)."""
-    key = KEYS[name]
+    """One row: rows, blank_keys, repeated_keys, undeclared and missing columns of a list (Q-11)."""
+    key, declared = KEYS[name], {*(BUS_LIST if name == "bus_list" else GENERATOR_LIST), *DECLARED_TEXT[name]}
     rows = numbered_lines(spark, path).filter(F.trim("line") != "").select("line_no", quoted_cells(F.col("line")).alias("cells"))
     head = rows.filter(F.exists("cells", lambda c: F.trim(c) == key)).orderBy("line_no").limit(1).first()
-    at = [c.strip() for c in head["cells"]].index(key)
-    keys = rows.filter(F.col("line_no") > head["line_no"]).select(normalized(F.get("cells", F.lit(at))).alias("k"))
-    return keys.agg(F.count(F.lit(1)).alias("rows"), F.count_if(F.col("k").isNull()).alias("blank_keys"), (F.count("k") - F.count_distinct("k")).alias("repeated_keys"))
+    if head is None:
+        raise ValueError(f"the list has no column {key}")
+    titles = [c.strip() for c in head["cells"]]
+    texts = lambda names: F.array(*map(F.lit, sorted(names))).cast("array<string>")
+    keys = rows.filter(F.col("line_no") > head["line_no"]).select(normalized(F.get("cells", F.lit(titles.index(key)))).alias("k"))
+    counts = keys.agg(F.count(F.lit(1)).alias("rows"), F.count_if(F.col("k").isNull()).alias("blank_keys"), (F.count("k") - F.count_distinct("k")).alias("repeated_keys"))
+    return counts.withColumn("undeclared", texts({t for t in titles if t} - declared)).withColumn("missing", texts(declared - set(titles)))
 
 
 def read_limits(spark: SparkSession, path: str, scope_case: str | None = None) -> DataFrame:
