@@ -9,7 +9,7 @@ from casehours import sinks
 from casehours.functions import calendar as cal
 from casehours.functions import cells, fuel
 from casehours.operators import browse, groups, merge, series, shapes, stats
-from casehours.plans.facts import H, MEMBERS, RATE, hourly, memberships, series_of, table
+from casehours.plans.facts import H, LEAP, MEMBERS, RATE, hourly, memberships, series_of, table
 from casehours.plans.queries import G, group_series, query, rounded
 
 # ---------------------------------------------------------------- curves, stacks, overlays
@@ -35,7 +35,7 @@ def stack_order(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(shapes.stack_order(group_series(spark, sf), ["case_id"], "grp"))
 
 
-@query(f"""WITH {H}, gl AS (SELECT case_id, grp, year, slot_hour, sum(load) AS value FROM h GROUP BY ALL), o AS (SELECT case_id, grp, row_number() OVER (PARTITION BY case_id ORDER BY sum(value) DESC, grp) AS stack_rank FROM gl GROUP BY ALL),
+@query(f"""WITH {H}, gl AS (SELECT case_id, grp, year, slot_hour, sum(load) AS value FROM h GROUP BY ALL), o AS (SELECT case_id, grp, row_number() OVER (PARTITION BY case_id ORDER BY sum(value) DESC, grp) AS stack_rank FROM gl GROUP BY case_id, grp),
 t AS (SELECT DISTINCT case_id, year, slot_hour FROM gl), d AS (SELECT t.*, o.grp, stack_rank, coalesce(value, 0) AS v FROM t JOIN o USING (case_id) LEFT JOIN gl ON gl.case_id = t.case_id AND gl.grp = o.grp AND gl.year = t.year AND gl.slot_hour = t.slot_hour),
 r AS (SELECT case_id, grp, stack_rank, sum(v) OVER (PARTITION BY case_id, year, slot_hour ORDER BY stack_rank) AS running FROM d)
 SELECT case_id, grp, stack_rank::INT AS stack_rank, count(*) AS hours, round(sum(running), 4) AS total, round(max(running), 4) AS peak FROM r GROUP BY ALL""")
@@ -86,13 +86,13 @@ def period_summary(spark: SparkSession, sf: str) -> DataFrame:
 
 
 XY = """
-x0 AS (SELECT year, slot_hour, value FROM g WHERE case_id = 'N' AND grp = 'ASIA' AND year IN (1996, 1997, 1999)), y0 AS (SELECT year, slot_hour, value FROM g WHERE case_id = 'N' AND grp = 'EUROPE' AND year IN (1997, 1998, 2000)),
+x0 AS (SELECT year, slot_hour, sum(value) AS value FROM g WHERE grp <> 'EUROPE' AND year <> 1997 GROUP BY ALL), y0 AS (SELECT year, slot_hour, sum(value) AS value FROM g WHERE grp <> 'ASIA' GROUP BY ALL),
 x AS (SELECT dense_rank() OVER (ORDER BY year) AS k, slot_hour, value AS x FROM x0), y AS (SELECT dense_rank() OVER (ORDER BY year) AS k, slot_hour, value AS y FROM y0), xy AS (SELECT k, slot_hour, x, y FROM x JOIN y USING (k, slot_hour))"""
 
 
 def _xy(spark: SparkSession, sf: str) -> DataFrame:
-    s = group_series(spark, sf).filter("case_id = 'N'")
-    return shapes.xy_pairs(s.filter("grp = 'ASIA' and year in (1996, 1997, 1999)"), s.filter("grp = 'EUROPE' and year in (1997, 1998, 2000)"))
+    total = lambda kept: group_series(spark, sf).filter(kept).groupBy("year", "slot_hour").agg(F.sum("value").alias("value"))
+    return shapes.xy_pairs(total("grp <> 'EUROPE' and year <> 1997"), total("grp <> 'ASIA'"))
 
 
 @query(f"WITH {H}, {G}, {XY} SELECT k::INT AS k, slot_hour, round(x, 4) AS x, round(y, 4) AS y FROM xy")
@@ -128,20 +128,26 @@ def window_extremes(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(e.withColumn("low_hour", F.col("low_hour").cast("int")).withColumn("high_hour", F.col("high_hour").cast("int")))
 
 
-@query(f"""WITH {H}, s AS (SELECT range::INT AS slot_hour FROM range(8784)), w AS (SELECT slot_hour, sum(net) FILTER (case_id = 'A' AND year = 1996) AS a, sum(net) FILTER (case_id = 'A' AND year = 1997) AS b FROM h GROUP BY 1)
-SELECT slot_hour, month(DATE '2000-01-01' + (slot_hour // 24)::INT)::INT AS month, day(DATE '2000-01-01' + (slot_hour // 24)::INT)::INT AS day, (slot_hour % 24 + 1)::INT AS he, round(a, 4) AS "A 1996", round(CASE WHEN slot_hour // 24 <> 59 THEN b END, 4) AS "A 1997" FROM s LEFT JOIN w USING (slot_hour)""")
+#: Columns of the sheet: the cases, and years that hold all ship dates.
+SHEET = [(c, y) for c in ("A", "N", "R") for y in range(1992, 2003)]
+
+
+@query(f"""WITH {H}, s AS (SELECT range::INT AS slot_hour FROM range(8784)), w AS (SELECT slot_hour, {", ".join(f"sum(net) FILTER (case_id = '{c}' AND year = {y}) AS {c}{y}" for c, y in SHEET)} FROM h GROUP BY 1)
+SELECT slot_hour, month(DATE '2000-01-01' + (slot_hour // 24)::INT)::INT AS month, day(DATE '2000-01-01' + (slot_hour // 24)::INT)::INT AS day, (slot_hour % 24 + 1)::INT AS he, {", ".join(f'round({c}{y}, 4) AS "{c} {y}"' for c, y in SHEET)} FROM s LEFT JOIN w USING (slot_hour)""")
 def hourly_wide(spark: SparkSession, sf: str) -> DataFrame:
-    """K-02: slot rows, a column per series and year."""
+    """K-02: slot rows, a column per series and year, all cases and years."""
     s = hourly(spark, sf).groupBy(F.col("case_id").alias("series"), "year", "slot_hour").agg(F.sum("net").alias("value"))
-    return rounded(sinks.hourly_wide(s, [("A", 1996), ("A", 1997)], spark))
+    return rounded(sinks.hourly_wide(s, SHEET, spark))
 
 
-@query(f"""WITH {H}, s AS (SELECT DISTINCT case_id AS series FROM h), v AS (SELECT case_id AS series, year, slot_hour, sum(load) AS value FROM h GROUP BY ALL), t AS (SELECT y AS year, range AS slot_hour FROM range(8784), (VALUES (1996), (1997)) AS yy(y) WHERE y % 4 = 0 OR range // 24 <> 59)
+@query(f"""WITH {H}, s AS (SELECT DISTINCT case_id AS series FROM h), v AS (SELECT case_id AS series, year, slot_hour, sum(load) AS value FROM h GROUP BY ALL), b AS (SELECT min(year) AS a, max(year) AS b FROM h),
+yy AS (SELECT range AS y FROM b, range(a, b + 1)), t AS (SELECT y AS year, range AS slot_hour FROM yy, range(8784) WHERE {LEAP} OR range // 24 <> 59)
 SELECT series, year::INT AS year, month(DATE '2000-01-01' + (slot_hour // 24)::INT)::INT AS month, count(*) AS cells, count(value) AS filled FROM (SELECT * FROM s, t) LEFT JOIN v USING (series, year, slot_hour) GROUP BY ALL""")
 def hourly_long(spark: SparkSession, sf: str) -> DataFrame:
-    """K-03: a cell for every real hour, counted by month."""
+    """K-03: a cell for every real hour of the span, counted by month."""
     s = hourly(spark, sf).groupBy(F.col("case_id").alias("series"), "year", "slot_hour").agg(F.sum("load").alias("value"))
-    return sinks.hourly_long(s, spark, 1996, 2).groupBy("series", "year", "month").agg(F.count(F.lit(1)).alias("cells"), F.count("value").alias("filled"))
+    span = table(spark, sf, "lineitem").agg(F.min(F.year("l_shipdate")).alias("a"), F.max(F.year("l_shipdate")).alias("b")).first()
+    return sinks.hourly_long(s, spark, span["a"], span["b"] - span["a"] + 1).groupBy("series", "year", "month").agg(F.count(F.lit(1)).alias("cells"), F.count("value").alias("filled"))
 
 
 # ---------------------------------------------------------------- merges and quality
@@ -230,27 +236,27 @@ def dup_rows(spark: SparkSession, sf: str) -> DataFrame:
     return merge.duplicate_cells(c).select(F.col("entity").alias("o_custkey"), F.col("slot_hour").alias("day"), "copies")
 
 
-@query(f"WITH {H} SELECT case_id, year, slot_hour, count(DISTINCT CASE WHEN entity < 'F' AND slot_hour % 50 = 0 THEN 'OnPeak' ELSE tou END)::BIGINT AS labels FROM h GROUP BY ALL HAVING count(DISTINCT CASE WHEN entity < 'F' AND slot_hour % 50 = 0 THEN 'OnPeak' ELSE tou END) > 1")
+@query(f"WITH {H} SELECT case_id, year, slot_hour, count(DISTINCT CASE WHEN entity < 'NATION_2' THEN 'OnPeak' ELSE tou END)::BIGINT AS labels FROM h GROUP BY ALL HAVING count(DISTINCT CASE WHEN entity < 'NATION_2' THEN 'OnPeak' ELSE tou END) > 1")
 def tou_conflict(spark: SparkSession, sf: str) -> DataFrame:
     """Q-04: hours with two labels."""
-    h = hourly(spark, sf).withColumn("tou", F.when((F.col("entity") < "F") & (F.col("slot_hour") % 50 == 0), "OnPeak").otherwise(F.col("tou")))
+    h = hourly(spark, sf).withColumn("tou", F.when(F.col("entity") < "NATION_2", "OnPeak").otherwise(F.col("tou")))
     return merge.tou_conflicts(h, ["case_id"])
 
 
-@query(f"""WITH {H}, y AS (SELECT DISTINCT case_id, entity, year FROM h WHERE NOT (entity < 'F' AND year = 1998)), s AS (SELECT case_id, entity, min(year) AS a, max(year) AS b, list(year) AS l FROM y GROUP BY ALL)
+@query(f"""WITH {H}, y AS (SELECT DISTINCT case_id, entity, year FROM h WHERE NOT (entity < 'NATION_2' AND year = 1998)), s AS (SELECT case_id, entity, min(year) AS a, max(year) AS b, list(year) AS l FROM y GROUP BY ALL)
 SELECT case_id, entity, a AS first_year, b AS last_year, len(list_filter(range(a, b + 1), lambda x: NOT list_contains(l, x)))::INT AS gaps, CASE WHEN len(list_filter(range(a, b + 1), lambda x: NOT list_contains(l, x))) > 0 THEN 'years are missing' END AS refusal FROM s""")
 def year_gap(spark: SparkSession, sf: str) -> DataFrame:
     """Q-05, U-02: years missing inside a span."""
-    h = hourly(spark, sf).filter("not (entity < 'F' and year = 1998)")
+    h = hourly(spark, sf).filter("not (entity < 'NATION_2' and year = 1998)")
     return merge.year_gaps(h, ["case_id", "entity"]).select("case_id", "entity", "first_year", "last_year", F.size("missing_years").alias("gaps"), "refusal")
 
 
-@query(f"""WITH {H}, s AS (SELECT case_id, entity, min(year) AS a, max(year) AS b FROM h GROUP BY ALL), w AS (SELECT *, min(a) OVER (PARTITION BY case_id) AS ca, max(b) OVER (PARTITION BY case_id) AS cb FROM s)
+@query(f"""WITH {H}, s AS (SELECT case_id, entity, min(year) AS a, max(year) AS b FROM h WHERE NOT (entity LIKE '%3' AND year > 1998) GROUP BY ALL), w AS (SELECT *, min(a) OVER (PARTITION BY case_id) AS ca, max(b) OVER (PARTITION BY case_id) AS cb FROM s)
 SELECT case_id, entity, a AS first_year, b AS last_year, ca AS case_first, cb AS case_last FROM w WHERE a <> ca OR b <> cb""")
 def span_mismatch(spark: SparkSession, sf: str) -> DataFrame:
     """Q-10: tables whose span is not their case's."""
-    s = hourly(spark, sf).groupBy("case_id", "entity").agg(F.min("year").alias("first_year"), F.max("year").alias("last_year"))
-    return merge.span_mismatches(s)
+    h = hourly(spark, sf).filter("not (entity like '%3' and year > 1998)")
+    return merge.span_mismatches(h.groupBy("case_id", "entity").agg(F.min("year").alias("first_year"), F.max("year").alias("last_year")))
 
 
 @query("""WITH n AS (SELECT p_name AS q FROM part UNION ALL SELECT replace(p_name, ' ', '  ') FROM part WHERE p_partkey % 7 = 0) SELECT regexp_replace(q, '\\s+', '', 'g') AS squeezed, list_sort(list(DISTINCT q)) AS spellings FROM n GROUP BY 1 HAVING count(DISTINCT q) > 1""")
@@ -277,16 +283,21 @@ def strict_number(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "part").select("p_partkey", F.round(cells.number(cell), 6).alias("value"))
 
 
-FUEL_CASES = ("PV", "Hydro", "hydro pumped", "NG", "Wnd turbine", "Coal", "lng", "MWh", "Hydrogen", "", "Mystery", "(unlisted)")
-FUEL_CLEAN = ("Solar", "Hydro", "Pumped Storage", "Natural Gas", "Wind", "Coal", "Natural Gas", "Battery Storage", "Hydrogen", "Unknown", "Unrecognised", "Unlisted")
-FUEL_GROUP = ("Solar", "Hydro", "Storage", "Thermal", "Wind", "Thermal", "Thermal", "Storage", "Thermal", "Unknown", "Unrecognised", "Unlisted")
+#: Cells, the cleaned fuel and the fuel group of each.
+FUEL_ROWS = (
+    ("PV", "Solar", "Solar"), ("Hydro", "Hydro", "Hydro"), ("hydro  pumped", "Pumped Storage", "Storage"), ("NG", "Natural Gas", "Thermal"), ("Wnd turbine", "Wind", "Wind"), ("Coal", "Coal", "Thermal"),
+    ("lng", "Natural Gas", "Thermal"), ("MWh", "Battery Storage", "Storage"), ("Hydrogen", "Hydrogen", "Thermal"), ("", "Unknown", "Unknown"), ("Mystery", "Unrecognised", "Unrecognised"), ("(unlisted)", "Unlisted", "Unlisted"),
+    ("none", "Unknown", "Unknown"), ("Unknown", "Unknown", "Unknown"), (" (blank) ", "Unknown", "Unknown"), ("-", "Unknown", "Unknown"), ("--", "Unknown", "Unknown"), ("N/A", "Unknown", "Unknown"), ("null", "Unknown", "Unknown"),
+    ("Combustion  Turbine 3", "Natural Gas", "Thermal"), ("DF No. 2", "Distillate Fuel Oil", "Thermal"), ("Li-Ion 4h", "Battery Storage", "Storage"), ("wood chips", "Biomass", "Thermal"), ("geo-1", "Geothermal", "Thermal"), ("es 2", "Battery Storage", "Storage"),
+)
+FUEL_CASES, FUEL_CLEAN, FUEL_GROUP = zip(*FUEL_ROWS, strict=True)
 
 
-@query(f"SELECT ({list(FUEL_CLEAN)!r})[p_partkey % 12 + 1] AS clean_fuel, ({list(FUEL_GROUP)!r})[p_partkey % 12 + 1] AS fuel_group, count(*) AS units, round(sum(p_retailprice), 4) AS total FROM part GROUP BY ALL")
+@query(f"SELECT ({list(FUEL_CLEAN)!r})[p_partkey % 25 + 1] AS clean_fuel, ({list(FUEL_GROUP)!r})[p_partkey % 25 + 1] AS fuel_group, count(*) AS units, round(sum(p_retailprice), 4) AS total FROM part GROUP BY ALL")
 def clean_fuel(spark: SparkSession, sf: str) -> DataFrame:
     """T-11, T-12, A-04: cleaned fuels of units (parts, given fuels in turn) and sums by them."""
     p = table(spark, sf, "part")
-    cell = F.element_at(F.array(*[F.lit(c) for c in FUEL_CASES]), (F.col("p_partkey") % 12 + 1).cast("int"))
+    cell = F.element_at(F.array(*[F.lit(c) for c in FUEL_CASES]), (F.col("p_partkey") % 25 + 1).cast("int"))
     u = p.select(F.col("p_name").alias("entity"), cell.alias("fuel_type"), F.when(cell == "(unlisted)", cell).otherwise("").alias("technology"), F.when(cell == "(unlisted)", cell).alias("sub_type"), "p_retailprice")
     return fuel.with_clean_fuel(u).groupBy("clean_fuel", "fuel_group").agg(F.count(F.lit(1)).alias("units"), F.round(F.sum("p_retailprice"), 4).alias("total"))
 
@@ -304,24 +315,28 @@ def year_runs(spark: SparkSession, sf: str) -> DataFrame:
     return browse.year_runs(hourly(spark, sf).filter("(year + length(entity)) % 3 <> 0"), ["case_id", "entity"])
 
 
-@query(f"WITH {MEMBERS} SELECT grp, sha256(string_agg(entity, chr(0) ORDER BY entity)) AS signature FROM m GROUP BY 1".replace("chr(0)", "'|'"))
+@query(f"WITH {MEMBERS} SELECT grp, sha256(string_agg(entity, chr(31) ORDER BY entity)) AS signature FROM m GROUP BY 1")
 def member_signatures(spark: SparkSession, sf: str) -> DataFrame:
     """T-22: an order-free signature of each group's members."""
     m = memberships(spark, sf).groupBy("grp").agg(F.collect_list("entity").alias("e"))
-    return m.select("grp", F.sha2(F.concat_ws("|", F.array_sort("e")), 256).alias("signature"))
+    return m.select("grp", browse.member_signature(F.col("e")).alias("signature"))
 
 
-@query(f"SELECT event_type AS entity, hour(ts)::INT + 1 AS he, count(*) AS n, round(sum(value), 4) AS total, round(avg(value) * {RATE}::DOUBLE, 4) AS mean, count(DISTINCT date_trunc('day', ts)) AS days FROM events GROUP BY ALL")
+@query(f"""WITH e AS (SELECT event_type AS entity, ts::DATE AS d, year(ts)::INT AS y, hour(ts) AS hr, value FROM events),
+f AS (SELECT entity, y AS year, ((dayofyear(d) - 1 + CASE WHEN NOT {LEAP} AND month(d) >= 3 THEN 1 ELSE 0 END) * 24 + hr)::INT AS slot_hour, sum(value) * {RATE}::DOUBLE AS value FROM e GROUP BY ALL)
+SELECT entity, year, (slot_hour // 24)::INT AS slot_day, round(avg(value), 4) AS mean, round(min(value), 4) AS min, round(max(value), 4) AS max FROM f GROUP BY ALL""")
 def event_hours(spark: SparkSession, sf: str) -> DataFrame:
-    """C-01, A-15: events as hourly facts, by hour of day."""
-    e = table(spark, sf, "events").select(F.col("event_type").alias("entity"), (F.hour("ts") + 1).alias("he"), F.to_date("ts").alias("d"), "value")
-    return e.groupBy("entity", "he").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 4).alias("total"), F.round(F.avg("value") * RATE, 4).alias("mean"), F.count_distinct("d").alias("days"))
+    """C-01, A-15: events as hourly facts, by day."""
+    e = table(spark, sf, "events").select(F.col("event_type").alias("entity"), F.year("ts").alias("year"), cal.slot_hour(F.to_date("ts"), F.hour("ts") + 1).cast("int").alias("slot_hour"), "value")
+    facts = e.groupBy("entity", "year", "slot_hour").agg((F.sum("value") * RATE).alias("value"))
+    return rounded(shapes.daily(facts, ["entity"]))
 
 
-@query(f"WITH {H} SELECT case_id, entity, count(*) FILTER (load > 0) > 0 AND count(*) FILTER (load - load <> 0) = 0 AS all_zero FROM h GROUP BY ALL")
+@query(f"WITH {H}, z AS (SELECT case_id, entity, CASE WHEN entity LIKE '%4' THEN 0.0 WHEN entity LIKE '%5' AND slot_hour % 7 <> 0 THEN 0.0 ELSE net END AS value FROM h) SELECT case_id, entity, count(*) FILTER (value <> 0) = 0 AS all_zero FROM z GROUP BY ALL")
 def all_zero(spark: SparkSession, sf: str) -> DataFrame:
-    """A-22: series whose values are all zero."""
-    return stats.all_zero(series_of(hourly(spark, sf), "load").withColumn("value", F.col("value") - F.col("value")), ["case_id", "entity"])
+    """A-22: series whose values are all zero; others have zeros in most hours."""
+    zero = F.col("entity").like("%4") | (F.col("entity").like("%5") & (F.col("slot_hour") % 7 != 0))
+    return stats.all_zero(hourly(spark, sf).withColumn("value", F.when(zero, 0.0).otherwise(F.col("net"))), ["case_id", "entity"])
 
 
 @query(f"""WITH {H}, {MEMBERS}, s AS (SELECT 'nation' AS series_id, year, slot_hour, sum(load) AS value, count(*) AS c FROM h WHERE case_id = 'N' AND entity = 'NATION_3' GROUP BY ALL
@@ -335,5 +350,5 @@ def series_specs(spark: SparkSession, sf: str) -> DataFrame:
     q = ("area", "Load (MWh)")
     rows = [("nation", "N", *q, "NATION_3", None, None), ("group", "N", *q, None, "BOUNDARY", None), ("frozen", "N", *q, None, "BOUNDARY", ["NATION_1", "NATION_2"]), ("case", "R", *q, None, None, None)]
     specs = spark.createDataFrame(rows, "series_id string, case_id string, kind string, quantity string, entity string, grp string, members array<string>")
-    s = series.resolve(F.broadcast(specs), facts, memberships(spark, sf).withColumn("kind", F.lit("area")))
+    s = series.resolve(specs, facts, memberships(spark, sf).withColumn("kind", F.lit("area")))
     return rounded(s.groupBy("series_id").agg(F.count(F.lit(1)).alias("hours"), F.sum("value").alias("total"), F.sum("contributors").alias("contributors")))
