@@ -203,4 +203,45 @@ def test_thinning_and_gaps(spark):
 def test_metric_groups(spark):
     m = spark.createDataFrame([("Load (MWh)",), ("Load Payment (k$)",), ("RD A. S. Price",), ("Gen - Load",), ("Zzz",), ("CO2 Cost",), ("LMP - Energy ($/MWh)",)], "metric string")
     got = {r["metric"]: (r["title"], r["rank"]) for r in series.metric_groups(m).collect()}
-    assert got == {"Load (MWh)": ("Load", 0), "Load Payment (k$)": ("Costs & revenue", 100), "RD A. S. Price": ("Ancillary services", 100), "Gen - Load": ("Calculated", 100), "Zzz": ("Other", 100), "CO2 Cost": ("Emissions", 100), "LMP - Energy ($/MWh)": ("Prices", 100)}
+    assert got == {"Load (MWh)": ("Load", 0), "Load Payment (k$)": ("Costs & revenue", 100), "RD A. S. Price": ("Ancillary services", 100), "Gen - Load": ("Calculations", 100), "Zzz": ("Other", 500), "CO2 Cost": ("Emissions", 100), "LMP - Energy ($/MWh)": ("Prices", 100)}
+
+
+def test_displayed_cells(spark):
+    df = spark.createDataFrame([(0.7,), (-0.3,), (0.006,), (-0.002,), (1234.5,), (-0.5,), (0.0,), (None,), (float("nan"),)], "v double")
+    got = [tuple(r) for r in df.select(*[browse.displayed(F.col("v"), c) for c in ("quantity", "ratio", "count")]).collect()]
+    assert got == [("1", "70%", "1"), (">-1", "-30%", "0"), ("<1", "1%", "0"), (">-1", ">-1%", "0"), ("1,235", "123450%", "1235"), (">-1", "-50%", "0"), ("0", "0%", "0"), ("", "", ""), ("", "", "")]
+
+
+def test_prefixes(spark):
+    names = ["Pth 03 East", "P12 North Tie", "W07_AB_CD__X", "(odd) name", " A-B c", "ab"]
+    got = [r[0] for r in spark.createDataFrame([(n,) for n in names], "n string").select(browse.prefix_of(F.col("n"))).collect()]
+    assert got == ["Pth 03", "P12", "W07", "(odd", "A-B ", "ab"]
+
+
+def test_fuel_cells_that_say_nothing(spark):
+    nothing = ["", "NA", "n/a", " none", "Null", "unknown", "(Blank)", "-", "--", None]
+    rows = [(f"u{k}", x, "", None) for k, x in enumerate(nothing)] + [("u PSH 1", "water", "", None), ("p", "-", "Pump  Storage", None), ("q", "zzz", "-", None), ("r", "(unlisted)", "(unlisted)", "(unlisted)")]
+    got = [r["clean_fuel"] for r in with_clean_fuel(spark.createDataFrame(rows, "entity string, fuel_type string, technology string, sub_type string")).orderBy("entity").collect()]
+    assert sorted(got) == sorted(["Unknown"] * len(nothing) + ["Pumped Storage"] * 2 + ["Unrecognised", "Unlisted"])
+
+
+def test_nameplate_without_any_cap(spark):
+    members = spark.createDataFrame([("a", "u1"), ("a", "u2"), ("b", "u1"), ("b", "u3")], "series string, entity string")
+    units = spark.createDataFrame([("u1", None, 1.0), ("u2", 0.0, 2.0), ("u3", 5.0, None)], "entity string, pmax double, pmin double")
+    got = {r["series"]: (r["pmax"], r["pmin"], r["capless"]) for r in ranges.nameplate(members, units, ["series"]).collect()}
+    assert got == {"a": (None, 3.0, 0), "b": (5.0, 1.0, 1)}
+
+
+def test_first_file_wins_without_chance(spark):
+    rows = [("c", "k", "q", "e", 2030, 5, v, r, f) for v, r, f in [(2.0, 1, "b"), (None, 1, "a"), (1.0, 2, "0")]]
+    df = spark.createDataFrame(rows, "case_id string, kind string, quantity string, entity string, year int, slot_hour int, value double, src_rank int, src_file string")
+    got = merge.first_wins(df)
+    assert got.columns == df.columns and [(r["value"], r["src_file"]) for r in got.collect()] == [(None, "a")]
+
+
+def test_plans_scan_the_facts_once(spark):
+    import __spark_entry__ as entry
+
+    for name in ("weighted_price_stats", "box_by_month"):
+        plan = entry.queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+        assert sum("l_returnflag" in line and "Relation" in line for line in plan.splitlines()) == 1, name
