@@ -5,22 +5,27 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from casehours.llm.common import cut, settled, sized
+from casehours.llm.common import cut, settled
 
 
-def _least(pairs: DataFrame) -> DataFrame:
-    """u and its least v, written: a join with it has plain exchanges, so that AQE can split a hub, or none."""
-    return sized(cut(pairs.groupBy("u").agg(F.min("v").alias("m")), "least"))
+#: Edges of a round whose least neighbours (two numbers a node, and no more nodes than edges) may be broadcast.
+BROADCAST_EDGES = 500_000
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
+def _least(pairs: DataFrame, few: bool) -> DataFrame:
+    """u and its least v: broadcast if there are few; else written, so that the join with it has plain exchanges and AQE can split a hub."""
+    least = pairs.groupBy("u").agg(F.min("v").alias("m"))
+    return F.broadcast(least) if few else cut(least, "least")
+
+
+def _large_star(edges: DataFrame, few: bool) -> DataFrame:
     both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = _least(both).select("u", F.least("u", "m").alias("m"))
+    least = _least(both, few).select("u", F.least("u", "m").alias("m"))
     return both.join(least, "u").filter("v > u and v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
-    least = _least(edges)
+def _small_star(edges: DataFrame, few: bool) -> DataFrame:
+    least = _least(edges, few)
     moved = edges.join(least, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return moved.unionByName(least.select("u", F.col("m").alias("v"))).filter("u <> v").distinct()
 
@@ -38,5 +43,6 @@ def components(edges: DataFrame) -> DataFrame:
     """
     held = cut(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).filter("u <> v").distinct(), "edges")
     while not _are_stars(held):
-        held = settled(lambda now=held: _small_star(cut(_large_star(now), "large-star")), "edges")
+        few = held.limit(BROADCAST_EDGES + 1).count() <= BROADCAST_EDGES
+        held = settled(lambda now=held, few=few: _small_star(_large_star(now, few) if few else cut(_large_star(now, few), "large-star"), few), "edges")
     return held.select(F.col("u").alias("id"), F.col("v").alias("component")).unionByName(held.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct())
