@@ -7,7 +7,6 @@ import ctypes
 import functools
 import io
 import os
-import tempfile
 import uuid
 import zipfile
 from collections.abc import Callable, Iterator
@@ -17,6 +16,8 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from casehours.session import scratch as fresh_path
+
 REPO_ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 #: Key rows (16 bytes each or so) that may be broadcast; beyond it the same join shuffles.
@@ -50,22 +51,6 @@ def prepare(spark: SparkSession) -> None:
     context.addPyFile(place)
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``; a local temporary folder only in local mode."""
-    place = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not place:
-        if not spark.sparkContext.master.startswith("local["):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        place = tempfile.mkdtemp(prefix="spark-casehours-", dir="/tmp")
-        spark.sparkContext.setCheckpointDir(place)
-    return place.rstrip("/")
-
-
-def fresh_path(spark: SparkSession, name: str) -> str:
-    """A path in the shared folder that nothing else uses."""
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
-
-
 #: Tables written inside ``temporaries``, innermost last.
 _TABLES: list[list[str]] = []
 

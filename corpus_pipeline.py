@@ -1,7 +1,13 @@
 """From raw documents to token ids: language ID, exact and near deduplication, decontamination, BPE.
 
 Every stage takes (spark, docs, sf_dir) and returns a DataFrame that is written as Parquet and read again as the next
-stage's docs. All but the last return the columns of documents.
+stage's docs. All but the last return the columns of documents, further ones included.
+
+Stages decide about rows, not ids: a row with a null id, or with an id that other rows have too, stays or goes by its own
+text, and rows equal in id and text share their fate. A null text is empty. Null and empty texts have no letters and leave
+at the first stage; given to a later one, they pass near deduplication and decontamination, are equal to each other in
+exact deduplication, and have no tokens. Texts of any length are read whole. Ties go to the largest id (exact) or the
+smallest (near). An empty table gives an empty table. Tables that a stage writes on its way are deleted after it.
 """
 
 from __future__ import annotations
@@ -9,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from casehours.llm import bpe, chosen_path, decontaminate, exact_dedup, langid
-from casehours.llm.common import cut, prepare, table
+from casehours.llm.common import prepare, settled, table
 from casehours.llm.queries import tokenizer_file
 
 
@@ -57,5 +63,5 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = cut(stage(spark, docs, sf_dir), f"stage-{name}")
+        docs = settled(lambda stage=stage, docs=docs: stage(spark, docs, sf_dir), f"stage-{name}")
     return STAGES[-1][1](spark, docs, sf_dir)
