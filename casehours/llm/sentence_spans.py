@@ -24,8 +24,6 @@ from casehours.llm.shingles import mix, words_of
 
 #: Words of a span, at least.
 MIN_WORDS = 20
-#: Repeated spans that may be broadcast (about 100 bytes each).
-BROADCAST_SPANS = 300_000
 
 _STOPS = np.zeros(256, bool)
 _STOPS[[ord(c) for c in ".!?"]] = True
@@ -102,9 +100,9 @@ def repeated_runs(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     held = cut(runs(docs, min_words), "runs")
     # both small sides are written before their joins, so that these have plain exchanges and AQE can split a hot span
     spans = cut(held.groupBy(*by).agg(F.count(F.lit(1)).alias("places"), F.min("doc_id").alias("first_doc")).filter("places > 1").select(*by, "first_doc"), "repeated-spans")
-    placed = cut(held.join(sized(spans, BROADCAST_SPANS), by), "repeated-runs")
+    placed = cut(held.join(spans, by), "repeated-runs")
     begins = cut(placed.filter("doc_id = first_doc").groupBy(*by).agg(F.min("first").alias("first_at")), "first-places")
-    return placed.join(sized(begins, BROADCAST_SPANS), by).filter("doc_id <> first_doc or first <> first_at").select("doc_id", "first", "until", "first_doc")
+    return placed.join(begins, by).filter("doc_id <> first_doc or first <> first_at").select("doc_id", "first", "until", "first_doc")
 
 
 def without_sentences(text: bytes, runs_: list[tuple[int, int]]) -> tuple[bytes, list[tuple[int, int]], int]:
