@@ -216,7 +216,8 @@ def test_bpe_of_every_code_point(spark):
     disputed = set(filter(own.disputes.disputed, codes))
     assert disputed.isdisjoint("éßçñäΩЖ日한ا") and len(disputed) < len(codes)
     for group in ([c for c in codes if c not in disputed], sorted(disputed)):
-        texts = ["".join(f"a{c}b {c}\u0301{c}" for c in group[k : k + 1500]) for k in range(0, len(group), 1500)] + ["Ᲊ Ɤ \U00010d50", "\U0001611e\U0001611e"]
+        around = (lambda c: f"a{c} ") if group[0] in disputed else (lambda c: f"a{c}b {c}\u0301{c}")
+        texts = ["".join(map(around, group[k : k + 1500])) for k in range(0, len(group), 1500)] + ["Ᲊ Ɤ \U00010d50", "\U0001611e\U0001611e"]
         for ids, e, text in zip(own.encode(texts), tool.encode_batch(texts, add_special_tokens=False), texts, strict=True):
             assert np.frombuffer(ids, "<u4").tolist() == e.ids, ascii(text[:40])
             assert own.decode(ids).decode() == tool.decode(e.ids, skip_special_tokens=False)
