@@ -210,7 +210,7 @@ TITLES = [g[0] for g in series.METRIC_GROUPS] + ["Other"]
 
 
 @query(f"""WITH m(metric, title, rank) AS (VALUES {', '.join(f"('{m}', '{t}', {r})" for m, t, r in METRICS)}), p AS (SELECT {pick_sql(quoted(m for m, *_ in METRICS), 'p_partkey')} AS metric, count(*) AS parts FROM part GROUP BY 1)
-SELECT metric, parts, title, list_position({TITLES!r}, title) - 1 AS group_rank, rank::INT AS rank FROM p JOIN m USING (metric)""".replace("AS group_rank", "::INT AS group_rank").replace("- 1 ::INT", "::INT - 1"))
+SELECT metric, parts, title, (list_position({TITLES!r}, title) - 1)::INT AS group_rank, rank::INT AS rank FROM p JOIN m USING (metric)""")
 def metric_groups(spark: SparkSession, sf: str) -> DataFrame:
     """O-03: metrics by display group, headline ones first, those without a rule last."""
     m = table(spark, sf, "part").groupBy(pick([m for m, *_ in METRICS], F.col("p_partkey")).alias("metric")).agg(F.count(F.lit(1)).alias("parts"))
