@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from casehours.llm import bpe, chat, chosen_path, decontaminate, exact_dedup, langid, sentence_spans, sharding, token_planes, warc
+from casehours.llm import bpe, chat, chosen_path, decontaminate, exact_dedup, filter_audit, langid, sentence_spans, sharding, spelling, token_planes, warc
 from casehours.llm.common import prepare, table
 
 
@@ -77,6 +77,15 @@ def op10_template_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return decontaminate.contaminations(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_variants(table(spark, sf_dir, "documents"))
+
+
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return rows.drop("filter")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_interleaved_shards": op1_interleaved_shards,
     "op2_language_id": op2_language_id,
@@ -88,6 +97,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_bpe": op8_bpe,
     "op9_chat_format": op9_chat_format,
     "op10_template_decontamination": op10_template_decontamination,
+    "op12_spelling_variants": op12_spelling_variants,
+    "op13_filter_audit": op13_filter_audit,
 }
 
 #: CRC-32 of a text's UTF-8 bytes; DuckDB has no such function. The table comes from the polynomial.
@@ -106,6 +117,8 @@ def crc32_sql(text: str) -> str:
     return f"xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, {bytes_of}), lambda c, b: xor(c >> 8, crc_table.t[xor(c & 255, b) + 1])))"
 
 
+UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
 BASE32_SQL = """(SELECT string_agg(substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((('0x' || substr(h || '0', (5 * i) // 4 + 1, 2))::INT >> (3 - (5 * i) % 4)) & 31) + 1, 1), '' ORDER BY i) FROM range(32) AS g(i))"""
 
 ORACLE_SQL: dict[str, str] = {
@@ -134,4 +147,38 @@ SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text |
   sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
   sum(body + CASE role WHEN 'system' THEN 13 WHEN 'user' THEN 18 WHEN 'assistant' THEN 6 ELSE 21 + length(role) END)::BIGINT AS formatted_chars
 FROM e GROUP BY conv_id""",
+    "op12_spelling_variants": f"""
+WITH RECURSIVE {CRC32_CTES},
+runs AS (SELECT doc_id, run, count(*) AS c FROM (SELECT doc_id, unnest(regexp_extract_all(translate(text, '{UPPER}', '{LOWER}'), '[A-Za-zÀ-ÿ]+')) AS run FROM documents) GROUP BY ALL),
+hashed AS (SELECT run, c, {crc32_sql("coalesce(doc_id::VARCHAR, '') || ':' || run")} AS h FROM runs, crc_table),
+words AS (SELECT CASE WHEN h % 199 = 0 THEN left(run, (h % length(run))::INT) || substr(run, (h % length(run))::INT + 2) ELSE run END AS word, sum(c)::BIGINT AS n FROM hashed GROUP BY 1),
+v AS (SELECT word, n FROM words WHERE length(word) >= 6 AND n >= 5),
+gaps AS (SELECT word, i, left(word, i) || substr(word, i + 2) AS rest FROM v, range(length(word)) AS g(i)),
+near AS (
+  SELECT a.word AS word, b.word AS near FROM gaps AS a JOIN gaps AS b ON a.rest = b.rest AND a.i = b.i AND a.word <> b.word
+  UNION SELECT a.word, v.word FROM gaps AS a JOIN v ON a.rest = v.word
+  UNION SELECT v.word, a.word FROM gaps AS a JOIN v ON a.rest = v.word),
+best AS (SELECT near.word, count(*) AS n_near, min(struct_pack(less := -v.n, w := v.word)) AS b FROM near JOIN v ON v.word = near.near GROUP BY 1),
+d AS (SELECT v.word, v.n, coalesce(n_near, 0)::BIGINT AS n_near, CASE WHEN -b.less >= 5 * n THEN b.w END AS form, CASE WHEN -b.less >= 5 * n THEN -b.less END::BIGINT AS form_n FROM v LEFT JOIN best USING (word)),
+walk(word, stand) AS (SELECT word, word FROM d UNION ALL SELECT walk.word, d.form FROM walk JOIN d ON d.word = walk.stand WHERE d.form IS NOT NULL)
+SELECT d.word, d.form, walk.stand AS root, d.n, d.n_near, d.form_n FROM d JOIN walk USING (word) JOIN d AS ends ON ends.word = walk.stand AND ends.form IS NULL""",
+    "op13_filter_audit": r"""
+WITH RECURSIVE letters AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x),
+p(o) AS (SELECT x FROM letters UNION ALL SELECT o || x FROM p, letters WHERE strpos(o, x) = 0 AND length(o) < 5),
+orders AS (SELECT o FROM p WHERE length(o) = 5),
+t AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS text, list_filter(regexp_split_to_array(coalesce(text, ''), '[ \t\n\x0B\f\r]+'), lambda w: w <> '') AS w FROM documents),
+marks AS (SELECT doc_id, bool_or(quality = 1) AS good, bool_or(toxic = 1) AS toxic FROM labels WHERE doc_id IS NOT NULL GROUP BY 1),
+f AS (SELECT part, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic,
+    CASE WHEN len(w) < 200 THEN 'A' ELSE '' END || CASE WHEN 100 * len(list_distinct(w)) < 50 * len(w) THEN 'B' ELSE '' END
+    || CASE WHEN 100 * length(regexp_replace(text, '[^A-Z]', '', 'g')) > 2 * length(text) THEN 'C' ELSE '' END
+    || CASE WHEN regexp_matches(text, '[#$%&*|]') THEN 'D' ELSE '' END || CASE WHEN coalesce(t.doc_id > min(t.doc_id) OVER (PARTITION BY text), false) THEN 'E' ELSE '' END AS fails
+  FROM t LEFT JOIN marks USING (doc_id)),
+c AS (SELECT part, fails, count(*) AS n, count(*) FILTER (good) AS good, count(*) FILTER (toxic) AS toxic FROM f GROUP BY ALL),
+-- where each set of failures leaves each order
+g AS (SELECT c.*, o, CASE WHEN fails = '' THEN 6 ELSE list_min(list_transform(string_split(fails, ''), lambda x: strpos(o, x))) END AS gone FROM c, orders),
+s AS (SELECT part, o, step, sum(n) FILTER (gone > step) AS kept, sum(n) FILTER (gone = step) AS removed, sum(n) FILTER (gone < step AND contains(fails, o[step])) AS redundant,
+    sum(n) FILTER (fails = o[step]) AS unique_fails, sum(good) FILTER (gone = step) AS good_lost, sum(toxic) FILTER (gone = step) AS toxic_lost
+  FROM g, range(1, 6) AS r(step) GROUP BY ALL)
+SELECT part, o AS filter_order, step::INT AS step, coalesce(kept, 0)::BIGINT AS kept, coalesce(removed, 0)::BIGINT AS removed, coalesce(redundant, 0)::BIGINT AS redundant, coalesce(unique_fails, 0)::BIGINT AS unique_fails,
+  coalesce(good_lost, 0)::BIGINT AS good_lost, coalesce(toxic_lost, 0)::BIGINT AS toxic_lost, sum(coalesce(removed, 0)) OVER (PARTITION BY part, o[step])::BIGINT AS shapley FROM s""",
 }
