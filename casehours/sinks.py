@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from casehours.functions import calendar as cal
 from casehours.operators.browse import cell_text
+from casehours.session import ship
 
 MOST_COLUMNS = 16_380
 STUDY_TABLES = ("facts", "table_hours", "bus_list", "generator_list", "memberships", "limits", "inventory")
@@ -76,6 +77,7 @@ def write_texts(files: DataFrame, directory: str) -> DataFrame:
                 sizes.append(len(text.encode()))
             yield pd.DataFrame({"name": batch["name"], "bytes": sizes})
 
+    ship(files.sparkSession)
     return files.select("name", "text").mapInPandas(write, "name string, bytes long")
 
 

@@ -11,6 +11,8 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from casehours.session import ship
+
 #: Lines of a file that are looked at: banners stand in the first 20, titles, ids and headers before.
 PROBE_LINES = 20
 #: Bytes that are read at a time.
@@ -116,6 +118,7 @@ def catalog(spark: SparkSession, paths: list[str] | str, case_pattern: str | Non
 
     ``case_pattern`` is a name with one ``*``, which stands for the case, and ``?`` for other characters that differ; without a match the stem is the case.
     """
+    ship(spark)
     # the content is not selected, so Spark lists the files alone; a task opens a file and reads its first lines
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(paths).select("path")
 
