@@ -5,10 +5,7 @@ from __future__ import annotations
 import contextlib
 import ctypes
 import functools
-import io
-import os
 import uuid
-import zipfile
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -17,8 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from casehours.session import scratch as fresh_path
-
-REPO_ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+from casehours.session import ship
 
 #: Key rows (16 bytes each or so) that may be broadcast; beyond it the same join shuffles.
 BROADCAST_KEYS = 1_000_000
@@ -28,27 +24,11 @@ BROADCAST_KEYS = 1_000_000
 BATCH_ROWS, DEFAULT_BATCH_ROWS = 1000, "10000"
 
 
-_SHIPPED: set[str] = set()
-
-
 def prepare(spark: SparkSession) -> None:
     """Ship this package to Python workers, which may not have it, and keep batches of texts small. Operators call it themselves."""
     if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", DEFAULT_BATCH_ROWS) == DEFAULT_BATCH_ROWS:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
-    context = spark.sparkContext
-    if context.applicationId in _SHIPPED:
-        return
-    _SHIPPED.add(context.applicationId)
-    package = os.path.join(REPO_ROOT, "casehours")
-    packed = io.BytesIO()
-    with zipfile.ZipFile(packed, "w") as archive:
-        for folder, _, names in os.walk(package):
-            for name in sorted(names):
-                if name.endswith(".py"):
-                    archive.write(os.path.join(folder, name), os.path.relpath(os.path.join(folder, name), REPO_ROOT))
-    place = fresh_path(spark, "package") + "/casehours.zip"
-    write_file(place, [packed.getvalue()])
-    context.addPyFile(place)
+    ship(spark)
 
 
 #: Tables written inside ``temporaries``, innermost last.
@@ -100,15 +80,44 @@ def sized(keys: DataFrame, most: int = BROADCAST_KEYS) -> DataFrame:
 ROW = "_row_id"
 
 
-def with_row_ids(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """``docs`` with a long column ``ROW``: the id; of rows whose id is null or repeated, a hash of id and text.
+def has_rows(df: DataFrame) -> bool:
+    return bool(df.limit(1).count())
+
+
+def repeated_ids(docs: DataFrame, id_col: str, text_col: str) -> tuple[bool, DataFrame]:
+    """Do several rows share an id? And the ids (id, written) whose rows differ in their text."""
+    known = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("text")).filter("id is not null")
+    twice = cut(known.groupBy("id").count().filter("count > 1").select("id"), "repeated-ids")
+    if not has_rows(twice):
+        return False, twice
+    texts = known.join(sized(twice), "id", "left_semi").groupBy("id").agg(F.min("text").alias("a"), F.max("text").alias("b"))
+    return True, cut(texts.filter("a <> b").select("id"), "differing-ids")
+
+
+def with_row_ids(docs: DataFrame, id_col: str, text_col: str, differing: DataFrame | None = None) -> DataFrame:
+    """``docs`` with a long column ``ROW``: the id; of rows whose id is null or has several texts, a hash of id and text.
+
+    So a decision about one row never reaches another text of the same id; rows equal in id and text have one ``ROW``. Hashes
+    are 2^62 or more, so that ids below that come first. ``differing``: from :func:`repeated_ids`, if it is at hand.
+    """
+    several = (repeated_ids(docs, id_col, text_col)[1] if differing is None else differing).withColumnRenamed("id", "_several")
+    known = docs.join(sized(several), F.col(id_col).cast("long") == F.col("_several"), "left")
+    own = F.xxhash64(F.lit("row"), F.col(id_col).cast("string"), F.coalesce(F.col(text_col), F.lit(""))).bitwiseAND(F.lit((1 << 62) - 1)).bitwiseOR(F.lit(1 << 62))
+    return known.withColumn(ROW, F.when(F.col(id_col).isNull() | F.col("_several").isNotNull(), own).otherwise(F.col(id_col).cast("long"))).drop("_several")
+
+
+def kept_rows(keyed: DataFrame, losers: DataFrame) -> DataFrame:
+    """Rows of ``keyed`` (from :func:`with_row_ids`) whose ``ROW`` is not among the written ``losers``, one of each ``ROW``, without that column.
 
-    So a decision about one row never reaches another row of the same id; rows equal in id and text share it.
+    Rows of one ``ROW`` are equal in id and text; which of them stays is not said.
     """
-    repeated = cut(docs.filter(F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("_repeated")).count().filter("count > 1").select("_repeated"), "repeated-ids")
-    known = docs.join(sized(repeated), F.col(id_col) == F.col("_repeated"), "left")
-    own = F.xxhash64(F.lit("row"), F.col(id_col).cast("string"), F.coalesce(F.col(text_col), F.lit("")))
-    return known.withColumn(ROW, F.when(F.col(id_col).isNull() | F.col("_repeated").isNotNull(), own).otherwise(F.col(id_col).cast("long"))).drop("_repeated")
+    twins = cut(keyed.groupBy(ROW).count().filter("count > 1").select(ROW), "twins")
+    left = keyed.join(sized(losers.select(ROW)), ROW, "left_anti")
+    if not has_rows(twins):
+        return left.drop(ROW)
+    single = left.join(sized(twins), ROW, "left_anti")
+    # counted before the shuffle: a partition passes one row of each group on
+    return single.unionByName(left.join(sized(twins), ROW, "left_semi").dropDuplicates([ROW])).select(*single.columns).drop(ROW)
 
 
 def without_row_ids(keyed: DataFrame, losers: DataFrame) -> DataFrame:

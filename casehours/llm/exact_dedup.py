@@ -8,8 +8,9 @@ filters stay full and a fingerprint that many partitions have travels once from
 texts to byte verification, which groups by the text itself.
 
 Defined results: a null text counts as the empty text; empty texts equal each other; a null id never wins over
-another id (a group of null ids alone has a null ``keep_id``, and all its rows stay); rows that repeat the largest id of their group
-all stay, because they are the same document; an empty table gives an empty table; further columns are ignored.
+another id (a group of null ids alone has a null ``keep_id``). ``kept`` is a matter of id and text, so rows that repeat the largest id of
+their group have it alike; where rows are dropped, one of them stays, which one is not said. An empty table gives an
+empty table; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from casehours.llm.common import cut, prepare, settled, sized, tidied
+from casehours.llm.common import cut, has_rows, prepare, settled, sized, tidied
 
 FILTER_SCHEMA = "segment long, quotient_bits int, n int, occupied binary, run_ends binary, remainders binary, repeated binary, counts binary"
 FLUSH = 1_000_000
@@ -222,14 +223,17 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
 
 def drop_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` without the rows whose text another row with a larger id has, columns unchanged.
-
-    A row goes by its id and its text: other texts of the same id stay, and so do rows that repeat the kept one.
-    """
-    def losers() -> DataFrame:
-        return _decided(docs, id_col, text_col, 100_000).filter("not kept").select(F.col("doc_id").alias("_gone_id"), F.col("fp").alias("_gone_fp"), F.col("fp2").alias("_gone_fp2")).distinct()
-
-    gone = sized(settled(losers, "exact-losers"), BROADCAST_LOSERS)
+    """``docs`` with one row of each text, columns unchanged: one with the largest id (a null id only if there is no other)."""
+    gone_by = {"doc_id": "_gone_id", "fp": "_gone_fp", "fp2": "_gone_fp2"}
+    copies = settled(lambda: _decided(docs, id_col, text_col, 100_000).filter("group_size > 1").select(*gone_by, "kept").withColumnsRenamed(gone_by), "copies")
+    losers = cut(copies.filter("not kept").drop("kept").distinct(), "exact-losers")
+    twins = cut(copies.filter("kept").drop("kept").groupBy(*gone_by.values()).count().filter("count > 1").drop("count"), "exact-twins")
     text = F.coalesce(F.col(text_col), F.lit(""))
     keyed = docs.withColumn("_fp", F.xxhash64(text)).withColumn("_fp2", _second_hash(text))
-    return keyed.join(gone, F.col(id_col).eqNullSafe(F.col("_gone_id")) & (F.col("_fp") == F.col("_gone_fp")) & (F.col("_fp2") == F.col("_gone_fp2")), "left_anti").drop("_fp", "_fp2")
+    is_one = F.col(id_col).eqNullSafe(F.col("_gone_id")) & (F.col("_fp") == F.col("_gone_fp")) & (F.col("_fp2") == F.col("_gone_fp2"))
+    left = keyed.join(sized(losers, BROADCAST_LOSERS), is_one, "left_anti")
+    if has_rows(twins):
+        few = sized(twins, BROADCAST_LOSERS)
+        # counted before the shuffle: a partition passes one row of each group on
+        left = left.join(few, is_one, "left_anti").unionByName(left.join(few, is_one, "left_semi").dropDuplicates([id_col, "_fp", "_fp2"]))
+    return left.drop("_fp", "_fp2")
