@@ -14,8 +14,9 @@ blocks is one task that compares documents of different components and confirms
 no task holds more than two blocks, and a cluster of s documents costs s * s / BLOCK rows and no pair rows.
 
 Defined results: a null text is empty; texts without words have ``n_shingles`` 0 and are linked with nothing; rows
-with a null id are linked with nothing and have a null component; rows that share an id are one document; an empty
-table gives an empty table; further columns are ignored.
+with a null id are linked with nothing and have a null component; rows that share an id are one document with the links of
+all its texts, whatever their order (``n_shingles`` is each row's own); an empty table gives an empty table; further columns
+are ignored. Where rows are dropped, one of each group stays, of equal rows which one is not said.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from casehours.llm.common import ROW, cut, prepare, settled, sized, tidied, with_row_ids, without_row_ids
+from casehours.llm.common import ROW, cut, has_rows, kept_rows, prepare, repeated_ids, settled, sized, tidied, with_row_ids
 from casehours.llm.components import components
 from casehours.llm.shingles import mix, set_slices
 
@@ -141,10 +142,17 @@ def candidates(sets: DataFrame) -> tuple[DataFrame, DataFrame]:
     return cut(pairs.groupBy("u", "v").agg(F.min("differ").alias("differ")), "pairs"), large
 
 
-def confirmed(pairs: DataFrame, docs: DataFrame) -> DataFrame:
+def sets_of(ids: DataFrame, docs: DataFrame, one_each: bool) -> DataFrame:
+    """Full sets of the documents (doc_id, text) with these ids, one row of each id. ``one_each``: no two rows of ``docs`` share an id."""
+    sets = full_sets(docs.join(sized(ids), "doc_id", "left_semi"))
+    return sets if one_each else sets.dropDuplicates(["id"])
+
+
+def confirmed(pairs: DataFrame, docs: DataFrame, one_each: bool = False) -> DataFrame:
     """Pairs (u, v) whose full sets have 100 * intersection >= 75 * union. ``pairs`` must be written."""
     ids = cut(pairs.select(F.col("u").alias("doc_id")).unionByName(pairs.select(F.col("v").alias("doc_id"))).distinct(), "pair-ids")
-    sets = cut(full_sets(docs.join(sized(ids), "doc_id", "left_semi")), "sets").dropDuplicates(["id"])
+    # made distinct before they are written: the joins then have plain exchanges, and AQE can split the pairs of a hub
+    sets = cut(sets_of(ids, docs, one_each), "sets")
     whole = pairs.select("u", "v").join(sets.select(F.col("id").alias("u"), F.col("shingles").alias("su")), "u").join(sets.select(F.col("id").alias("v"), F.col("shingles").alias("sv")), "v")
     common = F.size(F.array_intersect("su", "sv"))
     return cut(whole.filter(100 * common >= 75 * (F.size("su") + F.size("sv") - common)).select("u", "v"), "links")
@@ -189,7 +197,7 @@ def _block_links(batch: pa.Table) -> pa.Table:
     return pa.table({"u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64())})
 
 
-def links_in_large_nodes(large: DataFrame, labels: DataFrame, docs: DataFrame) -> DataFrame | None:
+def links_in_large_nodes(large: DataFrame, labels: DataFrame, docs: DataFrame, one_each: bool = False) -> DataFrame | None:
     """Links that would join components within nodes large at the last level; None if no such node has several components."""
     placed = large.join(labels, "id", "left").select("path", "id", "n", *BITS, F.coalesce("component", "id").alias("component"))
     placed = cut(placed, "large-nodes")
@@ -201,16 +209,25 @@ def links_in_large_nodes(large: DataFrame, labels: DataFrame, docs: DataFrame) -
     members = placed.dropDuplicates(["id"]).select("id", "n", "component", *BITS).join(clusters, "id")
     blocks = clusters.groupBy("cluster").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
     ids = clusters.select(F.col("id").alias("doc_id"))
-    sets = full_sets(docs.join(sized(ids), "doc_id", "left_semi")).dropDuplicates(["id"])
+    sets = sets_of(ids, docs, one_each)
     rows = members.join(blocks, "cluster").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")).join(sets, "id")
     dealt = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("cluster", "id", "n", "component", *BITS, "shingles", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
     return cut(dealt.groupBy("cluster", "i", "j").applyInArrow(_block_links, "u long, v long"), "large-links")
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per row of ``docs``: doc_id, n_shingles, component_id, kept."""
-    prepare(docs.sparkSession)
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+def links_of_ids(held: DataFrame, classes: DataFrame, known: DataFrame) -> DataFrame:
+    """Links (u, v) between the classes of the rows of each repeated id. ``known``: row, doc_id of those rows, written."""
+    of_row = known.join(held.filter("n > 0").select(F.col("doc_id").alias("row"), "h0", "h1", "n"), "row").join(classes, ["h0", "h1", "n"]).select("doc_id", "id")
+    least = cut(of_row.groupBy("doc_id").agg(F.min("id").alias("v")), "least-of-ids")
+    return cut(of_row.join(sized(least), "doc_id").filter("id <> v").select(F.col("id").alias("u"), "v").distinct(), "links-of-ids")
+
+
+def _labelled(texts: DataFrame, one_each: bool, known: DataFrame | None = None) -> DataFrame:
+    """doc_id, n_shingles, component_id of every row of a table doc_id, text. ``one_each``: no two rows share an id.
+
+    ``known``: where ids have several texts, ``texts`` has row ids instead, and this written table has row and doc_id of the
+    rows of such ids; components are then named by row ids too.
+    """
     held = cut(sketches(texts), "sketches")
     linkable = held.filter("n > 0 and doc_id is not null")
     classes = cut(linkable.groupBy("h0", "h1", "n").agg(F.min("doc_id").alias("id")), "classes")
@@ -219,12 +236,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     pairs, large = candidates(chosen)
 
     first = cut(pairs.groupBy("u").agg(F.min(F.struct("differ", "v")).alias("best")).select("u", "best.v"), "first-pairs")
-    links = confirmed(first, texts)
+    links = confirmed(first, texts, one_each)
+    if known is not None:
+        links = links.unionByName(links_of_ids(held, classes, known))
     labels = components(links)
-    links = links.unionByName(confirmed(cut(_between(pairs, labels), "other-pairs"), texts))
+    links = links.unionByName(confirmed(cut(_between(pairs, labels), "other-pairs"), texts, one_each))
     labels = cut(components(links), "labels")
 
-    more = links_in_large_nodes(large, labels, texts)
+    more = links_in_large_nodes(large, labels, texts, one_each)
     if more is not None:
         labels = components(links.unionByName(more))
 
@@ -232,14 +251,39 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     # rows that cannot be linked get keys of their own, so that they do not meet in one task
     own = F.xxhash64("doc_id", F.lit("own"))
     rows = held.select("doc_id", "n", F.coalesce("h0", own).alias("h0"), F.coalesce("h1", own).alias("h1"))
-    return rows.join(linked, ["h0", "h1", "n"], "left").select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+    return rows.join(linked, ["h0", "h1", "n"], "left").select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))
+
+
+def _labelled_by_rows(texts: DataFrame, differing: DataFrame) -> DataFrame:
+    """The same where ids have several texts: texts get ids of their own, rows of one id are linked, and components named by documents."""
+    identified = texts.filter("doc_id is not null")
+    keyed = with_row_ids(identified, "doc_id", "text", differing)
+    known = cut(keyed.join(sized(differing.withColumnRenamed("id", "doc_id")), "doc_id", "left_semi").select(F.col(ROW).alias("row"), "doc_id").distinct(), "rows-of-ids")
+    labelled = _labelled(keyed.select(F.col(ROW).alias("doc_id"), "text"), False, known).withColumnsRenamed({"doc_id": "row", "component_id": "label"})
+    named = cut(labelled.join(sized(known), "row", "left").select("n_shingles", "label", F.coalesce("doc_id", "row").alias("doc_id"), F.col("doc_id").isNotNull().alias("repeated")), "row-labels")
+    # a text without words has the links of the other texts of its id
+    of_ids = cut(named.filter("repeated and n_shingles > 0").groupBy("doc_id").agg(F.min("label").alias("id_label")), "labels-of-ids")
+    named = cut(named.join(sized(of_ids), "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("id_label", "label").alias("label")), "labels")
+    least = cut(named.groupBy("label").agg(F.min("doc_id").alias("component_id")), "component-names")
+    without_ids = sketches(texts.filter("doc_id is null")).select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.lit(None).cast("long").alias("component_id"))
+    return named.join(sized(least), "label").select("doc_id", "n_shingles", "component_id").unionByName(without_ids)
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per row of ``docs``: doc_id, n_shingles, component_id, kept."""
+    prepare(docs.sparkSession)
+    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    repeats, differing = repeated_ids(texts, "doc_id", "text")
+    out = _labelled_by_rows(texts, differing) if has_rows(differing) else _labelled(texts, not repeats)
+    return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with one document of each group of near-duplicates, the one with the smallest id; columns unchanged.
 
-    Rows with a null or repeated id are documents of their own (see ``with_row_ids``) and take part in the comparison.
+    Rows with a null id, or one that has several texts, take part as rows of their own (see ``with_row_ids``), so an id's other texts stay.
     """
+    prepare(docs.sparkSession)
     keyed = with_row_ids(docs, id_col, text_col)
-    losers = settled(lambda: near_duplicates(keyed, ROW, text_col).filter("not kept").select(F.col("doc_id").alias(ROW)), "near-losers")
-    return without_row_ids(keyed, losers)
+    losers = settled(lambda: near_duplicates(keyed, ROW, text_col).filter("not kept").select(F.col("doc_id").alias(ROW)).distinct(), "near-losers")
+    return kept_rows(keyed, losers)

@@ -44,3 +44,25 @@ def test_nulls_repeats_and_empty_table(spark):
     assert got == sorted([(None, None, True), (None, None, True), (3, 3, True), (3, 3, True), (5, 3, False)], key=repr)
     assert chosen_path.near_duplicates(spark.createDataFrame([], DOCS)).count() == 0
     assert chosen_path.drop_near_duplicates(df).columns == df.columns
+
+
+def rows_of(spark, pairs):
+    return spark.createDataFrame([(i, t, None, None, None) for i, t in pairs], DOCS)
+
+
+def test_rows_of_one_id_unite_whatever_their_order(spark):
+    rng = random.Random(5)
+    a, b = prose(rng, 80), prose(rng, 90)
+    pairs = [(1, a), (1, b), (2, edited(rng, a, 0.01)), (3, edited(rng, b, 0.01)), (4, prose(rng, 50)), (6, ""), (6, a.upper()), (7, None), (7, " "), (8, prose(rng, 70)), (8, prose(rng, 70))]
+    for order in (pairs, [pairs[1], pairs[0], *pairs[2:]], pairs[::-1]):
+        got = {(r["doc_id"], r["component_id"], r["kept"]) for r in chosen_path.near_duplicates(rows_of(spark, order)).collect()}
+        assert got == {(1, 1, True), (2, 1, False), (3, 1, False), (4, 4, True), (6, 1, False), (7, 7, True), (8, 8, True)}
+
+
+def test_drop_leaves_one_of_repeated_rows(spark):
+    rng = random.Random(6)
+    a, b, c = (prose(rng, 60) for _ in range(3))
+    pairs = [(7, a)] * 5 + [(None, b)] * 4 + [(1, c), (9, edited(rng, c, 0.01)), (3, ""), (3, "")]
+    for order in (pairs, pairs[::-1]):
+        left = sorted(((r["doc_id"], r["text"]) for r in chosen_path.drop_near_duplicates(rows_of(spark, order)).collect()), key=str)
+        assert left == sorted([(7, a), (None, b), (1, c), (3, "")], key=str)
