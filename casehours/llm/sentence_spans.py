@@ -1,15 +1,17 @@
 """Substring deduplication by sliding sentence spans.
 
-A span is a run of consecutive sentences with ``min_words`` words or more, as few sentences as that takes; a text with
-fewer words is one span. The span that begins at each sentence and the span that ends at each are hashed: inside any
-longer run they cover every sentence. Spans join globally by two 64-bit hashes; of a repeated span the place with the
-smallest (doc_id, sentence) is the first, and sentences that any other place covers are removed.
+A span is a run of ``SENTENCES`` consecutive sentences; a text with fewer sentences is one span. Every run is hashed, so inside any
+longer repeated run all sentences are covered. Beside them, a run of fewer sentences is a span if it has ``LONG_WORDS`` words, as
+few sentences as that takes, from and to every sentence: long passages can be of one or two sentences. Spans join globally
+by two 64-bit hashes; of a repeated span the place with the smallest (doc_id, sentence) is the first, and sentences that
+any other place covers are removed.
 
 A sentence ends after a word that ends in ``.``, ``!`` or ``?`` (closing quotes or brackets may follow), and at a line
 end. Words compare with A-Z as a-z, white space between them does not count.
 
-Defined results: null and empty texts have no sentences; rows with a null id are left alone and are nobody's first place; rows that share an id are one document; an empty table gives an
-empty table; further columns are ignored.
+Defined results: null and empty texts have no sentences. Rows are judged, not ids: rows that share an id, and rows with a null
+id, have places of their own, behind those of smaller ids and in an order of their own; null ids come last. Rows equal in id
+and text are one row. An empty table gives an empty table; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -19,11 +21,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from casehours.llm.common import cut, prepare, sized, tidied
+from casehours.llm.common import ROW, cut, has_rows, prepare, repeated_ids, sized, tidied, with_row_ids
 from casehours.llm.shingles import mix, words_of
 
-#: Words of a span, at least.
-MIN_WORDS = 20
+#: Sentences of a span; words of a span with fewer sentences.
+SENTENCES, LONG_WORDS = 3, 50
 
 _STOPS = np.zeros(256, bool)
 _STOPS[[ord(c) for c in ".!?"]] = True
@@ -53,18 +55,21 @@ def sentences_of(text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nd
     return hashes, np.concatenate([[0], np.flatnonzero(stop[:-1]) + 1, [len(hashes)]]), starts, ends
 
 
-def runs_of(text: bytes, min_words: int = MIN_WORDS) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """First sentence, sentence after the last, and two hashes of the spans from and to every sentence of a text."""
+def runs_of(text: bytes, sentences: int = SENTENCES, long_words: int = LONG_WORDS) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """First sentence, sentence after the last, and two hashes of the spans of a text."""
     hashes, first, _, _ = sentences_of(text)
     n, words = len(first) - 1, len(hashes)
     if not words:
         return (np.zeros(0, np.int64),) * 2 + (np.zeros(0, np.uint64),) * 2
-    least = min(min_words, words)
-    until = np.searchsorted(first, first[:-1] + least)
-    since = np.searchsorted(first, first[1:] - least, "right") - 1
-    begun, ended = np.flatnonzero(until <= n), np.flatnonzero(since >= 0)
-    places = np.concatenate([begun * (n + 1) + until[begun], since[ended] * (n + 1) + ended + 1])
-    at, until = np.divmod(np.unique(places), n + 1)
+    size = min(sentences, n)
+    whole = np.arange(n - size + 1)
+    until = np.searchsorted(first, first[:-1] + long_words)
+    since = np.searchsorted(first, first[1:] - long_words, "right") - 1
+    begun = np.flatnonzero((until <= n) & (until - np.arange(n) < size))
+    ended = np.flatnonzero((since >= 0) & (np.arange(1, n + 1) - since < size))
+    starts = np.concatenate([whole, begun, since[ended]])
+    ends = np.concatenate([whole + size, until[begun], ended + 1])
+    at, until = np.divmod(np.unique(starts * (n + 1) + ends), n + 1)
     a, b = first[at], first[until]
     out = []
     for base in _BASES:
@@ -73,36 +78,39 @@ def runs_of(text: bytes, min_words: int = MIN_WORDS) -> tuple[np.ndarray, np.nda
     return at, until, *out
 
 
-def runs(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """span, check (hashes), doc_id, first, until of all spans of a table doc_id, text."""
-    schema = pa.schema([("span", pa.int64()), ("check", pa.int64()), ("doc_id", pa.int64()), ("first", pa.int32()), ("until", pa.int32())])
+def runs(rows: DataFrame, sentences: int = SENTENCES, long_words: int = LONG_WORDS) -> DataFrame:
+    """span, check (hashes), row, first, until of all spans of a table row, text; and doc_id where the table has it."""
+    names = [c for c in ("row", "doc_id") if c in rows.columns]
+    schema = pa.schema([("span", pa.int64()), ("check", pa.int64()), *((c, pa.int64()) for c in names), ("first", pa.int32()), ("until", pa.int32())])
 
     def run(batches):
         for batch in batches:
-            parts, size = [], 0
-            for name, text in zip(batch.column("doc_id").to_pylist(), batch.column("text"), strict=True):
-                at, until, span, check = runs_of(text.as_buffer() or b"", min_words)
-                parts.append((span.view(np.int64), check.view(np.int64), np.full(len(at), name, np.int64), at.astype(np.int32), until.astype(np.int32)))
+            parts, own, size = [], [], 0
+            for k, text in enumerate(batch.column("text")):
+                at, until, span, check = runs_of(text.as_buffer() or b"", sentences, long_words)
+                parts.append((span.view(np.int64), check.view(np.int64), at.astype(np.int32), until.astype(np.int32)))
+                own.append(np.full(len(at), k, np.int64))
                 size += len(at)
-                if size > 200_000:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*parts, strict=True)], schema=schema)
-                    parts, size = [], 0
-            if parts:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*parts, strict=True)], schema=schema)
+                if size > 200_000 or k + 1 == batch.num_rows:
+                    span, check, at, until = (pa.array(np.concatenate(x)) for x in zip(*parts, strict=True))
+                    place = pa.array(np.concatenate(own))
+                    yield pa.RecordBatch.from_arrays([span, check, *(batch.column(c).take(place) for c in names), at, until], schema=schema)
+                    parts, own, size = [], [], 0
 
-    named = docs.filter("doc_id is not null").select("doc_id", F.encode(F.coalesce("text", F.lit("")), "utf-8").alias("text"))
-    return named.mapInArrow(tidied(run), "span long, check long, doc_id long, first int, until int")
+    return rows.select(*names, F.encode(F.coalesce("text", F.lit("")), "utf-8").alias("text")).mapInArrow(tidied(run), ", ".join(["span long, check long", *(f"{c} long" for c in names), "first int, until int"]))
 
 
-def repeated_runs(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """doc_id, first, until, first_doc of every run that is not the first place of its span."""
+def repeated_runs(rows: DataFrame, sentences: int = SENTENCES, long_words: int = LONG_WORDS) -> DataFrame:
+    """row, first, until, first_doc of every run that is not the first place of its span. ``rows``: row, text; doc_id where it is not the row."""
     by = ["span", "check"]
-    held = cut(runs(docs, min_words), "runs")
+    held = cut(runs(rows, sentences, long_words), "runs")
+    order = F.struct(F.coalesce("doc_id", F.lit((1 << 63) - 1)).alias("place"), "row", "doc_id") if "doc_id" in rows.columns else F.struct("row", F.col("row").alias("doc_id"))
     # both small sides are written before their joins, so that these have plain exchanges and AQE can split a hot span
-    spans = cut(held.groupBy(*by).agg(F.count(F.lit(1)).alias("places"), F.min("doc_id").alias("first_doc")).filter("places > 1").select(*by, "first_doc"), "repeated-spans")
-    placed = cut(held.join(spans, by), "repeated-runs")
-    begins = cut(placed.filter("doc_id = first_doc").groupBy(*by).agg(F.min("first").alias("first_at")), "first-places")
-    return placed.join(begins, by).filter("doc_id <> first_doc or first <> first_at").select("doc_id", "first", "until", "first_doc")
+    spans = held.groupBy(*by).agg(F.count(F.lit(1)).alias("places"), F.min(order).alias("least")).filter("places > 1")
+    spans = cut(spans.select(*by, F.col("least.row").alias("first_row"), F.col("least.doc_id").alias("first_doc")), "repeated-spans")
+    placed = cut(held.select(*by, "row", "first", "until").join(spans, by), "repeated-runs")
+    begins = cut(placed.filter("row = first_row").groupBy(*by).agg(F.min("first").alias("first_at")), "first-places")
+    return placed.join(begins, by).filter("row <> first_row or first <> first_at").select("row", "first", "until", "first_doc")
 
 
 def without_sentences(text: bytes, runs_: list[tuple[int, int]]) -> tuple[bytes, list[tuple[int, int]], int]:
@@ -124,32 +132,38 @@ def without_sentences(text: bytes, runs_: list[tuple[int, int]]) -> tuple[bytes,
     return b"".join([*parts, text[at:]]), spans, n
 
 
-def repeated_sentences(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
-    """One row per document that loses sentences: doc_id, first_docs, sentences, removed, removed_spans, text (what stays).
+def repeated_sentences(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sentences: int = SENTENCES, long_words: int = LONG_WORDS) -> DataFrame:
+    """One row per row that loses sentences: doc_id, first_docs, sentences, removed, removed_spans, text (what stays).
 
-    ``first_docs``: documents that have the first places of the removed runs. ``removed_spans``: first sentence, and
+    ``first_docs``: ids of documents that have the first places of the removed runs. ``removed_spans``: first sentence, and
     the one after the last, of every stretch removed.
     """
     prepare(docs.sparkSession)
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    covered = repeated_runs(texts, min_words).groupBy("doc_id").agg(F.collect_set(F.struct("first", "until")).alias("runs"), F.array_sort(F.collect_set("first_doc")).alias("first_docs"))
+    _, differing = repeated_ids(texts, "doc_id", "text")
+    if has_rows(differing) or has_rows(texts.filter("doc_id is null")):
+        rows = with_row_ids(texts, "doc_id", "text", differing).select(F.col(ROW).alias("row"), "doc_id", "text")
+    else:
+        rows = texts.withColumnRenamed("doc_id", "row")
+    covered = repeated_runs(rows, sentences, long_words).groupBy("row").agg(F.collect_set(F.struct("first", "until")).alias("runs"), F.array_sort(F.collect_set("first_doc")).alias("first_docs"))
     covered = cut(covered, "covered")
     schema = pa.schema([("doc_id", pa.int64()), ("first_docs", pa.list_(pa.int64())), ("sentences", pa.int32()), ("removed", pa.int32()), ("removed_spans", pa.list_(pa.list_(pa.int32()))), ("text", pa.string())])
 
     def run(batches):
         for batch in batches:
-            rows, size = [], 0
+            found, size = [], 0
             for k in range(batch.num_rows):
                 x = {name: batch.column(name)[k].as_py() for name in ("doc_id", "first_docs", "runs")}
                 kept, spans, n = without_sentences(batch.column("text")[k].as_py() or b"", [(r["first"], r["until"]) for r in x["runs"]])
-                rows.append({"doc_id": x["doc_id"], "first_docs": x["first_docs"], "sentences": n, "removed": sum(b - a for a, b in spans), "removed_spans": spans, "text": kept.decode()})
+                found.append({"doc_id": x["doc_id"], "first_docs": x["first_docs"], "sentences": n, "removed": sum(b - a for a, b in spans), "removed_spans": spans, "text": kept.decode()})
                 size += len(kept) + 200
                 if size > 4 << 20:
-                    yield pa.RecordBatch.from_pylist(rows, schema=schema)
-                    rows, size = [], 0
-            if rows:
-                yield pa.RecordBatch.from_pylist(rows, schema=schema)
-
-    affected = texts.join(sized(covered.select("doc_id")), "doc_id", "left_semi").select("doc_id", F.encode(F.coalesce("text", F.lit("")), "utf-8").alias("text"))
-    joined = affected.join(covered, "doc_id")
+                    yield pa.RecordBatch.from_pylist(found, schema=schema)
+                    found, size = [], 0
+            if found:
+                yield pa.RecordBatch.from_pylist(found, schema=schema)
+
+    name = F.col("doc_id") if "doc_id" in rows.columns else F.col("row")
+    affected = rows.join(sized(covered.select("row")), "row", "left_semi").select("row", name.alias("doc_id"), F.encode(F.coalesce("text", F.lit("")), "utf-8").alias("text"))
+    joined = affected.join(covered, "row").drop("row")
     return joined.mapInArrow(tidied(run), "doc_id long, first_docs array<long>, sentences int, removed int, removed_spans array<array<int>>, text string")
