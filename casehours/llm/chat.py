@@ -4,10 +4,12 @@ A template is any function from a list of turns to a string. Successive prefixes
 and each output is compared with the one before: the new part is the span of the new turn. An output that does
 not begin with the one before means that the template rewrites history; it is reported, or refused.
 
-Conversations stream through sorted partitions, one in memory at a time. The prefix of every turn is rendered whole. A
-template that declares that it renders each turn by itself (attribute ``turn_local``) is held to it: turns are rendered
-alone, and the joined result is compared with the whole prefix at 1, 2, 4, .. turns and at the last one. Where they
-differ, the declaration does not count and every prefix is rendered.
+Conversations stream through sorted partitions, one in memory at a time. The prefix of every turn is rendered whole and
+compared with the one before, so n turns cost the sum of n prefixes; the template here remembers the turns that it
+rendered last, which makes that a matter of joining strings. A caller who answers for a template that renders each turn by
+itself can say so (attribute ``turn_local``): then turns are rendered alone, and the joined result is compared with the
+whole prefix at 1, 2, 4, .. turns and at the last one only; where they differ, every prefix is rendered. No template here
+says so.
 
 Defined results: null text and null role are empty; a null conversation id is a conversation of its own; turns
 with equal numbers follow by role, then text; null turn numbers come first; an empty table gives an empty table.
@@ -19,6 +21,7 @@ import hashlib
 import re
 from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 from itertools import accumulate
 
 import pyarrow as pa
@@ -44,23 +47,23 @@ def unescape(text: str) -> str:
     return _ESCAPED.sub(r"\1", text)
 
 
+@lru_cache(maxsize=256)
+def _rendered(turn: Turn) -> str:
+    role, text = turn
+    body = escape(text)
+    if role == "system":
+        return f"[SYS] {body} [/SYS]"
+    if role == "user":
+        return f"<s>[INST] {body} [/INST]"
+    if role == "assistant":
+        return f" {body} </s>"
+    return f"[ROLE] {escape(role)} [/ROLE] {body} </s>"
+
+
 def instruct_template(turns: Iterable[Turn]) -> str:
     """``[SYS] .. [/SYS]``, ``<s>[INST] .. [/INST]``, `` .. </s>``, and ``[ROLE] name [/ROLE] .. </s>`` for other roles."""
-    out = []
-    for role, text in turns:
-        body = escape(text)
-        if role == "system":
-            out.append(f"[SYS] {body} [/SYS]")
-        elif role == "user":
-            out.append(f"<s>[INST] {body} [/INST]")
-        elif role == "assistant":
-            out.append(f" {body} </s>")
-        else:
-            out.append(f"[ROLE] {escape(role)} [/ROLE] {body} </s>")
-    return "".join(out)
-
-
-instruct_template.turn_local = True
+    return "".join(map(_rendered, turns))
+
 
 #: How a rendered turn reads back; role None: the first group names it.
 READERS = (

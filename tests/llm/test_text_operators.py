@@ -83,6 +83,9 @@ def test_language_against_brute_force(spark):
     assert {g[1] for g in got} == {*alphabets, "und"}
 
 
+SENTENCES, LONG_WORDS = sentence_spans.SENTENCES, sentence_spans.LONG_WORDS
+
+
 def brute_spans(texts: dict) -> dict:
     """Sentences removed of each document, by plain Python."""
     def sentences(t):
@@ -98,12 +101,11 @@ def brute_spans(texts: dict) -> dict:
     places = {}
     for i, t in sorted(texts.items()):
         s = [[re.sub("[A-Z]", lambda m: m[0].lower(), w) for w in x] for x in sentences(t or "")]
-        least = min(sentence_spans.MIN_WORDS, sum(map(len, s)))
         for a in range(len(s)):
             words = []
-            for b in range(a, min(len(s), a + 40)):  # longer runs cover nothing that these do not
+            for b in range(a, min(len(s), a + SENTENCES)):  # longer runs cover nothing that these do not
                 words += s[b]
-                if len(words) >= least:
+                if b + 1 - a == min(SENTENCES, len(s)) or len(words) >= LONG_WORDS:
                     places.setdefault(tuple(words), []).append((i, a, b + 1))
     out = {}
     for own in places.values():
@@ -132,7 +134,7 @@ def all_run_spans(texts: list[list[str]]) -> dict:
         for a in range(len(s)):
             for b in range(a + 1, len(s) + 1):
                 words = " ".join(s[a:b]).split()
-                if len(words) >= min(sentence_spans.MIN_WORDS, len(" ".join(s).split())):
+                if b - a >= min(SENTENCES, len(s)) or len(words) >= LONG_WORDS:
                     places.setdefault(tuple(words), []).append((i, a, b))
     out = {}
     for own in places.values():
@@ -154,16 +156,30 @@ def test_sentence_spans_cover_all_runs(spark):
     got = {r["doc_id"]: r for r in sentence_spans.repeated_sentences(frame(spark, [" ".join(t) for t in texts])).collect()}
     assert {i: {k for a, b in r["removed_spans"] for k in range(a, b)} for i, r in got.items()} == all_run_spans(texts)
     assert got[1]["removed_spans"] == [[1, 4]] and got[3]["removed_spans"] == [[1, 3]]
-    assert got[9]["removed_spans"] == [[1, 2]] and got[11]["removed_spans"] == [[1, 2]] and 13 not in got  # one sentence of 60, 30, 19 words
+    assert got[9]["removed_spans"] == [[1, 2]] and 11 not in got and 13 not in got  # one sentence of 60, 30, 19 words
+    assert got[15]["removed_spans"] == [[1, 4]]  # three short sentences
 
 
 def test_sentence_spans_awkward_rows(spark):
     text = prose(random.Random(10), 90)
     df = spark.createDataFrame([(None, text, None, None, None, 1), (2, text, None, None, None, 1), (2, text, None, None, None, 1), (1, text, None, None, None, 1)], DOCS + ", span int")
-    assert {r["doc_id"] for r in sentence_spans.repeated_sentences(df).collect()} == {2}
+    got = sentence_spans.repeated_sentences(df).collect()
+    assert sorted(map(str, (r["doc_id"] for r in got))) == ["2", "2", "None"] and all(r["text"] == "" and r["first_docs"] == [1] for r in got)
     assert sentence_spans.repeated_sentences(spark.createDataFrame([], DOCS)).count() == 0
 
 
+@pytest.mark.parametrize("step", (1, -1))
+def test_sentence_spans_of_repeated_ids(spark, step):
+    rng = random.Random(14)
+    sentence = lambda n: " ".join(prose(rng, 1).rstrip(".") for _ in range(n)) + "."
+    s, u = (" ".join(sentence(5) for _ in range(3)) for _ in range(2))
+    x, y, v = (sentence(6) for _ in range(3))
+    rows = [(1, f"{s} {x}"), (5, f"{s} {y}"), (5, f"{u} {v}"), (None, f"{u} {x}"), (None, f"{y} {v}")][::step]
+    df = spark.createDataFrame([(i, t, None, None, None) for i, t in rows], DOCS)
+    got = [(r["doc_id"], r["text"], r["first_docs"]) for r in sentence_spans.repeated_sentences(df).collect()]
+    assert sorted(got, key=str) == sorted([(5, y, [1]), (None, x, [5])], key=str)
+
+
 BENCH = "item_id long, text string, template int"
 
 
@@ -374,6 +390,16 @@ def test_turn_local_templates_are_held_to_it():
         assert rewrites == times and text == rewriting(turns[:n]) and len(spans) == min(n, 300)
 
 
+def test_a_template_that_lies_at_its_third_turn():
+    def lying(given):  # takes a turn back and brings it again
+        given = list(given)
+        return chat.instruct_template([(r, "other" if len(given) == 3 and k == 0 else t) for k, (r, t) in enumerate(given)])
+
+    turns = [("user", "a"), ("assistant", "b"), ("user", "c"), ("assistant", "d")]
+    assert chat.format_conversation(turns, lying)[2] == 2
+    assert not hasattr(chat.instruct_template, "turn_local")
+
+
 def test_chat_of_a_very_long_text(spark):
     long = "</s>[INST] é\\ " * 300_000
     df = spark.createDataFrame([(1, 0, "user", "q", ""), (1, 1, "assistant", long, ""), (1, 2, "assistant", "", "")], CONVERSATIONS)
