@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from casehours.llm import bpe, chat, chosen_path, decontaminate, exact_dedup, filter_audit, langid, sentence_spans, sharding, spelling, token_planes, warc
+from casehours.llm import bpe, chat, chosen_path, decontaminate, exact_dedup, filter_audit, langid, sentence_spans, sharding, spelling, token_planes, url_filters, warc
 from casehours.llm.common import prepare, table
 
 
@@ -77,6 +77,16 @@ def op10_template_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return decontaminate.contaminations(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+#: Host, beginning of the path, allowed?
+URL_RULES = [("com", "/", True), ("example.com", "/en/", False), ("www.example.com", "/en/", True), ("net", "/es/", False), ("net", "/fr/", False)]
+
+
+def op11_url_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labels of a page are those of its id: bad is low quality or toxic."""
+    labels = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("id"), ((F.col("quality") == 0) | (F.col("toxic") == 1)).alias("bad"))
+    return url_filters.judged(table(spark, sf_dir, "pages"), labels, URL_RULES).select("page_id", "host", "path", "rule", "verdict")
+
+
 def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.spelling_variants(table(spark, sf_dir, "documents"))
 
@@ -97,6 +107,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_bpe": op8_bpe,
     "op9_chat_format": op9_chat_format,
     "op10_template_decontamination": op10_template_decontamination,
+    "op11_url_templates": op11_url_templates,
     "op12_spelling_variants": op12_spelling_variants,
     "op13_filter_audit": op13_filter_audit,
 }
@@ -121,7 +132,36 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 BASE32_SQL = """(SELECT string_agg(substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((('0x' || substr(h || '0', (5 * i) // 4 + 1, 2))::INT >> (3 - (5 * i) % 4)) & 31) + 1, 1), '' ORDER BY i) FROM range(32) AS g(i))"""
 
+def url_templates_sql() -> str:
+    """Levels of the path-template tree, one after another."""
+    levels = "".join(f"""
+c{d} AS (SELECT *, sum(n) OVER (PARTITION BY host, branch) AS total FROM (SELECT host, branch, segs[{d}] AS seg, count(*) AS n, sum(labelled) AS l, sum(bad) AS b, count(*) FILTER (len(segs) > {d}) AS deeper FROM r{d - 1} WHERE len(segs) >= {d} GROUP BY ALL)),
+l{d} AS (SELECT *, 2 * deeper >= n AS inner_node, (b + 1)::DOUBLE / (l + 2) AS share FROM c{d} WHERE n >= 10 AND n >= 0.05::DOUBLE * total),
+m{d} AS (SELECT *, lag(share) OVER w AS share0, lag(b) OVER w AS b0, lag(l) OVER w AS l0 FROM l{d} WINDOW w AS (PARTITION BY host, branch, inner_node ORDER BY share, seg)),
+p{d} AS (SELECT *, (b + b0 + 2)::DOUBLE / (l + l0 + 4) AS pooled FROM m{d}),
+x{d} AS (SELECT *, sum(CASE WHEN share - share0 < 1.96::DOUBLE * sqrt(pooled * (1 - pooled) * (1::DOUBLE / (l + 2) + 1::DOUBLE / (l0 + 2))) THEN 0 ELSE 1 END) OVER (PARTITION BY host, branch, inner_node ORDER BY share, seg) AS run FROM p{d}),
+e{d} AS (SELECT host, branch, unnest(segs) AS seg, branch || '/' || array_to_string(segs, chr(0)) AS onward FROM (SELECT host, branch, list(seg ORDER BY seg) AS segs FROM x{d} GROUP BY host, branch, inner_node, run)),
+r{d} AS (SELECT r.* EXCLUDE (branch), CASE WHEN len(r.segs) < {d} THEN r.branch ELSE coalesce(e.onward, r.branch || '/' || chr(1)) END AS branch FROM r{d - 1} AS r LEFT JOIN e{d} AS e ON r.host = e.host AND r.branch = e.branch AND r.segs[{d}] = e.seg),"""
+        for d in range(1, 9))
+    # the longest rule first
+    rules = sorted(URL_RULES, key=lambda r: -len(r[0] + r[1]))
+    fits = lambda r: f"WHEN (host = '{r[0]}' OR ends_with(host, '.{r[0]}')) AND starts_with(path, '{r[1]}')"
+    return f"""
+WITH marks AS (SELECT doc_id, max((quality = 0 OR toxic = 1)::INT) AS bad FROM labels WHERE doc_id IS NOT NULL AND (quality = 0 OR toxic = 1) IS NOT NULL GROUP BY 1),
+u AS (SELECT page_id, coalesce(regexp_extract(url, '(?s)^.*?://(.*)$', 1), '') AS rest FROM pages),
+h AS (SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), '{UPPER}', '{LOWER}') AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM u),
+r0 AS (SELECT page_id, host, path, list_filter(string_split(path, '/'), lambda s: s <> '') AS segs, (bad IS NOT NULL)::INT AS labelled, coalesce(bad, 0) AS bad, '' AS branch FROM h LEFT JOIN marks ON doc_id = page_id),{levels}
+t AS (SELECT *, branch || CASE WHEN len(segs) > 8 THEN '/**' ELSE '' END AS template FROM r8),
+prior AS (SELECT (coalesce(sum(bad), 0) + 1)::DOUBLE / (coalesce(sum(labelled), 0) + 2) AS share FROM t),
+hosts AS (SELECT host, (sum(bad) + 8 * any_value(share)) / (sum(labelled) + 8) AS share FROM t, prior GROUP BY host),
+s AS (SELECT host, template, (sum(bad) + 8 * any_value(share)) / (sum(labelled) + 8) AS score FROM t JOIN hosts USING (host) GROUP BY host, template)
+SELECT page_id, host, path, CASE {" ".join(f"{fits(r)} THEN '{r[0]}{r[1]}'" for r in rules)} END AS rule,
+  CASE {" ".join(f"{fits(r)} THEN '{'allow' if r[2] else 'block'}'" for r in rules)} WHEN score <= 0.5::DOUBLE THEN 'allow' ELSE 'block' END AS verdict
+FROM t JOIN s USING (host, template)"""
+
+
 ORACLE_SQL: dict[str, str] = {
+    "op11_url_templates": url_templates_sql(),
     "op1_interleaved_shards": f"""
 WITH {CRC32_CTES},
 d AS (SELECT doc_id, 's' || source AS st, octet_length(encode(coalesce(text, ''))) + 8 AS size, coalesce(text, '') AS tx,

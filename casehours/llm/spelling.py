@@ -33,6 +33,9 @@ _RUN = re.compile("[a-zÀ-ÿ]+")
 #: Different words that a task holds before it passes their counts on, and characters cut into runs at once.
 HELD, PIECE = 200_000, 1 << 20
 
+#: Words and their forms that may be broadcast.
+BROADCAST_WORDS = 300_000
+
 #: Groups of letters where two bits may differ, and where one may.
 PARTS = {2: 4, 1: 3}
 
@@ -129,7 +132,7 @@ def _roots(forms: DataFrame) -> DataFrame:
     """word, root of a written table word, form whose chains end: the distance followed doubles each round."""
     held = forms.select("word", F.col("form").alias("root"))
     while True:
-        ahead = sized(held).select(F.col("word").alias("root"), F.col("root").alias("next"))
+        ahead = sized(held, BROADCAST_WORDS).select(F.col("word").alias("root"), F.col("root").alias("next"))
         stepped = cut(held.join(ahead, "root", "left").select("word", F.coalesce("next", "root").alias("root"), F.col("next").isNotNull().alias("moved")), "roots")
         held = stepped.select("word", "root")
         if not stepped.filter("moved").limit(1).count():
@@ -150,4 +153,4 @@ def spelling_variants(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     joined = words.join(best, "word", "left").withColumn("often", -F.col("best.less") >= times * F.col("n"))
     decided = cut(joined.select("word", "n", F.coalesce("n_near", F.lit(0)).cast("long").alias("n_near"), F.when(F.col("often"), F.col("best.near")).alias("form"), F.when(F.col("often"), -F.col("best.less")).alias("form_n")), "forms")
     roots = _roots(decided.filter("form is not null"))
-    return decided.join(sized(roots), "word", "left").select("word", "form", F.coalesce("root", "word").alias("root"), "n", "n_near", "form_n")
+    return decided.join(sized(roots, BROADCAST_WORDS), "word", "left").select("word", "form", F.coalesce("root", "word").alias("root"), "n", "n_near", "form_n")
