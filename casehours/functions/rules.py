@@ -77,6 +77,11 @@ def area_rules(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(rows, "metric string, series string, temporal string, weight string, fallback_weight string, hazard boolean")
 
 
+def derived_metrics(spark: SparkSession) -> DataFrame:
+    """metric, a, b, op of calculated area metrics."""
+    return spark.createDataFrame(list(AREA_DERIVED), "metric string, a string, b string, op string")
+
+
 def fuel_spellings(spark: SparkSession) -> DataFrame:
     """spelling, clean, fuel_group; a spelling that repeats is refused."""
     rows = [(s, clean, group) for clean, group, spellings in FUELS for s in spellings]

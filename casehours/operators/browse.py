@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from casehours.functions import calendar as cal
+
+WEEKDAYS = ("Mon", "Tue", "Wed", "Thu", "Fri", "Sat", "Sun")
 CHECKLIST, MOST_SERIES, MOST_OVERLAY, MOST_SCALES = 100, 10, 30, 2
 
 
@@ -63,9 +66,78 @@ def displayed(value: Column, cell_class: str = "quantity") -> Column:
     return F.when(v.isNull(), "").when(hidden & (v > 0), f"<1{sign}").when(hidden, f">-1{sign}").otherwise(text)
 
 
+#: Digits of a single-precision number: tried in turn until the text reads back as the same number.
+CELL_DIGITS = (7, 8, 9)
+#: Whole numbers below this are written without exponent, and fractions from the other on.
+BARE_BELOW, POINT_FROM = 1e9, -6
+
+
+def _joined(whole: Column, rest: Column) -> Column:
+    return F.when(rest == "", whole).otherwise(F.concat(whole, F.lit("."), rest))
+
+
+def _from(text: Column, place: Column | int) -> Column:
+    """The rest of a text from a place, the first being 1."""
+    return F.substring(text, F.lit(place) if isinstance(place, int) else place, F.length(text) + 1)
+
+
+def _once(value: Column, body) -> Column:
+    """``body`` of a value that is worked out once, however often it stands in there."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _without_zeros(scientific: Column) -> Column:
+    """-1.234500e+02 as -123.45: trailing zeros dropped; an exponent stays only for 1e9 and more and below 1e-6."""
+    parts = F.struct(
+        F.regexp_extract(scientific, "^-?", 0).alias("sign"),
+        F.regexp_replace(F.regexp_replace(scientific, r"^-|\.|e.*$", ""), "0+$", "").alias("digits"),
+        F.regexp_extract(scientific, "e(.*)$", 1).try_cast("int").alias("power"),
+    )
+
+    def text(x: Column) -> Column:
+        digits, power = x["digits"], x["power"]
+        raised = F.concat(_joined(F.substring(digits, 1, 1), _from(digits, 2)), F.lit("e"), F.when(power < 0, "-").otherwise("+"), F.abs(power).cast("string"))
+        padded = F.rpad(digits, F.greatest(F.length(digits), power + 1), "0")
+        plain = F.when(power < 0, F.concat(F.lit("0."), F.repeat(F.lit("0"), -power - 1), digits)).otherwise(_joined(F.substring(padded, F.lit(1), power + 1), _from(padded, power + 2)))
+        return F.concat(x["sign"], F.when((power < POINT_FROM) | (power >= len(str(int(BARE_BELOW))) - 1), raised).otherwise(plain))
+
+    return _once(parts, text)
+
+
 def cell_text(value: Column) -> Column:
-    """The shortest text that gives the same single-precision number (T-18)."""
-    return F.regexp_replace(value.cast("float").cast("string"), r"\.0$", "")
+    """The text of a single-precision number: whole ones bare, else the first of 7, 8 or 9 digits that reads back; blank if null, NaN or infinite (T-18)."""
+    v = value.cast("float")
+    wide = v.cast("double")
+    tried = {n: F.format_string(f"%.{n - 1}e", wide) for n in CELL_DIGITS}
+    digits = F.coalesce(*(F.when(tried[n].cast("double").cast("float") == v, tried[n]) for n in CELL_DIGITS[:-1]), tried[CELL_DIGITS[-1]])
+    whole = (F.abs(wide) < BARE_BELOW) & (F.floor(wide) == wide)
+    blank = v.isNull() | F.isnan(v) | (F.abs(wide) == float("inf"))
+    return F.when(blank, "").when(whole, wide.cast("long").cast("string")).otherwise(_once(digits, _without_zeros))
+
+
+def percent_text_as_ratio(text: Column) -> Column:
+    """The text of a percent as its ratio: the point moves two places to the left, or the exponent falls by two (T-18)."""
+    whole = F.regexp_extract(text, "^-?([0-9]*)", 1)
+    parts = F.struct(
+        text.alias("text"),
+        F.regexp_extract(text, "^-?", 0).alias("sign"),
+        F.lpad(whole, F.greatest(F.length(whole), F.lit(3)), "0").alias("whole"),
+        F.regexp_extract(text, r"\.([^e]*)", 1).alias("rest"),
+        (F.regexp_extract(text, "e(.*)$", 1).try_cast("int") - 2).alias("power"),
+    )
+
+    def ratio(x: Column) -> Column:
+        raised = F.concat(F.regexp_extract(x["text"], "^[^e]*", 0), F.lit("e"), F.when(x["power"] < 0, "").otherwise("+"), x["power"].cast("string"))
+        left = F.regexp_replace(F.substring(x["whole"], F.lit(1), F.length(x["whole"]) - 2), "^0+(?=[0-9])", "")
+        out = _joined(left, F.regexp_replace(F.concat(F.substring(x["whole"], F.length(x["whole"]) - 1, F.lit(2)), x["rest"]), "0+$", ""))
+        return F.when(x["text"] == "", "").when(x["power"].isNotNull(), raised).when(out == "0", out).otherwise(F.concat(x["sign"], out))
+
+    return _once(parts, ratio)
+
+
+def ratio_text(percent: Column) -> Column:
+    """A single-precision percent as the text of its ratio (T-18)."""
+    return percent_text_as_ratio(cell_text(percent))
 
 
 def bus_label(name: Column, bus_id: Column) -> Column:
@@ -107,6 +179,33 @@ def day_label(slot_day: Column) -> Column:
     return F.date_format(F.date_add(F.lit("2000-01-01").cast("date"), slot_day.cast("int")), "MMM d")
 
 
+def range_label(first_day: Column, last_day: Column) -> Column:
+    """Feb 20 - Mar 10 with an en dash, days in either order and kept inside the year; one day alone (T-21)."""
+    inside = lambda day: F.least(F.greatest(day, F.lit(0)), F.lit(cal.SLOT_DAYS - 1))
+    a, b = inside(F.least(first_day, last_day)), inside(F.greatest(first_day, last_day))
+    return F.when(a == b, day_label(a)).otherwise(F.concat(day_label(a), F.lit(" \u2013 "), day_label(b)))
+
+
+def axis_label(period: str, axis_hour: Column) -> Column:
+    """HE 18, Tue HE 18 or day 12 HE 18: an hour on the axis of a day, a week or a month (T-21)."""
+    he = F.concat(F.lit("HE "), (axis_hour % 24 + 1).cast("int").cast("string"))
+    day = F.floor(axis_hour / 24).cast("int")
+    if period == "day":
+        return he
+    if period == "week":
+        return F.concat(F.element_at(F.array(*map(F.lit, WEEKDAYS)), day + 1), F.lit(" "), he)
+    if period == "month":
+        return F.concat(F.lit("day "), (day + 1).cast("string"), F.lit(" "), he)
+    raise ValueError("period is day, week or month")
+
+
+def span_hour_label(first_year: Column, axis_hour: Column) -> Column:
+    """4000 of 2031 (Jun 15, hour ending 17): an hour of a span of years (T-21)."""
+    slot = (axis_hour % cal.SLOT_HOURS).cast("int")
+    year = (first_year + F.floor(axis_hour / cal.SLOT_HOURS)).cast("int")
+    return F.concat(slot.cast("string"), F.lit(" of "), year.cast("string"), F.lit(" ("), day_label(F.floor(slot / 24)), F.lit(", hour ending "), (slot % 24 + 1).cast("string"), F.lit(")"))
+
+
 def member_signature(members: Column) -> Column:
     """A digest of a set of members, whatever their order (T-22)."""
     return F.sha2(F.concat_ws("\u001f", F.array_sort(members)), 256)

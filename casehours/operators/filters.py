@@ -6,7 +6,7 @@ import re
 from dataclasses import dataclass, field
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from casehours.functions import calendar as cal
@@ -64,6 +64,36 @@ class HourFilter:
         return HourFilter(None if not still or set(still) == set(loaded) else still, self.date_runs, self.hours_ending, self.weekdays, self.seasons, self.tou, self.tou_column)
 
 
+#: Slot days of a bucket: a run of days is joined through the buckets that it touches.
+RUN_BUCKET = 32
+
+
+def merged_runs(runs: DataFrame, by: list[str]) -> DataFrame:
+    """by, first_day, last_day: a table of runs of slot days, in either order, clamped to the year; overlapping or touching ones merged (F-02).
+
+    First the longest run from each day is found, so a window has a year's days at most, however many runs there are.
+    """
+    a, b = F.least("first_day", "last_day"), F.greatest("first_day", "last_day")
+    clamped = runs.select(*by, F.greatest(a, F.lit(0)).alias("a"), F.least(b, F.lit(cal.SLOT_DAYS - 1)).alias("b")).filter("a <= b")
+    longest = clamped.groupBy(*by, "a").agg(F.max("b").alias("b"))
+    order = Window.partitionBy(*by).orderBy("a")
+    apart = F.col("a") > F.max("b").over(order.rowsBetween(Window.unboundedPreceding, -1)) + 1
+    islands = longest.withColumn("_apart", F.coalesce(apart, F.lit(True)).cast("int")).withColumn("_island", F.sum("_apart").over(order))
+    return islands.groupBy(*by, "_island").agg(F.min("a").cast("int").alias("first_day"), F.max("b").cast("int").alias("last_day")).drop("_island")
+
+
+def in_runs(facts: DataFrame, runs: DataFrame, by: list[str]) -> DataFrame:
+    """``facts`` on the days of their group's runs; a group without runs is not constrained (F-02). ``runs``: by, first_day, last_day."""
+    merged = merged_runs(runs, by)
+    bucket = lambda day: F.floor(day / RUN_BUCKET)
+    touched = merged.withColumn("_bucket", F.explode(F.sequence(bucket(F.col("first_day")), bucket(F.col("last_day")))))
+    constrained = runs.select(*by).distinct().withColumn("_constrained", F.lit(True))
+    placed = facts.withColumn("_day", cal.day_of_slot()).withColumn("_bucket", bucket(F.col("_day")))
+    on = [F.col(f"f.{c}") == F.col(f"r.{c}") for c in [*by, "_bucket"]] + [F.col("f._day").between(F.col("r.first_day"), F.col("r.last_day"))]
+    hit = placed.alias("f").join(touched.alias("r"), reduce(Column.__and__, on), "left").select("f.*", F.col("r.first_day").isNotNull().alias("_hit"))
+    return hit.join(constrained, by, "left").filter("_hit or _constrained is null").select(*facts.columns)
+
+
 def display_text(column: Column, cell_class: str | None = None) -> Column:
     """The cell as shown: text trimmed; numbers, for which ``cell_class`` is given, rounded as in tables."""
     return displayed(column, cell_class) if cell_class else F.trim(F.coalesce(column.cast("string"), F.lit("")))

@@ -46,6 +46,20 @@ def reverse_memberships(memberships: DataFrame) -> DataFrame:
     return memberships.groupBy("entity").agg(F.array_sort(F.collect_set("grp")).alias("groups"))
 
 
+def memberships_of(entities: DataFrame, own: DataFrame, area_of: DataFrame, of_areas: DataFrame) -> DataFrame:
+    """entity, area, own_groups, area_groups, groups: groups that hold an entity, and groups that hold its area (J-13).
+
+    A group reached both ways is in both lists and once in ``groups``; an entity without area has no groups through it. ``own``: entity,
+    grp. ``area_of``: entity, area. ``of_areas``: entity (an area), grp.
+    """
+    none = F.array().cast("array<string>")
+    listed = lambda m, key, name: m.select(F.trim("entity").alias(key), "grp").groupBy(key).agg(F.array_sort(F.collect_set("grp")).alias(name))
+    named = area_of.select("entity", F.nullif(F.trim("area"), F.lit("")).alias("area")).groupBy("entity").agg(F.min("area").alias("area"))
+    joined = entities.select(F.trim("entity").alias("entity")).distinct().join(listed(own, "entity", "own_groups"), "entity", "left").join(named, "entity", "left").join(listed(of_areas, "area", "area_groups"), "area", "left")
+    both = joined.withColumn("own_groups", F.coalesce("own_groups", none)).withColumn("area_groups", F.coalesce("area_groups", none))
+    return both.select("entity", "area", "own_groups", "area_groups", F.array_sort(F.array_union("own_groups", "area_groups")).alias("groups"))
+
+
 def group_coverage(memberships: DataFrame, axis: DataFrame) -> DataFrame:
     """One row: groups, mapped, off_list, unmapped, reversed (A-30, U-04)."""
     m = memberships.select("entity", "grp", "coef")

@@ -82,6 +82,47 @@ def span_mismatches(spans: DataFrame) -> DataFrame:
     return out.filter((F.col("first_year") != F.col("case_first")) | (F.col("last_year") != F.col("case_last")))
 
 
+MOST_CASE_YEARS = 256
+
+
+def judged_spans(landing: DataFrame) -> DataFrame:
+    """``landing`` with result_first, result_last, verdict (accepted, extends, refused) and reason of files landing on a table (Q-10).
+
+    ``landing``: mode (add, replace); first_year, last_year of the files; slot_first, slot_last of the table they land on, case_first,
+    case_last of the case, both null where there is none. An add joins the table's years, a replace is the files alone. The
+    result must contain the case's years; one that has more extends the case.
+    """
+    joins = (F.col("mode") == "add") & F.col("slot_first").isNotNull()
+    first = F.when(joins, F.least("first_year", "slot_first")).otherwise(F.col("first_year"))
+    last = F.when(joins, F.greatest("last_year", "slot_last")).otherwise(F.col("last_year"))
+    out = landing.withColumn("result_first", first).withColumn("result_last", last)
+    gap = joins & ((F.col("first_year") > F.col("slot_last") + 1) | (F.col("slot_first") > F.col("last_year") + 1))
+    same = (F.col("result_first") == F.col("case_first")) & (F.col("result_last") == F.col("case_last"))
+    contains = (F.col("result_first") <= F.col("case_first")) & (F.col("result_last") >= F.col("case_last"))
+    reason = (
+        F.when(gap, "the files and the table leave years out")
+        .when(joins & (F.col("result_last") - F.col("result_first") + 1 > MOST_CASE_YEARS), f"a case has at most {MOST_CASE_YEARS} years")
+        .when(F.col("case_first").isNotNull() & ~contains, "the years do not contain the case's")
+    )
+    fits = F.col("case_first").isNull() | same
+    return out.withColumn("reason", reason).withColumn("verdict", F.when(F.col("reason").isNotNull(), "refused").when(fits, "accepted").otherwise("extends"))
+
+
+def settled_spans(committed: DataFrame, held: DataFrame) -> DataFrame:
+    """case_id, first_year, last_year, verdict (extended, refused), differ of every case with held extensions (Q-10).
+
+    The target is the union of what is held; every held table, and every committed one that no held one takes the place of, must have
+    exactly its years; ``differ`` names the slots that have not. Both: case_id, slot, first_year, last_year. One pass over all cases.
+    """
+    both = committed.select("case_id", "slot", "first_year", "last_year", F.lit(False).alias("is_held")).unionByName(held.select("case_id", "slot", "first_year", "last_year", F.lit(True).alias("is_held")))
+    standing = both.withColumn("_taken", F.bool_or("is_held").over(Window.partitionBy("case_id", "slot"))).filter("is_held or not _taken")
+    span = lambda f, c: f(F.when(F.col("is_held"), F.col(c))).over(Window.partitionBy("case_id"))
+    aimed = standing.withColumn("_first", span(F.min, "first_year")).withColumn("_last", span(F.max, "last_year")).filter("_first is not null")
+    other = (F.col("first_year") != F.col("_first")) | (F.col("last_year") != F.col("_last"))
+    found = aimed.groupBy("case_id").agg(F.first("_first").alias("first_year"), F.first("_last").alias("last_year"), F.array_sort(F.collect_set(F.when(other, F.col("slot")))).alias("differ"))
+    return found.withColumn("verdict", F.when(F.size("differ") == 0, "extended").otherwise("refused"))
+
+
 def derived_checks(pairs: DataFrame, by: list[str]) -> DataFrame:
     """Calculated metrics: share of negative operands over 10 %, zero denominators (Q-12). ``pairs``: a, b."""
     agg = pairs.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("a") < 0).alias("neg_a"), F.count_if(F.col("b") < 0).alias("neg_b"), F.count_if(F.col("b") == 0).alias("zero_b"))
@@ -111,12 +152,28 @@ def missing_weights(metrics: DataFrame, rules: DataFrame, carried: list[str]) ->
     return joined.select("metric", used.alias("weight_used"), caveat.alias("caveat"))
 
 
+def group_hazards(facts: DataFrame, memberships: DataFrame, rules: DataFrame) -> DataFrame:
+    """case_id, grp, metrics, traders, caveat: groups whose sums count trade between their members twice, one row a group (Q-13).
+
+    A group has the hazard in metrics of trade (``rules.hazard``) of which two of its members or more have values that are not zero.
+    ``facts``: case_id, entity, quantity, value. ``memberships``: entity, grp.
+    """
+    hazards = rules.filter("hazard").select(F.col("metric").alias("quantity"))
+    trading = facts.filter(F.col("value") != 0).select("case_id", "entity", "quantity").join(hazards, "quantity", "left_semi").distinct()
+    per = trading.join(memberships.select("entity", "grp").distinct(), "entity").groupBy("case_id", "grp", "quantity").agg(F.count(F.lit(1)).alias("traders")).filter("traders > 1")
+    found = per.groupBy("case_id", "grp").agg(F.array_sort(F.collect_list("quantity")).alias("metrics"), F.max("traders").alias("traders"))
+    caveat = F.concat(F.array_join("metrics", ", "), F.lit(": members that trade with each other are counted twice"))
+    return found.withColumn("caveat", caveat)
+
+
 def coverage_notes(facts: DataFrame, retained: DataFrame, carried: DataFrame) -> DataFrame:
     """src_file, absent: retained columns that a file does not carry (Q-08). ``retained``: name. ``carried``: src_file, name."""
-    files = facts.select("src_file").distinct()
-    wanted = files.crossJoin(retained.select("name").distinct())
-    gone = wanted.join(carried.select("src_file", "name").distinct(), ["src_file", "name"], "left_anti")
-    return gone.groupBy("src_file").agg(F.array_sort(F.collect_set("name")).alias("absent"))
+    wanted = F.array_sort(F.collect_set("name")).alias("wanted")
+    own = carried.groupBy("src_file").agg(F.collect_set("name").alias("has"))
+    files = facts.select("src_file").distinct().join(own, "src_file", "left")
+    joined = files.join(F.broadcast(retained.agg(wanted)))  # one row: the names that an import retains
+    absent = F.array_except("wanted", F.coalesce("has", F.array().cast("array<string>")))
+    return joined.select("src_file", absent.alias("absent")).filter(F.size("absent") > 0)
 
 
 def entities_without_rows(listed: DataFrame, facts: DataFrame, by: list[str]) -> DataFrame:

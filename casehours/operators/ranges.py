@@ -83,22 +83,43 @@ def flow_extremes(flows: DataFrame) -> DataFrame:
     return flows.filter(~cal.is_phantom()).groupBy(F.col("entity").alias("interface"), cal.month_of().alias("month")).agg(F.max("value").alias("highest"), F.min("value").alias("lowest"))
 
 
+#: By how much of a limit a flow may pass it, and the shares of a limit that findings name.
+PASSED_BY, HALF, HUNDREDTH = 0.01, 0.5, 0.01
+
+
+def limit_finding(side: Column, flow: Column, limit: Column) -> Column:
+    """How an extreme flow lies to the limit of its side (A-27).
+
+    Whether it passed the limit is asked first; a maximum at or below zero is a ceiling and a minimum at or above zero a floor,
+    of which a share says nothing.
+    """
+    past = F.when(side == "MAX", flow - limit).otherwise(limit - flow)
+    share = F.try_divide(F.abs(flow), F.abs(limit))
+    return (
+        F.when(flow.isNull(), "no flow")
+        .when(limit.isNull(), "no limit")
+        .when(past > PASSED_BY * F.abs(limit), "exceeded")
+        .when((side == "MAX") & (limit <= 0), "ceiling")
+        .when((side == "MIN") & (limit >= 0), "floor")
+        .when(F.sign(flow) == -F.sign(limit), "opposite sign")
+        .when(share >= HALF, "50-100%")
+        .when(share >= HUNDREDTH, "under 50%")
+        .otherwise("under 1%")
+    )
+
+
 def limit_audit(extremes: DataFrame, limits: DataFrame) -> DataFrame:
     """interface, month, side, flow, limit, finding (A-27): the extreme flow of the side against its limit."""
     joined = limits.join(extremes, ["interface", "month"])
     flow = F.when(F.col("side") == "MAX", F.col("highest")).otherwise(F.col("lowest"))
-    share = F.try_divide(flow, F.col("value"))
-    finding = (
-        F.when(F.col("value").isNull(), "no limit")
-        .when((F.col("side") == "MAX") & (F.col("value") < 0), "ceiling below zero")
-        .when((F.col("side") == "MIN") & (F.col("value") > 0), "floor above zero")
-        .when(share > 1.01, "exceeded")
-        .when(share < 0, "opposite sign")
-        .when(share >= 0.5, "50-100%")
-        .when(share >= 0.01, "under 50%")
-        .otherwise("under 1%")
-    )
-    return joined.select("interface", "month", "side", flow.alias("flow"), F.col("value").alias("limit"), finding.alias("finding"))
+    return joined.select("interface", "month", "side", flow.alias("flow"), F.col("value").alias("limit"), limit_finding(F.col("side"), flow, F.col("value")).alias("finding"))
+
+
+def finding_shares(audit: DataFrame) -> DataFrame:
+    """side, finding, n, share: findings by side, sides, and all month-sides (nulls: of all), by rollup; share is of the level above (A-27)."""
+    counts = audit.rollup("side", "finding").agg(F.count(F.lit(1)).alias("n"), F.grouping_id().alias("level"))
+    above = F.when(F.col("level") == 0, F.max(F.when(F.col("level") == 1, F.col("n"))).over(Window.partitionBy("side"))).otherwise(F.max("n").over(Window.partitionBy(F.lit(1))))  # a row a finding and side
+    return counts.select("side", "finding", "n", (F.col("n") / above).alias("share"))
 
 
 def limit_name_match(limit_names: DataFrame, flow_names: DataFrame) -> DataFrame:

@@ -113,6 +113,18 @@ def append_outside(held: DataFrame, fresh: DataFrame) -> DataFrame:
     return fresh.select(*TABLE, "entity").distinct().join(held.select(*TABLE, "entity").distinct(), [*TABLE, "entity"], "left_anti")
 
 
+def operands_apart(held: DataFrame, fresh: DataFrame, derived: DataFrame) -> DataFrame:
+    """case_id, metric: calculated metrics that the joined metrics offer and neither load did alone, which stay unfilled (Q-18).
+
+    ``held`` and ``fresh``: case_id, quantity of an area table and of what is appended. ``derived``: metric and its operands a, b.
+    """
+    both = held.select("case_id", "quantity", F.lit(1).alias("load")).unionByName(fresh.select("case_id", "quantity", F.lit(2).alias("load")))
+    carried = both.groupBy("case_id", "quantity").agg(F.array_sort(F.collect_set("load")).alias("loads"))
+    side = lambda x: derived.select("metric", F.col(x).alias("quantity")).join(carried, "quantity").select("case_id", "metric", F.col("loads").alias(f"loads_{x}"))
+    offered = side("a").join(side("b"), ["case_id", "metric"]).filter(~F.arrays_overlap("loads_a", "loads_b"))
+    return offered.select("case_id", "metric").join(carried.select("case_id", F.col("quantity").alias("metric")), ["case_id", "metric"], "left_anti")
+
+
 def polysemous(quantities: DataFrame) -> DataFrame:
     """Generator quantities whose meaning depends on the unit's technology (Q-19)."""
     return quantities.filter((F.col("kind") == "generator") & F.col("quantity").isin(*POLYSEMOUS))

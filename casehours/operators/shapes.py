@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from casehours.functions import calendar as cal
-from casehours.operators.stats import box_stats
+from casehours.operators.stats import box_of_counts, box_stats
+from casehours.session import written
 
 CURVE_POINTS = 1000
 OVERLAY_LINES = 30
@@ -28,6 +29,19 @@ def boxes(series: DataFrame, by: list[str], dimension: str) -> DataFrame:
     return box_stats(series.withColumn("dim", DIMENSIONS[dimension]()), [*by, "dim"])
 
 
+def boxes_by_dimensions(series: DataFrame, by: list[str], dimensions: list[str]) -> DataFrame:
+    """Boxes for several dimensions from one scan: by, dimension, dim (as text) and the box (A-14).
+
+    Values are counted by grouping sets, one for each dimension; boxes then come from the counts.
+    """
+    rows = series.filter("value is not null").select(*by, F.col("value").alias("v"), *(DIMENSIONS[d]().cast("string").alias(f"dim_{d}") for d in dimensions))
+    sets = [[*by, f"dim_{d}", "v"] for d in dimensions]
+    which = F.coalesce(*(F.when(F.grouping(f"dim_{d}") == 0, F.lit(d)) for d in dimensions))
+    counted = rows.groupingSets(sets, *by, *(f"dim_{d}" for d in dimensions), "v").agg(F.count(F.lit(1)).alias("n"), which.alias("dimension"))
+    counts = written(counted.select(*by, "dimension", F.coalesce(*(f"dim_{d}" for d in dimensions)).alias("dim"), "v", "n"), "value-counts")
+    return box_of_counts(counts, [*by, "dimension", "dim"])
+
+
 def daily(series: DataFrame, by: list[str]) -> DataFrame:
     """Mean, min and max of each day over the kept hours (A-15)."""
     return series.groupBy(*by, "year", cal.day_of_slot().alias("slot_day")).agg(F.avg("value").alias("mean"), F.min("value").alias("min"), F.max("value").alias("max"))
@@ -92,13 +106,27 @@ def stack_order(series: DataFrame, by: list[str], line: str) -> DataFrame:
     return totals.withColumn("stack_rank", rank)
 
 
+def stack_hours(series: DataFrame, order: DataFrame, by: list[str], line: str) -> DataFrame:
+    """One row an hour that any line has: by, year, slot_hour, lines (in stack order), values, totals (running; a missing value adds nothing) (W-02).
+
+    ``series`` has one row a line and hour. A stack has a few lines, so an hour's arrays are short.
+    """
+    hours = series.filter("value is not null").groupBy(*by, "year", "slot_hour").agg(F.map_from_entries(F.collect_list(F.struct(line, "value"))).alias("at"))
+    lines = order.groupBy(*by).agg(F.transform(F.array_sort(F.collect_list(F.struct("stack_rank", line))), lambda x: x[line]).alias("lines"))
+    dense = hours.join(lines, by).withColumn("values", F.transform("lines", lambda x: F.element_at("at", x)))
+    added = F.aggregate("values", F.array().cast("array<double>"), lambda sums, v: F.concat(sums, F.array(F.coalesce(F.get(sums, F.size(sums) - 1), F.lit(0.0)) + F.coalesce(v, F.lit(0.0)))))
+    return dense.select(*by, "year", "slot_hour", "lines", "values", added.alias("totals"))
+
+
+def stack_rows(hours: DataFrame, keys: list[str], line: str) -> DataFrame:
+    """A row for every line of every row of :func:`stack_hours` or :func:`thinned_stack`: keys, line, stack_rank, value, running."""
+    each = F.posexplode(F.arrays_zip("lines", "values", "totals")).alias("place", "x")
+    return hours.select(*keys, each).select(*keys, F.col("x.lines").alias(line), (F.col("place") + 1).alias("stack_rank"), F.col("x.values").alias("value"), F.col("x.totals").alias("running"))
+
+
 def stacked(series: DataFrame, order: DataFrame, by: list[str], line: str) -> DataFrame:
     """Running totals of each hour in stack order; a missing value is 0 if any line has the hour (W-02)."""
-    hours = series.filter("value is not null").select(*by, "year", "slot_hour").distinct()
-    dense = hours.join(order.select(*by, line, "stack_rank"), by)
-    filled = dense.join(series.select(*by, line, "year", "slot_hour", "value"), [*by, line, "year", "slot_hour"], "left")
-    w = Window.partitionBy(*by, "year", "slot_hour").orderBy("stack_rank").rowsBetween(Window.unboundedPreceding, 0)
-    return filled.withColumn("running", F.sum(F.coalesce("value", F.lit(0.0))).over(w))
+    return stack_rows(stack_hours(series, order, by, line), [*by, "year", "slot_hour"], line)
 
 
 def overlay_years(series: DataFrame, by: list[str]) -> DataFrame:
@@ -118,6 +146,24 @@ def thinned(series: DataFrame, by: list[str], hour: str, columns: int) -> DataFr
     return placed.groupBy(*by, "_run", column.alias("column")).agg(low.alias("_l"), high.alias("_h")).select(*by, F.col("_run").alias("run"), "column", F.col("_l.h").alias("low_hour"), F.col("_l.value").alias("low"), (-F.col("_h.h")).alias("high_hour"), F.col("_h.value").alias("high"))
 
 
+def thinned_stack(hours: DataFrame, by: list[str], hour: str, columns: int) -> DataFrame:
+    """Hours kept of a stack, the same for every line: run, column, and the rows of :func:`stack_hours` kept (W-07).
+
+    In each of ``columns`` stretches, apart at gaps, the hours of the least and the greatest of every running total stay (the first of
+    equals). A stretch has the hours of its axis, whatever the number of stacks.
+    """
+    w = Window.partitionBy(*by)
+    placed = hours.withColumn("run", F.col(hour) - F.row_number().over(w.orderBy(hour))).withColumn("_x0", F.min(hour).over(w)).withColumn("_x1", F.max(hour).over(w))
+    column = F.least(F.floor((F.col(hour) - F.col("_x0")) / F.greatest(F.col("_x1") - F.col("_x0"), F.lit(1)) * columns), F.lit(columns - 1)).cast("int")
+    rest = [c for c in hours.columns if c not in by]
+    held = placed.withColumn("column", column).groupBy(*by, "run", "column").agg(F.array_sort(F.collect_list(F.struct(hour, *(c for c in rest if c != hour)))).alias("rows"))
+    end = lambda k, turn: F.array_min(F.transform("rows", lambda r: F.struct((r["totals"][k] * turn).alias("t"), r[hour].alias("h"))))["h"]
+    lines = F.sequence(F.lit(0), F.size(F.col("rows")[0]["totals"]) - 1)
+    kept = held.withColumn("kept", F.array_distinct(F.flatten(F.transform(lines, lambda k: F.array(end(k, 1), end(k, -1))))))
+    rows = kept.select(*by, "run", "column", F.explode(F.filter("rows", lambda r: F.array_contains("kept", r[hour]))).alias("x"))
+    return rows.select(*by, "run", "column", *(F.col(f"x.{c}").alias(c) for c in rest))
+
+
 def window_extremes(series: DataFrame, by: list[str], hour: str) -> DataFrame:
     """The highest and the lowest hour of each series, the earliest of equals (W-09)."""
     kept = series.filter("value is not null")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from casehours.session import written
+
 
 def stat_columns(value: str = "value", ndigits: int | None = None) -> list[Column]:
     """n, mean, min, max, sd, total, positive/negative/zero counts and means (A-09)."""
@@ -37,25 +39,90 @@ def ranked_stats(scope: DataFrame, facts: DataFrame, by: list[str], value: str =
     return joined.fillna(0, counts)
 
 
-def box_stats(df: DataFrame, by: list[str], value: str = "value") -> DataFrame:
-    """Box plots: quartiles by linear interpolation, whiskers within 1.5 IQR, outliers, degenerate (A-10, A-14)."""
-    points = F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))
-    # the quartiles come with every row, so that the whiskers need neither a second pass over the facts nor a join
-    held = df.filter(F.col(value).isNotNull()).select(*by, F.col(value).alias("_v"), F.percentile(value, points).over(Window.partitionBy(*by)).alias("_q"))
-    v, p25, p75 = F.col("_v"), F.col("_q")[0], F.col("_q")[2]
+#: Buckets that a stretch of values is parted into at a time, and different values of a stretch that one task may sort.
+BUCKETS, SORTED_VALUES = 1024, 10_000
+QUARTERS = (0.25, 0.5, 0.75)
+
+
+def value_counts(df: DataFrame, by: list[str], value: str = "value") -> DataFrame:
+    """by, v, n: how often each group has each value, written. Counted before the shuffle, which goes by group and value."""
+    return written(df.filter(F.col(value).isNotNull()).groupBy(*by, F.col(value).alias("v")).agg(F.count(F.lit(1)).alias("n")), "value-counts")
+
+
+def _beside(left: DataFrame, right: DataFrame, by: list[str], more: Column | None = None, how: str = "inner") -> DataFrame:
+    """``left`` joined with ``right`` on ``by``, null groups included; the columns ``by`` of ``left`` stay."""
+    renamed = right.withColumnsRenamed({c: f"_{c}" for c in by})
+    same = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in by]
+    on = same[0]
+    for c in [*same[1:], *([more] if more is not None else [])]:
+        on = on & c
+    return left.join(renamed, on, how).drop(*(f"_{c}" for c in by))
+
+
+def values_at(counts: DataFrame, ranks: DataFrame, by: list[str]) -> DataFrame:
+    """by, rank, at: the value at each rank (from 0) of each group. ``ranks``: by, rank, written and small; no group meets in one task.
+
+    Every rank has a stretch of values in which it lies, the whole group's at first. Stretches of more than ``SORTED_VALUES``
+    different values are parted into buckets of equal width, whose counts say in which one each rank lies; what is left
+    is sorted. A stretch runs from its least to its greatest value, so each parting leaves fewer values.
+    """
+    ends = counts.groupBy(*by).agg(F.min("v").alias("lo"), F.max("v").alias("hi"), F.count(F.lit(1)).alias("different"))
+    known = written(_beside(ranks, ends, by).withColumn("before", F.lit(0).cast("long")), "rank-stretches")
+    while known.filter(F.col("different") > SORTED_VALUES).limit(1).count():
+        wide = known.filter(F.col("different") > SORTED_VALUES).select(*by, "lo", "hi", "before").distinct()
+        bucket = F.least(F.floor((F.col("v") - F.col("lo")) / (F.col("hi") - F.col("lo")) * BUCKETS), F.lit(BUCKETS - 1))
+        inside = _beside(counts, wide, by, F.col("v").between(F.col("lo"), F.col("hi"))).withColumn("bucket", bucket)
+        parts = inside.groupBy(*by, F.col("lo").alias("from"), "before", "bucket").agg(F.sum("n").alias("n"), F.min("v").alias("new_lo"), F.max("v").alias("new_hi"), F.count(F.lit(1)).alias("new_different"))
+        running = F.sum("n").over(Window.partitionBy(*by, "from").orderBy("bucket"))
+        parts = parts.select(*by, "from", (F.col("before") + running).alias("until"), "n", "new_lo", "new_hi", "new_different")
+        found = _beside(known, parts, by, (F.col("lo") == F.col("from")) & (F.col("different") > SORTED_VALUES) & (F.col("rank") < F.col("until")) & (F.col("rank") >= F.col("until") - F.col("n")), "left")
+        new = lambda name: F.coalesce(f"new_{name}", name).alias(name)
+        known = written(found.select(*by, "rank", new("lo"), new("hi"), new("different"), F.coalesce(F.col("until") - F.col("n"), "before").alias("before")), "rank-stretches")
+    stretches = known.select(*by, "lo", "hi", "before").distinct()
+    inside = _beside(counts, stretches, by, F.col("v").between(F.col("lo"), F.col("hi")))
+    until = F.col("before") + F.sum("n").over(Window.partitionBy(*by, "lo").orderBy("v"))
+    placed = inside.select(*by, F.col("lo").alias("from"), "v", "n", until.alias("until"))
+    on = (F.col("lo") == F.col("from")) & (F.col("rank") < F.col("until")) & (F.col("rank") >= F.col("until") - F.col("n"))
+    return _beside(placed, known.select(*by, "rank", "lo"), by, on).select(*by, "rank", F.col("v").alias("at"))
+
+
+def quantiles_of(counts: DataFrame, by: list[str], points: tuple[float, ...] = QUARTERS) -> DataFrame:
+    """by and a column q (array, one value a point, by linear interpolation) of each group; small, written."""
+    place = F.col("point") * (F.col("total") - 1)
+    totals = counts.groupBy(*by).agg(F.sum("n").alias("total")).withColumn("point", F.explode(F.array(*map(F.lit, points))))
+    places = written(totals.select(*by, "point", place.alias("place"), F.floor(place).alias("low"), F.ceil(place).alias("high")), "quantile-places")
+    ranks = written(places.select(*by, F.explode(F.array("low", "high")).alias("rank")).distinct(), "quantile-ranks")
+    at = written(values_at(counts, ranks, by), "quantile-values")
+    low = _beside(places, at.withColumnsRenamed({"rank": "low_rank", "at": "low_at"}), by, F.col("low") == F.col("low_rank"))
+    both = _beside(low, at.withColumnsRenamed({"rank": "high_rank", "at": "high_at"}), by, F.col("high") == F.col("high_rank"))
+    value = F.when(F.col("low_at") == F.col("high_at"), F.col("low_at")).otherwise((F.col("high") - F.col("place")) * F.col("low_at") + (F.col("place") - F.col("low")) * F.col("high_at"))
+    listed = both.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("point", value.alias("value")))).alias("q"))
+    return written(listed.select(*by, F.transform("q", lambda x: x["value"]).alias("q")), "quantiles")
+
+
+def box_of_counts(counts: DataFrame, by: list[str]) -> DataFrame:
+    """Box plots of groups whose values are counted (see ``value_counts``)."""
+    v, p25, p75 = F.col("v"), F.col("q")[0], F.col("q")[2]
     inside = v.between(p25 - 1.5 * (p75 - p25), p75 + 1.5 * (p75 - p25))
-    q = held.groupBy(*by).agg(
-        F.count(v).alias("n"), F.min(v).alias("min"), F.max(v).alias("max"), F.first("_q").alias("_q"),
-        F.min(F.when(inside, v)).alias("whisker_low"), F.max(F.when(inside, v)).alias("whisker_high"), F.count_if(~inside).alias("outliers"),
+    boxes = _beside(counts, quantiles_of(counts, by), by).groupBy(*by).agg(
+        F.sum("n").alias("n"), F.min(v).alias("min"), F.max(v).alias("max"), F.first("q").alias("q"),
+        F.min(F.when(inside, v)).alias("whisker_low"), F.max(F.when(inside, v)).alias("whisker_high"), F.sum(F.when(inside, 0).otherwise(F.col("n"))).alias("outliers"),
     )
-    return q.select(*by, "n", "min", p25.alias("p25"), F.col("_q")[1].alias("median"), p75.alias("p75"), "max", "whisker_low", "whisker_high", "outliers", (F.col("min") == F.col("max")).alias("degenerate"))
+    return boxes.select(*by, "n", "min", p25.alias("p25"), F.col("q")[1].alias("median"), p75.alias("p75"), "max", "whisker_low", "whisker_high", "outliers", (F.col("min") == F.col("max")).alias("degenerate"))
+
+
+def box_stats(df: DataFrame, by: list[str], value: str = "value") -> DataFrame:
+    """Box plots: quartiles by linear interpolation, whiskers within 1.5 IQR, outliers, degenerate (A-10, A-14)."""
+    return box_of_counts(value_counts(df, by, value), by)
 
 
 def quartiles(df: DataFrame, by: list[str], value: str = "value", approximate: int | None = None) -> DataFrame:
-    """p25, median, p75 (A-11); ``approximate`` is the accuracy of an approximation for very large groups."""
-    points = F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))
-    q = F.percentile_approx(value, points, approximate) if approximate else F.percentile(value, points)
-    return df.groupBy(*by).agg(q.alias("_q")).select(*by, F.col("_q")[0].alias("p25"), F.col("_q")[1].alias("median"), F.col("_q")[2].alias("p75"))
+    """p25, median, p75 (A-11); ``approximate`` is the accuracy of an approximation in one pass."""
+    if approximate:
+        found = df.groupBy(*by).agg(F.percentile_approx(value, F.array(*map(F.lit, QUARTERS)), approximate).alias("q"))
+    else:
+        found = quantiles_of(value_counts(df, by, value), by)
+    return found.select(*by, F.col("q")[0].alias("p25"), F.col("q")[1].alias("median"), F.col("q")[2].alias("p75"))
 
 
 def all_zero(df: DataFrame, by: list[str], value: str = "value") -> DataFrame:

@@ -392,8 +392,8 @@ x AS (SELECT entity AS interface, month, max(net) AS hi, min(net) AS lo FROM h G
 f AS (SELECT lim.interface, lim.month, side, CASE side WHEN 'MAX' THEN hi ELSE lo END AS flow, value AS lim FROM lim JOIN x ON x.interface = lim.interface AND x.month = lim.month WHERE scope_case IS NULL)"""
 
 
-@query(f"""WITH {H}, {LIMITS}, {AUDIT} SELECT interface, month::INT AS month, side, round(flow, 4) AS flow, round(lim, 4) AS limit, CASE WHEN lim IS NULL THEN 'no limit' WHEN side = 'MAX' AND lim < 0 THEN 'ceiling below zero' WHEN side = 'MIN' AND lim > 0 THEN 'floor above zero'
-WHEN flow / lim > 1.01 THEN 'exceeded' WHEN flow / lim < 0 THEN 'opposite sign' WHEN flow / lim >= 0.5 THEN '50-100%' WHEN flow / lim >= 0.01 THEN 'under 50%' ELSE 'under 1%' END AS finding FROM f""")
+@query(f"""WITH {H}, {LIMITS}, {AUDIT} SELECT interface, month::INT AS month, side, round(flow, 4) AS flow, round(lim, 4) AS limit, CASE WHEN lim IS NULL THEN 'no limit' WHEN CASE side WHEN 'MAX' THEN flow - lim ELSE lim - flow END > 0.01::DOUBLE * abs(lim) THEN 'exceeded' WHEN side = 'MAX' AND lim <= 0 THEN 'ceiling' WHEN side = 'MIN' AND lim >= 0 THEN 'floor'
+WHEN sign(flow) = -sign(lim) THEN 'opposite sign' WHEN abs(flow) / abs(lim) >= 0.5::DOUBLE THEN '50-100%' WHEN abs(flow) / abs(lim) >= 0.01::DOUBLE THEN 'under 50%' ELSE 'under 1%' END AS finding FROM f""")
 def limit_audit(spark: SparkSession, sf: str) -> DataFrame:
     """A-27: extreme flows against limits."""
     h = series_of(hourly(spark, sf), "net")

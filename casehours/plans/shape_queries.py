@@ -11,6 +11,7 @@ from casehours.functions import cells, fuel
 from casehours.operators import browse, groups, merge, series, shapes, stats
 from casehours.plans.facts import H, LEAP, MEMBERS, RATE, hourly, memberships, series_of, table
 from casehours.plans.queries import G, group_series, query, rounded
+from casehours.session import written
 
 # ---------------------------------------------------------------- curves, stacks, overlays
 
@@ -41,7 +42,7 @@ r AS (SELECT case_id, grp, stack_rank, sum(v) OVER (PARTITION BY case_id, year,
 SELECT case_id, grp, stack_rank::INT AS stack_rank, count(*) AS hours, round(sum(running), 4) AS total, round(max(running), 4) AS peak FROM r GROUP BY ALL""")
 def stack_totals(spark: SparkSession, sf: str) -> DataFrame:
     """W-02: running totals in stack order."""
-    s = group_series(spark, sf, "load")
+    s = written(group_series(spark, sf, "load"), "stack-series")  # read for the order and for the hours
     st = shapes.stacked(s, shapes.stack_order(s, ["case_id"], "grp"), ["case_id"], "grp")
     return rounded(st.groupBy("case_id", "grp", "stack_rank").agg(F.count(F.lit(1)).alias("hours"), F.sum("running").alias("total"), F.max("running").alias("peak")))
 

@@ -45,7 +45,7 @@ def hourly_long(series: DataFrame, spark: SparkSession, first_year: int, years:
     dense = names.crossJoin(F.broadcast(real)).join(series.select("series", "year", "slot_hour", "value"), ["series", "year", "slot_hour"], "left")
     value = F.when(kept, F.col("value")) if kept is not None else F.col("value")
     hour_of_year = (F.dayofyear(cal.date_of()) - 1) * 24 + F.col("he")
-    return dense.select("series", "year", "month", "day", "he", hour_of_year.alias("hour_of_year"), cell_text(value).alias("value"))
+    return dense.select("series", "year", "month", "day", "he", hour_of_year.alias("hour_of_year"), F.nullif(cell_text(value), F.lit("")).alias("value"))
 
 
 def window_extract(wide: DataFrame, first: int, last: int, columns: list[str]) -> DataFrame:

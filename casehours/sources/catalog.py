@@ -137,9 +137,45 @@ def catalog(spark: SparkSession, paths: list[str] | str, case_pattern: str | Non
     return found.withColumn("case_id", case)
 
 
+SLOT = ["case_id", "kind", "quantity"]
+
+
+def _slots(files: DataFrame) -> DataFrame:
+    """Tables that the files build: case_id, kind, quantity, files, shapes."""
+    tables = files.filter("reason is null and shape in ('long', 'wide')")
+    return tables.groupBy("case_id", "kind", F.when(F.col("kind") != "area", F.col("quantity")).alias("quantity")).agg(
+        F.array_sort(F.collect_set("src_file")).alias("files"), F.count_distinct("shape").alias("_shapes"), F.min("first_year").alias("first_year"), F.max("last_year").alias("last_year"),
+    )
+
+
 def import_plan(files: DataFrame) -> DataFrame:
     """Tables that the files build: case_id, kind, quantity, files, conflict (S-14)."""
-    tables = files.filter("reason is null and shape in ('long', 'wide')")
-    per = tables.groupBy("case_id", "kind", F.when(F.col("kind") != "area", F.col("quantity")).alias("quantity")).agg(F.array_sort(F.collect_set("src_file")).alias("files"), F.count_distinct("shape").alias("_shapes"))
     conflict = F.when(F.col("_shapes") > 1, "long and wide files in one table").when((F.col("kind") == "interface") & F.col("quantity").isNull(), "the quantity is not stated")
-    return per.withColumn("conflict", conflict).drop("_shapes")
+    return _slots(files).withColumn("conflict", conflict).select(*SLOT, "files", "conflict")
+
+
+def import_actions(files: DataFrame, held: DataFrame, mode: str = "add") -> DataFrame:
+    """What an import does to a study, a row a table (S-14).
+
+    case_id, kind, quantity, case_is_new, action (create, add, replace), files, merges, conflict, note, years (partitions of the study that are
+    written anew). Several files of one table merge, unless their shapes differ or the quantity of interface files was not
+    read. Only a replaced table that covers a part of its hours has a note. ``files``: a catalog. ``held``: case_id, kind, quantity,
+    first_year, last_year, hours_seen, real_hours of the study's tables.
+    """
+    if mode not in ("add", "replace"):
+        raise ValueError("mode is add or replace")
+    slots = _slots(files).withColumnsRenamed({"first_year": "file_first", "last_year": "file_last"})
+    cases = held.select("case_id").distinct().withColumn("_known", F.lit(True))
+    tables = held.select(*(F.col(c).alias(f"held_{c}") for c in SLOT), "first_year", "last_year", "hours_seen", "real_hours", F.lit(True).alias("_held"))
+    on = [F.col(c).eqNullSafe(F.col(f"held_{c}")) for c in SLOT]
+    joined = slots.join(tables, on[0] & on[1] & on[2], "left").join(cases, "case_id", "left")
+    several = F.size("files") > 1
+    conflict = F.when(several & (F.col("_shapes") > 1), "the files differ in shape").when(several & (F.col("kind") == "interface") & F.coalesce(F.col("quantity") == "", F.lit(True)), "the files' quantity was not read")
+    action = F.when(F.col("_held").isNull(), "create").otherwise(mode)
+    partial = (action == "replace") & (F.col("hours_seen") < F.col("real_hours"))
+    note = F.when(partial, F.concat(F.lit("replaces "), F.col("hours_seen").cast("string"), F.lit(" of "), F.col("real_hours").cast("string"), F.lit(" hours; add keeps them")))
+    # a replaced table loses the years that it had; an addition writes those of its files
+    first = F.when(action == "replace", F.least("file_first", "first_year")).otherwise(F.col("file_first"))
+    last = F.when(action == "replace", F.greatest("file_last", "last_year")).otherwise(F.col("file_last"))
+    years = F.when(conflict.isNull() & first.isNotNull(), F.sequence(first, last))
+    return joined.select(*SLOT, F.col("_known").isNull().alias("case_is_new"), action.alias("action"), "files", (several & conflict.isNull()).alias("merges"), conflict.alias("conflict"), note.alias("note"), years.alias("years"))

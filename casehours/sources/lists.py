@@ -67,24 +67,71 @@ def list_quality(spark: SparkSession, path: str, name: str) -> DataFrame:
     return counts.withColumn("undeclared", texts({t for t in titles if t} - declared)).withColumn("missing", texts(declared - set(titles)))
 
 
-def read_limits(spark: SparkSession, path: str, scope_case: str | None = None) -> DataFrame:
-    """scope_case, interface, side, month, value of monthly limits (S-07): the side is found by value, the year is ignored."""
+def limit_rows(spark: SparkSession, path: str) -> tuple[DataFrame, list[str]]:
+    """Rows of a limits file below its header (line_no, cells, markers, side, interface, place among rows of its interface and side), and the titles."""
     rows = numbered_lines(spark, path).filter(F.trim("line") != "").select("line_no", quoted_cells(F.col("line")).alias("cells"))
     head = rows.filter((F.col("line_no") < 20) & F.forall(F.array(*map(F.lit, MONTHS)), lambda m: F.exists("cells", lambda c: F.trim(c) == m))).orderBy("line_no").limit(1).first()
     if head is None:
         raise ValueError("no header with twelve months in the first 20 lines")
     titles = [c.strip() for c in head["cells"]]
-    at = {m: titles.index(m) for m in MONTHS}
     name_at = titles.index("Interface Name") if "Interface Name" in titles else 0
-    side = F.element_at(F.filter(F.transform("cells", lambda c: F.upper(F.trim(c))), lambda c: c.isin("MIN", "MAX")), 1)
-    body = rows.filter(F.col("line_no") > head["line_no"]).withColumn("side", F.when(F.exists("cells", lambda c: F.upper(F.trim(c)).isin("MIN", "MAX")), side)).withColumn("interface", F.trim(F.get("cells", F.lit(name_at)))).filter("side is not null and interface <> ''")
-    first = Window.partitionBy("interface", "side").orderBy("line_no")
-    body = body.withColumn("_rn", F.row_number().over(first)).filter("_rn = 1")
-    cells = F.explode(F.array(*[F.struct(F.lit(k + 1).alias("month"), number(F.trim(F.get("cells", F.lit(at[m])))).alias("value")) for k, m in enumerate(MONTHS)]))
-    out = body.select(F.lit(scope_case).cast("string").alias("scope_case"), "interface", "side", cells.alias("x"))
+    upper = F.transform("cells", lambda c: F.upper(F.trim(c)))
+    markers = F.filter(F.transform(upper, lambda c, k: F.when(c.isin("MIN", "MAX"), k)), lambda k: k.isNotNull())
+    body = rows.filter(F.col("line_no") > head["line_no"]).withColumn("markers", markers).withColumn("side", F.get(upper, F.get(markers, F.lit(0)))).withColumn("interface", F.trim(F.get("cells", F.lit(name_at))))
+    return body.withColumn("place", F.row_number().over(Window.partitionBy("interface", "side").orderBy("line_no"))), titles
+
+
+def _month_cells(titles: list[str]):
+    """month and value of the twelve cells of a limits row."""
+    return F.array(*[F.struct(F.lit(k + 1).alias("month"), number(F.trim(F.get("cells", F.lit(titles.index(m))))).alias("value")) for k, m in enumerate(MONTHS)])
+
+
+def read_limits(spark: SparkSession, path: str, scope_case: str | None = None) -> DataFrame:
+    """scope_case, interface, side, month, value of monthly limits (S-07): the side is found by value, the year is ignored."""
+    rows, titles = limit_rows(spark, path)
+    body = rows.filter("side is not null and interface <> '' and place = 1")
+    out = body.select(F.lit(scope_case).cast("string").alias("scope_case"), "interface", "side", F.explode(_month_cells(titles)).alias("x"))
     return out.select("scope_case", "interface", "side", "x.month", F.when(F.abs("x.value") <= NO_LIMIT, F.col("x.value")).alias("value"))
 
 
+#: Fixed value: beginnings of titles of columns that are finer than a month.
+FINER_THAN_MONTH = r"(?i)^(week|day|date|hour|he|period|season|start|end)\b"
+
+
+def limits_layout(spark: SparkSession, path: str) -> DataFrame:
+    """One row about a limits file, from its cells: what its layout is and what its rows have (A-28).
+
+    interfaces, rows, duplicate_rows, rows_without_side, rows_without_name, marker_columns (where MIN and MAX stand), marker_title_blank (of
+    the only such column), second_markers, distinct_years, finer_columns, blank_cells, no_limit_cells, odd_no_limits (not 99999),
+    near_threshold, varying (sides whose limit varies within the year). Cells are those of the rows that are read.
+    """
+    rows, titles = limit_rows(spark, path)
+    read = F.col("side").isNotNull() & (F.col("interface") != "") & (F.col("place") == 1)
+    values = F.transform(_month_cells(titles), lambda x: F.abs(x["value"]))
+    limits = F.filter(F.transform(_month_cells(titles), lambda x: x["value"]), lambda v: F.abs(v) <= NO_LIMIT)
+    year = F.trim(F.get("cells", F.lit(titles.index("Year")))) if "Year" in titles else F.lit(None).cast("string")
+    counted = lambda test: F.sum(F.when(read, F.size(F.filter(values, test))).otherwise(0))
+    first = F.get("markers", F.lit(0))
+    found = rows.agg(
+        F.count_distinct(F.when(read, F.col("interface"))).alias("interfaces"),
+        F.count_if(read).alias("rows"),
+        F.count_if(F.col("side").isNotNull() & (F.col("interface") != "") & (F.col("place") > 1)).alias("duplicate_rows"),
+        F.count_if(F.col("side").isNull()).alias("rows_without_side"),
+        F.count_if(F.col("side").isNotNull() & (F.col("interface") == "")).alias("rows_without_name"),
+        F.count_distinct(F.when(read, first)).alias("marker_columns"),
+        F.min(F.when(read, first)).alias("_marker"),
+        F.count_if(read & (F.size("markers") > 1)).alias("second_markers"),
+        F.count_distinct(F.when(read, year)).alias("distinct_years"),
+        counted(lambda v: v.isNull()).alias("blank_cells"),
+        counted(lambda v: v > NO_LIMIT).alias("no_limit_cells"),
+        counted(lambda v: (v > NO_LIMIT) & (v != 99999)).alias("odd_no_limits"),
+        counted(lambda v: v.between(0.9 * NO_LIMIT, NO_LIMIT)).alias("near_threshold"),
+        F.count_if(read & (F.size(F.array_distinct(limits)) > 1)).alias("varying"),
+    )
+    blank = F.when(F.col("marker_columns") == 1, F.get(F.array(*map(F.lit, titles)), "_marker") == "")
+    return found.withColumn("marker_title_blank", blank).withColumn("finer_columns", F.size(F.filter(F.array(*map(F.lit, titles)), lambda t: t.rlike(FINER_THAN_MONTH)))).drop("_marker")
+
+
 def read_membership(spark: SparkSession, path: str, mapping: dict[str, str]) -> DataFrame:
     """src_order and the mapped columns of a membership file (S-08 to S-11): name, bus_id, unit_id, grp, direction."""
     rows = numbered_lines(spark, path).filter(F.trim("line") != "").select("line_no", quoted_cells(F.col("line")).alias("cells"))
