@@ -1,12 +1,15 @@
 """Benchmark decontamination by template canonicalisation, in DataFrame functions alone.
 
 Texts and benchmark items become sequences of tokens in which numbers (digits or words), names and units (after a number)
-are typed placeholders. A name is a capitalised word inside a sentence, and the same word where it begins one. Windows of
+are typed placeholders. A name is a capitalised word inside a sentence, and the same word where it begins one. A value of
+several words is one token: number words in a row (twenty-one), groups of three digits (1 200), names in a row (Mary Ann). Windows of
 ``WINDOW`` placeholders and literal words are hashed and joined, and literal words of windows that meet are compared.
 Windows of a document that lie on one alignment with an item belong together. Windows without slots or with equal values
 count by themselves. A name of the item must map to one name of the document: where it meets two, the windows with it do
-not count unless their values are equal. Numbers and units map freely, because equal ones can stand for two things. If all
-values of an alignment are an item's, it is a verbatim copy, else a re-parameterised one.
+not count unless their values are equal. Equal numbers and units can stand for two things, so they may map to two, but then every
+window of the item that can be found must be there; where some are missing, the windows with such a number do not count unless their values are
+equal. ``consistent`` says that no value of the item meets two. If all values of an alignment are an item's, it is a
+verbatim copy, else a re-parameterised one.
 
 A template is no evidence where it has few words. So windows with fewer than ``LITERALS`` different literal words, and
 items shorter than a window, are searched with their values, word for word; items of one or two tokens count only where
@@ -37,20 +40,35 @@ BROADCAST_WINDOWS = 300_000
 #: The units that are placeholders after a number.
 UNITS = "km mm cm kg mg ml kWh MWh mph km/h hours hour minutes minute seconds second days day weeks week months month years year meters meter metres metre miles mile feet foot inches inch dollars dollar euros euro cents cent percent litres liters grams tons pounds m g l s h t %".split()
 
-#: Words that are numbers. ("one" is left out: mostly it is none.)
-NUMBER_WORDS = "two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen twenty thirty forty fifty sixty seventy eighty ninety hundred thousand million".split()
+#: Words that are numbers, in English, German, French and Spanish. (Those for one are left out, as mostly they are none, and "elf" and "once", which are words of English.)
+NUMBER_WORDS = (
+    "two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen twenty thirty forty fifty sixty seventy eighty ninety hundred thousand million "
+    "zwei drei vier fünf sechs sieben acht neun zehn zwölf dreizehn vierzehn fünfzehn sechzehn siebzehn achtzehn neunzehn zwanzig dreißig vierzig fünfzig sechzig siebzig achtzig neunzig hundert tausend "
+    "deux trois quatre cinq sept huit neuf dix onze douze treize quatorze quinze seize vingt trente quarante cinquante soixante cent mille "
+    "dos tres cuatro cinco seis siete ocho nueve diez doce trece catorce dieciséis diecisiete dieciocho diecinueve veinte treinta cuarenta cincuenta sesenta setenta ochenta noventa cien mil"
+).split()
+
+#: Marks inside a token of several words: of numbers, and of names.
+NUMBERS_JOINED, NAMES_JOINED = "\u0005", "\u0006"
+
+_NUMBER_WORD = "(?:" + "|".join(NUMBER_WORDS) + ")"
+#: What lies between the words of one number, between groups of digits, and between names.
+_IN_NUMBER = r"(?iu)(?<=(?<![\p{L}\p{N}])" + _NUMBER_WORD + r")[\s-]{1,3}(?=(?:one|" + _NUMBER_WORD[3:-1] + r")(?![\p{L}\p{N}]))"
+_IN_GROUPS = r"(?<=(?<![\p{L}\p{N}.,:/])\p{Nd}{1,3}|(?<=\u0005)\p{Nd}{3})[ \u00A0\u2009\u202F](?=\p{Nd}{3}(?![\p{L}\p{N}]))"
+_IN_NAME = r"(?<=\u0002\p{Lu}\p{Ll}{1,40}|\u0006\p{Lu}\p{Ll}{1,40})\s\u0002(?=\p{Lu})"
 
 _UNIT = r"(\p{Nd}\s?)(" + "|".join(UNITS) + r")(?![\p{L}\p{N}])"
 _NAME = r"(?<=[\p{Ll}\p{Nd},;:)]\s)(\p{Lu}\p{Ll}+)"
 _FIRST = r"(^|[.!?]['\")\]]{0,2}\s+|[\r\n]\s*)(\p{Lu}\p{Ll}+)"
-_TOKEN = r"[\u0002\u0003\u0004]?\p{L}[\p{L}\p{M}\p{N}]*|\u0003%|\p{Nd}+(?:[.,:/]\p{Nd}+)*"
+_TOKEN = r"[\u0002\u0003\u0004]?\p{L}[\p{L}\p{M}\p{N}\u0005\u0006]*|\u0003%|\p{Nd}+(?:[.,:/\u0005]\p{Nd}+)*"
 NUMBER, NAME, UNIT, FIRST = 1, 2, 3, 4
 
 
 def tokens(text: Column) -> Column:
     """Lower-case tokens; a name begins with U+0002, a unit with U+0003, a capitalised word that begins a sentence with U+0004."""
-    marked = F.regexp_replace(text, _UNIT, "$1 \u0003$2")
-    marked = F.regexp_replace(marked, _NAME, "\u0002$1")
+    marked = F.regexp_replace(F.regexp_replace(text, _IN_NUMBER, NUMBERS_JOINED), _IN_GROUPS, NUMBERS_JOINED)
+    marked = F.regexp_replace(marked, _UNIT, "$1 \u0003$2")
+    marked = F.regexp_replace(F.regexp_replace(marked, _NAME, "\u0002$1"), _IN_NAME, NAMES_JOINED)
     marked = F.regexp_replace(marked, _FIRST, "$1\u0004$2")
     return F.regexp_extract_all(F.lower(marked), F.lit(_TOKEN), 0)
 
@@ -58,7 +76,7 @@ def tokens(text: Column) -> Column:
 def symbol(token: Column) -> Column:
     """1 for a number, 2 for a name, 3 for a unit, else a hash of the word."""
     code = F.ascii(token)
-    number = code.between(48, 57) | token.isin(NUMBER_WORDS)
+    number = code.between(48, 57) | token.isin(NUMBER_WORDS) | token.contains(NUMBERS_JOINED)
     return F.when(number, F.lit(NUMBER).cast("long")).when(code.isin(NAME, UNIT), code.cast("long")).otherwise(F.xxhash64(token))
 
 
@@ -131,9 +149,9 @@ def _verbatim_hits(docs: DataFrame, wanted: DataFrame) -> DataFrame | None:
 
 
 def contaminations(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", broadcast_windows: int = BROADCAST_WINDOWS) -> DataFrame:
-    """doc_id, item_id, kind (verbatim or reparameterised), windows, item_windows, items of every contaminated document.
+    """doc_id, item_id, kind (verbatim or reparameterised), windows, item_windows, items, consistent of every contaminated document.
 
-    ``item_id``: the first item of the class; ``items``: how many items the class has.
+    ``item_id``: the first item of the class; ``items``: how many items the class has; ``consistent``: an alignment maps its values one to one.
     """
     items = cut(classed(benchmark, item_col, item_text_col), "benchmark-items")
     classes = cut(items.groupBy("cls").agg(F.min(F.struct("key", "words", "symbols")).alias("x"), F.count(F.lit(1)).alias("items")).select("cls", "x.key", "x.words", "x.symbols", "items"), "benchmark-classes")
@@ -153,36 +171,43 @@ def contaminations(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id"
     found = found.select("key", "cls", "position", "item_position", "item_values", "item_symbols", "values")
     triples = F.arrays_zip(F.col("item_symbols").alias("s"), F.col("item_values").alias("a"), F.col("values").alias("b"))
     words_agree = F.forall(triples, lambda x: _is_slot(x["s"]) | (x["a"] == x["b"]))
-    names = F.transform(F.filter(triples, lambda x: x["s"] == NAME), lambda x: F.struct(x["a"].alias("a"), x["b"].alias("b")))
-    hits = found.select(F.col("key").alias("doc_id"), "cls", "position", "item_position", F.xxhash64("values").alias("value"), names.alias("names"), words_agree.alias("words_agree"))
+    slots = F.transform(F.filter(triples, lambda x: _is_slot(x["s"])), lambda x: F.struct(x["s"].cast("int").alias("s"), x["a"].alias("a"), x["b"].alias("b")))
+    hits = found.select(F.col("key").alias("doc_id"), "cls", "position", "item_position", F.xxhash64("values").alias("value"), slots.alias("slots"), words_agree.alias("words_agree"))
     hits = cut(hits, "template-hits").filter("words_agree")
     # values are an item's if some item of the class has them in this window
     of_items = windows(items.select(F.col("cls").alias("key"), "words", "symbols")).select(F.col("key").alias("cls"), F.col("position").alias("item_position"), F.xxhash64(_piece("words", F.col("position"))).alias("value"), F.lit(True).alias("same")).distinct()
     of_items = sized(cut(of_items, "item-values"), broadcast_windows)
-    aligned = hits.join(of_items, ["cls", "item_position", "value"], "left").select("doc_id", "cls", "position", "item_position", "names", F.col("same").isNull().alias("other"), F.lit(True).alias("template"))
+    aligned = hits.join(of_items, ["cls", "item_position", "value"], "left").select("doc_id", "cls", "position", "item_position", "slots", F.col("same").isNull().alias("other"), F.lit(True).alias("template"))
     exact = _verbatim_hits(read, cut(_verbatim_windows(items), "verbatim-windows"))
     if exact is not None:
         exact = cut(exact, "verbatim-hits")
-        aligned = aligned.unionByName(exact.select(F.col("key").alias("doc_id"), "cls", "position", "item_position", F.expr("cast(array() as array<struct<a:string,b:string>>)").alias("names"), F.lit(False).alias("other"), F.lit(False).alias("template")))
+        aligned = aligned.unionByName(exact.select(F.col("key").alias("doc_id"), "cls", "position", "item_position", F.expr("cast(array() as array<struct<s:int,a:string,b:string>>)").alias("slots"), F.lit(False).alias("other"), F.lit(False).alias("template")))
 
     by = ["doc_id", "cls", "offset"]
     aligned = aligned.withColumn("offset", F.col("position") - F.col("item_position"))
-    # names of an item that have two values in the document; windows that show one count only if all their values are equal
-    pairs = aligned.select(*by, F.explode("names").alias("x")).groupBy(*by, "x.a").agg(F.count_distinct("x.b").alias("n")).filter("n > 1")
-    torn = pairs.groupBy(*[F.col(c).alias(f"_{c}") for c in by]).agg(F.collect_set("a").alias("torn"))
+    # values of an item that have two values in the document
+    pairs = aligned.select(*by, F.explode("slots").alias("x")).groupBy(*by, "x.s", "x.a").agg(F.count_distinct("x.b").alias("n")).filter("n > 1")
+    torn = pairs.groupBy(*[F.col(c).alias(f"_{c}") for c in by]).agg(F.collect_set(F.struct("s", "a")).alias("torn"))
     same = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in by]
-    joined = aligned.join(torn, same[0] & same[1] & same[2], "left").select(*by, "item_position", "other", "names", "torn", "template")
-    counts = ~F.col("other") | F.col("torn").isNull() | ~F.exists("names", lambda x: F.array_contains("torn", x["a"]))
-    place = F.when(counts, F.col("item_position"))
-    checked = joined.groupBy(*by).agg(F.count_distinct(place).alias("windows"), F.count_distinct(F.when(F.col("template"), place)).alias("by_template"), F.max(F.col("other").cast("int")).alias("other"))
+    joined = aligned.join(torn, same[0] & same[1] & same[2], "left").select(*by, "item_position", "other", "slots", "torn", "template")
+    shows = lambda kind: F.exists("slots", lambda x: kind(x) & F.array_contains("torn", F.struct(x["s"], x["a"])))
+    clear = ~F.col("other") | F.col("torn").isNull()
+    place = lambda kind: F.when(clear | ~shows(kind), F.col("item_position"))
+    loose, strict = place(lambda x: x["s"] == NAME), place(lambda x: F.lit(True))
+    of_templates = lambda p: F.count_distinct(F.when(F.col("template"), p))
+    checked = joined.groupBy(*by).agg(F.count_distinct(loose).alias("loose"), of_templates(loose).alias("loose_templates"), F.count_distinct(strict).alias("strict"), of_templates(strict).alias("strict_templates"), F.max(F.col("other").cast("int")).alias("other"), F.min(F.col("torn").isNull()).alias("consistent"))
 
     n_templates = targets.groupBy("cls").agg(F.count(F.lit(1)).alias("item_templates"))
     sizes = classes.join(n_templates, "cls", "left").select("cls", F.col("key").alias("item_id"), "items", F.greatest(F.size("words") - WINDOW + 1, F.lit(1)).alias("item_windows"), F.coalesce("item_templates", F.lit(0)).alias("item_templates"))
     sizes = F.broadcast(sizes) if few else sizes
+    sized_up = checked.join(sizes, "cls")
+    # an item that is there with all its windows, or all its windows of templates, needs no one-to-one numbers
+    whole = (F.col("loose") >= F.col("item_windows")) | ((F.col("item_templates") > 0) & (F.col("loose_templates") >= F.col("item_templates")))
+    counted = lambda kind: F.when(whole, F.col(f"loose{kind}")).otherwise(F.col(f"strict{kind}"))
     half = lambda n: F.least(F.lit(NEED), F.ceil(F.col(n) / 2))
-    enough = (F.col("windows") >= half("item_windows")) | ((F.col("item_templates") > 0) & (F.col("by_template") >= half("item_templates")))
-    best = checked.join(sizes, "cls").filter(enough).groupBy("doc_id", "cls", "item_id", "items", "item_windows").agg(F.max("windows").alias("windows"), F.min("other").alias("other"))
-    return best.select("doc_id", "item_id", F.when(F.col("other") == 0, "verbatim").otherwise("reparameterised").alias("kind"), F.col("windows").cast("long").alias("windows"), F.col("item_windows").cast("long").alias("item_windows"), "items")
+    enough = (counted("") >= half("item_windows")) | ((F.col("item_templates") > 0) & (counted("_templates") >= half("item_templates")))
+    best = sized_up.filter(enough).groupBy("doc_id", "cls", "item_id", "items", "item_windows").agg(F.max(counted("")).alias("windows"), F.min("other").alias("other"), F.max("consistent").alias("consistent"))
+    return best.select("doc_id", "item_id", F.when(F.col("other") == 0, "verbatim").otherwise("reparameterised").alias("kind"), F.col("windows").cast("long").alias("windows"), F.col("item_windows").cast("long").alias("item_windows"), "items", "consistent")
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

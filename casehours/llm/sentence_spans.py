@@ -104,10 +104,14 @@ def repeated_runs(rows: DataFrame, sentences: int = SENTENCES, long_words: int =
     """row, first, until, first_doc of every run that is not the first place of its span. ``rows``: row, text; doc_id where it is not the row."""
     by = ["span", "check"]
     held = cut(runs(rows, sentences, long_words), "runs")
-    order = F.struct(F.coalesce("doc_id", F.lit((1 << 63) - 1)).alias("place"), "row", "doc_id") if "doc_id" in rows.columns else F.struct("row", F.col("row").alias("doc_id"))
     # both small sides are written before their joins, so that these have plain exchanges and AQE can split a hot span
-    spans = held.groupBy(*by).agg(F.count(F.lit(1)).alias("places"), F.min(order).alias("least")).filter("places > 1")
-    spans = cut(spans.select(*by, F.col("least.row").alias("first_row"), F.col("least.doc_id").alias("first_doc")), "repeated-spans")
+    if "doc_id" in rows.columns:
+        least = F.min(F.struct(F.coalesce("doc_id", F.lit((1 << 63) - 1)).alias("place"), "row", "doc_id")).alias("least")
+        names = (F.col("least.row").alias("first_row"), F.col("least.doc_id").alias("first_doc"))
+    else:
+        least = F.min("row").alias("first_row")
+        names = (F.col("first_row"), F.col("first_row").alias("first_doc"))
+    spans = cut(held.groupBy(*by).agg(F.count(F.lit(1)).alias("places"), least).filter("places > 1").select(*by, *names), "repeated-spans")
     placed = cut(held.select(*by, "row", "first", "until").join(spans, by), "repeated-runs")
     begins = cut(placed.filter("row = first_row").groupBy(*by).agg(F.min("first").alias("first_at")), "first-places")
     return placed.join(begins, by).filter("row <> first_row or first <> first_at").select("row", "first", "until", "first_doc")

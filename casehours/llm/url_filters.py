@@ -35,6 +35,9 @@ APART = 1.96
 #: Labelled rows that a prior counts for, and the share above which a template is rejected.
 PRIOR_ROWS, REJECTED = 8, 0.5
 
+#: Branches and templates (short texts) that may be broadcast.
+BROADCAST_BRANCHES = 100_000
+
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -66,7 +69,7 @@ def branches(rows: DataFrame, depth: int) -> DataFrame:
     reached = rows.filter(F.size("segments") >= depth).select(*node, F.get("segments", F.lit(depth - 1)).alias("segment"), "labelled", "bad", (F.size("segments") > depth).alias("inner"))
     children = cut(reached.groupBy(*node, "segment").agg(F.count(F.lit(1)).alias("n"), F.sum("labelled").alias("labelled"), F.sum("bad").alias("bad"), F.count_if("inner").alias("inner")), f"children-{depth}")
     totals = cut(children.groupBy(*node).agg(F.sum("n").alias("total")).filter(F.col("total") >= LEAST_ROWS), f"totals-{depth}")
-    literal = children.filter(F.col("n") >= LEAST_ROWS).join(sized(totals), node).filter(F.col("n") >= LEAST_SHARE * F.col("total"))
+    literal = children.filter(F.col("n") >= LEAST_ROWS).join(sized(totals, BROADCAST_BRANCHES), node).filter(F.col("n") >= LEAST_SHARE * F.col("total"))
     literal = literal.withColumn("inner", 2 * F.col("inner") >= F.col("n")).withColumn("share", _bad_share("bad", "labelled"))
     order = Window.partitionBy(*node, "inner").orderBy("share", "segment")
     literal = literal.withColumns({f"{c}_before": F.lag(c).over(order) for c in ("share", "bad", "labelled")})
@@ -84,7 +87,7 @@ def templates(rows: DataFrame) -> DataFrame:
     deepest = rows.agg(F.max(F.least(F.size("segments"), F.lit(MAX_DEPTH)))).first()[0] or 0
     for depth in range(1, deepest + 1):
         found = cut(branches(rows, depth), f"branches-{depth}")
-        joined = rows.withColumn("segment", F.get("segments", F.lit(depth - 1))).join(sized(found), ["host", "branch", "segment"], "left")
+        joined = rows.withColumn("segment", F.get("segments", F.lit(depth - 1))).join(sized(found, BROADCAST_BRANCHES), ["host", "branch", "segment"], "left")
         on = F.when(F.col("segment").isNull(), F.col("branch")).otherwise(F.coalesce("next", F.concat("branch", F.lit("/*"))))
         rows = joined.select(*(c for c in rows.columns if c != "branch"), on.alias("branch"))
         rows = cut(rows, f"paths-{depth}") if depth < deepest else rows
@@ -99,7 +102,7 @@ def scores(rows: DataFrame) -> DataFrame:
     prior = (of_all["bad"] + 1) / (of_all["labelled"] + 2)
     hosts = cut(found.groupBy("host").agg(((F.sum("bad") + PRIOR_ROWS * F.lit(prior)) / (F.sum("labelled") + PRIOR_ROWS)).alias("host_score")), "hosts")
     score = (F.col("bad") + PRIOR_ROWS * F.col("host_score")) / (F.col("labelled") + PRIOR_ROWS)
-    return found.join(sized(hosts), "host").select("host", "template", "labelled", score.alias("score"))
+    return found.join(sized(hosts, BROADCAST_BRANCHES), "host").select("host", "template", "labelled", score.alias("score"))
 
 
 def judged(pages: DataFrame, labels: DataFrame, rules: list[Rule], id_col: str = "page_id", url_col: str = "url") -> DataFrame:
@@ -115,4 +118,4 @@ def judged(pages: DataFrame, labels: DataFrame, rules: list[Rule], id_col: str =
     found = cut(scores(known), "template-scores")
     rule, allowed = rule_of(F.col("host"), F.col("path"), rules)
     verdict = F.when(F.coalesce(allowed, F.col("score") <= REJECTED), "allow").otherwise("block")
-    return known.join(sized(found.drop("labelled")), ["host", "template"]).select("page_id", "host", "path", rule.alias("rule"), verdict.alias("verdict"), "template", "score")
+    return known.join(sized(found.drop("labelled"), BROADCAST_BRANCHES), ["host", "template"]).select("page_id", "host", "path", rule.alias("rule"), verdict.alias("verdict"), "template", "score")

@@ -183,6 +183,29 @@ def test_sentence_spans_of_repeated_ids(spark, step):
 BENCH = "item_id long, text string, template int"
 
 
+def test_decontamination_values_of_several_words(spark):
+    rng = random.Random(21)
+    story = "So then {} bought {} red pens and {} old books in {} today and went straight back to the small house by the river"
+    german = "dann kaufte der alte mann {} rote stifte und {} alte bücher für das kleine haus an dem langen fluss"
+    items = [story.format("Mary Ann", "twenty-one", "thirty two", "New York"), german.format("vier", "1 200")]
+    texts = [f"{prose(rng, 20)}. {t} {prose(rng, 20)}" for t in (story.format("Otto", "seven", "9", "Rome"), story.format("Mary Ann", "twenty-one", "thirty two", "New York"), story.format("Jean Paul Otto", "1 200 000", "ninety-one", "Rome"), german.format("dreizehn", "7"))]
+    bench = spark.createDataFrame([(i, t, 0) for i, t in enumerate(items)], BENCH)
+    got = {(r["doc_id"], r["item_id"]): (r["kind"], r["consistent"]) for r in decontaminate.contaminations(frame(spark, texts), bench).collect()}
+    assert got == {(0, 0): ("reparameterised", True), (1, 0): ("verbatim", True), (2, 0): ("reparameterised", True), (3, 1): ("reparameterised", True)}
+
+
+def test_decontamination_numbers_map_one_to_one_where_windows_are_missing(spark):
+    rng = random.Random(22)
+    words = [w.rstrip(".") for w in prose(rng, 40).split()]
+    item = " ".join([*words[:5], "7", *words[5:10], "7", *words[10:15], "7", *words[15:30]])
+    part = lambda a, b, c: " ".join([*words[:5], a, *words[5:10], b, *words[10:15], c, words[15]])
+    whole = lambda a, b, c: f"{part(a, b, c)} {' '.join(words[16:30])}"
+    texts = [f"{prose(rng, 20)} {t} {prose(rng, 20)}" for t in (part("3", "3", "3"), part("3", "4", "5"), part("7", "7", "7"), whole("3", "4", "5"))]
+    bench = spark.createDataFrame([(0, item, 0)], BENCH)
+    got = {r["doc_id"]: (r["kind"], r["consistent"]) for r in decontaminate.contaminations(frame(spark, texts), bench).collect()}
+    assert got == {0: ("reparameterised", True), 2: ("verbatim", True), 3: ("reparameterised", False)}
+
+
 def test_decontamination(spark):
     rng = random.Random(11)
     items = [prose(rng, 30) for _ in range(20)] + ["yesterday the farmer Otto gave 12 kg of apples to Berta and 3 more apples to Otto before the long evening market closed", "too short to tell", None]
@@ -251,13 +274,14 @@ def brute_contaminations(texts, items):
     d, w = decontaminate, decontaminate.WINDOW
 
     def read(text):
-        t = regex.sub(d._UNIT, "\\1 \x03\\2", text or "")
-        t = regex.sub(d._NAME, "\x02\\1", t)
+        t = regex.sub(d._IN_GROUPS, "\x05", regex.sub(d._IN_NUMBER.replace("(?iu)", "(?i)"), "\x05", text or ""))
+        t = regex.sub(d._UNIT, "\\1 \x03\\2", t)
+        t = regex.sub(d._IN_NAME, "\x06", regex.sub(d._NAME, "\x02\\1", t))
         t = regex.sub(d._FIRST, "\\1\x04\\2", t)
         marked = regex.findall(d._TOKEN, t.lower())
         inside = {x[1:] for x in marked if x[0] == "\x02"}
         words = [("\x02" if x[1:] in inside else "") + x[1:] if x[0] == "\x04" else x for x in marked]
-        kinds = [1 if "0" <= x[0] <= "9" or x in d.NUMBER_WORDS else ord(x[0]) if x[0] in "\x02\x03" else x for x in words]
+        kinds = [1 if "0" <= x[0] <= "9" or x in d.NUMBER_WORDS or "\x05" in x else ord(x[0]) if x[0] in "\x02\x03" else x for x in words]
         return words, kinds
 
     def literals(kinds):
@@ -284,14 +308,18 @@ def brute_contaminations(texts, items):
                     if p < 0 or len(own) < length or (n < d.LEAST_INSIDE and len(words) != n):
                         continue
                     if q in rich and tuple(kinds[p : p + w]) == item_kinds[q : q + w]:
-                        hits[q] = (not any(m[q : q + w] == own for _, m in members), [(a, b) for a, b in zip(first[q : q + w], own, strict=True) if a[0] == "\x02"])
+                        hits[q] = (not any(m[q : q + w] == own for _, m in members), [(k, a, b) for k, a, b in zip(item_kinds[q : q + w], first[q : q + w], own, strict=True) if not isinstance(k, str)])
                     elif q not in rich and any([x.lstrip("\x02\x03") for x in m[q : q + length]] == [x.lstrip("\x02\x03") for x in own] for _, m in members):
                         hits[q] = (False, [])
-                pairs = {x for _, names in hits.values() for x in names}
-                torn = {a for a, _ in pairs if len({y for x, y in pairs if x == a}) > 1}
-                good = [q for q, (other, names) in hits.items() if not other or not any(a in torn for a, _ in names)]
+                pairs = {x for _, slots in hits.values() for x in slots}
+                torn = {(k, a) for k, a, _ in pairs if len({y for j, x, y in pairs if (j, x) == (k, a)}) > 1}
+                good = lambda bad: [q for q, (other, slots) in hits.items() if not other or not any((k, a) in bad for k, a, _ in slots)]  # noqa: B023, E731
+                loose, strict = good({t for t in torn if t[0] == 2}), good(torn)
+                windows = max(n - w + 1, 1)
+                whole = len(loose) >= windows or rich and set(rich) <= set(loose)
+                counted = loose if whole else strict
                 need = lambda m: min(d.NEED, -(-m // 2))
-                if good and (len(good) >= need(max(n - w + 1, 1)) or rich and len(set(good) & set(rich)) >= need(len(rich))):
+                if counted and (len(counted) >= need(windows) or rich and len(set(counted) & set(rich)) >= need(len(rich))):
                     kinds_found.append(any(other for other, _ in hits.values()))
             if kinds_found:
                 out[doc, members[0][0]] = "reparameterised" if all(kinds_found) else "verbatim"
