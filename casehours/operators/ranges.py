@@ -12,11 +12,10 @@ NO_LIMIT = 90000
 
 def limits_for_cases(limits: DataFrame, cases: DataFrame) -> DataFrame:
     """case_id, interface, side, month, value: a case's own table wins whole, else the shared one (J-08)."""
-    own = limits.filter("scope_case is not null").select(F.col("scope_case").alias("case_id")).distinct()
-    mine = limits.filter("scope_case is not null").withColumnRenamed("scope_case", "case_id").join(cases.select("case_id").distinct(), "case_id", "left_semi")
-    shared = limits.filter("scope_case is null").drop("scope_case").crossJoin(F.broadcast(cases.select("case_id").distinct().join(own, "case_id", "left_anti")))
-    columns = ["case_id", "interface", "side", "month", "value"]
-    return mine.select(*columns).unionByName(shared.select(*columns)).withColumn("interface", F.trim("interface"))
+    own = limits.filter("scope_case is not null").select("scope_case").distinct()
+    named = cases.select("case_id").distinct()
+    scopes = named.join(own, F.col("case_id") == F.col("scope_case"), "left").withColumnRenamed("scope_case", "_scope")
+    return scopes.join(limits, F.col("_scope").eqNullSafe(F.col("scope_case"))).select("case_id", F.trim("interface").alias("interface"), "side", "month", "value")
 
 
 def two_sided(limits: DataFrame, by: list[str]) -> DataFrame:

@@ -172,17 +172,18 @@ def window_extremes(series: DataFrame, by: list[str], hour: str) -> DataFrame:
 
 
 def kth_years(series: DataFrame, by: list[str]) -> DataFrame:
-    """``series`` with k, the place of its year among the years kept (W-10)."""
-    years = series.select(*by, "year").distinct()
-    ranked = years.withColumn("k", F.row_number().over(Window.partitionBy(*by).orderBy("year")))
-    return series.join(ranked, [*by, "year"])
-
-
-def xy_pairs(x: DataFrame, y: DataFrame, colour: DataFrame | None = None) -> DataFrame:
-    """Hours of two series by k-th year and slot hour: k, slot_hour, x, y and, if given, colour (J-11)."""
-    of = lambda df, name: kth_years(df.withColumn("_one", F.lit(1)), ["_one"]).select("k", "slot_hour", F.col("value").alias(name))
-    out = of(x, "x").join(of(y, "y"), ["k", "slot_hour"]).filter("x is not null and y is not null")
-    return out.join(of(colour, "colour"), ["k", "slot_hour"], "left") if colour is not None else out
+    """``series`` with k, the place of its year among the years kept (W-10). The years kept go to every row as a list of each series."""
+    years = series.groupBy(*by).agg(F.array_sort(F.collect_set("year")).alias("_years"))
+    return (series.join(years, by) if by else series.join(F.broadcast(years))).withColumn("k", F.array_position("_years", F.col("year")).cast("int")).drop("_years")
+
+
+def xy_pairs(x: DataFrame, y: DataFrame, colour: DataFrame | None = None, by: list[str] | None = None) -> DataFrame:
+    """Hours of two series, or of two for each ``by``, by k-th year and slot hour: by, k, slot_hour, x, y and, if given, colour (J-11)."""
+    by = by or []
+    at = [*by, "k", "slot_hour"]
+    of = lambda df, name: kth_years(df, by).select(*at, F.col("value").alias(name))
+    out = of(x, "x").join(of(y, "y"), at).filter("x is not null and y is not null")
+    return out.join(of(colour, "colour"), at, "left") if colour is not None else out
 
 
 def pairing_refusal(x: DataFrame, y: DataFrame) -> DataFrame:

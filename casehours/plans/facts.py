@@ -60,8 +60,7 @@ def memberships(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def limits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """scope_case, interface, side, month, value from nations: shared limits, and a table of case R's own."""
-    nation = table(spark, sf_dir, "nation").select("n_name", "n_nationkey")
-    rows = nation.crossJoin(F.broadcast(spark.range(1, 13).select(F.col("id").cast("int").alias("month"))))
+    rows = table(spark, sf_dir, "nation").select("n_name", "n_nationkey", F.explode(F.sequence(F.lit(1), F.lit(12))).alias("month"))
     upper = F.when((F.col("n_nationkey") + F.col("month")) % 7 != 0, (F.col("n_nationkey") + 1) * 20.0 + F.col("month"))
     lower = F.when((F.col("n_nationkey") + F.col("month")) % 5 != 0, -(F.col("n_nationkey") + 1) * 10.0 + F.col("month"))
     sides = lambda scope, factor: rows.select(F.lit(scope).cast("string").alias("scope_case"), F.col("n_name").alias("interface"), F.explode(F.array(F.struct(F.lit("MAX").alias("side"), (upper * factor).alias("value")), F.struct(F.lit("MIN").alias("side"), (lower * factor).alias("value")))).alias("x"), "month", "n_nationkey")

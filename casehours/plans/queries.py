@@ -11,6 +11,7 @@ from casehours.functions import calendar as cal
 from casehours.functions import rules
 from casehours.operators import browse, combine, filters, groups, ranges, shapes, stats
 from casehours.plans.facts import H, LIMITS, MEMBERS, box_sql, hourly, limits, memberships, series_of, stats_sql, table
+from casehours.session import written
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -101,7 +102,7 @@ def date_runs_filter(spark: SparkSession, sf: str) -> DataFrame:
 @query(f"WITH {H}, f AS (SELECT min(year) AS f FROM h) SELECT case_id, min((year - f) * 8784 + slot_hour)::INT AS first_hour, max((year - f) * 8784 + slot_hour)::INT AS last_hour, count(*) AS cells FROM h, f GROUP BY 1")
 def common_axis(spark: SparkSession, sf: str) -> DataFrame:
     """C-06: the extent of each case on one axis."""
-    return cal.on_common_axis(hourly(spark, sf)).groupBy("case_id").agg(F.min("axis_hour").cast("int").alias("first_hour"), F.max("axis_hour").cast("int").alias("last_hour"), F.count(F.lit(1)).alias("cells"))
+    return cal.on_common_axis(facts_once(spark, sf)).groupBy("case_id").agg(F.min("axis_hour").cast("int").alias("first_hour"), F.max("axis_hour").cast("int").alias("last_hour"), F.count(F.lit(1)).alias("cells"))
 
 
 # ---------------------------------------------------------------- boxes and ranked tables
@@ -126,7 +127,7 @@ for _d, _s in (("year", "year"), ("month", "month"), ("hourOfDay", "he"), ("dayO
 r AS (SELECT case_id, entity, {stats_sql('x.net')} FROM s LEFT JOIN h x USING (case_id, entity) GROUP BY ALL) SELECT * FROM r""")
 def ranked_entities(spark: SparkSession, sf: str) -> DataFrame:
     """A-12: every nation in scope, those without data too."""
-    h = hourly(spark, sf)
+    h = facts_once(spark, sf)
     scope = table(spark, sf, "nation").select(F.col("n_name").alias("entity")).crossJoin(F.broadcast(h.select("case_id").distinct()))
     return stats.ranked_stats(scope, series_of(h, "net"), ["case_id", "entity"], ndigits=4)
 
@@ -275,7 +276,7 @@ def period_total(spark: SparkSession, sf: str) -> DataFrame:
 @query(f"""WITH {H}, k AS (SELECT case_id, entity FROM h GROUP BY ALL HAVING avg(net) > 0), s AS (SELECT case_id, grp, year, slot_hour, sum(net) AS value FROM h SEMI JOIN k USING (case_id, entity) GROUP BY ALL) SELECT case_id, grp, {stats_sql('value')} FROM s GROUP BY ALL""")
 def keepset_group(spark: SparkSession, sf: str) -> DataFrame:
     """F-08: a filter on statistics chooses entities before they are summed."""
-    f = series_of(hourly(spark, sf), "net")
+    f = series_of(facts_once(spark, sf), "net")
     own = stats.series_stats(f, ["case_id", "entity"])
     kept = filters.keep_set(f, own, filters.range_filter(F.col("mean"), low=0.0) & (F.col("mean") > 0), ["case_id", "entity"])
     return stats.series_stats(combine.sum_series(kept, ["case_id", "grp"]), ["case_id", "grp"], ndigits=4)
@@ -318,7 +319,7 @@ def area_scope(spark: SparkSession, sf: str) -> DataFrame:
 @query(f"WITH {H} SELECT case_id, entity, count(*) FILTER (month = 2 AND he = 3 AND year = 1996) AS n FROM h GROUP BY ALL HAVING count(*) FILTER (month = 2 AND he = 3 AND year = 1996) > 0")
 def without_empty_rows(spark: SparkSession, sf: str) -> DataFrame:
     """F-12, F-13: rows without a value in the kept hours are dropped."""
-    h = hourly(spark, sf)
+    h = facts_once(spark, sf)
     kept = h.filter(filters.HourFilter(years=(1996,), hours_ending=(3,), date_runs=((31, 59),)).predicate()).groupBy("case_id", "entity").agg(F.count("net").alias("n"))
     shown, _ = filters.split_empty(filters.with_presence(h.select("case_id", "entity").distinct(), h, ["case_id", "entity"]).join(kept, ["case_id", "entity"], "left").fillna(0, ["n"]))
     return shown
@@ -334,13 +335,18 @@ r AS (SELECT *, CASE WHEN value < 0 AND lower < 0 THEN -abs(value / lower) WHEN
   CASE WHEN value < 0 AND lower < 0 THEN 'lower:limit' WHEN value < 0 AND (lower IS NULL OR up <= 0) THEN 'lower:peak' ELSE 'upper:' || CASE WHEN upper > 0 THEN 'limit' ELSE 'peak' END END AS used FROM j)"""
 
 
+def facts_once(spark: SparkSession, sf: str) -> DataFrame:
+    """The hourly facts as a table, for queries that read them more than once."""
+    return written(hourly(spark, sf), "hourly-facts")
+
+
 def cases(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "lineitem").select(F.col("l_returnflag").alias("case_id")).distinct()
 
 
 def ranged(spark: SparkSession, sf: str) -> DataFrame:
-    h = series_of(hourly(spark, sf), "net")
-    lim = ranges.two_sided(ranges.limits_for_cases(limits(spark, sf), cases(spark, sf)), ["case_id", "interface"]).withColumnRenamed("interface", "entity")
+    h = series_of(facts_once(spark, sf), "net")
+    lim = ranges.two_sided(ranges.limits_for_cases(limits(spark, sf), h.select("case_id").distinct()), ["case_id", "interface"]).withColumnRenamed("interface", "entity")
     return ranges.percent_of_range(ranges.hourly_limits(h, lim, ["case_id", "entity"]), ["case_id", "entity"])
 
 
@@ -369,8 +375,8 @@ def boundary_range(spark: SparkSession, sf: str) -> DataFrame:
 SELECT case_id, entity, side, count(*) AS hours, count(lim) AS drawn, round(sum(lim), 4) AS total FROM x GROUP BY ALL HAVING count(lim) > 0""")
 def limit_line_hours(spark: SparkSession, sf: str) -> DataFrame:
     """J-09: limit lines of MW series, a blank side left out."""
-    h = series_of(hourly(spark, sf), "load")
-    lim = ranges.two_sided(ranges.limits_for_cases(limits(spark, sf), cases(spark, sf)), ["case_id", "interface"]).withColumnRenamed("interface", "entity")
+    h = series_of(facts_once(spark, sf), "load")
+    lim = ranges.two_sided(ranges.limits_for_cases(limits(spark, sf), h.select("case_id").distinct()), ["case_id", "interface"]).withColumnRenamed("interface", "entity")
     lines = ranges.limit_lines(ranges.hourly_limits(h, lim, ["case_id", "entity"]), "MW", ["case_id", "entity"])
     return lines.groupBy("case_id", "entity", "side").agg(F.count(F.lit(1)).alias("hours"), F.count("limit").alias("drawn"), F.round(F.sum("limit"), 4).alias("total"))
 

@@ -92,8 +92,11 @@ x AS (SELECT dense_rank() OVER (ORDER BY year) AS k, slot_hour, value AS x FROM
 
 
 def _xy(spark: SparkSession, sf: str) -> DataFrame:
-    total = lambda kept: group_series(spark, sf).filter(kept).groupBy("year", "slot_hour").agg(F.sum("value").alias("value"))
-    return shapes.xy_pairs(total("grp <> 'EUROPE' and year <> 1997"), total("grp <> 'ASIA'"))
+    total = lambda kept: F.sum(F.when(F.expr(kept), F.col("value")))
+    both = group_series(spark, sf).groupBy("year", "slot_hour").agg(total("grp <> 'EUROPE' and year <> 1997").alias("x"), total("grp <> 'ASIA'").alias("y"))
+    both = written(both, "xy-series")  # read for the years and for the hours, of either series
+    one = lambda c: both.filter(F.col(c).isNotNull()).select("year", "slot_hour", F.col(c).alias("value"))
+    return shapes.xy_pairs(one("x"), one("y"))
 
 
 @query(f"WITH {H}, {G}, {XY} SELECT k::INT AS k, slot_hour, round(x, 4) AS x, round(y, 4) AS y FROM xy")
@@ -116,7 +119,7 @@ c AS (SELECT *, least(floor((hour - x0) / greatest(x1 - x0, 1) * 200), 199)::INT
 SELECT case_id, grp, run::INT AS run, "column", arg_min(hour, (value, hour))::INT AS low_hour, round(min(value), 4) AS low, arg_max(hour, (value, -hour))::INT AS high_hour, round(max(value), 4) AS high FROM c GROUP BY ALL""")
 def downsample(spark: SparkSession, sf: str) -> DataFrame:
     """W-07: extremes of 200 stretches, apart at gaps."""
-    s = cal.on_common_axis(group_series(spark, sf))
+    s = cal.on_common_axis(written(group_series(spark, sf), "series"))
     t = shapes.thinned(s, ["case_id", "grp"], "axis_hour", 200)
     return rounded(t.select("case_id", "grp", F.col("run").cast("int").alias("run"), "column", F.col("low_hour").cast("int").alias("low_hour"), "low", F.col("high_hour").cast("int").alias("high_hour"), "high"))
 
@@ -124,7 +127,7 @@ def downsample(spark: SparkSession, sf: str) -> DataFrame:
 @query(f"WITH {H}, {G}, {THIN} SELECT case_id, grp, arg_min(hour, (value, hour))::INT AS low_hour, round(min(value), 4) AS low, arg_max(hour, (value, -hour))::INT AS high_hour, round(max(value), 4) AS high FROM a WHERE hour BETWEEN 10000 AND 40000 GROUP BY ALL")
 def window_extremes(spark: SparkSession, sf: str) -> DataFrame:
     """W-09: highest and lowest hour in a window."""
-    s = cal.on_common_axis(group_series(spark, sf)).filter("axis_hour between 10000 and 40000")
+    s = cal.on_common_axis(written(group_series(spark, sf), "series")).filter("axis_hour between 10000 and 40000")
     e = shapes.window_extremes(s, ["case_id", "grp"], "axis_hour")
     return rounded(e.withColumn("low_hour", F.col("low_hour").cast("int")).withColumn("high_hour", F.col("high_hour").cast("int")))
 
@@ -159,7 +162,7 @@ o AS (SELECT case_id, entity, year, slot_hour, CASE WHEN slot_hour % 9 = 0 THEN
 
 
 def _offers(spark: SparkSession, sf: str) -> DataFrame:
-    h = hourly(spark, sf).select("case_id", "entity", "year", "slot_hour", "load").withColumn("kind", F.lit("area")).withColumn("quantity", F.lit("Load (MWh)"))
+    h = written(hourly(spark, sf).select("case_id", "entity", "year", "slot_hour", "load"), "hourly-facts").withColumn("kind", F.lit("area")).withColumn("quantity", F.lit("Load (MWh)"))
     a = h.filter("slot_hour % 3 <> 1").select(*merge.CELL, F.when(F.col("slot_hour") % 9 != 0, F.col("load")).alias("value"), F.lit(1).alias("src_rank"), F.lit("a").alias("src_file"))
     b = h.filter("slot_hour % 2 = 0").select(*merge.CELL, (F.col("load") + 1).alias("value"), F.lit(2).alias("src_rank"), F.lit("b").alias("src_file"))
     return a.unionByName(b)
