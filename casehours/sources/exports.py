@@ -11,9 +11,13 @@ from pyspark.sql import functions as F
 
 from casehours.functions import calendar as cal
 from casehours.functions.cells import export_date, hour_ending, time_of_use, value_cell, value_is_bad
+from casehours.session import written
 
 KEY_COLUMNS = {"area": 1, "bus": 3, "generator": 3}
 
+#: Files that have a header in common have this in common.
+HEADER_COLUMNS = ("kind", "columns", "key_ids")
+
 
 def _lines(spark: SparkSession, files: DataFrame, shape: str) -> DataFrame:
     """path-less lines of the files of a shape, with what the catalog says of their file; no rows without such files."""
@@ -23,7 +27,7 @@ def _lines(spark: SparkSession, files: DataFrame, shape: str) -> DataFrame:
         text = spark.read.text(paths).select(F.regexp_replace("value", r"\r$", "").alias("line"), F.col("_metadata.file_path").alias("path"))
     else:
         text = spark.createDataFrame([], "line string, path string")
-    meta = chosen.select(F.col("path"), "src_file", "case_id", "kind", "quantity", "first_year", "last_year", "src_rank")
+    meta = chosen.select(F.col("path"), "src_file", "case_id", "kind", "quantity", "first_year", "last_year", "src_rank", F.xxhash64(*HEADER_COLUMNS).alias("header"), F.size("columns").alias("width"))
     bare = F.regexp_replace("path", r"^file:/+", "/")
     return text.withColumn("_p", bare).drop("path").join(meta.withColumn("_p", bare).drop("path"), "_p").withColumn("cells", F.split("line", ",", -1))
 
@@ -60,44 +64,49 @@ def _cause(rows: DataFrame, extra: list[tuple[Column, str]]) -> DataFrame:
 FACTS = ["case_id", "kind", "quantity", "entity", "year", "slot_hour", "value", "tou", "src_file", "src_rank"]
 
 
-def _unpivoted(rows: DataFrame, header: DataFrame) -> DataFrame:
-    """Rows by header position: a cell that the row lacks is null."""
-    joined = rows.join(header.groupBy("src_file").agg(F.collect_list(F.struct("pos", "name")).alias("_header")), "src_file")
-    each = joined.select("*", F.explode("_header").alias("_h")).drop("_header")
-    return each.withColumn("raw", F.get("cells", F.col("_h.pos"))).withColumn("name", F.col("_h.name"))
+def header_names(files: DataFrame, shape: str, retained: list[str] | None = None) -> DataFrame:
+    """header, names: for each different header of the files the names by position, null where there is none or it is not retained."""
+    one = files.withColumn("src_file", F.xxhash64(*HEADER_COLUMNS).cast("string")).dropDuplicates(["src_file", "shape"])
+    at = F.map_from_entries(F.collect_list(F.struct("pos", "name")))
+    named = header_positions(one, shape, retained).groupBy("src_file").agg(at.alias("at"), F.max("pos").alias("last"))
+    return named.select(F.col("src_file").cast("long").alias("header"), F.transform(F.sequence(F.lit(0), "last"), lambda p: F.try_element_at("at", p)).alias("names"))
+
+
+def _unpivoted(rows: DataFrame, names: DataFrame) -> DataFrame:
+    """A row for each named cell of each row; a cell that the row lacks is null.
+
+    A line meets the names of its header once, and what is exploded carries neither.
+    """
+    kept = [c for c in rows.columns if c not in ("cells", "line", "header")]
+    cells = F.transform("names", lambda name, p: F.struct(name.alias("name"), F.get("cells", p).alias("raw")))
+    return rows.join(names, "header").select(*kept, F.explode(F.filter(cells, lambda x: x["name"].isNotNull())).alias("x")).select(*kept, "x.name", "x.raw")
 
 
 def read_wide(spark: SparkSession, files: DataFrame, retained: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
     """Facts of wide exports, and quality rows (src_file, cause, rows)."""
-    lines = _lines(spark, files, "wide")
-    rows = _parsed(lines).filter(F.get("cells", F.lit(0)).rlike(r"^\s*\d"))
-    width = header_width(files, "wide")
-    rows = rows.join(width, "src_file")
+    files = written(files, "catalog")  # each file is opened once
+    rows = _parsed(_lines(spark, files, "wide")).filter(F.get("cells", F.lit(0)).rlike(r"^\s*\d"))
     beyond = F.exists(F.slice("cells", F.col("width") + 1, F.greatest(F.size("cells") - F.col("width"), F.lit(0))), lambda c: F.trim(c) != "")
     bad = F.exists(F.slice("cells", 4, F.greatest(F.size("cells") - 3, F.lit(0))), value_is_bad)
     rows = _cause(rows, [(F.lit(False), ""), (beyond, "field beyond the header"), (bad, "bad cell")])
-    facts = _unpivoted(rows.filter("cause is null"), header_positions(files, "wide", retained)).withColumn("value", value_cell(F.col("raw"))).withColumn("entity", F.col("name"))
+    facts = _unpivoted(rows.filter("cause is null"), header_names(files, "wide", retained)).withColumn("value", value_cell(F.col("raw"))).withColumn("entity", F.col("name"))
     return facts.select(*FACTS), rows.filter("cause is not null").groupBy("src_file", "cause").agg(F.count(F.lit(1)).alias("rows"))
 
 
 def read_long(spark: SparkSession, files: DataFrame, retained: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
     """Facts of long exports, and quality rows. The entity is the area name, the bus id or the unit name."""
-    lines = _lines(spark, files, "long")
-    rows = _parsed(lines).filter(F.trim(F.get("cells", F.lit(0))) != "Date")
+    files = written(files, "catalog")  # each file is opened once
+    rows = _parsed(_lines(spark, files, "long")).filter(F.trim(F.get("cells", F.lit(0))) != "Date")
     raw = F.trim(F.get("cells", F.lit(3)))
     entity = F.when(F.col("kind") == "bus", F.regexp_extract(raw, r"^(\d+)(?:\.0*)?$", 1)).otherwise(raw)
-    rows = rows.withColumn("entity", entity).join(header_width(files, "long"), "src_file")
+    rows = rows.withColumn("entity", entity)
     first = F.coalesce(*[F.when(F.col("kind") == k, F.lit(3 + n)) for k, n in KEY_COLUMNS.items()])
     bad = F.exists(F.slice("cells", first + 1, F.greatest(F.size("cells") - first, F.lit(0))), value_is_bad)
     rows = _cause(rows, [(F.coalesce(F.col("entity"), F.lit("")).rlike(r'^$|"'), "blank or quoted id"), (F.size("cells") != F.col("width"), "ragged row"), (bad, "bad cell")])
-    facts = _unpivoted(rows.filter("cause is null"), header_positions(files, "long", retained)).withColumn("value", value_cell(F.col("raw"))).withColumn("quantity", F.col("name"))
+    facts = _unpivoted(rows.filter("cause is null"), header_names(files, "long", retained)).withColumn("value", value_cell(F.col("raw"))).withColumn("quantity", F.col("name"))
     return facts.select(*FACTS), rows.filter("cause is not null").groupBy("src_file", "cause").agg(F.count(F.lit(1)).alias("rows"))
 
 
-def header_width(files: DataFrame, shape: str) -> DataFrame:
-    return files.filter((F.col("shape") == shape) & F.col("reason").isNull()).select("src_file", F.size("columns").alias("width"))
-
-
 def ranked_files(files: DataFrame) -> DataFrame:
     """``files`` with src_rank, the order in which they own cells."""
     from pyspark.sql import Window
@@ -107,7 +116,8 @@ def ranked_files(files: DataFrame) -> DataFrame:
 
 def axis_scan(facts: DataFrame) -> DataFrame:
     """src_file, year, rows, entities: what the rows carry (A-23)."""
-    return facts.groupBy("src_file", "year").agg(F.count_distinct("entity", "slot_hour").alias("rows"), F.count_distinct("entity").alias("entities"))
+    rows = F.expr("count(1) div count(distinct quantity)")  # a row has a fact for each quantity
+    return facts.groupBy("src_file", "year").agg(rows.alias("rows"), F.count_distinct("entity").alias("entities"))
 
 
 def table_hours(facts: DataFrame) -> DataFrame:
