@@ -14,7 +14,7 @@ from casehours.operators import groups, merge, stats
 from casehours.plans.facts import H, LIMITS, MEMBERS, hourly, limits, memberships, series_of, stats_sql, table
 from casehours.plans.queries import query, rounded
 from casehours.plans.text_queries import pick
-from casehours.session import scratch
+from casehours.session import scratch, written
 from casehours.sources import exports, lists
 from casehours.sources.catalog import catalog, import_plan
 from casehours.streaming.append import append_files
@@ -228,11 +228,12 @@ def absent_columns(spark: SparkSession, sf: str) -> DataFrame:
     return merge.coverage_notes(f, table(spark, sf, "nation").select(F.col("n_name").alias("name")), f.filter("name not like '%2'"))
 
 
-@query(f"WITH {H} SELECT DISTINCT c.case_id, n_name AS entity FROM (SELECT DISTINCT case_id FROM h) c, nation WHERE NOT EXISTS (FROM h WHERE h.case_id = c.case_id AND h.entity = n_name AND month = 2)")
+@query(f"WITH {H} SELECT DISTINCT c.case_id, l.entity FROM (SELECT DISTINCT case_id FROM h) c, (SELECT n_name AS entity FROM nation UNION ALL SELECT r_name FROM region) l WHERE NOT EXISTS (FROM h WHERE h.case_id = c.case_id AND h.entity = l.entity AND month = 2)")
 def entities_without_rows(spark: SparkSession, sf: str) -> DataFrame:
-    """Q-08: entities of the list that a case has no row of (in February)."""
-    h = hourly(spark, sf)
-    listed = h.select("case_id").distinct().join(table(spark, sf, "nation").select(F.col("n_name").alias("entity")))
+    """Q-08: entities of the list that a case has no row of (in February); regions are listed too and have none."""
+    h = written(hourly(spark, sf).select("case_id", "entity", "slot_hour"), "hourly-facts")
+    names = table(spark, sf, "nation").select(F.col("n_name").alias("entity")).unionByName(table(spark, sf, "region").select(F.col("r_name").alias("entity")))
+    listed = names.join(F.broadcast(h.agg(F.collect_set("case_id").alias("cases")))).select("entity", F.explode("cases").alias("case_id"))
     return merge.entities_without_rows(listed, h.filter(cal.month_of() == 2), ["case_id"])
 
 
