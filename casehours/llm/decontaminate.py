@@ -51,11 +51,9 @@ NUMBER_WORDS = (
 #: Marks inside a token of several words: of numbers, and of names.
 NUMBERS_JOINED, NAMES_JOINED = "\u0005", "\u0006"
 
-_NUMBER_WORD = "(?:" + "|".join(NUMBER_WORDS) + ")"
-#: What lies between the words of one number, between groups of digits, and between names.
-_IN_NUMBER = r"(?iu)(?<=(?<![\p{L}\p{N}])" + _NUMBER_WORD + r")[\s-]{1,3}(?=(?:one|" + _NUMBER_WORD[3:-1] + r")(?![\p{L}\p{N}]))"
-_IN_GROUPS = r"(?<=(?<![\p{L}\p{N}.,:/])\p{Nd}{1,3}|(?<=\u0005)\p{Nd}{3})[ \u00A0\u2009\u202F](?=\p{Nd}{3}(?![\p{L}\p{N}]))"
-_IN_NAME = r"(?<=\u0002\p{Lu}\p{Ll}{1,40}|\u0006\p{Lu}\p{Ll}{1,40})\s\u0002(?=\p{Lu})"
+#: What lies between groups of digits, and between names: the match itself comes first, what stands before it is asked then.
+_IN_GROUPS = r"[ \u00A0\u2009\u202F](?=\p{Nd}{3}(?![\p{L}\p{N}]))(?<=(?<![\p{L}\p{N}.,:/])\p{Nd}{1,3}[ \u00A0\u2009\u202F])"
+_IN_NAME = r"\s\u0002(?=\p{Lu})(?<=\u0002\p{Lu}\p{Ll}{1,40}\s\u0002)"
 
 _UNIT = r"(\p{Nd}\s?)(" + "|".join(UNITS) + r")(?![\p{L}\p{N}])"
 _NAME = r"(?<=[\p{Ll}\p{Nd},;:)]\s)(\p{Lu}\p{Ll}+)"
@@ -66,13 +64,29 @@ NUMBER, NAME, UNIT, FIRST = 1, 2, 3, 4
 
 def tokens(text: Column) -> Column:
     """Lower-case tokens; a name begins with U+0002, a unit with U+0003, a capitalised word that begins a sentence with U+0004."""
-    marked = F.regexp_replace(F.regexp_replace(text, _IN_NUMBER, NUMBERS_JOINED), _IN_GROUPS, NUMBERS_JOINED)
-    marked = F.regexp_replace(marked, _UNIT, "$1 \u0003$2")
+    marked = F.regexp_replace(F.regexp_replace(text, _IN_GROUPS, NUMBERS_JOINED), _UNIT, "$1 \u0003$2")
     marked = F.regexp_replace(F.regexp_replace(marked, _NAME, "\u0002$1"), _IN_NAME, NAMES_JOINED)
     marked = F.regexp_replace(marked, _FIRST, "$1\u0004$2")
     return F.regexp_extract_all(F.lower(marked), F.lit(_TOKEN), 0)
 
 
+def numbers_joined(words: Column) -> Column:
+    """``words`` with number words in a row as one; "one" counts after another."""
+    counts = lambda x: x.isin(NUMBER_WORDS)
+
+    def joined(flags: Column) -> Column:
+        def put(x: Column, k: Column) -> Column:
+            after = F.slice(flags, k + 1, F.size(flags))
+            length = F.coalesce(F.nullif(F.array_position(after, F.lit(False)), F.lit(0)) - 1, F.size(after)).cast("int")
+            first = ~F.coalesce(F.get(flags, k - 1), F.lit(False))
+            return F.when(~F.get(flags, k), x).when(first, F.array_join(F.slice(words, k + 1, length), NUMBERS_JOINED))
+
+        return F.filter(F.transform(words, put), lambda x: x.isNotNull())
+
+    flags = F.transform(words, lambda x, k: counts(x) | ((x == "one") & F.coalesce(counts(F.get(words, k - 1)), F.lit(False))))
+    return F.when(F.exists(words, counts), F.get(F.transform(F.array(flags), joined), F.lit(0))).otherwise(words)
+
+
 def symbol(token: Column) -> Column:
     """1 for a number, 2 for a name, 3 for a unit, else a hash of the word."""
     code = F.ascii(token)
@@ -90,6 +104,7 @@ def tokenised(rows: DataFrame) -> DataFrame:
     # two references to the names: with one alone, Spark would move their computation into the lambda
     own = lambda x: F.when((F.size("names") > 0) & F.array_contains("names", plain(x)), F.concat(F.lit("\u0002"), plain(x))).otherwise(plain(x))
     words = named.select("key", F.transform("marked", lambda x: F.when(F.ascii(x) == FIRST, own(x)).otherwise(x)).alias("words"))
+    words = words.select("key", numbers_joined(F.col("words")).alias("words"))
     return words.select("key", "words", F.transform("words", symbol).alias("symbols"))
 
 

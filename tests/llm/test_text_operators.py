@@ -274,13 +274,17 @@ def brute_contaminations(texts, items):
     d, w = decontaminate, decontaminate.WINDOW
 
     def read(text):
-        t = regex.sub(d._IN_GROUPS, "\x05", regex.sub(d._IN_NUMBER.replace("(?iu)", "(?i)"), "\x05", text or ""))
-        t = regex.sub(d._UNIT, "\\1 \x03\\2", t)
+        t = regex.sub(d._UNIT, "\\1 \x03\\2", regex.sub(d._IN_GROUPS, "\x05", text or ""))
         t = regex.sub(d._IN_NAME, "\x06", regex.sub(d._NAME, "\x02\\1", t))
         t = regex.sub(d._FIRST, "\\1\x04\\2", t)
         marked = regex.findall(d._TOKEN, t.lower())
         inside = {x[1:] for x in marked if x[0] == "\x02"}
         words = [("\x02" if x[1:] in inside else "") + x[1:] if x[0] == "\x04" else x for x in marked]
+        joined = []
+        for k, x in enumerate(words):
+            counts = x in d.NUMBER_WORDS or x == "one" and k > 0 and words[k - 1] in d.NUMBER_WORDS
+            joined = [*joined[:-1], (f"{joined[-1][0]}\x05{x}", True)] if counts and joined and joined[-1][1] else [*joined, (x, counts)]
+        words = [x for x, _ in joined]
         kinds = [1 if "0" <= x[0] <= "9" or x in d.NUMBER_WORDS or "\x05" in x else ord(x[0]) if x[0] in "\x02\x03" else x for x in words]
         return words, kinds
 
