@@ -7,7 +7,8 @@ where each block lies, how long its planes are, and which documents the file has
     magic | planes of block 0 | planes of block 1 | ... | index (zstandard) | length of index, u64 | magic
 
 Defined results: a null text is empty and has its end id alone; null ids come first; rows that repeat an id follow
-each other in order of their texts; an empty table gives no files and an empty table.
+each other in order of their texts; an empty table gives no files and an empty table. Ids of a file are in memory while it
+is written, 4 bytes each and ``FILE_IDS`` and one document's at most.
 """
 
 from __future__ import annotations
@@ -227,7 +228,9 @@ def write_tokens(docs: DataFrame, tokenizer_path: str, path: str, end_id: int =
         yield pa.RecordBatch.from_pylist(rows, schema=schema)
 
     prepare(docs.sparkSession)
-    ordered = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    keyed = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    # ranges of ids and of beginnings of texts: rows of one id, or without one, spread over tasks
+    ordered = keyed.repartitionByRange("doc_id", F.substring("text", 1, 32)).sortWithinPartitions("doc_id", "text")
     return cut(ordered.mapInArrow(tidied(run), "file string, part int, seq int, docs long, ids long, bytes long"), "plane-manifest")
 
 
