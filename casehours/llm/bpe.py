@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import re
 import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
@@ -138,7 +139,7 @@ class Disputes:
 
         self.library, self.decomposed, self.known = library, NFD().normalize_str, {}
         usual = [c for c in map(chr, (*range(0x80, 0x250), *range(0x2010, 0x2028))) if not self.disputed(c)]
-        self.unusual = regex.compile("[^\\x00-\\x7f" + "".join(map(regex.escape, usual)) + "]")
+        self.unusual = re.compile("[^\\x00-\\x7f" + "".join(map(re.escape, usual)) + "]")  # a bitmap there; the other module tries character by character
 
     def disputed(self, c: str) -> bool:
         """May the two normalise, split or order the character differently?"""
