@@ -60,7 +60,7 @@ def _beside(left: DataFrame, right: DataFrame, by: list[str], more: Column | Non
 
 
 def values_at(counts: DataFrame, ranks: DataFrame, by: list[str]) -> DataFrame:
-    """by, rank, at: the value at each rank (from 0) of each group. ``ranks``: by, rank, written and small; no group meets in one task.
+    """by, rank, at: the value at each rank (from 0) of each group. ``ranks``: by, rank, small; no group meets in one task.
 
     Every rank has a stretch of values in which it lies, the whole group's at first. Stretches of more than ``SORTED_VALUES``
     different values are parted into buckets of equal width, whose counts say in which one each rank lies; what is left
@@ -91,12 +91,11 @@ def quantiles_of(counts: DataFrame, by: list[str], points: tuple[float, ...] = Q
     place = F.col("point") * (F.col("total") - 1)
     totals = counts.groupBy(*by).agg(F.sum("n").alias("total")).withColumn("point", F.explode(F.array(*map(F.lit, points))))
     places = written(totals.select(*by, "point", place.alias("place"), F.floor(place).alias("low"), F.ceil(place).alias("high")), "quantile-places")
-    ranks = written(places.select(*by, F.explode(F.array("low", "high")).alias("rank")).distinct(), "quantile-ranks")
-    at = written(values_at(counts, ranks, by), "quantile-values")
-    low = _beside(places, at.withColumnsRenamed({"rank": "low_rank", "at": "low_at"}), by, F.col("low") == F.col("low_rank"))
-    both = _beside(low, at.withColumnsRenamed({"rank": "high_rank", "at": "high_at"}), by, F.col("high") == F.col("high_rank"))
-    value = F.when(F.col("low_at") == F.col("high_at"), F.col("low_at")).otherwise((F.col("high") - F.col("place")) * F.col("low_at") + (F.col("place") - F.col("low")) * F.col("high_at"))
-    listed = both.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("point", value.alias("value")))).alias("q"))
+    ranks = places.select(*by, F.explode(F.array("low", "high")).alias("rank")).distinct()
+    at = values_at(counts, ranks, by).groupBy(*by).agg(F.map_from_entries(F.collect_list(F.struct("rank", "at"))).alias("at"))  # two ranks a point
+    low, high = F.element_at("at", F.col("low")), F.element_at("at", F.col("high"))
+    value = F.when(low == high, low).otherwise((F.col("high") - F.col("place")) * low + (F.col("place") - F.col("low")) * high)
+    listed = _beside(places, at, by).groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("point", value.alias("value")))).alias("q"))
     return written(listed.select(*by, F.transform("q", lambda x: x["value"]).alias("q")), "quantiles")
 
 
