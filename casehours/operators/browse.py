@@ -68,71 +68,38 @@ def displayed(value: Column, cell_class: str = "quantity") -> Column:
 
 #: Digits of a single-precision number: tried in turn until the text reads back as the same number.
 CELL_DIGITS = (7, 8, 9)
-#: Whole numbers below this are written without exponent, and fractions from the other on.
-BARE_BELOW, POINT_FROM = 1e9, -6
-
-
-def _joined(whole: Column, rest: Column) -> Column:
-    return F.when(rest == "", whole).otherwise(F.concat(whole, F.lit("."), rest))
-
-
-def _from(text: Column, place: Column | int) -> Column:
-    """The rest of a text from a place, the first being 1."""
-    return F.substring(text, F.lit(place) if isinstance(place, int) else place, F.length(text) + 1)
-
-
-def _once(value: Column, body) -> Column:
-    """``body`` of a value that is worked out once, however often it stands in there."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
-
-
-def _without_zeros(scientific: Column) -> Column:
-    """-1.234500e+02 as -123.45: trailing zeros dropped; an exponent stays only for 1e9 and more and below 1e-6."""
-    parts = F.struct(
-        F.regexp_extract(scientific, "^-?", 0).alias("sign"),
-        F.regexp_replace(F.regexp_replace(scientific, r"^-|\.|e.*$", ""), "0+$", "").alias("digits"),
-        F.regexp_extract(scientific, "e(.*)$", 1).try_cast("int").alias("power"),
-    )
-
-    def text(x: Column) -> Column:
-        digits, power = x["digits"], x["power"]
-        raised = F.concat(_joined(F.substring(digits, 1, 1), _from(digits, 2)), F.lit("e"), F.when(power < 0, "-").otherwise("+"), F.abs(power).cast("string"))
-        padded = F.rpad(digits, F.greatest(F.length(digits), power + 1), "0")
-        plain = F.when(power < 0, F.concat(F.lit("0."), F.repeat(F.lit("0"), -power - 1), digits)).otherwise(_joined(F.substring(padded, F.lit(1), power + 1), _from(padded, power + 2)))
-        return F.concat(x["sign"], F.when((power < POINT_FROM) | (power >= len(str(int(BARE_BELOW))) - 1), raised).otherwise(plain))
-
-    return _once(parts, text)
+#: Numbers from here on have an exponent, and so have those below the other.
+BARE_BELOW, POINT_FROM = 1e9, 1e-6
 
 
 def cell_text(value: Column) -> Column:
-    """The text of a single-precision number: whole ones bare, else the first of 7, 8 or 9 digits that reads back; blank if null, NaN or infinite (T-18)."""
+    """The text of a single-precision number: whole ones bare, else the first of 7, 8 or 9 digits that reads back; blank if null, NaN or infinite (T-18).
+
+    No lambdas in here nor in :func:`percent_text_as_ratio`: Spark compiles what it would otherwise interpret, and each text is
+    read once. A ``value`` that is dear should be a column of its own.
+    """
     v = value.cast("float")
     wide = v.cast("double")
     tried = {n: F.format_string(f"%.{n - 1}e", wide) for n in CELL_DIGITS}
     digits = F.coalesce(*(F.when(tried[n].cast("double").cast("float") == v, tried[n]) for n in CELL_DIGITS[:-1]), tried[CELL_DIGITS[-1]])
     whole = (F.abs(wide) < BARE_BELOW) & (F.floor(wide) == wide)
     blank = v.isNull() | F.isnan(v) | (F.abs(wide) == float("inf"))
-    return F.when(blank, "").when(whole, wide.cast("long").cast("string")).otherwise(_once(digits, _without_zeros))
+    # a single with a fraction is below 2^23, so seven places before the point and fourteen after it hold all digits
+    plain = F.rtrim(digits.cast("decimal(21,14)").cast("string"), F.lit("0"))
+    raised = F.regexp_replace(digits, r"\.?0*e([+-])0*", "e$1")
+    pointed = (F.abs(wide) < BARE_BELOW) & (F.abs(v) >= F.lit(POINT_FROM).cast("float"))
+    return F.when(blank, "").when(whole, wide.cast("long").cast("string")).when(pointed, plain).otherwise(raised)
 
 
 def percent_text_as_ratio(text: Column) -> Column:
     """The text of a percent as its ratio: the point moves two places to the left, or the exponent falls by two (T-18)."""
-    whole = F.regexp_extract(text, "^-?([0-9]*)", 1)
-    parts = F.struct(
-        text.alias("text"),
-        F.regexp_extract(text, "^-?", 0).alias("sign"),
-        F.lpad(whole, F.greatest(F.length(whole), F.lit(3)), "0").alias("whole"),
-        F.regexp_extract(text, r"\.([^e]*)", 1).alias("rest"),
-        (F.regexp_extract(text, "e(.*)$", 1).try_cast("int") - 2).alias("power"),
-    )
-
-    def ratio(x: Column) -> Column:
-        raised = F.concat(F.regexp_extract(x["text"], "^[^e]*", 0), F.lit("e"), F.when(x["power"] < 0, "").otherwise("+"), x["power"].cast("string"))
-        left = F.regexp_replace(F.substring(x["whole"], F.lit(1), F.length(x["whole"]) - 2), "^0+(?=[0-9])", "")
-        out = _joined(left, F.regexp_replace(F.concat(F.substring(x["whole"], F.length(x["whole"]) - 1, F.lit(2)), x["rest"]), "0+$", ""))
-        return F.when(x["text"] == "", "").when(x["power"].isNotNull(), raised).when(out == "0", out).otherwise(F.concat(x["sign"], out))
-
-    return _once(parts, ratio)
+    power = F.when(F.contains(text, F.lit("e")), F.regexp_extract(text, "e(.*)$", 1).try_cast("int") - 2)
+    raised = F.concat(F.regexp_extract(text, "^[^e]*", 0), F.lit("e"), F.when(power < 0, "").otherwise("+"), power.cast("string"))
+    # zeros in front, so that two digits and one more are there; the point two places to the left; then zeros at both ends go, and the sign of zero
+    padded = F.regexp_replace(text, r"(?s)^(-?)([0-9]*)[^.]*(?:\.([^e]*).*)?$", "$1000$2.$3")
+    moved = F.regexp_replace(padded, r"^(-?[0-9]*)([0-9]{2})\.", "$1.$2")
+    out = F.regexp_replace(moved, r"^-(?=[0.]*$)|(?<=^-?)0+(?=[0-9])|\.?0+$", "")
+    return F.when(text == "", "").when(power.isNotNull(), raised).otherwise(out)
 
 
 def ratio_text(percent: Column) -> Column:

@@ -308,7 +308,8 @@ def cell_texts_of_any_size(spark: SparkSession, sf: str) -> DataFrame:
     li, kind = table(spark, sf, "lineitem"), (F.col("l_partkey") + F.col("l_suppkey")) % 50
     sized = F.col("l_extendedprice") * F.element_at(F.array(*map(F.lit, POWERS)), (F.col("l_orderkey") % 10 + 1).cast("int")) * F.when(F.col("l_linenumber") % 2 == 0, -1).otherwise(1) * (1 / 7)
     raw = F.when(kind == 0, None).when(kind == 1, float("nan")).when(kind == 2, float("inf")).when(kind == 3, -0.0).when(kind == 4, F.col("l_partkey").cast("double")).otherwise(sized)
-    cells = li.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", browse.cell_text(raw).alias("cell"))
+    keys = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
+    cells = li.select(*keys, raw.alias("raw")).select(*keys, browse.cell_text(F.col("raw")).alias("cell"))
     return cells.withColumn("ratio", browse.percent_text_as_ratio(F.col("cell")))
 
 

@@ -34,6 +34,19 @@ def test_percent_texts_as_ratios(spark):
     assert [r["r"] for r in df.orderBy("k").collect()] == list(cases.values())
 
 
+def test_cell_texts_are_compiled(spark):
+    df = spark.createDataFrame([(1.5,)], "v double").select(browse.cell_text(F.col("v")).alias("t")).select("t", browse.percent_text_as_ratio(F.col("t")).alias("r"))
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert "lambdafunction" not in plan  # Spark interprets those, and works out anew what stands in them several times
+    assert plan.count("format_string") <= 16 and df.collect() == [("1.5", "0.015")]
+
+
+def test_ratios_of_odd_percent_texts(spark):
+    cases = {"0.00": "0", "-0.00": "0", "007": "0.07", ".5": "0.005", "-.5": "-0.005", "100.": "1", "-99.90": "-0.999", "1010.10": "10.101", None: None}
+    df = spark.createDataFrame(list(enumerate(cases)), "k int, t string").select("k", browse.percent_text_as_ratio(F.col("t")).alias("r"))
+    assert [r["r"] for r in df.orderBy("k").collect()] == list(cases.values())
+
+
 def box_of(values):
     p25, p50, p75 = np.quantile(values, (0.25, 0.5, 0.75))
     low, high = p25 - 1.5 * (p75 - p25), p75 + 1.5 * (p75 - p25)
