@@ -47,9 +47,13 @@ def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+#: Words that a repeated span of op6 has: three sentences of five. Shorter ones are exclamations and stock phrases, which unrelated texts share.
+LEAST_WORDS = 15
+
+
 def op6_sentence_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     prepare(spark)
-    return sentence_spans.repeated_sentences(table(spark, sf_dir, "documents"))
+    return sentence_spans.repeated_sentences(table(spark, sf_dir, "documents"), least_words=LEAST_WORDS, passage_words=sentence_spans.LONG_WORDS)
 
 
 def op7_chosen_path(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -168,6 +168,37 @@ def test_sentence_spans_awkward_rows(spark):
     assert sentence_spans.repeated_sentences(spark.createDataFrame([], DOCS)).count() == 0
 
 
+def test_sentence_spans_passages_inside_sentences(spark):
+    rng = random.Random(15)
+    words = lambda n: ["".join(rng.choice("abcdefghij") for _ in range(8)) for _ in range(n)]
+    p50, p49, p120 = words(50), words(49), words(120)
+    texts = [
+        [*words(30), *p50, *words(20)], [*words(9), *p50, *words(70)],  # one sentence each
+        [*words(40), *p49, *words(40)], [*p49, *words(60)],
+        [*words(5), *p120[:60], "x.", *p120[60:], *words(3)], [*words(8), *p120[10:60], "x.", *p120[60:100], *words(5)], [*p120[20:60], "X.", *p120[60:90], *words(9)],
+        ["w"] * 300,  # repeats only itself
+    ]
+    df = frame(spark, [" ".join(t) for t in texts])
+    got = {r["doc_id"]: r for r in sentence_spans.repeated_sentences(df, least_words=15, passage_words=50).collect()}
+    assert {i: (r["removed_passages"], r["first_docs"]) for i, r in got.items()} == {1: ([[9, 59]], [0]), 5: ([[8, 99]], [4]), 6: ([[0, 71]], [4])}
+    assert got[1]["text"].split() == texts[1][:9] + texts[1][59:] and got[6]["text"].split() == texts[6][71:]
+    assert sentence_spans.repeated_sentences(df).count() == 0
+    rows = [(i, " ".join(texts[k]), None, None, None) for i, k in ((None, 1), (7, 0), (7, 5), (3, 2))]  # rows of one id, or without one
+    got = sentence_spans.repeated_sentences(spark.createDataFrame(rows, DOCS), passage_words=50).collect()
+    assert [(r["doc_id"], r["first_docs"], r["removed_passages"]) for r in got] == [(None, [7], [[9, 59]])]
+
+
+def test_sentence_spans_have_least_words(spark):
+    rng = random.Random(16)
+    sentence = lambda n: " ".join("".join(rng.choice("abcdefghij") for _ in range(8)) for _ in range(n)) + "."
+    passages = [[sentence(n) for n in lengths] for lengths in [(1, 1, 1), (5, 5, 4), (5, 5, 5), (4, 4, 4, 4, 1), (2,) * 9, (20, 20), (50,)]]
+    texts = [[sentence(7), *p, sentence(30)] for p in passages for _ in range(2)]
+    got = {r["doc_id"]: r["removed_spans"] for r in sentence_spans.repeated_sentences(frame(spark, [" ".join(t) for t in texts]), least_words=15).collect()}
+    assert got == {5: [[1, 4]], 7: [[1, 6]], 9: [[1, 10]], 13: [[1, 2]]}
+    kept = {r["doc_id"] for r in sentence_spans.repeated_sentences(frame(spark, [" ".join(t) for t in texts])).collect()}
+    assert kept == {1, 3, 5, 7, 9, 13}
+
+
 @pytest.mark.parametrize("step", (1, -1))
 def test_sentence_spans_of_repeated_ids(spark, step):
     rng = random.Random(14)
