@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from casehours.llm.common import ROW, cut, has_rows, kept_rows, prepare, repeated_ids, settled, sized, tidied, with_row_ids
+from casehours.llm.common import ROW, cut, has_rows, kept_rows, prepare, repeated_ids, repeated_rows, settled, sized, tidied, with_row_ids
 from casehours.llm.components import components
 from casehours.llm.shingles import mix, set_slices
 
@@ -117,8 +117,8 @@ def _pair(a: str, b: str) -> list:
     return [F.least(f"{a}.id", f"{b}.id").alias("v"), F.greatest(f"{a}.id", f"{b}.id").alias("u"), _differing(a, b).cast("int").alias("differ")]
 
 
-def candidates(sets: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Candidate pairs (u, v, differ) of sketched sets (id, n, bits, keys), and the rows of nodes large at the last level."""
+def candidates(sets: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """Candidate pairs (u, v, differ) of sketched sets (id, n, bits, keys), and the rows of nodes large at the last level; None if there are none."""
     branch = F.transform(F.sequence(F.lit(0), F.lit(TREES - 1)), lambda t: F.struct(t.alias("tree"), F.slice("keys", t * LEVELS + 1, F.lit(LEVELS)).alias("steps")))
     rows = sets.select("id", "n", *BITS, F.explode(branch).alias("x")).select("id", "n", *BITS, F.col("x.tree").alias("tree"), F.col("x.steps").alias("steps"))
     rows = rows.withColumn("path", F.xxhash64("tree", F.element_at("steps", 1)))
@@ -130,12 +130,14 @@ def candidates(sets: DataFrame) -> tuple[DataFrame, DataFrame]:
         narrow = held.select("path", "id", "n", *BITS, "size", "centre")
         small, large = narrow.filter(F.col("size") <= NODE), narrow.filter(F.col("size") > NODE)
         found.append(small.alias("a").join(small.alias("b"), (F.col("a.path") == F.col("b.path")) & (F.col("a.id") < F.col("b.id")) & _alike("a", "b")).select(*_pair("a", "b")))
+        if not has_rows(nodes.filter(F.col("size") > NODE)):
+            large = None
+            break
         centres = large.filter("id = centre").drop("size", "centre")
         found.append(large.alias("a").join(centres.alias("b"), (F.col("a.path") == F.col("b.path")) & (F.col("a.id") != F.col("b.id")) & _alike("a", "b")).select(*_pair("a", "b")))
-        rest = held.filter(F.col("size") > NODE)
-        if level > LEVELS or not rest.limit(1).count():
+        if level > LEVELS:
             break
-        rows = rest.select("id", "n", *BITS, "tree", "steps", F.xxhash64("path", F.element_at("steps", level)).alias("path"))
+        rows = held.filter(F.col("size") > NODE).select("id", "n", *BITS, "tree", "steps", F.xxhash64("path", F.element_at("steps", level)).alias("path"))
     pairs = found[0]
     for more in found[1:]:
         pairs = pairs.unionByName(more)
@@ -203,7 +205,7 @@ def links_in_large_nodes(large: DataFrame, labels: DataFrame, docs: DataFrame, o
     placed = cut(placed, "large-nodes")
     several = placed.groupBy("path").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.min("id").alias("v")).filter("low <> high").select("path", "v")
     edges = cut(placed.join(several, "path").select(F.col("id").alias("u"), "v"), "large-edges")
-    if not edges.limit(1).count():
+    if not has_rows(edges):
         return None
     clusters = cut(components(edges).withColumnRenamed("component", "cluster"), "clusters")
     members = placed.dropDuplicates(["id"]).select("id", "n", "component", *BITS).join(clusters, "id")
@@ -240,10 +242,13 @@ def _labelled(texts: DataFrame, one_each: bool, known: DataFrame | None = None)
     if known is not None:
         links = links.unionByName(links_of_ids(held, classes, known))
     labels = components(links)
-    links = links.unionByName(confirmed(cut(_between(pairs, labels), "other-pairs"), texts, one_each))
-    labels = cut(components(links), "labels")
+    others = cut(_between(pairs, labels), "other-pairs")
+    if has_rows(others):
+        links = links.unionByName(confirmed(others, texts, one_each))
+        labels = components(links)
+    labels = cut(labels, "labels")
 
-    more = links_in_large_nodes(large, labels, texts, one_each)
+    more = None if large is None else links_in_large_nodes(large, labels, texts, one_each)
     if more is not None:
         labels = components(links.unionByName(more))
 
@@ -285,5 +290,8 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     """
     prepare(docs.sparkSession)
     keyed = with_row_ids(docs, id_col, text_col)
-    losers = settled(lambda: near_duplicates(keyed, ROW, text_col).filter("not kept").select(F.col("doc_id").alias(ROW)).distinct(), "near-losers")
-    return kept_rows(keyed, losers)
+    twins = repeated_rows(keyed)
+    twins = twins if has_rows(twins) else None
+    texts = keyed.select(F.col(ROW).alias("doc_id"), F.col(text_col).alias("text"))
+    losers = settled(lambda: _labelled(texts, twins is None).filter("doc_id <> component_id").select(F.col("doc_id").alias(ROW)).distinct(), "near-losers")
+    return kept_rows(keyed, losers, twins)

@@ -81,7 +81,7 @@ ROW = "_row_id"
 
 
 def has_rows(df: DataFrame) -> bool:
-    return bool(df.limit(1).count())
+    return not df.isEmpty()
 
 
 def repeated_ids(docs: DataFrame, id_col: str, text_col: str) -> tuple[bool, DataFrame]:
@@ -100,20 +100,31 @@ def with_row_ids(docs: DataFrame, id_col: str, text_col: str, differing: DataFra
     So a decision about one row never reaches another text of the same id; rows equal in id and text have one ``ROW``. Hashes
     are 2^62 or more, so that ids below that come first. ``differing``: from :func:`repeated_ids`, if it is at hand.
     """
-    several = (repeated_ids(docs, id_col, text_col)[1] if differing is None else differing).withColumnRenamed("id", "_several")
-    known = docs.join(sized(several), F.col(id_col).cast("long") == F.col("_several"), "left")
+    if differing is None:
+        repeats, differing = repeated_ids(docs, id_col, text_col)
+        several = repeats and has_rows(differing)
+    else:
+        several = has_rows(differing)
     own = F.xxhash64(F.lit("row"), F.col(id_col).cast("string"), F.coalesce(F.col(text_col), F.lit(""))).bitwiseAND(F.lit((1 << 62) - 1)).bitwiseOR(F.lit(1 << 62))
+    if not several:  # no join, which every reader of these rows would do again
+        return docs.withColumn(ROW, F.when(F.col(id_col).isNull(), own).otherwise(F.col(id_col).cast("long")))
+    differing = differing.withColumnRenamed("id", "_several")
+    known = docs.join(sized(differing), F.col(id_col).cast("long") == F.col("_several"), "left")
     return known.withColumn(ROW, F.when(F.col(id_col).isNull() | F.col("_several").isNotNull(), own).otherwise(F.col(id_col).cast("long"))).drop("_several")
 
 
-def kept_rows(keyed: DataFrame, losers: DataFrame) -> DataFrame:
+def repeated_rows(keyed: DataFrame) -> DataFrame:
+    """The ``ROW`` of rows of ``keyed`` (from :func:`with_row_ids`) that others equal in id and text, written."""
+    return cut(keyed.groupBy(ROW).count().filter("count > 1").select(ROW), "twins")
+
+
+def kept_rows(keyed: DataFrame, losers: DataFrame, twins: DataFrame | None) -> DataFrame:
     """Rows of ``keyed`` (from :func:`with_row_ids`) whose ``ROW`` is not among the written ``losers``, one of each ``ROW``, without that column.
 
-    Rows of one ``ROW`` are equal in id and text; which of them stays is not said.
+    Rows of one ``ROW`` are equal in id and text; which of them stays is not said. ``twins``: from :func:`repeated_rows`, None if it has no rows.
     """
-    twins = cut(keyed.groupBy(ROW).count().filter("count > 1").select(ROW), "twins")
     left = keyed.join(sized(losers.select(ROW)), ROW, "left_anti")
-    if not has_rows(twins):
+    if twins is None:
         return left.drop(ROW)
     single = left.join(sized(twins), ROW, "left_anti")
     # counted before the shuffle: a partition passes one row of each group on

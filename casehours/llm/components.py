@@ -30,10 +30,12 @@ def _small_star(edges: DataFrame, few: bool) -> DataFrame:
     return moved.unionByName(least.select("u", F.col("m").alias("v"))).filter("u <> v").distinct()
 
 
-def _are_stars(edges: DataFrame) -> bool:
-    """Has every node one parent at most, and no parent a parent?"""
+def _state(edges: DataFrame) -> tuple[bool, int]:
+    """Are the edges stars, that is, has every node one parent at most, and no parent a parent? And the number of edges."""
     ends = edges.select(F.col("u").alias("id"), F.lit(1).alias("up"), F.lit(0).alias("down")).unionByName(edges.select(F.col("v").alias("id"), F.lit(0).alias("up"), F.lit(1).alias("down")))
-    return not ends.groupBy("id").agg(F.sum("up").alias("up"), F.max("down").alias("down")).filter("up > 1 or up > 0 and down > 0").limit(1).count()
+    nodes = ends.groupBy("id").agg(F.sum("up").alias("up"), F.max("down").alias("down"))
+    unfinished, n = nodes.agg(F.max(F.expr("up > 1 or up > 0 and down > 0")), F.sum("up")).first()
+    return not unfinished, n or 0
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -42,7 +44,7 @@ def components(edges: DataFrame) -> DataFrame:
     Every round brings nodes nearer to the smallest id of their component, so the rounds come to an end.
     """
     held = cut(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).filter("u <> v").distinct(), "edges")
-    while not _are_stars(held):
-        few = held.limit(BROADCAST_EDGES + 1).count() <= BROADCAST_EDGES
+    while not (state := _state(held))[0]:
+        few = state[1] <= BROADCAST_EDGES
         held = settled(lambda now=held, few=few: _small_star(_large_star(now, few) if few else cut(_large_star(now, few), "large-star"), few), "edges")
     return held.select(F.col("u").alias("id"), F.col("v").alias("component")).unionByName(held.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct())

@@ -6,6 +6,7 @@ all runs of ``size`` words; a text of fewer words has its whole sequence as its
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,7 +35,10 @@ def _powers(base: int, n: int) -> np.ndarray:
     return np.multiply.accumulate(out)
 
 
-_POWERS, _INVERSES = _powers(_BASE, 2 * WINDOW), _powers(_BASE_INVERSE, 2 * WINDOW)
+@functools.cache
+def _window_powers() -> tuple[np.ndarray, np.ndarray]:
+    """Powers and their inverses for the usual pieces: 32 MB, so made by the first text hashed in a process and never by the driver."""
+    return _powers(_BASE, 2 * WINDOW), _powers(_BASE_INVERSE, 2 * WINDOW)
 
 
 def _hash_window(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -45,7 +49,7 @@ def _hash_window(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     starts, ends = np.flatnonzero(edges == 1), np.flatnonzero(edges == -1)
     if not len(starts):
         return np.zeros(0, np.uint64), starts, ends
-    powers, inverses = (_POWERS, _INVERSES) if len(data) <= len(_POWERS) else (_powers(_BASE, len(data)), _powers(_BASE_INVERSE, len(data)))
+    powers, inverses = _window_powers() if len(data) <= 2 * WINDOW else (_powers(_BASE, len(data)), _powers(_BASE_INVERSE, len(data)))
     sums = np.zeros(len(data) + 1, np.uint64)
     np.cumsum(LOWER[data] * powers[: len(data)], out=sums[1:])
     return mix((sums[ends] - sums[starts]) * inverses[starts] + (ends - starts).astype(np.uint64) * _ODD), starts, ends

@@ -1,6 +1,9 @@
 import random
+import subprocess
+import sys
 
 from casehours.llm import chosen_path
+from casehours.llm.common import ROW, with_row_ids
 from tests.llm.helpers import DOCS, components_of, edited, frame, odd_texts, prose, shingles
 
 
@@ -66,3 +69,31 @@ def test_drop_leaves_one_of_repeated_rows(spark):
     for order in (pairs, pairs[::-1]):
         left = sorted(((r["doc_id"], r["text"]) for r in chosen_path.drop_near_duplicates(rows_of(spark, order)).collect()), key=str)
         assert left == sorted([(7, a), (None, b), (1, c), (3, "")], key=str)
+
+
+def test_near_dedup_asks_little_of_the_driver(spark):
+    rng = random.Random(8)
+    texts = [prose(rng, 60) for _ in range(80)]
+    texts += [edited(rng, t, 0.01) for t in texts[:20]]
+    df = frame(spark, texts)
+    spark.sparkContext.setJobGroup("near", "near")
+    try:
+        left = {r["doc_id"] for r in chosen_path.drop_near_duplicates(df).collect()}
+    finally:
+        spark.sparkContext._jsc.clearJobGroup()
+    assert left == {i for i, c in components_of(dict(enumerate(texts))).items() if i == c}
+    # every job leaves plans, threads and compiled code with the driver
+    assert len(spark.sparkContext.statusTracker().getJobIdsForGroup("near")) <= 80
+
+
+def test_ids_of_one_text_need_no_join(spark):
+    df = rows_of(spark, [(1, "a"), (1, "a"), (2, "b"), (None, "b")])
+    keyed = with_row_ids(df, "doc_id", "text")
+    assert "Join" not in keyed._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted(r[ROW] for r in keyed.collect())[:3] == [1, 1, 2] and keyed.filter(f"{ROW} >= {1 << 62}").count() == 1
+    assert "Join" in with_row_ids(df.unionByName(rows_of(spark, [(2, "c")])), "doc_id", "text")._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_the_driver_makes_no_hash_tables():
+    made = "import tracemalloc; tracemalloc.start(); import casehours.llm.shingles; print(tracemalloc.get_traced_memory()[1])"
+    assert int(subprocess.run([sys.executable, "-c", "import numpy; " + made], capture_output=True, text=True, check=True).stdout) < 4_000_000
